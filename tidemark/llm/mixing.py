@@ -124,3 +124,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """Rows sorted by range over the training position; those that are never reached come last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
+
+
+def repeat_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` as the mix takes it: each row as often as its nearest whole number of copies, in training order.
+
+    Rows that the mix never reaches go; rows without words have no size to weigh and stay once, at the end.
+    """
+    mixed = mix(docs.withColumn("__row", F.struct(*docs.columns)), id_col, text_col, source_col, keep=["__row"], **options)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
+    taken = mixed.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    return taken.orderBy(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), "copy").select("kept___row.*")
