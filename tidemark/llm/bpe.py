@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections import OrderedDict
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,19 @@ from pyspark.sql import functions as F
 #: A cut follows a byte where the low bits of the rolling hash are all zero: one in 2,048.
 CUT_BITS = 11
 #: Bytes of ids and tokens that a worker keeps for chunks, and for words.
-CHUNK_BYTES, WORD_BYTES = 48 << 20, 48 << 20
+CHUNK_BYTES, WORD_BYTES = 32 << 20, 128 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MIX = np.random.default_rng(7).integers(1, 1 << 32, 256, dtype=np.uint32)
+#: A plain word's pieces: a run of letters, one digit, a run of marks (no apostrophe, no "<").
+_RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=>?@\[-`{-~]+")
+
+
+def _packed(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -41,19 +52,25 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((h >> np.uint32(32 - CUT_BITS)) == 0) + 1
 
 
-class _Store(OrderedDict):
-    """The oldest entries go first when the bytes held pass the bound."""
+class _Store:
+    """Two generations of entries; when the newer is full it becomes the older, which is dropped."""
 
     def __init__(self, bound: int):
-        super().__init__()
-        self.bound, self.held = bound, 0
+        self.bound, self.held = bound // 2, 0
+        self.new: dict[bytes, tuple] = {}
+        self.old: dict[bytes, tuple] = {}
+
+    def get(self, key: bytes) -> tuple | None:
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
 
-    def put(self, key: bytes, value: tuple, cost: int) -> None:
-        self[key] = value
-        self.held += cost + len(key) + 300
-        while self.held > self.bound and len(self) > 1:
-            k, v = self.popitem(last=False)
-            self.held -= len(k) + 300 + sum(len(x) for x in v if isinstance(x, bytes))
+    def put(self, key: bytes, value: tuple) -> None:
+        self.new[key] = value
+        self.held += 320 + len(key) + len(value[0]) + len(value[1]) + (len(value[2]) if len(value) > 2 else 0)
+        if self.held > self.bound:
+            self.old, self.new, self.held = self.new, {}, 0
 
 
 class ChunkCoder:
@@ -68,22 +85,52 @@ class ChunkCoder:
         self.tok.no_padding()
         if self.tok.decoder is not None:
             raise ValueError("a tokenizer with a decoder of its own is not supported: tokens are joined by spaces")
-        self.names: dict[int, bytes] = {}
+        names = {i: n.encode("utf-8") for n, i in self.tok.get_vocab().items()}
+        self.names = [names.get(i, b"") for i in range(max(names) + 1)]
+        self.ends = np.array([n.endswith(b"</w>") for n in self.names])
         self.words, self.chunks = _Store(WORD_BYTES), _Store(CHUNK_BYTES)
         self.reused = self.encoded = self.widened = 0
 
-    def _name(self, i: int) -> bytes:
-        name = self.names.get(i)
-        if name is None:
-            name = self.names[i] = self.tok.id_to_token(i).encode("utf-8")
-        return name
-
     def encode_whole(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, tokens joined by spaces) of each text, by the library alone."""
+        name = self.names.__getitem__
         out = []
         for e in self.tok.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False):
             ids = e.ids
-            out.append((np.array(ids, dtype="<u4").tobytes(), b" ".join(map(self._name, ids))))
+            out.append((_packed(ids), b" ".join(map(name, ids))))
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """As ``encode_whole``, with plain words going to the library many at a time.
+
+        A plain word is made of Latin letters, digits and ASCII marks, so the number of pieces that
+        the library cuts it into is known, and each piece ends with a token that says so. A group
+        whose pieces do not add up is encoded word by word.
+        """
+        out: list = [None] * len(words)
+        plain, pieces, odd = [], [], []
+        for k, w in enumerate(words):
+            t = w.decode("utf-8", "surrogatepass")
+            runs = _RUN.findall(t)
+            if sum(map(len, runs)) == len(t):
+                plain.append((k, t))
+                pieces.append(len(runs))
+            else:
+                odd.append(k)
+        groups = [(i, " ".join([t for _, t in plain[i : i + 256]])) for i in range(0, len(plain), 256)]
+        for (i, _), e in zip(groups, self.tok.encode_batch_fast([g for _, g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = np.flatnonzero(self.ends[ids]) + 1 if ids else np.zeros(0, dtype=np.int64)
+            want = np.cumsum(pieces[i : i + 256])
+            if len(ends) != want[-1] or ends[-1] != len(ids):
+                odd += [k for k, _ in plain[i : i + 256]]
+                continue
+            raw, names, a = _packed(ids), [self.names[x] for x in ids], 0
+            for (k, _), b in zip(plain[i : i + 256], ends[want - 1].tolist(), strict=True):
+                out[k] = raw[4 * a : 4 * b], b" ".join(names[a:b])
+                a = b
+        for k, v in zip(odd, self.encode_whole([words[k] for k in odd]), strict=True):
+            out[k] = v
         return out
 
     def _learn(self, words) -> dict[bytes, tuple[bytes, bytes]]:
@@ -95,11 +142,11 @@ class ChunkCoder:
                 new.append(w)
             else:
                 have[w] = v
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, v in zip(part, self.encode_whole(part), strict=True):
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            for w, v in zip(part, self.encode_words(part), strict=True):
                 have[w] = v
-                known.put(w, v, len(v[0]) + len(v[1]))
+                known.put(w, v)
         return have
 
     def encode_batch(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
@@ -113,7 +160,7 @@ class ChunkCoder:
         have = self._learn({w for ws in words for w in ws})
         for c, ws in zip(fresh, words, strict=True):
             local[c] = v = self._chunk(c, ws, have)
-            self.chunks.put(c, v, sum(len(x) for x in v if isinstance(x, bytes)))
+            self.chunks.put(c, v)
         # words across cuts, and the windows that prove each repair
         plans = [self._plan([local[c] for c in p]) for p in pieces]
         across = self._learn({w for plan in plans for w in plan if isinstance(w, bytes) and w})
@@ -183,7 +230,7 @@ class ChunkCoder:
 
     def decode(self, ids: bytes) -> bytes:
         """Tokens of the ids, joined by spaces: what the library's decode gives without a decoder."""
-        return b" ".join(map(self._name, np.frombuffer(ids, dtype="<u4").tolist()))
+        return b" ".join(map(self.names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 _coders: dict[str, ChunkCoder] = {}
