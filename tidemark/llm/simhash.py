@@ -141,9 +141,13 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     component by then, is never joined with itself.
     """
     keys = durable(golay_keys(prints))
-    buckets = keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = durable(keys.join(buckets, "key"))
-    first = durable(shared.where("fp <> pivot and " + _close("fp", "pivot")).select(F.col("fp").alias("src"), F.col("pivot").alias("dst")).distinct())
+    buckets = keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other"), F.count("*").alias("n"))
+    # a key of two members is verified from the aggregate alone; only fuller keys are joined with their members
+    buckets = durable(buckets.where("n > 2 or n = 2 and " + _close("pivot", "other")))
+    pairs = buckets.where("n = 2").select(F.col("other").alias("src"), F.col("pivot").alias("dst"))
+    shared = durable(keys.join(buckets.where("n > 2").select("key", "pivot"), "key"))
+    stars = shared.where("fp <> pivot and " + _close("fp", "pivot")).select(F.col("fp").alias("src"), F.col("pivot").alias("dst"))
+    first = durable(pairs.unionByName(stars).distinct())
     comp = durable(connected_components(first)).withColumnRenamed("node", "fp")
     named = durable(shared.select("key", "fp").join(comp, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp")))
     # The most frequent component of each key, from pre-aggregated counts; keys of one component are done.
@@ -172,3 +176,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     classes = named.join(root, "comp").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` of which one per near-duplicate group stays: the one with the least id.
+
+    Among rows that share the least id, the one with the least text hash stays; rows equal in both
+    are one row. A group whose ids are all null keeps one row, by text hash.
+    """
+    groups = near_duplicates(docs, id_col, text_col).select("doc_id", "fp", "component_id").distinct()
+    # a group's keeper is chosen by partial aggregation over (id, text hash), so a group of any size is one row per task
+    keyed = docs.withColumn("__fp", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keepers = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"))
+    picked = keyed.join(keepers.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    least = picked.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min("__fp").alias("__h"))
+    picked = picked.join(least, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__h")))
+    return picked.dropDuplicates([id_col, "__fp"]).select(*docs.columns)
