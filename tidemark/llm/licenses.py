@@ -4,7 +4,7 @@ Every line, and every paragraph of several lines, is normalised (lower case, run
 letters and digits become one space) and compared with licence templates by the Dice coefficient of
 their sets of word bigrams. Two bounds prune templates before any sets are intersected: with
 coefficient t at least, the sizes of the sets lie within a factor (2 - t) / t of each other, and the
-sets share t / (2 - t) of the template's bigrams, so that a unit without any of the template's first
+sets share t / (2 - t) of the template's bigrams, so that a unit without any of the template's chosen
 few bigrams cannot reach it. DataFrame operations only; templates are a short fixed list, so units
 meet them where they lie and nothing is shuffled.
 """
