@@ -109,3 +109,51 @@ def test_table(spark, sf_dir):
     want = sorted((d, a, b) for (d, _), spans in brute(docs).items() for a, b in spans)
     got = queries()["op8_line_dedup"](spark, sf_dir).collect()
     assert sorted((r.doc_id, r.start, r.end) for r in got) == want
+
+
+def test_passages_of_short_pieces_go(spark):
+    rng = random.Random(12)
+    short = lambda n: [words(rng, rng.randint(1, 3)).upper() + rng.choice(["!!", ".", "\n"]) for _ in range(n)]
+    line = lambda n: "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(n)) + rng.choice("。！？")
+    some = [short(40), [line(rng.randint(1, 9)) for _ in range(14)] + [line(9)], [words(rng, 3) + ".", words(rng, 4) + ".", words(rng, 5) + "."] + [words(rng, 3) + "." for _ in range(6)]]
+    rows, planted = [], []
+    for i in range(60):
+        k = i % 4
+        own = [[line(5) for _ in range(10)], [line(5) for _ in range(10)]] if k == 1 else [short(12), short(12)]
+        glue = "" if k == 1 else " "
+        if k < 3:
+            a = glue.join(own[0]) + glue
+            rows.append((i, a + glue.join(some[k]) + glue + glue.join(own[1])))
+            planted.append((i, k, len(a), len(a) + len(glue.join(some[k]))))
+        else:
+            rows.append((i, glue.join(own[0] + own[1])))
+    rows += [(100, "\n".join(some[0])), (101, "ha! " * 100), (102, rows[3][1])]
+    texts = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = defaultdict(set)
+    for r in linededup.repeated_spans(df).collect():
+        assert r.words >= 8 and not gone[r.doc_id] & set(range(r.start, r.end))
+        gone[r.doc_id] |= set(range(r.start, r.end))
+    # by definition, without units: a character goes if it stands in a planted passage that an earlier document has
+    for i, k, a, b in planted:
+        want = {p for p in range(a, b) if i >= 4 and not texts[i][p].isspace()}
+        left = want - gone[i]
+        assert {p for p in gone[i] if not texts[i][p].isspace()} <= want and len(texts[i][min(left, default=b) : b].split()) <= 6, (i, k)
+    assert all(not gone[i] for i in range(3, 60, 4))
+    for i in (100, 102):
+        assert {p for p in range(len(texts[i])) if not texts[i][p].isspace()} <= gone[i]
+    assert gone[101] and min(gone[101]) >= 79  # the first 20 words stay
+
+
+def test_table_keeps_spans_of_units_and_adds_only_repetitions(spark, sf_dir):
+    docs = duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet' order by doc_id").fetchall()
+    text = dict(docs)
+    of_units = {(d, a, b) for (d, _), spans in brute(docs).items() for a, b in spans}
+    got = {(r.doc_id, r.start, r.end) for r in linededup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert of_units < got
+    norm = {d: " ".join(p[3] for p in linededup.pieces(t)) for d, t in docs}
+    for d, a, b in got - of_units:
+        ws = " ".join(p[3] for p in linededup.pieces(text[d][a:b])).split()
+        for k in range(0, len(ws) - 4, 5):  # five words of it at a time stand in an earlier document, or earlier here
+            some = " ".join(ws[k : k + 5])
+            assert any(some in norm[e] for e in norm if e < d) or some in " ".join(p[3] for p in linededup.pieces(text[d][: b - 1])), (d, a, b)

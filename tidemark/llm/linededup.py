@@ -7,6 +7,11 @@ normalised (case folded, white space collapsed, punctuation at word edges droppe
 digests are grouped globally; the earliest occurrence, ranked by document id and then place, stays.
 Later occurrences go if they stand in a run of neighbouring repeated units that is long enough to be
 no accident. What goes is given by offsets into the original text.
+
+Where pieces are mostly short, units are few or none. So every stretch of neighbouring pieces that
+has a short one in it and just reaches the length of such a run is hashed as a whole, too, from each
+piece on. Later occurrences of a stretch go where units have not found the repetition. In scripts
+without spaces every character counts as a word.
 """
 
 from __future__ import annotations
@@ -25,91 +30,192 @@ from .common import durable
 #: Least words of a unit; words of one unit, or of a whole run, that prove a copy.
 MIN_UNIT, LONG_UNIT, LONG_RUN = 4, 8, 20
 _CUT = re.compile(r"\n|(?<=[.!?…])[ \t\r\x0b\x0c]+(?=\S)|[ \t\r\x0b\x0c](?=[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĪĮŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽΑ-ΩА-Я][a-zß-öø-ÿāăąćčďđēėęěğīįıłńňōőœřśşšťūůűźżžα-ωа-я])")
+#: Letters of scripts without spaces, and the sentence ends of other scripts; those of the former need no space after them.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_LETTER = re.compile(f"[{_UNSPACED}]")
+_WIDE_END = re.compile("[。！？।॥؟۔]")
+_WIDE_CUT = re.compile(_CUT.pattern + r"|(?<=[।॥؟۔])[ \t\r\x0b\x0c]*(?=[^\s।॥؟۔])|(?<=[。！？])[ \t\r\x0b\x0c\u3000]*(?=[^\s。！？」』”’）])|(?<=[。！？][」』”’）])[ \t\r\x0b\x0c\u3000]*(?=[^\s。！？」』”’）])")
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
+def pieces(text: str | None) -> list[tuple[int, int, int, str]]:
+    """(start, end, words, normal form) of each piece that has words, in order; offsets count characters."""
+    if not text:
+        return []
+    cut = _CUT if text.isascii() or not _WIDE_END.search(text) else _WIDE_CUT
+    out, at = [], 0
+    for b, nxt in [*((m.start(), m.end()) for m in cut.finditer(text)), (len(text), 0)]:
+        words = text[at:b].split()
+        if words:
+            out.append((at, b, _count(words), _normal(words)))
+        at = nxt
+    return out
+
+
+def _count(words: list[str]) -> int:
+    joined = " ".join(words)
+    if joined.isascii() or not _LETTER.search(joined):
+        return len(words)
+    rest, n = _LETTER.subn(" ", joined)
+    return n + sum(1 for w in rest.split() if _EDGE.sub("", w))
+
+
+def _normal(words: list[str]) -> str:
+    words = " ".join(words).casefold().split()
+    return " ".join([w if w.isalnum() else _EDGE.sub("", w) for w in words])
+
+
+def _digest(norm: str, seed: int = 0) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"), seed)
+    return d >> 64, d & 0xFFFFFFFFFFFFFFFF
+
+
 def units(text: str | None) -> list[tuple[int, int, int, int, int, int, int]]:
     """(pos, start, end, words, gap, high, low digest) of each unit, in order; offsets count characters.
 
     A unit that short pieces of ``gap`` words precede has a second entry of the same ``pos`` that
     includes them (and gap 0).
     """
+    return _units(pieces(text))
+
+
+def _units(found: list[tuple]) -> list[tuple]:
     out: list[tuple] = []
-    at, pos, held, start = 0, 0, 0, -1
-    for b, nxt in [*((m.start(), m.end()) for m in _CUT.finditer(text or "")), (len(text or ""), 0)]:
-        n = len(text[at:b].split()) if text else 0
+    pos, held, start, norms = 0, 0, -1, []
+    for at, b, n, norm in found:
         if n >= MIN_UNIT:
-            out.append((pos, at, b, n, held, *_digest(text[at:b])))
+            out.append((pos, at, b, n, held, *_digest(norm)))
             if held:
-                out.append((pos, start, b, n + held, 0, *_digest(text[start:b])))
-            pos, held, start = pos + 1, 0, -1
-        elif n:
+                out.append((pos, start, b, n + held, 0, *_digest(" ".join([*norms, norm]))))
+            pos, held, start, norms = pos + 1, 0, -1, []
+        else:
             start = at if start < 0 else start
             held += n
-        at = nxt
+            norms.append(norm)
     return out
 
 
-def _digest(unit: str) -> tuple[int, int]:
-    words = unit.casefold().split()
-    norm = " ".join([w if w.isalnum() else _EDGE.sub("", w) for w in words])
-    d = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"))
-    return d >> 64, d & 0xFFFFFFFFFFFFFFFF
+def stretches(text: str | None) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(pos, start, end, words, words before it, high, low digest) of each stretch, in order.
+
+    One begins at each piece and takes as few as have ``LONG_RUN`` words; those of units alone are
+    left out, since the units find them. ``pos`` counts pieces. Since stretches end with whole pieces,
+    the last pieces of a passage may be in none: fewer words than the piece has where the last one begins.
+    """
+    return _stretches(pieces(text))
+
+
+def _stretches(found: list[tuple]) -> list[tuple]:
+    out: list[tuple] = []
+    if all(n >= MIN_UNIT for _, _, n, _ in found):
+        return out
+    j = words = short = before = 0  # the stretch is found[i:j]
+    for i, (at, _, n, _) in enumerate(found):
+        while words < LONG_RUN and j < len(found):
+            words += found[j][2]
+            short += found[j][2] < MIN_UNIT
+            j += 1
+        if words < LONG_RUN:
+            if i and out and out[-1][2] < found[-1][1] and any(f[2] < MIN_UNIT for f in found[i - 1 :]):  # the last one of a text reaches its end
+                n = found[i - 1][2]
+                out.append((i - 1, found[i - 1][0], found[-1][1], words + n, before - n, *_digest(" ".join([f[3] for f in found[i - 1 :]]), 1)))
+            break
+        if short:
+            out.append((i, at, found[j - 1][1], words, before, *_digest(" ".join([f[3] for f in found[i:j]]), 1)))
+        words, short, before = words - n, short - (n < MIN_UNIT), before + n
+    return out
 
 
 def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, row_hash, pos, start, end, words, gap, hi, lo)``: every unit of every document."""
-    names = ["pos", "start", "end", "words", "gap"]
+    """``(doc_id, row_hash, pos, start, end, words, gap, before, hi, lo)``: every unit and stretch of every document.
+
+    ``before`` counts the words before a stretch; it is null for a unit, and ``gap`` for a stretch.
+    """
+    names = ["pos", "start", "end", "words"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 500):
                 part = b.iloc[i : i + 500]
-                found = [units(t) for t in part["text"]]
-                count = [len(f) for f in found]
-                flat = [u for f in found for u in f]
-                if not flat:
-                    continue
-                cols = list(zip(*flat, strict=True))
-                out = pd.DataFrame({n: np.array(c, dtype=np.int32) for n, c in zip(names, cols[:5], strict=True)})
-                out["hi"], out["lo"] = (np.array(c, dtype=np.uint64).view(np.int64) for c in cols[5:])
-                out.insert(0, "doc_id", part["doc_id"].repeat(count).to_numpy())
-                out.insert(1, "row_hash", part["row_hash"].repeat(count).to_numpy())
-                yield out
+                cut = [pieces(t) for t in part["text"]]
+                for make, name in ((_units, "gap"), (_stretches, "before")):
+                    found = [make(c) for c in cut]
+                    count = [len(f) for f in found]
+                    flat = [u for f in found for u in f]
+                    if not flat:
+                        continue
+                    cols = list(zip(*flat, strict=True))
+                    out = pd.DataFrame({n: np.array(c, dtype=np.int32) for n, c in zip(names, cols[:4], strict=True)})
+                    for n in ("gap", "before"):
+                        out[n] = pd.array(cols[4] if n == name else [None] * len(out), dtype="Int32")
+                    out["hi"], out["lo"] = (np.array(c, dtype=np.uint64).view(np.int64) for c in cols[5:])
+                    out.insert(0, "doc_id", part["doc_id"].repeat(count).to_numpy())
+                    out.insert(1, "row_hash", part["row_hash"].repeat(count).to_numpy())
+                    yield out
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, "doc_id long, row_hash long, pos int, start int, end int, words int, gap int, hi long, lo long")
+    return kept.mapInPandas(run, "doc_id long, row_hash long, pos int, start int, end int, words int, gap int, before int, hi long, lo long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, row_hash, start, end, words, kept_doc_id)``: one row per span to remove.
 
     ``start`` and ``end`` are character offsets into the original text, ``kept_doc_id`` the document
-    that keeps the earliest occurrence of the span's longest unit. A run is a maximal sequence of
-    neighbouring units that each occurred before (in an earlier document, or earlier in this one); it
-    is removed if one of its units has ``LONG_UNIT`` words or all together have ``LONG_RUN``. Short
-    pieces in it that are not part of the repetition stay, and split it into several spans.
-    Documents rank by id, null last, then by text hash. Rows that agree in id and text are one
-    document. Null and empty texts have no units; documents without repeats give no row.
+    that keeps the earliest occurrence of the span's longest unit (of a span found by stretches, of
+    its first). A run is a maximal sequence of neighbouring units that each occurred before (in an
+    earlier document, or earlier in this one); it is removed if one of its units has ``LONG_UNIT``
+    words or all together have ``LONG_RUN``. Short pieces in it that are not part of the repetition
+    stay, and split it into several spans. A stretch that occurred before is removed if it touches
+    none of these spans; what overlaps its own earliest occurrence stays, and stretches that overlap
+    are one span. Documents rank by id, null last, then by text hash. Rows that agree in id and text
+    are one document. Null and empty texts have no units; documents without repeats give no row.
     """
     rows = unit_table(docs, id_col, text_col)
     rank = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_hash", "pos")
     # Partial aggregation folds a hot digest into one row per task before the shuffle.
-    first = rows.groupBy("hi", "lo").agg(F.min(rank).alias("f"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "f")
-    later = rows.join(first, ["hi", "lo"]).where(rank > F.col("f"))
+    place = F.struct(rank.alias("rank"), F.col("end").alias("to"), (F.col("before") + F.col("words")).alias("past"))
+    first = rows.groupBy("hi", "lo").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "f")
+    later = durable(rows.join(first, ["hi", "lo"]).where(rank > F.col("f.rank")).select("doc_id", "row_hash", "pos", "start", "end", "words", "gap", "before", "f"))
     # of a unit's two entries the longer counts; rows that occur several times count once
-    later = later.groupBy("doc_id", "row_hash", "pos").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words"), F.min_by("gap", "start").alias("gap"), F.max_by("f.doc_id", "words").alias("kept_doc_id"))
-    later = durable(later)
+    of_units = later.where("before is null").groupBy("doc_id", "row_hash", "pos").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words"), F.min_by("gap", "start").alias("gap"), F.max_by("f.rank.doc_id", "words").alias("kept_doc_id"))
     by_pos = Window.partitionBy("doc_id", "row_hash").orderBy("pos")
-    runs = later.withColumn("run", F.col("pos") - F.row_number().over(by_pos)).withColumn("part", F.sum((F.col("gap") > 0).cast("int")).over(by_pos))
+    runs = of_units.withColumn("run", F.col("pos") - F.row_number().over(by_pos)).withColumn("part", F.sum((F.col("gap") > 0).cast("int")).over(by_pos))
     of_run = Window.partitionBy("doc_id", "row_hash", "run")
     runs = runs.withColumn("all", F.sum("words").over(of_run)).withColumn("longest", F.max("words").over(of_run))
-    return (
+    spans = (
         runs.where((F.col("longest") >= LONG_UNIT) | (F.col("all") >= LONG_RUN))
         .groupBy("doc_id", "row_hash", "run", "part")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("words"), F.max_by("kept_doc_id", F.struct("words", -F.col("pos"))).alias("kept_doc_id"))
         .select("doc_id", "row_hash", "start", "end", "words", "kept_doc_id")
     )
+    return _with_stretches(durable(spans), later.where("before is not null"))
+
+
+def _with_stretches(spans: DataFrame, later: DataFrame) -> DataFrame:
+    """``spans`` and the spans of the later occurrences of stretches that touch none of them."""
+    here = (F.col("f.rank.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("f.rank.row_hash") == F.col("row_hash"))
+    own = here & (F.col("f.to") > F.col("start"))
+    found = later.select(
+        "doc_id",
+        "row_hash",
+        F.when(own, F.col("f.to")).otherwise(F.col("start")).alias("start"),
+        "end",
+        F.when(own, F.col("f.past")).otherwise(F.col("before")).cast("long").alias("before"),
+        (F.col("before") + F.col("words")).cast("long").alias("past"),
+        F.col("f.rank.doc_id").alias("kept_doc_id"),
+    ).distinct()
+    none = F.lit(None).cast("long")
+    both = found.withColumn("at", F.col("end")).withColumn("span_end", F.lit(None).cast("int")).unionByName(
+        spans.select("doc_id", "row_hash", "start", "end", none.alias("before"), none.alias("past"), "kept_doc_id", F.col("start").alias("at"), F.col("end").alias("span_end"))
+    )
+    # a stretch comes after the spans that begin before its end, of which the last end decides
+    ahead = Window.partitionBy("doc_id", "row_hash").orderBy("at", F.col("span_end").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    free = both.withColumn("reach", F.max("span_end").over(ahead)).where("span_end is null and start < end and (reach is null or reach <= start)")
+    in_order = Window.partitionBy("doc_id", "row_hash").orderBy("start", "end")
+    free = free.withColumn("new", F.coalesce((F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0)))
+    free = free.withColumn("group", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = free.groupBy("doc_id", "row_hash", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("past") - F.min("before")).alias("words"), F.min_by("kept_doc_id", F.struct("start", "end")).alias("kept_doc_id"))
+    return spans.unionByName(whole.drop("group"))
 
 
 def cut_spans(text: str | None, starts, ends) -> str | None:
