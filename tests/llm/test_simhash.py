@@ -103,3 +103,14 @@ def test_whole_small_table(spark, sf_dir):
     prints = [naive_fingerprint(t) for _, t in docs]
     want = sorted(zip([d for d, _ in docs], [f"{p:016x}" for p in prints], naive_components([d for d, _ in docs], prints)))
     assert sorted(zip(got.doc_id, got.fingerprint, got.component_id)) == want
+
+
+def test_one_of_each_group_without_ids_and_with_shared_ids(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(60))
+    t = [text() for _ in range(9)]
+    rows = [(None, t[0], 1), (None, t[1], 2), (None, t[1], 2), (None, t[2], 3), (5, t[3], 4), (5, t[4], 5), (7, t[2], 6), (7, t[5], 7), (9, t[5], 8), (8, None, 9), (None, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = sorted(r.n for r in simhash.one_of_each_group(df).collect())
+    assert got == [1, 2, 4, 5, 6, 7, 9]
+    assert simhash.one_of_each_group(df.limit(0)).count() == 0

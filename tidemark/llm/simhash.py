@@ -159,6 +159,15 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return first.unionByName(more.select("src", "dst").distinct())
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``(fp, comp, component_id)``: the group of each fingerprint of a durable ``(doc_id, fp)``; ``comp`` names the group, ids or not."""
+    prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    comp = durable(connected_components(fingerprint_links(prints))).withColumnRenamed("node", "fp")
+    named = prints.join(comp, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("comp"))
+    root = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    return named.join(root, "comp").select("fp", "comp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp, fingerprint, component_id)``, one row per input row.
 
@@ -170,25 +179,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated; other columns are ignored; an empty table gives an empty result.
     """
     rows = durable(fingerprints(docs, id_col, text_col))
-    prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    comp = durable(connected_components(fingerprint_links(prints))).withColumnRenamed("node", "fp")
-    named = prints.join(comp, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("comp"))
-    root = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    classes = named.join(root, "comp").select("fp", "component_id")
+    classes = _grouped(rows).select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` of which one per near-duplicate group stays: the one with the least id.
 
-    Among rows that share the least id, the one with the least text hash stays; rows equal in both
-    are one row. A group whose ids are all null keeps one row, by text hash.
+    Among a group's rows that share the least id, the one with the least text hash stays; rows equal
+    in both are one row. A group whose ids are all null keeps one row, by text hash. Groups are told
+    apart by their fingerprints, so documents of different groups may share an id, or have none.
     """
-    groups = near_duplicates(docs, id_col, text_col).select("doc_id", "fp", "component_id").distinct()
-    # a group's keeper is chosen by partial aggregation over (id, text hash), so a group of any size is one row per task
-    keyed = docs.withColumn("__fp", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    keepers = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"))
-    picked = keyed.join(keepers.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    least = picked.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min("__fp").alias("__h"))
-    picked = picked.join(least, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__h")))
-    return picked.dropDuplicates([id_col, "__fp"]).select(*docs.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "fp": fp})
+
+    # null and empty texts differ in nothing here
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias("h"), F.col(text_col).alias("text"))
+    rows = durable(kept.mapInPandas(run, "doc_id long, h long, fp long"))
+    # a group's keeper is chosen by partial aggregation, so a group of any size is one row per task
+    keepers = rows.join(_grouped(rows.select("doc_id", "fp")).select("fp", "comp"), "fp").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "h")).alias("k"))
+    # equal texts are in one group, so id and text hash name the keeper of one group only
+    keepers = durable(keepers.select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h")))
+    keyed = docs.withColumn("__key", F.col(id_col).cast("long")).withColumn("__fp", text_hash)
+    picked = keyed.join(keepers, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__h")), "left_semi")
+    return picked.dropDuplicates(["__key", "__fp"]).select(*docs.columns)
