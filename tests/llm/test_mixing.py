@@ -60,3 +60,20 @@ def test_positions_follow_the_schedule(spark):
     assert [r.position for r in got] == sorted(r.position for r in got)
     # a schedule that falls from 1.5 to 0.5 has spent 1.25 / 2 of its integral by half time
     assert abs(early.count("s") - 250) <= 1 and abs(early.count("t") - 150) <= 1
+
+
+def test_copies_follow_the_schedule(spark):
+    rows = [(i, "a b c", "s") for i in range(400)] + [(1000 + i, "a b c", "t") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"share": 1.5, "weights": (1.0, 1.0), "schedules": ((1.5, 0.5), (0.5, 1.5))}
+    got = mixing.mix(df, **options).collect()
+    for r in got:
+        assert len(r.positions) == r.copies and r.positions[0] == r.position and r.positions == sorted(set(r.positions))
+    for source, a, b in (("s", 1.5, 0.5), ("t", 0.5, 1.5)):
+        at = sorted(p for r in got if r.source == source for p in r.positions)
+        assert len(at) == 600
+        for x in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99):  # copies before a time, by the schedule's integral
+            assert abs(sum(p < x for p in at) - 600 * (a * x + (b - a) * x * x / 2)) <= 1
+    order = [r.doc_id for r in mixing.repeat_in_order(df, **options).collect()]
+    assert len(order) == 1200 and abs(sum(d < 1000 for d in order[:600]) - 375) <= 2
+    assert all(d != e for d, e in zip(order, order[1:]))

@@ -1,9 +1,9 @@
 """Operator 4: mixing sources to target weights, as a time-varying curriculum.
 
 Each source has a weight schedule over training time. Its integral, scaled to the source's target,
-is the source's cumulative demand of tokens; a document stands at a known place in its source's
-token sequence, and inverting the demand there gives its training position. Sorting by range over
-the positions yields the training order.
+is the source's cumulative demand of tokens; each copy of a document stands at a known place in its
+source's token sequence, pass after pass, and inverting the demand there gives its training position.
+Sorting copies by range over the positions yields the training order.
 """
 
 from __future__ import annotations
@@ -57,15 +57,16 @@ def position(share: Column, start: Column, end: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, schedules=SCHEDULES, keep: list[str] | None = None) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, start, taken, copies, position)``, one row per input row.
+    """``(doc_id, source, size, source_size, target, start, taken, copies, position, positions)``, one row per input row.
 
     ``size`` counts ``[^\\x20\\x09-\\x0D]+`` in the whole text (null: 0). Within a source documents
     follow one another in an order by hash of id and text; the mix runs over that sequence until the
     target is reached, again from the front if need be. ``start`` is the document's place in it,
     ``taken`` the words that the mix takes of it (repeats counted; the words of one document per
     source may be taken in part, so that a source's sum is its target to within a word), ``copies``
-    the nearest whole number of copies, and ``position`` the training position of the first (null if
-    none is reached). Empty documents take 0 words. A null source is a source of its own; a source
+    the nearest whole number of copies, ``positions`` the training position of each pass that reaches
+    the document (pass k at ``start`` + k ``source_size``, while below the target; null if none is),
+    and ``position`` the first of them. Empty documents take 0 words. A null source is a source of its own; a source
     whose texts are all empty has target 0. Equal rows get neighbouring places. ``keep`` names
     further input columns to carry along; an empty table gives an empty result. Nothing is random, so
     reruns agree.
@@ -106,17 +107,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rest = goal - full * F.col("source_size")
     taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     pair = F.element_at(F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in schedules]), (F.col("rank") % len(schedules) + 1).cast("int"))
-    reached = F.when((F.col("target") > 0) & (start < goal), position(start / F.col("target"), pair["a"], pair["b"]))
+    out = out.withColumn("start", start).withColumn("pair", pair)
+    passes = F.sequence(F.lit(0).cast("long"), F.floor((goal - F.col("start") - 1) / F.col("source_size")))
+    places = F.transform(passes, lambda k: position((F.col("start") + k * F.col("source_size")) / F.col("target"), F.col("pair.a"), F.col("pair.b")))
+    out = out.withColumn("positions", F.when((F.col("target") > 0) & (F.col("start") < goal), places))
     return out.select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        start.alias("start"),
+        "start",
         taken.cast("long").alias("taken"),
         F.when(F.col("size") > 0, F.floor(taken / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int").alias("copies"),
-        reached.alias("position"),
+        F.get("positions", F.lit(0)).alias("position"),
+        "positions",
         *[F.col(f"kept_{c}") for c in keep],
     )
 
@@ -129,9 +134,11 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 def repeat_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` as the mix takes it: each row as often as its nearest whole number of copies, in training order.
 
-    Rows that the mix never reaches go; rows without words have no size to weigh and stay once, at the end.
+    Each copy stands at its own pass's position, so the repeats of a row are apart. Rows that the mix
+    never reaches go; rows without words have no size to weigh and stay once, at their first position.
     """
     mixed = mix(docs.withColumn("__row", F.struct(*docs.columns)), id_col, text_col, source_col, keep=["__row"], **options)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
     taken = mixed.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    return taken.orderBy(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), "copy").select("kept___row.*")
+    taken = taken.withColumn("at", F.get("positions", F.col("copy") - 1))
+    return taken.orderBy(F.col("at").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), "copy").select("kept___row.*")

@@ -40,7 +40,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import in_training_order, mix
 
     mixed = in_training_order(mix(_table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "positions")
 
 
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
