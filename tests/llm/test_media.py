@@ -60,3 +60,20 @@ def test_hysteresis():
             want[-1][1] = k
         state = new
     assert media.spans(e).tolist() == want
+
+
+def test_all_frames_of_all_spans_are_stored():
+    rng = np.random.default_rng(3)
+    for n in (1, 64, 5_000, 200_000):
+        loud = rng.integers(0, 256, n, dtype=np.uint8)
+        loud[n // 3 : n // 2] = 128
+        _, stored, feature = media.features(media.to_wav(loud.tobytes()))
+        mel = media.log_mel(media.resample((loud.astype(np.float64) - 128) / 128))
+        found = media.spans(mel.mean(axis=1, dtype=np.float64))
+        t = media.from_ipc(stored)
+        tensors = t["log_mel"].combine_chunks().storage.flatten().to_numpy().reshape(-1, media.SLOTS, media.MELS)
+        valid = t["frames"].to_pylist()
+        got = [x[:k] for x, k in zip(tensors, valid)]
+        want = [mel[a:b] for a, b in found]
+        assert np.array_equal(np.concatenate([mel[:0], *got]), np.concatenate([mel[:0], *want])) and f"active={len(found)};spans={len(valid)};" in feature
+        assert all(not x[k:].any() for x, k in zip(tensors, valid))

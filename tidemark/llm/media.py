@@ -2,9 +2,9 @@
 
 Bytes become the samples of an 8-bit mono WAV file in a binary column. Features are computed from
 the file that is read back: the signal is resampled by a polyphase filter, overlapping frames go
-through a mel filterbank, and a frame energy with hysteresis cuts out active spans. Every span gives
-a tensor of fixed shape, and a row's tensors are stored as an Arrow IPC stream whose column is of
-Arrow's fixed-shape tensor type, beside the spans' times.
+through a mel filterbank, and a frame energy with hysteresis cuts out active spans. Every span is cut into consecutive windows, each a time span and a tensor of
+fixed shape, so that all its frames are kept; a row's tensors are stored as an Arrow IPC stream whose
+column is of Arrow's fixed-shape tensor type, beside the windows' times.
 """
 
 from __future__ import annotations
@@ -114,20 +114,30 @@ def spans(energy: np.ndarray) -> np.ndarray:
 
 
 _TENSOR = pa.fixed_shape_tensor(pa.float32(), [SLOTS, MELS])
-_SCHEMA = pa.schema([("start_us", pa.int64()), ("end_us", pa.int64()), ("log_mel", _TENSOR)])
+_SCHEMA = pa.schema([("start_us", pa.int64()), ("end_us", pa.int64()), ("log_mel", _TENSOR), ("frames", pa.int32())])
 
 
-def span_tensors(mel: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Spans x SLOTS x MELS: frames of each span, picked at SLOTS even places."""
-    place = found[:, :1] + (found[:, 1:] - found[:, :1]) * (np.arange(SLOTS) + 0.5) / SLOTS
-    return mel[np.floor(place).astype(np.int64)]
+def windows(found: np.ndarray) -> np.ndarray:
+    """(first, past last) frames of consecutive windows of SLOTS frames over each span; a span's last may be shorter."""
+    count = -(-(found[:, 1] - found[:, 0]) // SLOTS)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    first = np.repeat(found[:, 0], count) + nth * SLOTS
+    return np.stack([first, np.minimum(first + SLOTS, np.repeat(found[:, 1], count))], axis=1)
+
+
+def span_tensors(mel: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Windows x SLOTS x MELS: all frames of each window; zeros after a window's end."""
+    place = cut[:, :1] + np.arange(SLOTS)
+    out = mel[np.minimum(place, len(mel) - 1)]
+    out[place >= cut[:, 1:]] = 0
+    return out
 
 
 def to_ipc(found: np.ndarray, tensors: np.ndarray) -> bytes:
-    """An Arrow IPC stream of (start_us, end_us, fixed-shape tensor), one row per span."""
+    """An Arrow IPC stream of (start_us, end_us, fixed-shape tensor, frames in it), one row per window."""
     us = 1e6 * DOWN / UP / RATE
     storage = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), SLOTS * MELS)
-    columns = [pa.array((found[:, 0] * HOP * us).astype(np.int64)), pa.array((((found[:, 1] - 1) * HOP + FRAME) * us).astype(np.int64)), pa.ExtensionArray.from_storage(_TENSOR, storage)]
+    columns = [pa.array((found[:, 0] * HOP * us).astype(np.int64)), pa.array((((found[:, 1] - 1) * HOP + FRAME) * us).astype(np.int64)), pa.ExtensionArray.from_storage(_TENSOR, storage), pa.array((found[:, 1] - found[:, 0]).astype(np.int32))]
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, _SCHEMA) as w:
         w.write_batch(pa.record_batch(columns, schema=_SCHEMA))
@@ -144,10 +154,11 @@ def features(stored: bytes) -> tuple[bytes, bytes, str]:
     y = resample((np.frombuffer(samples, dtype=np.uint8).astype(np.float64) - 128) / 128)
     mel = log_mel(y)
     energy = mel.mean(axis=1, dtype=np.float64)
-    found = spans(energy)
+    active = spans(energy)
+    found = windows(active)
     tensors = span_tensors(mel, found)
     shape = hashlib.sha256(np.round(tensors, 3).tobytes()).hexdigest()[:16]
-    return samples, to_ipc(found, tensors), f"frames={len(mel)};spans={len(found)};energy={energy.mean():.3f};tensors={shape}"
+    return samples, to_ipc(found, tensors), f"frames={len(mel)};active={len(active)};spans={len(found)};energy={energy.mean():.3f};tensors={shape}"
 
 
 def to_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,8 +179,9 @@ def audio_features(audio: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32, tensors, feature)``.
 
     One row per row of ``to_audio``; everything is computed from the stored file. ``tensors`` is an
-    Arrow IPC stream (``from_ipc``) with one fixed-shape tensor and time span per active span,
-    ``feature`` a summary. A null or empty text is 64 zero bytes, one silent frame and no span; equal
+    Arrow IPC stream (``from_ipc``) with one fixed-shape tensor, time span and number of valid frames
+    per window of an active span, ``feature`` a summary (``active`` counts the active spans, ``spans``
+    the time spans stored). A null or empty text is 64 zero bytes, one silent frame and no span; equal
     texts give equal values; ids may repeat or be null; other columns are ignored; an empty table
     gives an empty result. Rows are independent: no shuffle, and a long signal is framed in pieces.
     """
