@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +21,64 @@ def ascii_lower(c):
     return F.translate(c, _UPPER, _LOWER)
 
 
+#: Arrow types of the columns that ``map_texts`` makes.
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "byte": pa.int8()}
+
+
+def slices(texts: list, characters: int, rows: int = 4000) -> Iterator[slice]:
+    """Slices of whole texts of about so many characters, and so many rows at most; one text at least."""
+    a = held = 0
+    for k, t in enumerate(texts):
+        n = len(t) + 1 if t else 1
+        if k > a and (held + n > characters or k - a >= rows):
+            yield slice(a, k)
+            a, held = k, 0
+        held += n
+    if a < len(texts):
+        yield slice(a, len(texts))
+
+
+def map_texts(df: DataFrame, make: Callable[[list], dict], new: str, text: str = "text", characters: int = 1 << 20, rows: int = 4000) -> DataFrame:
+    """The columns of ``df`` but the text (or bytes) ``text``, and the columns ``new`` that ``make(texts)`` gives.
+
+    ``make`` gets whole texts, about ``characters`` of them in all, so what is held does not depend on
+    the size of Arrow's batches. The other columns pass through as Arrow arrays: large and null ids
+    keep their values.
+    """
+    passed = [f for f in df.schema.fields if f.name != text]
+    made = [tuple(x.split()) for x in new.split(", ")]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in passed), *(" ".join(x) for x in made)])
+    names, types = [*(f.name for f in passed), *(n for n, _ in made)], [_TYPES[t] for _, t in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(text).to_pylist()
+            for at in slices(texts, characters, rows):
+                found = make(texts[at])
+                kept = [b.column(f.name).slice(at.start, at.stop - at.start) for f in passed]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(found[n], t) for (n, _), t in zip(made, types, strict=True))], names)
+
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests in local mode) a temporary folder takes its place.
+    Only where that is unset in local mode (tests) a temporary folder takes its place, one for the
+    session; on a cluster an unset folder is an error, since no local folder is shared there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        _local[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
+_local: dict[str, str] = {}
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that ``durable`` wrote."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,42 +1,49 @@
 """Operator 7: language-model scoring with a log-frequency Bloom filter.
 
-All n-grams (words and pairs) of the training documents are counted by distributed aggregation.
-Their counts are quantised on a logarithmic scale, and an n-gram of level q is entered q times into
-a Bloom filter, once with each of 1 to q; what is missing at level q + 1 has level q, so a count is
-read back by repeated membership probes, and a false positive can only raise it a step. The filter
-has a fixed largest size and is broadcast; workers score texts against it.
-
-The model interpolates pairs with words. A pair seen at least twice has its count less a discount;
-what the discount and the pairs seen once leave over is the history's back-off weight, which is held
-in the same filter as a level of its own. So the probabilities after a history add up to one, up to
-quantisation.
-
-The base score needs exact word counts. They are kept as a table by 64-bit word hash. If it has at
-most ``BROADCAST_WORDS`` rows it is broadcast, else each document's distinct words are joined with
-it; both ways give the same result.
+All n-grams (words and pairs, those seen once included) of the training documents are counted:
+every task adds up what it holds and sends sorted keys and counts, packed by bucket of the key, so
+one shuffle brings each n-gram's counts together. A bucket's counts are quantised on a logarithmic
+scale and an n-gram of level q is entered q times into the bucket's Bloom filter, once with each of
+1 to q; what is missing at level q + 1 has level q, so a count is read back by repeated membership
+probes, and a false positive can only raise it a step. Buckets are as many as the text asks for and
+each filter is as long as its entries ask for, so the filter grows with the corpus and leaves no
+n-gram out. Filter and exact word counts are broadcast while they are small (``BROADCAST_BYTES``);
+beyond that the keys of the documents are sent to the buckets and their levels come back. Both ways
+give the same scores.
+
+The model is a pair model with a Dirichlet prior: P(w | h) = (c(h, w) + PRIOR p(w)) / (c(h) + PRIOR),
+p the smoothed word frequency. A history is followed by one token each time it occurs, so the
+probabilities after it add up to one, up to quantisation and false positives.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, durable
+from .common import durable, map_texts, slices
 
-#: Largest size of the filter, and of the word table that is broadcast (16 bytes a row).
-FILTER_BYTES, BROADCAST_WORDS = 64 << 20, 4_000_000
-BLOCKS, PROBES, DISCOUNT, LEAST_PAIR = 256, 4, 0.75, 2
-#: Factor between levels of counts, and of back-off weights.
-STEP, WEIGHT_STEP = 1.15, 1.2
-END, START = b"\n", b"\n\n"  # no words: they hold white space
-_ROWS, _HELD = 1000, 3_000_000
+#: Largest filter and word table that are broadcast, and how much of them one broadcast holds.
+BROADCAST_BYTES, PART_BYTES = 192 << 20, 8 << 20
+#: Bytes of text per bucket of n-grams; bits of the filter per entry; the prior's weight in tokens.
+BUCKET_BYTES, ENTRY_BITS, PRIOR = 2 << 20, 7.0, 100.0
+#: Factor between levels of counts; raw keys that a counting task holds; bytes of text that are cut into words at once.
+STEP, HELD, PIECE = 1.3, 6_000_000, 1 << 18
+#: Tokens of a chunk of documents whose keys are sent to the buckets.
+CHUNK_TOKENS = 1_000_000
 U = np.uint64
+_GOLD = U(0x9E3779B97F4A7C15)
+#: Hashes of the end of a text, and of what stands before its first word.
+END, START = U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B)
+_BASE = 0x5851F42D4C957F2D
+_LETTERS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def levels() -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +56,7 @@ def levels() -> tuple[np.ndarray, np.ndarray]:
     return low, value
 
 
-_MOST = len(levels()[0])
+_LOW, _VALUE = levels()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -60,289 +67,366 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Key of a pair of word hashes: 32 bits of the history above 32 bits of the pair."""
-    return (mix(left + U(1)) & U(0xFFFFFFFF00000000)) | (mix(left * U(0x9E3779B97F4A7C15) + mix(right)) >> U(32))
+    """Key of a pair of word hashes."""
+    return mix(left * _GOLD + right)
 
 
-def weight_key(left: np.ndarray) -> np.ndarray:
-    """Key of a history's back-off weight, from the history's half of a pair key."""
-    return mix((left >> U(32)) + U(0x5851F42D4C957F2D))
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each key, rising with the key."""
+    return ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-class Tokens:
-    """A few hundred texts as ids of their distinct tokens."""
-
-    def __init__(self, texts):
-        ids: defaultdict = defaultdict()
-        ids.default_factory = ids.__len__
-        ids[START], ids[END]
-        flat, count = [], []
-        for t in texts:
-            words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
-            flat += map(ids.__getitem__, words)
-            flat.append(1)
-            count.append(len(words) + 1)
-        self.ids = np.array(flat, dtype=np.int64)
-        self.count = np.array(count, dtype=np.int64)
-        self.at = np.concatenate(([0], np.cumsum(self.count)[:-1])).astype(np.int64)
-        self.hash = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), np.uint64, len(ids))
-        left = np.concatenate(([0], self.ids[:-1])) if len(self.ids) else self.ids
-        left[self.at] = 0
-        self.left = left
-
-    def pairs(self, **kw):
-        return np.unique(self.left << 32 | self.ids, **kw)
-
-
-def _parts(texts: pd.Series) -> Iterator:
-    for i in range(0, len(texts), _ROWS):
-        yield texts.iloc[i : i + _ROWS]
-
-
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """``(kind, key, n)`` over the texts of ``docs(text)``: kind 1 words by hash, 2 pairs by ``pair_key``.
-
-    Each task adds up what it holds, in bounded memory, before anything is shuffled.
-    """
-
-    def merged(held):
-        key, n = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-        uniq, inv = np.unique(key, return_inverse=True)
-        return uniq, np.bincount(inv, weights=n).astype(np.int64)
+_power: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
-    def out(kind, held):
-        key, n = merged(held)
-        for i in range(0, len(key), 200_000):
-            yield pd.DataFrame({"kind": np.int8(kind), "key": key[i : i + 200_000].view(np.int64), "n": n[i : i + 200_000]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {1: [], 2: []}
-        size = 0
-        for b in batches:
-            for part in _parts(b["text"]):
-                t = Tokens(part)
-                word_n = np.bincount(t.ids, minlength=len(t.hash))
-                seen = np.flatnonzero(word_n)
-                held[1].append((t.hash[seen], word_n[seen]))
-                pairs, n = t.pairs(return_counts=True)
-                held[2].append((pair_key(t.hash[pairs >> 32], t.hash[pairs & 0xFFFFFFFF]), n))
-                size += len(seen) + len(pairs)
-                if size > _HELD:
-                    for kind in held:
-                        held[kind] = [merged(held[kind])]
-                    size = sum(len(h[0][0]) for h in held.values())
-                    if size > _HELD // 2:
-                        for kind in held:
-                            yield from out(kind, held[kind])
-                            held[kind] = []
-                        size = 0
-        for kind in held:
-            if held[kind]:
-                yield from out(kind, held[kind])
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse, both modulo 2^64."""
+    if len(_power[0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            row = np.full(size, base, dtype=np.uint64)
+            row[0] = 1
+            _power[k] = np.multiply.accumulate(row)
+    return _power
 
-    found = docs.select("text").mapInPandas(run, "kind byte, key long, n long")
-    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
+class Tokens:
+    """The tokens of some texts as 64-bit hashes: polynomials over the bytes of lower-cased words, then the end."""
 
-class Filter:
-    """A Bloom filter of equal blocks; all probes of a key stay in its block."""
-
-    def __init__(self, blocks: np.ndarray):
-        self.bits = blocks  # BLOCKS x bytes
+    def __init__(self, texts):
+        raw = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+        data = np.frombuffer(b" ".join([b"", *raw, b""]), dtype=np.uint8)
+        space = _SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # starts and ends of words, in turn
+        start, end = edge[::2], edge[1::2]
+        up, down = _powers(len(data) + 1)
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_LETTERS[data] * up[: len(data)], dtype=np.uint64)))
+        words = mix((total[end] - total[start]) * down[start])
+        doc_end = np.cumsum(np.array([len(r) for r in raw], dtype=np.int64) + 1)
+        doc = np.searchsorted(doc_end, start, side="left")
+        self.count = np.bincount(doc, minlength=len(raw)).astype(np.int64) + 1
+        self.at = np.cumsum(self.count) - self.count
+        self.hash = np.full(len(words) + len(raw), END, dtype=np.uint64)
+        self.hash[np.arange(len(words)) + doc] = words
+
+    def left(self) -> np.ndarray:
+        """Hash of what stands before each token."""
+        out = np.empty_like(self.hash)
+        out[1:] = self.hash[:-1]
+        out[self.at] = START
+        return out
 
-    @staticmethod
-    def places(key: np.ndarray, level, n_bits: int) -> np.ndarray:
-        h = mix(key + np.asarray(level, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-        one, two = h & U(0xFFFFFFFF), (h >> U(32)) | U(1)
-        return ((one[:, None] + two[:, None] * np.arange(PROBES, dtype=np.uint64)) & U(0xFFFFFFFF)) % U(n_bits)
+    def pairs(self) -> np.ndarray:
+        return pair_key(self.left(), self.hash)
 
-    @staticmethod
-    def block(key: np.ndarray) -> np.ndarray:
-        return (mix(key ^ U(0xD6E8FEB86659FD93)) >> U(56)).astype(np.int64) % BLOCKS
 
-    def level(self, key: np.ndarray) -> np.ndarray:
-        """Level of each key, by probes at 1, 2, ... until one fails."""
-        n_bits = self.bits.shape[1] * 8
-        flat = self.bits.reshape(-1)
-        base = self.block(key).astype(np.uint64) * U(self.bits.shape[1])
-        out, live, at = np.zeros(len(key), dtype=np.int64), np.arange(len(key)), 1
-        while len(live) and at <= _MOST:  # a block that is full would never fail
-            p = self.places(key[live], at, n_bits)
-            hit = (flat[(base[live, None] + (p >> U(3))).astype(np.int64)] >> (p & U(7)).astype(np.uint8) & 1).all(axis=1)
-            live = live[hit]
-            out[live] = at
-            at += 1
-        return out
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n[order], first)
 
 
-def build_filter(table: DataFrame, filter_bytes: int = FILTER_BYTES) -> tuple[Filter, int, int]:
-    """(filter, N, V) from a durable ``(kind, key, n)`` with back-off weights (``with_weights``).
+def count_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, kind, keys, n)`` over the texts of ``docs(text)``: kind 1 words, 2 pairs, keys and counts packed.
 
-    If not everything fits into ``filter_bytes`` at half load, the rarest n-grams are left to the
-    back-off, words and pairs alike, by raising the least level that is entered.
+    Each task adds up what it holds, in bounded memory, before anything is shuffled; within what it
+    holds a key occurs once, so that no key is more than a small part of the rows.
     """
-    low, _ = levels()
-    total, vocabulary = table.where("kind = 1").agg(F.sum("n"), F.count("*")).first()
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def out(held: dict[int, list]) -> Iterator[pd.DataFrame]:
+        for kind in held:
+            if not held[kind]:
+                continue
+            key, n = np.unique(np.concatenate(held[kind]), return_counts=True)
+            held[kind] = []
+            n = n.astype("<u4")
+            cut = np.flatnonzero(np.diff(bucket_of(key, buckets))) + 1
+            for some in np.array_split(np.arange(len(cut) + 1), max(1, len(key) * 12 >> 22)):
+                ends = [0, *cut.tolist(), len(key)]
+                of = [(ends[k], ends[k + 1]) for k in some.tolist()]
+                yield pd.DataFrame(
+                    {
+                        "bucket": bucket_of(key[[a for a, _ in of]], buckets),
+                        "kind": np.int8(kind),
+                        "keys": [key[a:b].astype("<u8").tobytes() for a, b in of],
+                        "n": [n[a:b].tobytes() for a, b in of],
+                    }
+                )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {1: [], 2: []}
+        size = 0
         for b in batches:
-            key = b["key"].to_numpy(np.int64)
-            level = np.searchsorted(low, b["n"].to_numpy(np.int64), side="right").astype(np.int32)
-            yield pd.DataFrame({"kind": b["kind"], "block": Filter.block(key.view(np.uint64)).astype(np.int32), "key": key, "level": level})
-
-    entries = durable(table.select("kind", "key", "n").mapInPandas(place, "kind byte, block int, key long, level int"), keep=False)
-    sizes = {(r["kind"], r["level"]): r["count"] for r in entries.groupBy("kind", "level").count().collect()}
-    room, least = lambda q: sum(n * at for (_, at), n in sizes.items() if at > q) * PROBES * 1.4427, 0
-    while room(least) > filter_bytes * 8:
-        least += 1
-    n_bytes = min(filter_bytes, max(BLOCKS * 64, int(room(least) * 1.2 / 8) + 1)) // BLOCKS
-
-    def fill(batch: pd.DataFrame) -> pd.DataFrame:
-        key, level = batch["key"].to_numpy(np.int64).view(np.uint64), batch["level"].to_numpy(np.int64)
-        bits = np.zeros(n_bytes * 8, dtype=bool)
-        for at in range(1, int(level.max()) + 1):
-            key, level = key[level >= at], level[level >= at]
-            bits[Filter.places(key, at, n_bytes * 8).astype(np.int64)] = True
-        return pd.DataFrame({"block": [int(batch["block"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    # a block's group is bounded: entries that fit into the filter, dealt over BLOCKS by hash
-    chosen = entries.where(F.col("level") > least).select("block", "key", "level")
-    blocks = np.zeros((BLOCKS, n_bytes), dtype=np.uint8)
-    for r in chosen.groupBy("block").applyInPandas(fill, "block int, bits binary").collect():
-        blocks[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    drop_table(table.sparkSession, entries._tidemark_path)
-    return Filter(blocks), int(total or 0), int(vocabulary)
-
-
-def word_counts(counts: DataFrame) -> DataFrame:
-    return counts.where("kind = 1").select("key", "n")
-
-
-def with_weights(counts: DataFrame) -> DataFrame:
-    """``counts`` and, as kind 3, each history's back-off weight as a level (in ``n``, as a count of that level).
-
-    The weight is what the discounted pairs leave of the history's occurrences; histories without
-    pairs that are kept have weight one and need no entry.
+            texts = b["text"].tolist()
+            for at in slices(texts, PIECE):
+                t = Tokens(texts[at])
+                held[1].append(t.hash)
+                held[2].append(t.pairs())
+                size += 2 * len(t.hash)
+                if size > HELD:
+                    yield from out(held)
+                    size = 0
+        yield from out(held)
+
+    return docs.select("text").mapInPandas(run, "bucket long, kind byte, keys binary, n binary")
+
+
+def places(key: np.ndarray, level: int, size) -> tuple[np.ndarray, np.ndarray]:
+    """(word of the bucket's filter, bits in it) of keys at one level; all bits of an entry lie in one word."""
+    h = mix(key + U(level * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
+    bits = (U(1) << (h & U(63))) | (U(1) << (h >> U(6) & U(63))) | (U(1) << (h >> U(12) & U(63))) | (U(1) << (h >> U(18) & U(63)))
+    return ((h >> U(32)) * size >> U(32)).astype(np.int64), bits
+
+
+def fill(key: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """One bucket's filter, as long as its entries ask for."""
+    size = max(1, int(np.ceil(level.sum() * ENTRY_BITS / 64)))
+    words = np.zeros(size, dtype=np.uint64)
+    for at in range(1, int(level.max(initial=0)) + 1):
+        key, level = key[level >= at], level[level >= at]
+        where, bits = places(key, at, U(size))
+        np.bitwise_or.at(words, where, bits)
+    return words
+
+
+def build_model(docs: DataFrame) -> DataFrame:
+    """``(bucket, buckets, filter, words, counts, total, distinct)`` from ``docs(text)``, one row per bucket that has n-grams.
+
+    ``filter`` packs the bucket's filter, ``words`` and ``counts`` its words' hashes in order and
+    their exact counts; ``total`` and ``distinct`` add up over the rows to N and V. Durable.
     """
-    low, _ = levels()
-    pairs = counts.where("kind = 2")
-    kept = F.when(F.col("n") >= LEAST_PAIR, F.col("n") - DISCOUNT).otherwise(0.0)
-    per = pairs.groupBy(F.shiftrightunsigned("key", 32).alias("h")).agg(F.sum("n").alias("all"), F.sum(kept).alias("kept")).where("kept > 0")
-    steps = F.greatest(F.lit(1), F.round(-F.log(F.greatest((F.col("all") - F.col("kept")) / F.col("all"), F.lit(1e-4))) / float(np.log(WEIGHT_STEP)))).cast("int")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = min(1 << 31, max(1, -(-size // BUCKET_BYTES)))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = {"bucket": [int(pdf["bucket"].iloc[0])], "buckets": [buckets]}
+        keys, counts = {}, {}
+        for kind, part in pdf.groupby("kind"):
+            keys[kind], counts[kind] = _summed([np.frombuffer(k, dtype="<u8") for k in part["keys"]], [np.frombuffer(n, dtype="<u4") for n in part["n"]])
+        none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        words, n = keys.get(1, none[0]), counts.get(1, none[1])
+        key = np.concatenate([words, keys.get(2, none[0])])
+        level = np.searchsorted(_LOW, np.concatenate([n, counts.get(2, none[1])]), side="right")
+        row |= {"filter": [fill(key, level).astype("<u8").tobytes()], "words": [words.astype("<u8").tobytes()], "counts": [n.astype("<i8").tobytes()]}
+        return pd.DataFrame(row | {"total": [int(n.sum())], "distinct": [len(n)]})
+
+    return durable(count_ngrams(docs, buckets).groupBy("bucket").applyInPandas(build, "bucket long, buckets long, filter binary, words binary, counts binary, total long, distinct long"))
+
+
+class Part:
+    """Some neighbouring buckets: their filters end to end, and their words in order of hash."""
+
+    def __init__(self, rows: list):
+        self.first = rows[0]["bucket"]
+        self.count = rows[-1]["bucket"] - self.first + 1
+        self.buckets = rows[0]["buckets"]
+        parts = [np.frombuffer(r["filter"], dtype="<u8") for r in rows]
+        self.size = np.zeros(self.count, dtype=np.uint64)  # a bucket without n-grams has no filter
+        self.size[[r["bucket"] - self.first for r in rows]] = [len(p) for p in parts]
+        self.base = (np.cumsum(self.size) - self.size).astype(np.int64)
+        self.bits = np.concatenate(parts)
+        self.words = np.concatenate([np.frombuffer(r["words"], dtype="<u8") for r in rows])
+        n = np.concatenate([np.frombuffer(r["counts"], dtype="<i8") for r in rows])
+        self.counts = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
 
-    def key(h: pd.Series) -> pd.Series:
-        return pd.Series(weight_key(h.to_numpy(np.int64).view(np.uint64) << U(32)).view(np.int64))
-
-    count = F.element_at(F.array(*[F.lit(int(x)) for x in low]), steps)
-    extra = per.select(F.lit(3).cast("byte").alias("kind"), F.pandas_udf(key, "long")("h").alias("key"), count.alias("n"))
-    return counts.where(f"kind = 1 or n >= {LEAST_PAIR}").unionByName(extra)
-
-
-def _sorted_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts): rows reach the driver as packed bytes, 16 a word."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"k": [b["key"].to_numpy(np.int64).tobytes()], "n": [b["n"].to_numpy(np.int64).tobytes()]})
+    def level(self, key: np.ndarray) -> np.ndarray:
+        """Level of each key of these buckets, by probes at 1, 2, ... until one fails."""
+        bucket = bucket_of(key, self.buckets) - self.first
+        base, size = self.base[bucket], self.size[bucket]
+        out, at = np.zeros(len(key), dtype=np.uint8), 1
+        live = np.flatnonzero(size)
+        key, base, size = key[live], base[live], size[live]
+        while len(live) and at <= len(_LOW):  # a filter that is full would never fail
+            where, bits = places(key, at, size)
+            hit = np.flatnonzero(self.bits[base + where] & bits == bits)
+            live, key, base, size = live[hit], key[hit], base[hit], size[hit]
+            out[live] = at
+            at += 1
+        return out
 
-    rows = words.mapInPandas(pack, "k binary, n binary").collect()
-    key, n = (np.frombuffer(b"".join(r[c] for r in rows), dtype=np.int64) for c in ("k", "n"))
-    order = np.argsort(key)
-    return key[order], n[order]
+    def exact(self, key: np.ndarray) -> np.ndarray:
+        """Exact count of each word."""
+        if not len(self.words):
+            return np.zeros(len(key), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, key), len(self.words) - 1)
+        return np.where(self.words[at] == key, self.counts[at], 0).astype(np.int64)
+
+
+def _joined(parts: list[Part]) -> Part:
+    """Parts that follow one another, as one."""
+    one = object.__new__(Part)
+    one.first, one.buckets = 0, parts[0].buckets
+    one.count = parts[-1].first + parts[-1].count
+    one.size = np.zeros(one.count, dtype=np.uint64)
+    for p in parts:
+        one.size[p.first : p.first + p.count] = p.size
+    one.base = (np.cumsum(one.size) - one.size).astype(np.int64)
+    wide = any(p.counts.dtype == np.int64 for p in parts)
+    one.bits, one.words = (np.concatenate([getattr(p, c) for p in parts]) for c in ("bits", "words"))
+    one.counts = np.concatenate([p.counts.astype(np.int64) if wide else p.counts for p in parts])
+    return one
 
 
 class Scorer:
-    """Scores texts with a filter and the totals of the training tokens."""
+    """Scores texts by the levels of their n-grams and the totals of the training tokens."""
 
-    def __init__(self, filter_: Filter, total: int, vocabulary: int):
-        self.filter, self.total, self.vocabulary = filter_, total, vocabulary
-        self.value = levels()[1]
+    def __init__(self, total: int, vocabulary: int):
+        self.total = total
         self.floor = total + 0.1 * (vocabulary + 1)
 
-    def score(self, t: Tokens) -> np.ndarray:
-        """log10 probability of each text."""
+    def rows(self, t: Tokens, which: np.ndarray, exact: np.ndarray, word_level: np.ndarray, pair_level: np.ndarray) -> dict:
+        """Columns of the result for each text; ``which`` numbers each token's word, ``pair_level`` is per token."""
         if not len(t.count):
-            return np.zeros(0)
-        word_n = self.value[self.filter.level(t.hash)]
-        word_p = (word_n + 0.1) / self.floor
-        pairs, where = t.pairs(return_inverse=True)
-        left, right = pairs >> 32, pairs & 0xFFFFFFFF
-        pair_n = self.value[self.filter.level(pair_key(t.hash[left], t.hash[right]))]
-        weight_level = self.filter.level(weight_key(pair_key(t.hash, t.hash)))
-        weight = np.maximum(WEIGHT_STEP ** -weight_level.astype(float), 1e-4)
-        # a history is as frequent as its word; the start of a text is as frequent as its end
-        hist_n = np.maximum(np.where(np.arange(len(t.hash)) == 0, word_n[1], word_n), 1.0)
-        seen = np.minimum(np.maximum(pair_n - DISCOUNT, 0.0) / hist_n[left], 1 - weight[left])
-        logs = np.log10(np.maximum(seen, 0.0) + weight[left] * word_p[right])
-        return np.add.reduceat(logs[where.reshape(-1)], t.at)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 10, filter_bytes: int = FILTER_BYTES, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+            return {c: np.zeros(0) for c in ("n_tokens", "n_known", "base_score", "score")}
+        p = ((_VALUE[word_level] + 0.1) / self.floor)[which]
+        # a history is as frequent as its word; what stands before a text is as frequent as its end
+        end = which[t.at[0] + t.count[0] - 1]
+        before = np.concatenate(([end], which[:-1]))
+        before[t.at] = end
+        history = _VALUE[word_level][before]
+        logs = np.log10((_VALUE[pair_level] + PRIOR * p) / (np.maximum(history, _VALUE[pair_level]) + PRIOR))
+        return {
+            "n_tokens": t.count,
+            "n_known": np.add.reduceat((exact > 0)[which].astype(np.int64), t.at),
+            "base_score": np.add.reduceat(np.log10(exact + 0.1)[which], t.at) - t.count * np.log10(self.floor),
+            "score": np.add.reduceat(logs, t.at),
+        }
+
+
+_MADE = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_assembled: dict[int, Part] = {}
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per input row.
 
     Training takes the documents whose crc32 of the id as text leaves a remainder other than 0 by
     ``held`` (a null id counts as training: it has no remainder). Texts are whole, null counts as
     empty; A-Z are lower-cased, tokens are the words and one end. ``base_score`` is the log10
-    probability under add-0.1 smoothed word counts, ``score`` under the model, both over all tokens.
-    Repeated rows are trained on and scored as often as they occur; other columns are ignored; an
-    empty table gives an empty result. Words are told apart by 64-bit hash.
+    probability under add-0.1 smoothed exact word counts, ``score`` under the model, both over all
+    tokens. Repeated rows are trained on and scored as often as they occur; other columns are
+    ignored, whatever their names; an empty table gives an empty result. Words are told apart by
+    64-bit hash. One whole text is held at a time, at the least.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % held == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    raw = durable(count_ngrams(rows.where("not held_out")), keep=False)
-    table = durable(with_weights(raw))
-    drop_table(spark, raw._tidemark_path)
-    filter_, total, vocabulary = build_filter(table, filter_bytes)
-    shared = spark.sparkContext.broadcast(Scorer(filter_, total, vocabulary))
-    names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    words = word_counts(table)
-    floor = np.log10(total + 0.1 * (vocabulary + 1))
-    if vocabulary <= broadcast_words:
-        exact = spark.sparkContext.broadcast(_sorted_words(words))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scorer, (keys, counts) = shared.value, exact.value
-            for b in batches:
-                for part in _parts(b["text"]):
-                    t = Tokens(part)
-                    h = t.hash.view(np.int64)
-                    at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                    c = np.where(keys[at] == h, counts[at], 0) if len(keys) else np.zeros(len(h), dtype=np.int64)
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": b["doc_id"].loc[part.index].to_numpy(),
-                            "held_out": b["held_out"].loc[part.index].to_numpy(),
-                            "n_tokens": t.count,
-                            "n_known": np.add.reduceat((c > 0)[t.ids].astype(np.int64), t.at),
-                            "train_tokens": scorer.total,
-                            "base_score": np.add.reduceat((np.log10(c + 0.1))[t.ids], t.at) - t.count * floor,
-                            "score": scorer.score(t),
-                        }
-                    )
-
-        return rows.mapInPandas(run, names)
-
-    def run_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for part in _parts(b["text"]):
-                t = Tokens(part)
-                yield pd.DataFrame({c: b[c].loc[part.index].to_numpy() for c in ("doc_id", "held_out", "row_key")} | {"n_tokens": t.count, "score": shared.value.score(t)})
+    model = build_model(rows.where("not held_out"))
+    size, total, vocabulary = model.agg(F.sum(F.octet_length("filter") + F.octet_length("words") + F.octet_length("counts")), F.sum("total"), F.sum("distinct")).first()
+    scorer = Scorer(total or 0, vocabulary or 0)
+    if (size or 0) > broadcast_bytes:
+        return _score_by_bucket(rows, model, scorer)
+    return _score_by_broadcast(rows, model, scorer, size or 0)
+
+
+def _score_by_broadcast(rows: DataFrame, model: DataFrame, scorer: Scorer, size: int) -> DataFrame:
+    """The whole model, of a size that was checked, goes to every worker, in parts that pass the driver one at a time."""
+    spark = rows.sparkSession
+    count = max(1, -(-size // PART_BYTES))
+    buckets = model.agg(F.max("buckets")).first()[0] or 1
+    shared = []
+    for k in range(count):
+        some = model.where((F.col("bucket") >= k * buckets // count) & (F.col("bucket") < (k + 1) * buckets // count)).collect()
+        if some:
+            shared.append(spark.sparkContext.broadcast(Part(sorted(some, key=lambda r: r["bucket"]))))
+            shared[-1].unpersist()  # the copy in this process; workers fetch their own
+
+    def whole() -> Part | None:
+        if not shared:
+            return None
+        key = shared[0].id if hasattr(shared[0], "id") else id(shared)
+        if key not in _assembled:
+            _assembled.clear()
+            _assembled[key] = _joined([s.value for s in shared])
+            for s in shared:
+                s.__dict__.pop("_value", None)
+        return _assembled[key]
+
+    def make(texts: list) -> dict:
+        part, t = whole(), Tokens(texts)
+        word, which = np.unique(t.hash, return_inverse=True)
+        if part is None:
+            found = scorer.rows(t, which, np.zeros(len(word), np.int64), np.zeros(len(word), np.uint8), np.zeros(len(t.hash), np.uint8))
+        else:
+            found = scorer.rows(t, which, part.exact(word), part.level(word), part.level(t.pairs()))
+        return found | {"train_tokens": np.full(len(texts), scorer.total)}
+
+    return map_texts(rows, make, _MADE, characters=PIECE)
+
+
+def _score_by_bucket(rows: DataFrame, model: DataFrame, scorer: Scorer) -> DataFrame:
+    """The documents' keys go to the buckets, and levels come back.
+
+    Documents are taken in chunks of about ``CHUNK_TOKENS``. A chunk asks for each of its keys once,
+    packed by bucket, so a frequent key costs a bucket one entry per chunk; no text is shuffled, only
+    the hashes of a chunk's tokens.
+    """
+    buckets = model.agg(F.max("buckets")).first()[0]
 
-    def run_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n = TaskContext.get().partitionId() << 32
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for at in slices(texts, 6 * CHUNK_TOKENS, len(texts)):
+                t = Tokens(texts[at])
+                word, which = np.unique(t.hash, return_inverse=True)
+                ids = b.column("doc_id").slice(at.start, at.stop - at.start)
+                row = {
+                    "chunk": n,
+                    "doc_id": ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
+                    "no_id": ids.is_null().to_numpy(zero_copy_only=False).tobytes(),
+                    "held_out": b.column("held_out").slice(at.start, at.stop - at.start).to_numpy(zero_copy_only=False).tobytes(),
+                    "count": t.count.astype("<i8").tobytes(),
+                    "word": word.astype("<u8").tobytes(),
+                    "which": which.astype("<u4").tobytes(),
+                }
+                yield pa.RecordBatch.from_pylist([row])
+                n += 1
+
+    chunks = durable(rows.mapInArrow(cut, "chunk long, doc_id binary, no_id binary, held_out binary, count binary, word binary, which binary"))
+
+    def tokens(r) -> tuple[Tokens, np.ndarray, np.ndarray]:
+        t = object.__new__(Tokens)
+        word, which = np.frombuffer(r["word"], dtype="<u8"), np.frombuffer(r["which"], dtype="<u4").astype(np.int64)
+        t.hash, t.count = word[which], np.frombuffer(r["count"], dtype="<i8")
+        t.at = np.cumsum(t.count) - t.count
+        return t, word, which
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part in _parts(b["text"]):
-                t = Tokens(part)
-                doc = np.repeat(np.arange(len(t.count)), t.count)
-                pairs, n = np.unique(doc << 32 | t.ids, return_counts=True)
-                keys = b["row_key"].loc[part.index].to_numpy()
-                yield pd.DataFrame({"row_key": keys[pairs >> 32], "key": t.hash[pairs & 0xFFFFFFFF].view(np.int64), "m": n})
-
-    # texts are scored once each: equal texts share a key, and their rows join the text's sums
-    keyed = rows.withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    scored = keyed.mapInPandas(run_model, "doc_id long, held_out boolean, row_key long, n_tokens long, score double")
-    texts = keyed.groupBy("row_key").agg(F.first("text").alias("text"))
-    parts = texts.mapInPandas(run_words, "row_key long, key long, m long").join(words, "key", "left")
-    c = F.coalesce("n", F.lit(0))
-    sums = parts.groupBy("row_key").agg(F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("n_known"), F.sum(F.col("m") * F.log10(c + 0.1)).alias("logs"))
-    out = scored.join(sums, "row_key")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * float(floor)).alias("base_score"), "score")
+            for r in b.to_dict("records"):
+                t, word, _ = tokens(r)
+                for kind, key in ((1, word), (2, np.unique(t.pairs()))):
+                    cuts = [0, *(np.flatnonzero(np.diff(bucket_of(key, buckets))) + 1).tolist(), len(key)]
+                    of = [(a, z) for a, z in zip(cuts, cuts[1:], strict=False) if z > a]
+                    yield pd.DataFrame({"bucket": bucket_of(key[[a for a, _ in of]], buckets), "chunk": r["chunk"], "kind": np.int8(kind), "keys": [key[a:z].tobytes() for a, z in of]})
+
+    asked = chunks.select("chunk", "word", "which", "count").mapInPandas(ask, "bucket long, chunk long, kind byte, keys binary")
+
+    def answer(asks: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        one = Part(part.to_dict("records")) if len(part) else None
+        keys = [np.frombuffer(k, dtype="<u8") for k in asks["keys"]]
+        level = [one.level(k) if one else np.zeros(len(k), dtype=np.uint8) for k in keys]
+        exact = [(one.exact(k) if one else np.zeros(len(k), dtype=np.int64)).astype("<i8") if kind == 1 else None for k, kind in zip(keys, asks["kind"], strict=True)]
+        return pd.DataFrame({"bucket": asks["bucket"], "chunk": asks["chunk"], "kind": asks["kind"], "level": [x.tobytes() for x in level], "exact": [None if x is None else x.tobytes() for x in exact]})
+
+    names = "bucket long, chunk long, kind byte, level binary, exact binary"
+    answers = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(answer, names)
+
+    def finish(some: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in some.to_dict("records"):
+            t, _, which = tokens(r)
+            mine = found.sort_values("bucket")
+            words, pairs = mine[mine["kind"] == 1], mine[mine["kind"] == 2]
+            exact = np.frombuffer(b"".join(words["exact"]), dtype="<i8")
+            word_level = np.frombuffer(b"".join(words["level"]), dtype=np.uint8)
+            _, back = np.unique(t.pairs(), return_inverse=True)
+            pair_level = np.frombuffer(b"".join(pairs["level"]), dtype=np.uint8)[back]
+            ids = pd.arrays.IntegerArray(np.frombuffer(r["doc_id"], dtype="<i8").copy(), np.frombuffer(r["no_id"], dtype=bool).copy())
+            out.append(pd.DataFrame({"doc_id": ids, "held_out": np.frombuffer(r["held_out"], dtype=bool), "train_tokens": scorer.total} | scorer.rows(t, which, exact, word_level, pair_level)))
+        return pd.concat(out)[["doc_id", "held_out", *[c.split()[0] for c in _MADE.split(", ")]]]
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, "doc_id long, held_out boolean, " + _MADE)
