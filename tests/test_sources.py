@@ -46,21 +46,26 @@ def test_bundle_and_manifest(spark, tmp_path):
 
 
 def test_scalars(spark):
-    rows = [("s3://b/k#row=1",), ("x://y",), ("plain",), ("memory://a#",), (None,), ("1.2.3-rc.1+b",), ("2.0.0",), ("1.x",)]
+    rows = [("file://b/k#row=1",), ("x://y",), ("plain",), ("memory://a#",), (None,), ("file://",), ("1.2.3-rc.1+b",), ("2.0.0",), ("1.x",), ("1.2.3.4",), ("1.2",)]
     df = spark.createDataFrame(rows, "v string").select(scalars.parse_uri("v").alias("u"), scalars.is_payload_uri("v").alias("k"), scalars.semver("v").alias("s"), scalars.contract_version_supported("v").alias("ok"))
     got = df.collect()
-    assert tuple(got[0].u) == ("s3", "b/k", "row=1") and got[0].k
-    assert tuple(got[1].u) == ("x", "y", None) and not got[1].k
-    assert got[2].u is None and tuple(got[3].u) == ("memory", "a", None) and got[4].u is None
-    assert got[5].s == [1, 2, 3] and [r.ok for r in got[5:]] == [True, False, False]
+    assert tuple(got[0].u) == ("file", "b/k", "row=1") and got[0].k
+    assert got[1].u is None and not got[1].k  # a scheme that is not registered
+    assert got[2].u is None and tuple(got[3].u) == ("memory", "a", None) and got[4].u is None and not got[4].k
+    assert got[5].u is None and got[5].k  # the cheap look takes an address without a location
+    assert got[6].s == [1, 2, 3] and [r.ok for r in got[6:]] == [True, False, False, True, False]
+    for bad in ("", "a b", "c/d", None):
+        with pytest.raises(ValueError):
+            scalars.register_scheme(bad)
+    assert scalars.allowed_schemes() == ["file", "mcap", "memory", "parquet"]
     scalars.register_scheme("x")
     assert "x" in scalars.allowed_schemes()
-    r = spark.range(1).select(scalars.build_uri(F.lit("a"), F.lit("b"), F.lit("c")).alias("x"), scalars.build_uri(F.lit("a"), F.lit("b"), F.lit("")).alias("y")).first()
-    assert tuple(r) == ("a://b#c", "a://b")
+    r = spark.range(1).select(scalars.build_uri(F.lit("x"), F.lit("b"), F.lit("c")).alias("x"), scalars.build_uri(F.lit("x"), F.lit("b"), F.lit("")).alias("y"), scalars.build_uri(F.lit("zz"), F.lit("b")).alias("z")).first()
+    assert tuple(r) == ("x://b#c", "x://b", None)
 
 
 def test_select_reference(spark):
-    rows = [("1", "glove", True, ["shared_event"], 400.0), ("1", "cam", False, ["shared_event"], 900.0), ("2", "glove", True, ["shared_event"], 400.0), ("2", "tracker", False, ["ptp"], 90.0), ("3", "zzz", True, ["wall_clock"], 5.0), ("3", "aaa", True, ["wall_clock"], 5.0)]
+    rows = [("1", "glove", True, ["shared_event"], 400.0), ("1", "cam", False, ["shared_event"], 900.0), ("2", "glove", True, ["shared_event"], 400.0), ("2", "tracker", False, ["hardware_ptp"], 90.0), ("3", "zzz", True, ["wall_clock"], 5.0), ("3", "aaa", True, ["wall_clock"], 5.0)]
     df = spark.createDataFrame(rows, "session_id string, device_id string, reference_candidate boolean, evidence_tiers array<string>, max_rate_hz double")
     assert {r.session_id: r.device_id for r in engine.select_reference(df).collect()} == {"1": "glove", "2": "tracker", "3": "aaa"}
 

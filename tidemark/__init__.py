@@ -1 +1,8 @@
-"""Clock reconciliation, time alignment and training-data preparation on PySpark DataFrames."""
+"""Clock reconciliation of timestamped streams on Spark. The names below are the usual way in."""
+
+from .operators.metrics import Gates
+from .plans.engine import Result, select_reference, synchronize
+from .sources.readers import ReferenceConfig
+from .sources.sessions import Ingested, ingest, load_descriptors, load_sessions, save_sessions, violations
+
+__all__ = ["Gates", "Ingested", "ReferenceConfig", "Result", "ingest", "load_descriptors", "load_sessions", "save_sessions", "select_reference", "synchronize", "violations"]

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import checkpointed
+from .ordered import TIME_US, before, carried, cut, inside, numbered, previous
+
 
-def match_by_order(detections: DataFrame, keys: list[str], device: str = "device_id", t: str = "t_local_us") -> DataFrame:
+def match_by_order(detections: DataFrame, keys: list[str], device: str = "device_id", t: str = "t_local_us", width: float = TIME_US) -> DataFrame:
     """``keys, event_no, device_id, t_local_us``: the k-th detection of every device is event k.
 
     Sessions of fewer than two devices, or whose devices have unequal counts, give no rows (see
     ``unmatchable``).
     """
     bad = unmatchable(detections, keys, device)
-    w = Window.partitionBy(*keys, device).orderBy(t)
-    return detections.join(bad.select(*keys), keys, "left_anti").select(*keys, (F.row_number().over(w) - 1).cast("long").alias("event_no"), device, t)
+    good = detections.join(bad.select(*keys), keys, "left_anti").select(*keys, device, t)
+    return numbered(good, [*keys, device], t, [], width, "event_no").select(*keys, "event_no", device, t)
 
 
 def unmatchable(detections: DataFrame, keys: list[str], device: str = "device_id") -> DataFrame:
@@ -23,7 +29,7 @@ def unmatchable(detections: DataFrame, keys: list[str], device: str = "device_id
     return per.groupBy(*keys).agg(F.count("*").alias("devices"), F.min("n").alias("least"), F.max("n").alias("most")).where("devices < 2 or least < most")
 
 
-def associate(detections: DataFrame, keys: list[str], tolerance_us: float, coarse: DataFrame | None = None, min_observers: int = 2, device: str = "device_id", t: str = "t_local_us") -> DataFrame:
+def associate(detections: DataFrame, keys: list[str], tolerance_us: float, coarse: DataFrame | None = None, min_observers: int = 2, device: str = "device_id", t: str = "t_local_us", width: float = TIME_US) -> DataFrame:
     """``keys, event_no, device_id, t_local_us``: subset-aware association by greedy centroid clustering.
 
     Local times go to a coarse common time (``coarse(keys or device, alpha, beta_us)``, identity
@@ -33,39 +39,66 @@ def associate(detections: DataFrame, keys: list[str], tolerance_us: float, coars
     ``min_observers`` devices go.
 
     A gap of more than the tolerance always opens a cluster, since the mean never lies behind the last
-    member. So the order is first cut into islands at such gaps, by a window, and only within an island
-    are detections folded one after the other, by a built-in fold; an island is a burst of detections
-    no two neighbours of which are further apart than the tolerance.
+    member. So the order is first cut into islands at such gaps, by buckets of time; islands are dealt
+    out, and a task reads its islands in order and holds the last cluster alone, so an island of any
+    length costs no memory. Detections without a time are left out.
     """
     if tolerance_us <= 0:
         raise ValueError("tolerance_us must be positive")
-    rows = detections.select(*keys, F.col(device).alias("device_id"), F.col(t).cast("long").alias("t_local_us"))
+    rows = detections.where(F.col(t).isNotNull()).select(*keys, F.col(device).alias("device_id"), F.col(t).cast("long").alias("t_local_us"))
     if coarse is not None:
         on = [c for c in [*keys, "device_id"] if c in coarse.columns]
         rows = rows.join(coarse.select(*on, "alpha", "beta_us"), on, "left").withColumn("ct", F.coalesce("alpha", F.lit(1.0)) * F.col("t_local_us") + F.coalesce("beta_us", F.lit(0.0))).drop("alpha", "beta_us")
     else:
         rows = rows.withColumn("ct", F.col("t_local_us").cast("double"))
-    w = Window.partitionBy(*keys).orderBy("ct", "device_id", "t_local_us")
-    rows = rows.withColumn("__new", (F.col("ct") - F.lag("ct").over(w) > tolerance_us).cast("long"))
-    rows = rows.withColumn("__island", F.sum(F.coalesce("__new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = rows.groupBy(*keys, "__island").agg(F.array_sort(F.collect_list(F.struct("ct", "device_id", "t_local_us"))).alias("d"))
-    member = "struct<ct:double,device_id:string,t_local_us:bigint>"
-    empty = F.lit(None).cast(f"array<struct<m:array<{member}>,s:double,n:int>>")
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        centre = last["s"] / last["n"]
-        mine = F.filter(last["m"], lambda o: o["device_id"] == x["device_id"])
-        nearer = F.abs(x["ct"] - centre) < F.abs(F.element_at(mine, 1)["ct"] - centre)
-        one = F.array(x)
-        added = F.struct(F.concat(last["m"], one).alias("m"), (last["s"] + x["ct"]).alias("s"), (last["n"] + 1).alias("n"))
-        swapped = F.struct(F.concat(F.filter(last["m"], lambda o: o["device_id"] != x["device_id"]), one).alias("m"), last["s"].alias("s"), last["n"].alias("n"))
-        head = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        joined = F.when(F.size(mine) == 0, F.concat(head, F.array(added))).when(nearer, F.concat(head, F.array(swapped))).otherwise(acc)
-        opened = F.concat(acc, F.array(F.struct(one.alias("m"), x["ct"].alias("s"), F.lit(1).alias("n"))))
-        return F.when((F.size(acc) > 0) & (F.abs(x["ct"] - centre) <= tolerance_us), joined).otherwise(opened)
-
-    start = F.coalesce(empty, F.array().cast(f"array<struct<m:array<{member}>,s:double,n:int>>"))
-    folded = islands.select(*keys, "__island", F.posexplode(F.aggregate("d", start, step)).alias("__c", "c")).where(F.size("c.m") >= min_observers)
-    numbered = folded.withColumn("event_no", (F.row_number().over(Window.partitionBy(*keys).orderBy("__island", "__c")) - 1).cast("long"))
-    return numbered.select(*keys, "event_no", F.explode("c.m").alias("m")).select(*keys, "event_no", F.col("m.device_id").alias(device), F.col("m.t_local_us").alias(t))
+    ties = ["device_id", "t_local_us"]
+    rows = previous(rows, keys, "ct", {"__p": "ct"}, width, ties)
+    rows = cut(rows.withColumn("__new", F.when(F.coalesce(F.col("ct") - F.col("__p") > tolerance_us, F.lit(True)), F.col("ct"))), "ct", width)
+    rows = carried(rows, keys, {"__n": F.max("__new")}, {"__open": F.max("__n").over(before(keys))})
+    island = F.coalesce(F.max("__new").over(inside(keys, "ct", *ties).rowsBetween(Window.unboundedPreceding, 0)), F.col("__open"))
+    dealt = rows.withColumn("__island", island).select(*keys, "__island", "ct", "device_id", "t_local_us").repartition(*keys, "__island").sortWithinPartitions(*keys, "__island", "ct", *ties)
+    folded = checkpointed(dealt.mapInArrow(_clusters(keys, tolerance_us, min_observers), _fields(dealt, [*keys, "device_id", "t_local_us"]) + ", __at double, __lead boolean"))
+    numbers = numbered(folded.where("__lead").select(*keys, "__at"), keys, "__at", [], width, "event_no")
+    return folded.join(numbers, [*keys, "__at"]).select(*keys, "event_no", F.col("device_id").alias(device), F.col("t_local_us").alias(t))
+
+
+def _fields(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def _clusters(keys: list[str], tolerance_us: float, min_observers: int):
+    """The scan over sorted islands: members of each closed cluster, with the cluster's first time; the first row leads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, "device_id", "t_local_us", "__at", "__lead"]
+        open_, members, total, n, at, schema = None, {}, 0.0, 0, 0.0, None
+
+        def close(out: list) -> None:
+            if open_ is not None and len(members) >= min_observers:
+                out += [(*open_[:-1], d, t, at, k == 0) for k, (d, (_, t)) in enumerate(members.items())]
+
+        def batch(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], names)
+
+        for b in batches:
+            schema = [*(b.schema.field(k) for k in (*keys, "device_id", "t_local_us")), pa.field("__at", pa.float64()), pa.field("__lead", pa.bool_())]
+            out: list = []
+            for *head, ct, d, t in zip(*(b.column(c).to_pylist() for c in (*keys, "__island", "ct", "device_id", "t_local_us")), strict=True):
+                centre = total / n if n else 0.0
+                if head != open_ or abs(ct - centre) > tolerance_us:
+                    close(out)
+                    open_, members, total, n, at = head, {d: (ct, t)}, ct, 1, ct
+                elif d not in members:
+                    members[d] = ct, t
+                    total, n = total + ct, n + 1
+                elif abs(ct - centre) < abs(members[d][0] - centre):
+                    del members[d]
+                    members[d] = ct, t
+            if out:
+                yield batch(out)
+        out = []
+        close(out)
+        if out:
+            yield batch(out)
+
+    return run

@@ -1,4 +1,4 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in operators that read a table several times."""
 
 from __future__ import annotations
 
@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into the session's ``spark.checkpoint.dir``; only where none is set, into a temporary folder."""
+    """``df.checkpoint()`` into the session's ``spark.checkpoint.dir``.
+
+    Where none is set, local mode (tests) takes a temporary folder; on a cluster that is an error,
+    since no local folder is shared there.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            path = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint()

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .transforms import clock_confidence
+from .durable import checkpointed
+from .ordered import TIME_US, numbered
+from .transforms import clock_confidence, to_reference
 
 #: Residuals beyond this many RMS are left out of the second fit.
 OUTLIER = 3.0
+#: Rows of a group that two-point models are drawn from, and a prime below 2^31.
+POOL, _PRIME = 400, 2_147_483_647
 
 
 def _line(method: str, x: Column, y: Column) -> tuple[Column, Column]:
@@ -47,42 +51,57 @@ def fit(df: DataFrame, keys: list[str], x: str = "t_local_us", y: str = "t_ref_u
 
     ``method`` is offset, ols or tls. ``robust`` fits again without residuals beyond three RMS (if the
     group has three rows, the RMS is positive, and some but not all rows go); the residual is always
-    over all rows.
+    over all rows. The rows are read twice per fit: for the line's moments and for its residuals. The
+    first line and its RMS, one row per group, are written before the second fit reads them.
     """
     df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     lines = _lines(df, keys, x, y, method)
-    res = _residuals(df, lines, keys, x, y)
-    out = lines.join(_rms(res, keys), keys)
+    out = lines.join(_rms(_residuals(df, lines, keys, x, y), keys), keys)
     if robust:
-        judged = res.join(out.select(*keys, "residual_us"), keys)
+        out = checkpointed(out)
         good = F.abs("__r") <= OUTLIER * F.col("residual_us")
-        judged = judged.where((F.col("n_events") >= 3) & (F.col("residual_us") > 0) & good)
-        again = _lines(judged, keys, x, y, method).withColumnsRenamed({"alpha": "a2", "beta_us": "b2", "n_events": "n2"})
-        both = lines.join(again, keys, "left").withColumn("__use", F.col("n2").isNotNull() & (F.col("n2") < F.col("n_events")))
-        lines = both.select(*keys, F.when(F.col("__use"), F.col("a2")).otherwise(F.col("alpha")).alias("alpha"), F.when(F.col("__use"), F.col("b2")).otherwise(F.col("beta_us")).alias("beta_us"), "n_events")
+        kept = _residuals(df, out.where("n_events >= 3 and residual_us > 0"), keys, x, y).where(good)
+        again = _lines(kept, keys, x, y, method).withColumnsRenamed({"alpha": "a2", "beta_us": "b2", "n_events": "n2"})
+        both = out.join(again, keys, "left").withColumn("__use", F.col("n2").isNotNull() & (F.col("n2") < F.col("n_events")))
+        lines = checkpointed(both.select(*keys, F.when(F.col("__use"), F.col("a2")).otherwise(F.col("alpha")).alias("alpha"), F.when(F.col("__use"), F.col("b2")).otherwise(F.col("beta_us")).alias("beta_us"), "n_events"))
         out = lines.join(_rms(_residuals(df, lines, keys, x, y), keys), keys)
     return out.withColumn("confidence", clock_confidence("residual_us", "n_events"))
 
 
-def fit_piecewise(df: DataFrame, keys: list[str], n_segments: int, x: str = "t_local_us", y: str = "t_ref_us") -> DataFrame:
+def fit_piecewise(df: DataFrame, keys: list[str], n_segments: int, x: str = "t_local_us", y: str = "t_ref_us", width: float = TIME_US) -> DataFrame:
     """``keys, segment, t_lo_us, t_hi_us, alpha, beta_us, n_events``: one row per segment.
 
-    Rows sorted by x are cut into k = max(1, min(n_segments, n div 2)) runs at ``floor(n i / k)``;
-    each is fitted by total least squares. Borders are half-way between neighbours, the outermost
-    at -1e18 and 1e18.
+    Rows sorted by x are cut into k = max(1, min(n_segments, n div 2)) runs at ``floor(i (n / k))``;
+    each is fitted by robust total least squares. Borders are half-way between neighbours, the
+    outermost at -1e18 and 1e18. Ranks come from buckets of ``width``, so no task sorts a whole group.
     """
-    w = Window.partitionBy(*keys).orderBy(x, y)
-    rows = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    rows = numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y), keys, x, [y], width, "__i")
+    sizes = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"))
     k = F.greatest(F.lit(1), F.least(F.lit(n_segments), F.expr("__n div 2")))
-    rows = rows.withColumn("__k", k).withColumn("segment", F.expr("(__i * __k + __k - 1) div __n"))
-    # the run of row i is the largest s with floor(n s / k) <= i
-    rows = rows.withColumn("segment", F.when(F.expr("(__n * segment) div __k") > F.col("__i"), F.col("segment") - 1).otherwise(F.col("segment")).cast("int"))
-    alpha, beta = _line("tls", F.col(x).cast("double"), F.col(y).cast("double"))
-    seg = rows.groupBy(*keys, "segment").agg(alpha.alias("alpha"), beta.alias("beta_us"), F.count("*").alias("n_events"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    by = Window.partitionBy(*keys).orderBy("segment")
+    starts = F.transform(F.sequence(F.lit(1), F.lit(max(1, n_segments))), lambda s: F.when(s < k, F.floor(s * (F.col("__n") / k))))
+    sizes = sizes.withColumn("__starts", F.filter(starts, lambda s: s.isNotNull()))
+    rows = rows.join(sizes, keys).withColumn("segment", F.size(F.filter("__starts", lambda s: s <= F.col("__i"))))
+    rows = checkpointed(rows.select(*keys, "segment", x, y))
+    lines = fit(rows, [*keys, "segment"], x, y, "tls", robust=True).select(*keys, "segment", "alpha", "beta_us", "n_events")
+    ends = rows.groupBy(*keys, "segment").agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    by = Window.partitionBy(*keys).orderBy("segment")  # n_segments rows
     lo = F.coalesce((F.lag("__hi").over(by) + F.col("__lo")) / 2.0, F.lit(-1e18))
     hi = F.coalesce((F.col("__hi") + F.lead("__lo").over(by)) / 2.0, F.lit(1e18))
-    return seg.select(*keys, "segment", lo.alias("t_lo_us"), hi.alias("t_hi_us"), "alpha", "beta_us", "n_events")
+    ends = ends.select(*keys, "segment", lo.alias("t_lo_us"), hi.alias("t_hi_us"))
+    return ends.join(lines, [*keys, "segment"]).select(*keys, "segment", "t_lo_us", "t_hi_us", "alpha", "beta_us", "n_events")
+
+
+def rate_piecewise(df: DataFrame, segments: DataFrame, keys: list[str], x: str = "t_local_us", y: str = "t_ref_us") -> DataFrame:
+    """``keys, alpha, beta_us, segments, residual_us, n_events, confidence``: a piecewise model as one row.
+
+    ``alpha`` and ``beta_us`` are the first segment's; the residual is the RMS of the rounded time that
+    the segments map x to, less y.
+    """
+    models = as_models(segments, keys)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(models, keys)
+    off = (to_reference(F.col(x).cast("long")) - F.col(y)).cast("double")
+    per = rows.groupBy(*keys).agg(F.sqrt(F.avg(off * off)).alias("residual_us"), F.count("*").alias("n_events"))
+    return models.join(per, keys).withColumn("confidence", clock_confidence("residual_us", "n_events"))
 
 
 def as_models(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,37 +111,43 @@ def as_models(segments: DataFrame, keys: list[str]) -> DataFrame:
     return nested.withColumn("alpha", F.col("segments")[0]["alpha"]).withColumn("beta_us", F.col("segments")[0]["beta_us"])
 
 
-def ransac(df: DataFrame, keys: list[str], threshold_us: float = 1000.0, n_iters: int = 200, x: str = "t_local_us", y: str = "t_ref_us") -> DataFrame:
+def _drawn(k, salt: int) -> Column:
+    """A number below 2^31 for each draw, by squaring modulo a prime."""
+    h = (k + 1) * (48_271 + salt) % _PRIME
+    h = (h * h + salt) % _PRIME
+    return h * h % _PRIME
+
+
+def ransac(df: DataFrame, keys: list[str], threshold_us: float = 1000.0, n_iters: int = 200, x: str = "t_local_us", y: str = "t_ref_us", refine: bool = True) -> DataFrame:
     """``keys, alpha, beta_us, residual_us, n_events, confidence`` of the best consensus set per group.
 
-    ``n_iters`` two-point models per group are drawn by fixed arithmetic on the rows' rank, so a rerun
-    agrees; each is scored against the group's rows, which is a bounded number of models against all
-    rows. The model with most inliers wins (the earlier if they tie); it is refitted by total least
-    squares on its inliers, once more on the inliers of that, and the residual is over these. Groups
-    of fewer than three rows, or without a consensus of two, are fitted whole.
+    Two-point models are drawn, ``n_iters`` per group, from the group's ``POOL`` rows that are first by
+    a hash of their values, so no group is sorted whole and a rerun agrees; each model is scored
+    against all of the group's rows, which is a bounded number of models, and hits are added up within
+    the tasks. The model with most inliers wins (the earlier if they tie); it is refitted by robust
+    total least squares on its inliers, with ``refine`` once more on the inliers of that, and the
+    residual is over these. Groups of fewer than three rows, or without a consensus of two, are
+    fitted whole, robustly, and count all rows.
     """
-    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    w = Window.partitionBy(*keys).orderBy(x, y)
-    ranked = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.row_number().over(w) - 1).alias("i"))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 3")
-    draws = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_iters - 1))))
-    draws = draws.withColumn("i", F.expr("cast((k * 7919 + 13) % n as int)")).withColumn("j", F.expr("cast((i + 1 + (k * 104729) % (n - 1)) % n as int)"))
-    one = ranked.select(*keys, "i", F.col("x").alias("x1"), F.col("y").alias("y1"))
-    two = ranked.select(*keys, F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    mixed = (F.pmod(F.col("x").cast("long"), F.lit(_PRIME)) * 48_271 + F.pmod(F.col("y").cast("long"), F.lit(_PRIME)) * 69_621) % _PRIME
+    pool = rows.withColumn("h", mixed * mixed % _PRIME)
+    pool = pool.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "x", "y")) - 1).where(F.col("i") < POOL)
+    pool = checkpointed(pool.select(*keys, "i", "x", "y"))
+    draws = pool.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 3").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_iters - 1).cast("long"))))
+    draws = draws.withColumn("i", _drawn(F.col("k"), 11) % F.col("n")).withColumn("j", (F.col("i") + 1 + _drawn(F.col("k"), 97) % (F.col("n") - 1)) % F.col("n"))
+    one = pool.select(*keys, "i", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    two = pool.select(*keys, F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     models = draws.join(one, [*keys, "i"]).join(two, [*keys, "j"]).where("x1 <> x2").withColumn("a", (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
-    models = models.select(*keys, F.struct("k", "a", (F.col("y1") - F.col("a") * F.col("x1")).alias("b")).alias("m"))
-    listed = models.groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("ms"))  # n_iters at most
-    votes = ranked.join(listed, keys).select(*keys, F.posexplode(F.transform("ms", lambda m: (F.abs(m["a"] * F.col("x") + m["b"] - F.col("y")) <= threshold_us).cast("long"))).alias("p", "hit"))
-    counts = votes.groupBy(*keys, "p").agg(F.sum("hit").alias("hits"))
-    best = counts.groupBy(*keys).agg(F.max_by(F.struct("p", "hits"), F.struct("hits", -F.col("p"))).alias("w")).where("w.hits >= 2")
-    chosen = listed.join(best, keys).select(*keys, F.element_at("ms", F.col("w.p") + 1).alias("m"))
-    inliers = ranked.join(chosen, keys).where(F.abs(F.col("m.a") * F.col("x") + F.col("m.b") - F.col("y")) <= threshold_us).drop("m")
-    for _ in range(2):
-        lines = _lines(inliers, keys, "x", "y", "tls")
-        kept = inliers
-        inliers = _residuals(ranked, lines, keys, "x", "y").where(F.abs("__r") <= threshold_us).select(*keys, "x", "y")
-    # ``lines`` is fitted on the inliers of the first refit; its residual is over these
-    res = _rms(_residuals(kept, lines, keys, "x", "y"), keys)
-    robust = lines.join(res, keys).withColumn("confidence", clock_confidence("residual_us", "n_events"))
-    whole = fit(df.join(chosen.select(*keys), keys, "left_anti"), keys, x, y, "tls", robust=True)
-    return robust.unionByName(whole)
+    models = checkpointed(models.select(*keys, "k", "a", (F.col("y1") - F.col("a") * F.col("x1")).alias("b")))
+    near = F.abs(F.col("a") * F.col("x") + F.col("b") - F.col("y")) <= threshold_us
+    hits = rows.join(models, keys).groupBy(*keys, "k", "a", "b").agg(F.count(F.when(near, True)).alias("hits"))
+    best = hits.groupBy(*keys).agg(F.max_by(F.struct("a", "b", "hits"), F.struct("hits", -F.col("k"))).alias("w")).where("w.hits >= 2")
+    best = checkpointed(best.select(*keys, "w.a", "w.b"))
+    inliers = rows.join(best, keys).where(near).select(*keys, "x", "y")
+    if refine:
+        lines = fit(checkpointed(inliers), keys, "x", "y", "tls", robust=True)
+        inliers = _residuals(rows, lines, keys, "x", "y").where(F.abs("__r") <= threshold_us).select(*keys, "x", "y")
+    good = fit(checkpointed(inliers), keys, "x", "y", "tls", robust=True)
+    whole = fit(rows.join(best.select(*keys), keys, "left_anti"), keys, "x", "y", "tls", robust=True)
+    return good.unionByName(whole)

@@ -22,13 +22,14 @@ def build_edges(observations: DataFrame, keys: list[str], min_events: int = 2, m
 
     ``n_events`` counts the pairs, or with RANSAC the inliers.
     """
-    pairs = pair_observations(observations, keys, **names)
+    if method not in ("tls", "ransac"):
+        raise ValueError(f"unknown method {method!r}")
     group = [*keys, "a", "b"]
+    pairs = checkpointed(pair_observations(observations, keys, **names))  # read by each pass of the fit
+    if method == "tls":
+        return fit(pairs, group, "t_b", "t_a", "tls", robust=True).where(F.col("n_events") >= min_events)
     enough = pairs.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") >= min_events).drop("n")
-    pairs = pairs.join(enough, group)
-    if method == "ransac":
-        return ransac(pairs, group, ransac_threshold_us, x="t_b", y="t_a")
-    return fit(pairs, group, "t_b", "t_a", "tls", robust=True)
+    return ransac(pairs.join(enough, group), group, ransac_threshold_us, x="t_b", y="t_a")
 
 
 def reconcile(edges: DataFrame, devices: DataFrame, keys: list[str], max_rounds: int | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ def reconcile(edges: DataFrame, devices: DataFrame, keys: list[str], max_rounds:
 
 
 def _relax(state: DataFrame, arcs: DataFrame, devices: DataFrame, keys: list[str], max_rounds: int | None) -> DataFrame:
-    base, seen = state, None
+    base, before = state, None
     arcs = checkpointed(arcs)
     rounds = max_rounds or (devices.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1)
     for _ in range(rounds):
@@ -74,10 +75,9 @@ def _relax(state: DataFrame, arcs: DataFrame, devices: DataFrame, keys: list[str
         best = steps.groupBy(*keys, "v").agg(F.min_by("__step", "__rank").alias("__step")).select(*keys, F.col("v").alias("u"), "__step.*")
         best = best.join(base.select(*keys, "u"), [*keys, "u"], "left_anti")
         state = checkpointed(base.unionByName(best))
-        now = state.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*keys, "u", "path") % 1_000_000_007), F.lit(0))).first()
-        if now == seen:
-            break
-        seen = now
+        if before is not None and state.join(before, [*keys, "u", "path"], "left_anti").isEmpty():
+            break  # every device has the path it had: nothing will change
+        before = state.select(*keys, "u", "path")
     found = devices.select(*keys, "device_id").join(state.withColumnRenamed("u", "device_id"), [*keys, "device_id"], "left")
     reached = F.col("path").isNotNull()
     return found.select(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import ROWS, previous
 from .transforms import col, correct
 
 
@@ -33,12 +34,17 @@ def rms(c) -> Column:
 
 
 def event_residual(observations: DataFrame, models: DataFrame, keys: list[str], event: str = "event_id") -> DataFrame:
-    """``keys, device_id, residual_us``: RMS of the mapped time less the reference's over events both observed."""
+    """``keys, device_id, residual_us``: RMS of the mapped time less the reference's over events both observed.
+
+    One row per follower; without such an event it is 0.
+    """
     ref = models.where("is_reference").select(*keys, "device_id")
     theirs = observations.join(ref, [*keys, "device_id"]).select(*keys, event, F.col("t_local_us").alias("__ref"))
     mapped = observations.join(models.where("not is_reference").select(*keys, "device_id", "alpha", "beta_us"), [*keys, "device_id"])
     both = mapped.join(theirs, [*keys, event]).withColumn("__r", (correct("t_local_us") - F.col("__ref")).cast("double"))
-    return both.groupBy(*keys, "device_id").agg(rms("__r").alias("residual_us"))
+    per = both.groupBy(*keys, "device_id").agg(rms("__r").alias("__rms"))
+    followers = models.where("not is_reference").select(*keys, "device_id")
+    return followers.join(per, [*keys, "device_id"], "left").select(*keys, "device_id", F.coalesce("__rms", F.lit(0.0)).alias("residual_us"))
 
 
 def reconciliation_residual(observations: DataFrame, models: DataFrame, keys: list[str], event: str = "event_id") -> DataFrame:
@@ -76,13 +82,18 @@ def sync_method(events: DataFrame, keys: list[str], tier: str = "tier") -> DataF
 
 def property_checks(grid: DataFrame, alignment: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, grid_monotonic, bounded_step, no_fabricated_gaps`` as pass or fail."""
-    step = grid.withColumn("__d", F.col("t_us") - F.lag("t_us").over(Window.partitionBy(*keys).orderBy("grid_idx")))
+    step = previous(grid, keys, "grid_idx", {"__p": "t_us"}, ROWS).withColumn("__d", F.col("t_us") - F.col("__p"))
     word = lambda c: F.when(F.coalesce(c, F.lit(True)), "pass").otherwise("fail")
     steps = step.groupBy(*keys).agg(word(F.min("__d") > 0).alias("grid_monotonic"), word((F.min("__d") >= 1) & (F.max("__d") <= 2 * F.min("__d"))).alias("bounded_step"))
     gaps = alignment.groupBy(*keys).agg(word(F.bool_and(F.col("valid") | (F.col("interp_confidence") == 0))).alias("no_fabricated_gaps"))
     return steps.join(gaps, keys, "left").withColumn("no_fabricated_gaps", F.coalesce("no_fabricated_gaps", F.lit("pass")))
 
 
+def worst_device(roundtrip: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, max_alpha_err, max_beta_err_us, devices``: the largest errors over a session's followers."""
+    return roundtrip.groupBy(*keys).agg(F.max("alpha_err").alias("max_alpha_err"), F.max("beta_err_us").alias("max_beta_err_us"), F.count("*").alias("devices"))
+
+
 def gate(residual, coverage_min, dropout_max, gates: Gates = Gates()) -> Column:
     """blocked, certified, release or needs_review."""
     r, good = col(residual), (col(coverage_min) >= gates.min_coverage) & (col(dropout_max) <= gates.max_dropout)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ROWS, before, carried, cut, inside
+
 SEGMENTS = "array<struct<t_lo_us: double, t_hi_us: double, alpha: double, beta_us: double>>"
 
 
@@ -78,16 +80,20 @@ def correct_streams(samples: DataFrame, models: DataFrame, keys: list[str], t: s
     return samples.join(models.select(*keys, "alpha", "beta_us"), keys).withColumn("t_ref_us", correct(t)).drop("alpha", "beta_us")
 
 
-def enforce_monotonic(df: DataFrame, keys: list[str], order: str, t: str) -> DataFrame:
+def enforce_monotonic(df: DataFrame, keys: list[str], order: str, t: str, width: float = ROWS) -> DataFrame:
     """``t_mono``: rounded times made non-decreasing, ties pushed up by their index, shifted if the first is negative.
 
     A running maximum over the sequence; positions that did not rise get their index added, and the
-    maximum runs once more.
+    maximum runs once more. Maxima and counts are carried from bucket to bucket.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = inside(keys, order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__m", F.max(to_long(t)).over(run))
-    out = out.withColumn("__d", F.col("__m") <= F.lag("__m").over(w))
-    out = out.withColumn("__m", F.max(F.when(F.col("__d"), F.col("__m") + F.col("__i")).otherwise(F.col("__m"))).over(run))
-    first = F.first("__m").over(run)
-    return out.withColumn("t_mono", F.when(first < 0, F.col("__m") - first).otherwise(F.col("__m")).cast("long")).drop("__i", "__m", "__d")
+    rows = cut(df.withColumn("__t", to_long(t)), order, width)
+    rows = carried(rows, keys, {"__n": F.count("*"), "__top": F.max("__t")}, {"__base": F.coalesce(F.sum("__n").over(before(keys)), F.lit(0)), "__before": F.max("__top").over(before(keys))})
+    rows = rows.withColumn("__m", F.greatest(F.max("__t").over(run), "__before")).withColumn("__i", F.col("__base") + F.row_number().over(w) - 1)
+    rows = rows.withColumn("__d", F.col("__m") <= F.coalesce(F.lag("__m").over(w), "__before")).drop("__n", "__top", "__base", "__before")
+    rows = rows.withColumn("__m", F.when(F.col("__d"), F.col("__m") + F.col("__i")).otherwise(F.col("__m")))
+    whole = Window.partitionBy(*keys)
+    rows = carried(rows, keys, {"__top": F.max("__m"), "__head": F.min_by("__m", order)}, {"__before": F.max("__top").over(before(keys)), "__first": F.min_by("__head", "__b").over(whole)})
+    m = F.greatest(F.max("__m").over(run), "__before")
+    return rows.withColumn("t_mono", F.when(F.col("__first") < 0, m - F.col("__first")).otherwise(m).cast("long")).select(*df.columns, "t_mono")

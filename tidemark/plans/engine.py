@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..operators import confidence as conf
 from ..operators import graph, metrics, timeline
+from ..operators.durable import checkpointed
 from ..operators.transforms import correct, correct_streams
 
 #: Rank of evidence tiers, best first.
-TIERS = ("ptp", "shared_event", "wall_clock")
+TIERS = ("hardware_ptp", "shared_event", "wall_clock")
 
 
 def select_reference(devices: DataFrame) -> DataFrame:
@@ -28,6 +29,12 @@ def select_reference(devices: DataFrame) -> DataFrame:
     return devices.withColumn("__k", F.row_number().over(order)).where("__k = 1").select("session_id", "device_id")
 
 
+def rated_devices(devices: DataFrame, streams: DataFrame) -> DataFrame:
+    """``devices`` with ``max_rate_hz``: the highest nominal rate of their streams, 0 without any."""
+    rates = streams.groupBy("session_id", "device_id").agg(F.max("nominal_rate_hz").alias("__rate"))
+    return devices.drop("max_rate_hz").join(rates, ["session_id", "device_id"], "left").withColumn("max_rate_hz", F.coalesce("__rate", F.lit(0.0))).drop("__rate")
+
+
 @dataclass
 class Result:
     edges: DataFrame
@@ -70,10 +77,11 @@ def synchronize(
     """
     session, device = ["session_id"], ["session_id", "device_id"]
     stream = [*device, "stream_id"]
-    known = observations.join(devices.select(*device), device, "left_semi")
+    known = checkpointed(observations.join(devices.select(*device), device, "left_semi"))
     edges = graph.build_edges(known, session, min_events, "ransac" if robust else "tls", ransac_threshold_us)
     models = graph.reconcile(edges, devices, session).join(devices.select(*device, "is_reference"), device)
-    fixed = correct_streams(samples, models, device)
+    models = checkpointed(models)
+    fixed = checkpointed(correct_streams(samples, models, device))  # read for the span, both kernels and by the caller
     grid = timeline.grid(fixed, session, grid_rate_hz)
     points = streams.join(grid, session)
     parts = []
@@ -81,7 +89,7 @@ def synchronize(
         own = streams.where(F.col("kernel") == kernel).select(*stream)
         mine = points.where(F.col("kernel") == kernel).select(*stream, "grid_idx", "t_us")
         parts.append(timeline.asof_join(mine, fixed.join(own, stream, "left_semi"), stream, rejection_tolerance_us, kernel, bucket_us).withColumn("kernel", F.lit(kernel)))
-    alignment = parts[0].unionByName(parts[1])
+    alignment = checkpointed(parts[0].unionByName(parts[1]))  # coverage, checks and confidence read it
     seen = known.join(models.select(*device, "alpha", "beta_us"), device).select(*device, correct("t_local_us").alias("t_ref_us"))
     seen = seen.join(streams.select(*stream), device)
     rated = conf.build_confidence(alignment, streams.select(*stream).join(models.select(*device, "clock_confidence"), device), stream, seen if confidence_decay_tau_us else None, confidence_decay_tau_us, bucket_us=bucket_us)
