@@ -33,7 +33,7 @@ BROADCAST_BYTES, PART_BYTES = 192 << 20, 8 << 20
 #: Bytes of text per bucket of n-grams; bits of the filter per entry; the prior's weight in tokens.
 BUCKET_BYTES, ENTRY_BITS, PRIOR = 2 << 20, 7.0, 100.0
 #: Factor between levels of counts; raw keys that a counting task holds; bytes of text that are cut into words at once.
-STEP, HELD, PIECE = 1.3, 6_000_000, 1 << 18
+STEP, HELD, PIECE = 1.3, 4_000_000, 1 << 18
 #: Tokens of a chunk of documents whose keys are sent to the buckets.
 CHUNK_TOKENS = 1_000_000
 U = np.uint64
@@ -254,18 +254,21 @@ class Part:
         return np.where(self.words[at] == key, self.counts[at], 0).astype(np.int64)
 
 
-def _joined(parts: list[Part]) -> Part:
-    """Parts that follow one another, as one."""
-    one = object.__new__(Part)
-    one.first, one.buckets = 0, parts[0].buckets
-    one.count = parts[-1].first + parts[-1].count
-    one.size = np.zeros(one.count, dtype=np.uint64)
+def _joined(parts: Iterator[Part], entries: int, words: int) -> Part | None:
+    """Parts that follow one another, as one; each is dropped when it is copied."""
+    one, b, w = object.__new__(Part), 0, 0
+    one.first, one.bits, one.words, one.counts = 0, np.zeros(entries, np.uint64), np.zeros(words, np.uint64), np.zeros(words, np.uint32)
     for p in parts:
+        if not b:
+            one.buckets, one.size = p.buckets, np.zeros(p.buckets, dtype=np.uint64)
         one.size[p.first : p.first + p.count] = p.size
+        if p.counts.dtype == np.int64:
+            one.counts = one.counts.astype(np.int64)
+        one.bits[b : b + len(p.bits)], one.words[w : w + len(p.words)], one.counts[w : w + len(p.words)] = p.bits, p.words, p.counts
+        b, w = b + len(p.bits), w + len(p.words)
+    if not b:
+        return None
     one.base = (np.cumsum(one.size) - one.size).astype(np.int64)
-    wide = any(p.counts.dtype == np.int64 for p in parts)
-    one.bits, one.words = (np.concatenate([getattr(p, c) for p in parts]) for c in ("bits", "words"))
-    one.counts = np.concatenate([p.counts.astype(np.int64) if wide else p.counts for p in parts])
     return one
 
 
@@ -296,7 +299,8 @@ class Scorer:
 
 
 _MADE = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_assembled: dict[int, Part] = {}
+#: The model that this worker process has put together.
+_assembled: dict = {}
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -323,24 +327,27 @@ def _score_by_broadcast(rows: DataFrame, model: DataFrame, scorer: Scorer, size:
     """The whole model, of a size that was checked, goes to every worker, in parts that pass the driver one at a time."""
     spark = rows.sparkSession
     count = max(1, -(-size // PART_BYTES))
-    buckets = model.agg(F.max("buckets")).first()[0] or 1
+    buckets, entries, words = model.agg(F.coalesce(F.max("buckets"), F.lit(1)), F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     shared = []
     for k in range(count):
         some = model.where((F.col("bucket") >= k * buckets // count) & (F.col("bucket") < (k + 1) * buckets // count)).collect()
         if some:
             shared.append(spark.sparkContext.broadcast(Part(sorted(some, key=lambda r: r["bucket"]))))
-            shared[-1].unpersist()  # the copy in this process; workers fetch their own
+        del some
+    name = object()
+
+    def values() -> Iterator[Part]:
+        for s in shared:
+            yield s.value
+            s.__dict__.pop("_value", None)  # its copy is in the joined part
 
     def whole() -> Part | None:
-        if not shared:
-            return None
-        key = shared[0].id if hasattr(shared[0], "id") else id(shared)
-        if key not in _assembled:
+        key = [s._path for s in shared] if shared else id(name)
+        if _assembled.get("key") != key:
             _assembled.clear()
-            _assembled[key] = _joined([s.value for s in shared])
-            for s in shared:
-                s.__dict__.pop("_value", None)
-        return _assembled[key]
+            _assembled["part"] = _joined(values(), entries // 8, words)
+            _assembled["key"] = key
+        return _assembled["part"]
 
     def make(texts: list) -> dict:
         part, t = whole(), Tokens(texts)
