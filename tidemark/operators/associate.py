@@ -52,7 +52,7 @@ def associate(detections: DataFrame, keys: list[str], tolerance_us: float, coars
     else:
         rows = rows.withColumn("ct", F.col("t_local_us").cast("double"))
     ties = ["device_id", "t_local_us"]
-    rows = previous(rows, keys, "ct", {"__p": "ct"}, width, ties)
+    rows = checkpointed(previous(rows, keys, "ct", {"__p": "ct"}, width, ties))
     rows = cut(rows.withColumn("__new", F.when(F.coalesce(F.col("ct") - F.col("__p") > tolerance_us, F.lit(True)), F.col("ct"))), "ct", width)
     rows = carried(rows, keys, {"__n": F.max("__new")}, {"__open": F.max("__n").over(before(keys))})
     island = F.coalesce(F.max("__new").over(inside(keys, "ct", *ties).rowsBetween(Window.unboundedPreceding, 0)), F.col("__open"))

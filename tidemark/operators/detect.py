@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ROWS, before, carried, cut, inside, previous
+from .ordered import ROWS, before, carried, cut, inside
 
 #: Registered by name: (signals, **options) -> detections.
 _DETECTORS: dict[str, Callable[..., DataFrame]] = {}
@@ -16,16 +16,15 @@ _DETECTORS: dict[str, Callable[..., DataFrame]] = {}
 def find_peaks(signals: DataFrame, keys: list[str], threshold: float = 0.5, t: str = "t_us", signal: str = "signal", pos: str = "pos", width: float = ROWS) -> DataFrame:
     """``keys, t_local_us``: the time of the first largest value of each maximal run above the threshold.
 
-    Runs are taken in the order of ``pos``. A NaN is never above. A run is known by the place of its
-    first row; where it goes on over buckets of ``width`` positions, that place is carried along.
+    Runs are taken in the order of ``pos``. A NaN is never above. A run is known by the last place
+    before it that is not above, which is carried over buckets of ``width`` positions.
     """
     above = F.coalesce((F.col(signal) > threshold) & ~F.isnan(signal), F.lit(False))
-    rows = previous(signals.withColumn("__up", above), keys, pos, {"__was": "__up"}, width)
-    rows = cut(rows.withColumn("__start", F.when(F.col("__up") & ~F.coalesce("__was", F.lit(False)), F.col(pos))), pos, width)
-    rows = carried(rows, keys, {"__s": F.max("__start")}, {"__open": F.max("__s").over(before(keys))}).where("__up")
-    run = F.coalesce(F.max("__start").over(inside(keys, pos).rowsBetween(Window.unboundedPreceding, 0)), F.col("__open"))
+    rows = cut(signals.select(*keys, t, signal, pos).withColumn("__low", F.when(~above, F.col(pos))), pos, width)
+    rows = carried(rows, keys, {"__l": F.max("__low")}, {"__open": F.max("__l").over(before(keys))})
+    run = F.coalesce(F.max("__low").over(inside(keys, pos).rowsBetween(Window.unboundedPreceding, 0)), F.col("__open"))
     peak = F.min_by(t, F.struct(-F.col(signal), F.col(pos)))
-    return rows.withColumn("__run", run).groupBy(*keys, "__run").agg(peak.cast("long").alias("t_local_us")).drop("__run")
+    return rows.withColumn("__run", run).where("__low is null").groupBy(*keys, "__run").agg(peak.cast("long").alias("t_local_us")).drop("__run")
 
 
 def register_detector(name: str, detector: Callable[..., DataFrame]) -> None:

@@ -138,12 +138,12 @@ def ransac(df: DataFrame, keys: list[str], threshold_us: float = 1000.0, n_iters
     draws = draws.withColumn("i", _drawn(F.col("k"), 11) % F.col("n")).withColumn("j", (F.col("i") + 1 + _drawn(F.col("k"), 97) % (F.col("n") - 1)) % F.col("n"))
     one = pool.select(*keys, "i", F.col("x").alias("x1"), F.col("y").alias("y1"))
     two = pool.select(*keys, F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    models = draws.join(one, [*keys, "i"]).join(two, [*keys, "j"]).where("x1 <> x2").withColumn("a", (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
-    models = checkpointed(models.select(*keys, "k", "a", (F.col("y1") - F.col("a") * F.col("x1")).alias("b")))
-    near = F.abs(F.col("a") * F.col("x") + F.col("b") - F.col("y")) <= threshold_us
-    hits = rows.join(models, keys).groupBy(*keys, "k", "a", "b").agg(F.count(F.when(near, True)).alias("hits"))
-    best = hits.groupBy(*keys).agg(F.max_by(F.struct("a", "b", "hits"), F.struct("hits", -F.col("k"))).alias("w")).where("w.hits >= 2")
-    best = checkpointed(best.select(*keys, "w.a", "w.b"))
+    models = draws.join(one, [*keys, "i"]).join(two, [*keys, "j"]).where("x1 <> x2").withColumn("__a", (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
+    models = checkpointed(models.select(*keys, "k", "__a", (F.col("y1") - F.col("__a") * F.col("x1")).alias("__b")))
+    near = F.abs(F.col("__a") * F.col("x") + F.col("__b") - F.col("y")) <= threshold_us
+    hits = rows.join(models, keys).groupBy(*keys, "k", "__a", "__b").agg(F.count(F.when(near, True)).alias("hits"))
+    best = hits.groupBy(*keys).agg(F.max_by(F.struct("__a", "__b", "hits"), F.struct("hits", -F.col("k"))).alias("w")).where("w.hits >= 2")
+    best = checkpointed(best.select(*keys, "w.__a", "w.__b"))
     inliers = rows.join(best, keys).where(near).select(*keys, "x", "y")
     if refine:
         lines = fit(checkpointed(inliers), keys, "x", "y", "tls", robust=True)

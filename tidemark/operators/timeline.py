@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ROWS, numbered, previous
+from .ordered import before, carried, cut, inside
 from .transforms import to_long
 
 #: Width of a bucket: one hour.
@@ -109,10 +109,11 @@ def subframe_buckets(anchors: DataFrame, samples: DataFrame, keys: list[str], sl
         raise ValueError("slots must be >= 1")
     # samples before an anchor: those at or before the microsecond before it
     at = anchors.where(F.col(t).isNotNull()).select(*keys, (F.col(t) - 1).cast("long").alias("t_us"), F.col(t).cast("long").alias("anchor"))
-    before = neighbours(at, samples, keys, ["anchor"], s=s, bucket_us=bucket_us)
-    # a frame is closed by the next anchor, so it is written down there
-    after = previous(numbered(before, keys, "anchor", ["n_upto"], bucket_us, "__k"), keys, "__k", {"__a": "n_upto"}, ROWS)
-    frames = after.where("__a is not null").select(*keys, (F.col("__k") - 1).alias("frame_idx"), "__a", F.col("n_upto").alias("__z"))
+    rows = cut(neighbours(at, samples, keys, ["anchor"], s=s, bucket_us=bucket_us), "anchor", bucket_us)
+    # a frame is closed by the next anchor, so it is written down there; counts rise with anchors
+    rows = carried(rows, keys, {"__n": F.count("*"), "__top": F.max("n_upto")}, {"__base": F.coalesce(F.sum("__n").over(before(keys)), F.lit(0)), "__before": F.max("__top").over(before(keys))})
+    w = inside(keys, "anchor", "n_upto")
+    frames = rows.select(*keys, (F.col("__base") + F.row_number().over(w) - 2).cast("long").alias("frame_idx"), F.coalesce(F.lag("n_upto").over(w), "__before").alias("__a"), F.col("n_upto").alias("__z")).where("__a is not null")
     m = F.least(F.col("__z") - F.col("__a"), F.lit(slots).cast("long"))
     index = F.when(m == 0, F.array_repeat(F.lit(0).cast("long"), slots)).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")), lambda i: F.col("__a") + F.least(i, m - 1)))
     return frames.select(*keys, "frame_idx", index.alias("index"), m.cast("int").alias("m_k"), (m > 0).alias("valid"))
