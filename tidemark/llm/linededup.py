@@ -1,221 +1,223 @@
-"""Operator 8: substring dedup by hashing lines and the sentences within them.
-
-Each text is cut into units: lines, cut again after sentence ends and before capitalised words, so
-that a passage pasted into the middle of a line starts a unit of its own. Pieces of fewer than four
-words prove nothing alone; they go with the unit that follows if both together recur. A unit is
-normalised (case folded, white space collapsed, punctuation at word edges dropped), and its 128-bit
-digests are grouped globally; the earliest occurrence, ranked by document id and then place, stays.
-Later occurrences go if they stand in a run of neighbouring repeated units that is long enough to be
-no accident. What goes is given by offsets into the original text.
-
-Where pieces are mostly short, units are few or none. So every stretch of neighbouring pieces that
-has a short one in it and just reaches the length of such a run is hashed as a whole, too, from each
-piece on. Later occurrences of a stretch go where units have not found the repetition. In scripts
-without spaces every character counts as a word.
+"""Operator 8: substring dedup by hashing paragraphs of whole lines and sentences.
+
+Each text is cut into pieces: lines, cut again after sentence ends and before capitalised words, so
+that a passage pasted into the middle of a line starts a piece of its own. Words are normalised (lower
+case, white space collapsed, punctuation at word edges dropped). The unit that is hashed is a
+paragraph: the fewest neighbouring pieces from one piece on, or up to one piece, that hold
+``LEAST_WORDS`` words. 128-bit digests are grouped globally; the earliest occurrence, ranked by
+document id and then place, stays, and every later one goes. What goes is given by offsets into the
+original text; paragraphs that overlap or follow one another are one span.
+
+So a passage is seen if whole pieces of ``LEAST_WORDS`` words of it recur, whatever the length of its
+pieces, and a short line that many documents share does not touch them. In scripts without spaces
+every letter counts as a word. Digests are polynomials over word hashes, so those of all paragraphs
+of many texts come from two running sums.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, slices
 
-#: Least words of a unit; words of one unit, or of a whole run, that prove a copy.
-MIN_UNIT, LONG_UNIT, LONG_RUN = 4, 8, 20
-_CUT = re.compile(r"\n|(?<=[.!?…])[ \t\r\x0b\x0c]+(?=\S)|[ \t\r\x0b\x0c](?=[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĪĮŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽΑ-ΩА-Я][a-zß-öø-ÿāăąćčďđēėęěğīįıłńňōőœřśşšťūůűźżžα-ωа-я])")
-#: Letters of scripts without spaces, and the sentence ends of other scripts; those of the former need no space after them.
-_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
-_LETTER = re.compile(f"[{_UNSPACED}]")
-_WIDE_END = re.compile("[。！？।॥؟۔]")
-_WIDE_CUT = re.compile(_CUT.pattern + r"|(?<=[।॥؟۔])[ \t\r\x0b\x0c]*(?=[^\s।॥؟۔])|(?<=[。！？])[ \t\r\x0b\x0c\u3000]*(?=[^\s。！？」』”’）])|(?<=[。！？][」』”’）])[ \t\r\x0b\x0c\u3000]*(?=[^\s。！？」』”’）])")
-_EDGE = re.compile(r"^\W+|\W+$")
+#: Words of a paragraph, at the least.
+LEAST_WORDS = 20
+#: Letters of scripts without spaces; ends of sentences that need white space after them, and that need none; what may close a sentence.
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿々-〇ぁ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]")
+_END, _WIDE_END, _CLOSE = ".!?…।॥؟۔", "。！？।॥؟۔", "」』”’）"
+_SPACE, _ALNUM, _UPPER, _LOWER, _WIDE, _ENDS, _WIDE_ENDS, _CLOSES = (1 << k for k in range(8))
+_BASES = 0x5851F42D4C957F2D, 0xDA942042E4DD58B5
+U = np.uint64
 
 
-def pieces(text: str | None) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, normal form) of each piece that has words, in order; offsets count characters."""
-    if not text:
-        return []
-    cut = _CUT if text.isascii() or not _WIDE_END.search(text) else _WIDE_CUT
-    out, at = [], 0
-    for b, nxt in [*((m.start(), m.end()) for m in cut.finditer(text)), (len(text), 0)]:
-        words = text[at:b].split()
-        if words:
-            out.append((at, b, _count(words), _normal(words)))
-        at = nxt
-    return out
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(flags, random number of the lower-case letter) of each character of the basic plane; its last two stand for those beyond."""
+    flags, low = np.zeros(1 << 16, dtype=np.uint8), np.arange(1 << 16)
+    for k in range(1 << 16):
+        c = chr(k)
+        flags[k] = _SPACE * c.isspace() | _ALNUM * (c.isalnum() or c == "_" or k == 0xFFFF) | _UPPER * c.isupper() | _LOWER * c.islower()
+        small = c.lower()
+        if small != c and len(small) == 1:
+            low[k] = ord(small)
+        if k > 0xE00 and _UNSPACED.match(c):
+            flags[k] |= _WIDE
+    for marks, flag in ((_END, _ENDS), (_WIDE_END, _WIDE_ENDS), (_CLOSE, _CLOSES)):
+        flags[[ord(c) for c in marks]] |= flag
+    return flags, (np.random.default_rng(5).integers(1, 1 << 63, 1 << 16, dtype=np.uint64) * U(2) + U(1))[low]
 
 
-def _count(words: list[str]) -> int:
-    joined = " ".join(words)
-    if joined.isascii() or not _LETTER.search(joined):
-        return len(words)
-    rest, n = _LETTER.subn(" ", joined)
-    return n + sum(1 for w in rest.split() if _EDGE.sub("", w))
+_power: dict[int, np.ndarray] = {}
 
 
-def _normal(words: list[str]) -> str:
-    words = " ".join(words).casefold().split()
-    return " ".join([w if w.isalnum() else _EDGE.sub("", w) for w in words])
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first powers of an odd base modulo 2^64, n at the least."""
+    if base not in _power or len(_power[base]) < n:
+        row = np.full(1 << max(18, (n - 1).bit_length()), base, dtype=np.uint64)
+        row[0] = 1
+        _power[base] = np.multiply.accumulate(row)
+    return _power[base]
 
 
-def _digest(norm: str, seed: int = 0) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"), seed)
-    return d >> 64, d & 0xFFFFFFFFFFFFFFFF
+def _ranges(values: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+    """Hash of values[a:b] for each range: a polynomial, wherever the range lies."""
+    up, down = _powers(base, len(values) + 1), _powers(pow(base, -1, 1 << 64), len(values) + 1)
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+    return _mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
 
 
-def units(text: str | None) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(pos, start, end, words, gap, high, low digest) of each unit, in order; offsets count characters.
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+    return h ^ (h >> U(31))
 
-    A unit that short pieces of ``gap`` words precede has a second entry of the same ``pos`` that
-    includes them (and gap 0).
-    """
-    return _units(pieces(text))
-
-
-def _units(found: list[tuple]) -> list[tuple]:
-    out: list[tuple] = []
-    pos, held, start, norms = 0, 0, -1, []
-    for at, b, n, norm in found:
-        if n >= MIN_UNIT:
-            out.append((pos, at, b, n, held, *_digest(norm)))
-            if held:
-                out.append((pos, start, b, n + held, 0, *_digest(" ".join([*norms, norm]))))
-            pos, held, start, norms = pos + 1, 0, -1, []
-        else:
-            start = at if start < 0 else start
-            held += n
-            norms.append(norm)
-    return out
-
-
-def stretches(text: str | None) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(pos, start, end, words, words before it, high, low digest) of each stretch, in order.
-
-    One begins at each piece and takes as few as have ``LONG_RUN`` words; those of units alone are
-    left out, since the units find them. ``pos`` counts pieces. Since stretches end with whole pieces,
-    the last pieces of a passage may be in none: fewer words than the piece has where the last one begins.
-    """
-    return _stretches(pieces(text))
-
-
-def _stretches(found: list[tuple]) -> list[tuple]:
-    out: list[tuple] = []
-    if all(n >= MIN_UNIT for _, _, n, _ in found):
-        return out
-    j = words = short = before = 0  # the stretch is found[i:j]
-    for i, (at, _, n, _) in enumerate(found):
-        while words < LONG_RUN and j < len(found):
-            words += found[j][2]
-            short += found[j][2] < MIN_UNIT
-            j += 1
-        if words < LONG_RUN:
-            if i and out and out[-1][2] < found[-1][1] and any(f[2] < MIN_UNIT for f in found[i - 1 :]):  # the last one of a text reaches its end
-                n = found[i - 1][2]
-                out.append((i - 1, found[i - 1][0], found[-1][1], words + n, before - n, *_digest(" ".join([f[3] for f in found[i - 1 :]]), 1)))
-            break
-        if short:
-            out.append((i, at, found[j - 1][1], words, before, *_digest(" ".join([f[3] for f in found[i:j]]), 1)))
-        words, short, before = words - n, short - (n < MIN_UNIT), before + n
-    return out
-
-
-def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, row_hash, pos, start, end, words, gap, before, hi, lo)``: every unit and stretch of every document.
-
-    ``before`` counts the words before a stretch; it is null for a unit, and ``gap`` for a stretch.
+
+def pieces(texts: list) -> dict[str, np.ndarray]:
+    """Pieces that have words, of all texts in order: number of the text, start and end in it, and words.
+
+    ``a`` and ``b`` give each piece's words in ``words``, the hashes of all normalised words.
     """
-    names = ["pos", "start", "end", "words"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 500):
-                part = b.iloc[i : i + 500]
-                cut = [pieces(t) for t in part["text"]]
-                for make, name in ((_units, "gap"), (_stretches, "before")):
-                    found = [make(c) for c in cut]
-                    count = [len(f) for f in found]
-                    flat = [u for f in found for u in f]
-                    if not flat:
-                        continue
-                    cols = list(zip(*flat, strict=True))
-                    out = pd.DataFrame({n: np.array(c, dtype=np.int32) for n, c in zip(names, cols[:4], strict=True)})
-                    for n in ("gap", "before"):
-                        out[n] = pd.array(cols[4] if n == name else [None] * len(out), dtype="Int32")
-                    out["hi"], out["lo"] = (np.array(c, dtype=np.uint64).view(np.int64) for c in cols[5:])
-                    out.insert(0, "doc_id", part["doc_id"].repeat(count).to_numpy())
-                    out.insert(1, "row_hash", part["row_hash"].repeat(count).to_numpy())
-                    yield out
+    flags, letters = _tables()
+    whole = "\n".join([*((t or "") for t in texts), ""])
+    cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    beyond = np.flatnonzero(cp > 0xFFFF)
+    if len(beyond):  # pictures are no letters; what else lies there is
+        far, cp = cp[beyond], cp.copy()
+        cp[beyond] = np.where((far >= 0x1F000) & (far < 0x20000), 0xFFFE, 0xFFFF)
+    f, values = flags[cp], letters[cp]
+    if len(beyond):
+        values[beyond] = _mix(far.astype(np.uint64))
+    space, wide = (f & _SPACE) != 0, (f & _WIDE) != 0
+    begins = ~space
+    if wide.any():
+        begins[1:] &= space[:-1] | wide[1:] | wide[:-1]
+    else:
+        begins[1:] &= space[:-1]
+    start = np.flatnonzero(begins)
+    stop = space.copy()
+    stop |= begins
+    end = np.flatnonzero(stop[1:] & ~space[:-1]) + 1  # the last character is a line break
+    # a cut before a word: a line break, a sentence end, or a capitalised word
+    cut = np.ones(len(start), dtype=bool)
+    if len(start) > 1:
+        breaks = np.cumsum(cp == 10, dtype=np.int32)
+        gap, last, first = start[1:] > end[:-1], f[end[:-1] - 1], f[start[1:]]
+        name = (first & _UPPER) != 0
+        name &= (f[np.minimum(start[1:] + 1, len(f) - 1)] & _LOWER) != 0
+        cut[1:] = (breaks[start[1:]] > breaks[end[:-1] - 1]) | gap & (((last & (_ENDS | _WIDE_ENDS)) != 0) | name)
+        tight = ~gap & ((last & (_WIDE_ENDS | _CLOSES)) != 0)
+        if tight.any():  # an end, or what closes it after an end, with no space behind it
+            ended = (last & _WIDE_ENDS) != 0
+            ended |= ((last & _CLOSES) != 0) & ((f[np.maximum(end[:-1] - 2, 0)] & _WIDE_ENDS) != 0)
+            cut[1:] |= tight & ended & ((first & (_WIDE_ENDS | _CLOSES)) == 0)
+    # words are what letters and digits a token has from the first to the last
+    some = np.flatnonzero(f & _ALNUM)
+    a, b = np.searchsorted(some, start), np.searchsorted(some, end)
+    real = b > a
+    piece = np.cumsum(cut) - 1
+    hashes = np.zeros(0, dtype=np.uint64)
+    if real.any():
+        hashes = _ranges(values, some[a[real]], some[b[real] - 1] + 1, _BASES[0])
+    n = np.bincount(piece[real], minlength=piece[-1] + 1 if len(piece) else 0)
+    heads = np.flatnonzero(cut)
+    tails = np.append(heads[1:], len(start)) - 1 if len(heads) else heads
+    kept = np.flatnonzero(n)
+    z = np.cumsum(n[kept])
+    lengths = np.array([len(t) + 1 if t else 1 for t in texts], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    from_, to = start[heads[kept]], end[tails[kept]]
+    text = np.searchsorted(ends, from_, side="right")
+    shift = (ends - lengths)[text]
+    return {"text": text, "start": from_ - shift, "end": to - shift, "n": n[kept], "a": z - n[kept], "b": z, "words": hashes}
+
+
+def paragraphs(texts: list, least: int = LEAST_WORDS) -> dict[str, np.ndarray]:
+    """Every paragraph of all texts: number of the text, first and last piece, start, end, words before, words, digests."""
+    p = pieces(texts)
+    m = len(p["n"])
+    total = np.concatenate(([0], np.cumsum(p["n"]))).astype(np.int64)
+    k = np.arange(m)
+    first = np.searchsorted(p["text"], np.arange(len(texts)))  # a text's first piece
+    past = np.searchsorted(p["text"], np.arange(len(texts)), side="right")
+    ahead = np.searchsorted(total, total[:-1] + least)  # pieces k to ahead - 1
+    behind = np.searchsorted(total, total[1:] - least, side="right") - 1  # pieces behind to k
+    fits, ends = ahead <= past[p["text"]], behind >= first[p["text"]]
+    both = np.unique(np.concatenate([k[fits] * (m + 1) + ahead[fits], behind[ends] * (m + 1) + k[ends] + 1]))
+    i, j = both // (m + 1), both % (m + 1)
+    a, b = p["a"][i], p["b"][j - 1]
+    text = p["text"][i]
+    return {
+        "text": text,
+        "pos": i - first[text],
+        "last": j - 1 - first[text],
+        "start": p["start"][i],
+        "end": p["end"][j - 1],
+        "before": total[i] - total[first[text]],
+        "words": total[j] - total[i],
+        "hi": _ranges(_mix(p["words"]), a, b, _BASES[0]).view(np.int64),
+        "lo": _ranges(p["words"], a, b, _BASES[1]).view(np.int64),
+    }
+
+
+def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """``(doc_id, row_hash, pos, last, start, end, before, words, hi, lo)``: every paragraph of every document."""
+    ints = ("pos", "last", "start", "end", "before", "words")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for at in slices(texts, 1 << 19):
+                found = paragraphs(texts[at], least)
+                rows = pa.array(found["text"] + at.start)
+                columns = [batch.column("doc_id").take(rows), batch.column("row_hash").take(rows), *(pa.array(found[c].astype(np.int32)) for c in ints), pa.array(found["hi"]), pa.array(found["lo"])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", *ints, "hi", "lo"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, "doc_id long, row_hash long, pos int, start int, end int, words int, gap int, before int, hi long, lo long")
+    return kept.mapInArrow(run, "doc_id long, row_hash long, " + ", ".join(f"{c} int" for c in ints) + ", hi long, lo long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``(doc_id, row_hash, start, end, words, kept_doc_id)``: one row per span to remove.
 
     ``start`` and ``end`` are character offsets into the original text, ``kept_doc_id`` the document
-    that keeps the earliest occurrence of the span's longest unit (of a span found by stretches, of
-    its first). A run is a maximal sequence of neighbouring units that each occurred before (in an
-    earlier document, or earlier in this one); it is removed if one of its units has ``LONG_UNIT``
-    words or all together have ``LONG_RUN``. Short pieces in it that are not part of the repetition
-    stay, and split it into several spans. A stretch that occurred before is removed if it touches
-    none of these spans; what overlaps its own earliest occurrence stays, and stretches that overlap
-    are one span. Documents rank by id, null last, then by text hash. Rows that agree in id and text
-    are one document. Null and empty texts have no units; documents without repeats give no row.
+    that keeps the earliest occurrence of the span's first paragraph. A paragraph goes if it occurred
+    before, in an earlier document or earlier in this one; what overlaps its own earliest occurrence
+    stays. Documents rank by id, null last, then by text hash; rows that agree in id and text are one
+    document. Null and empty texts, and texts of fewer than ``least`` words, have no paragraph;
+    documents without repeats give no row; an empty table gives an empty result; other columns are
+    ignored. Texts are cut and hashed once: the table of paragraphs is written to the shared folder.
     """
-    rows = unit_table(docs, id_col, text_col)
-    rank = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_hash", "pos")
+    rows = durable(unit_table(docs, id_col, text_col, least))
+    rank = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_hash", "start")
     # Partial aggregation folds a hot digest into one row per task before the shuffle.
-    place = F.struct(rank.alias("rank"), F.col("end").alias("to"), (F.col("before") + F.col("words")).alias("past"))
+    place = F.struct(rank.alias("rank"), F.col("end").alias("to"), F.col("last").alias("last"), (F.col("before") + F.col("words")).alias("past"))
     first = rows.groupBy("hi", "lo").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "f")
-    later = durable(rows.join(first, ["hi", "lo"]).where(rank > F.col("f.rank")).select("doc_id", "row_hash", "pos", "start", "end", "words", "gap", "before", "f"))
-    # of a unit's two entries the longer counts; rows that occur several times count once
-    of_units = later.where("before is null").groupBy("doc_id", "row_hash", "pos").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words"), F.min_by("gap", "start").alias("gap"), F.max_by("f.rank.doc_id", "words").alias("kept_doc_id"))
-    by_pos = Window.partitionBy("doc_id", "row_hash").orderBy("pos")
-    runs = of_units.withColumn("run", F.col("pos") - F.row_number().over(by_pos)).withColumn("part", F.sum((F.col("gap") > 0).cast("int")).over(by_pos))
-    of_run = Window.partitionBy("doc_id", "row_hash", "run")
-    runs = runs.withColumn("all", F.sum("words").over(of_run)).withColumn("longest", F.max("words").over(of_run))
-    spans = (
-        runs.where((F.col("longest") >= LONG_UNIT) | (F.col("all") >= LONG_RUN))
-        .groupBy("doc_id", "row_hash", "run", "part")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("words"), F.max_by("kept_doc_id", F.struct("words", -F.col("pos"))).alias("kept_doc_id"))
-        .select("doc_id", "row_hash", "start", "end", "words", "kept_doc_id")
-    )
-    return _with_stretches(durable(spans), later.where("before is not null"))
-
-
-def _with_stretches(spans: DataFrame, later: DataFrame) -> DataFrame:
-    """``spans`` and the spans of the later occurrences of stretches that touch none of them."""
-    here = (F.col("f.rank.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("f.rank.row_hash") == F.col("row_hash"))
-    own = here & (F.col("f.to") > F.col("start"))
+    later = rows.join(first, ["hi", "lo"]).where(rank > F.col("f.rank"))
+    own = F.col("f.rank.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("f.rank.row_hash") == F.col("row_hash")) & (F.col("f.to") > F.col("start"))
     found = later.select(
         "doc_id",
         "row_hash",
+        F.when(own, F.col("f.last") + 1).otherwise(F.col("pos")).alias("pos"),
+        "last",
         F.when(own, F.col("f.to")).otherwise(F.col("start")).alias("start"),
         "end",
         F.when(own, F.col("f.past")).otherwise(F.col("before")).cast("long").alias("before"),
         (F.col("before") + F.col("words")).cast("long").alias("past"),
         F.col("f.rank.doc_id").alias("kept_doc_id"),
-    ).distinct()
-    none = F.lit(None).cast("long")
-    both = found.withColumn("at", F.col("end")).withColumn("span_end", F.lit(None).cast("int")).unionByName(
-        spans.select("doc_id", "row_hash", "start", "end", none.alias("before"), none.alias("past"), "kept_doc_id", F.col("start").alias("at"), F.col("end").alias("span_end"))
-    )
-    # a stretch comes after the spans that begin before its end, of which the last end decides
-    ahead = Window.partitionBy("doc_id", "row_hash").orderBy("at", F.col("span_end").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    free = both.withColumn("reach", F.max("span_end").over(ahead)).where("span_end is null and start < end and (reach is null or reach <= start)")
-    in_order = Window.partitionBy("doc_id", "row_hash").orderBy("start", "end")
-    free = free.withColumn("new", F.coalesce((F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0)))
-    free = free.withColumn("group", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    whole = free.groupBy("doc_id", "row_hash", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("past") - F.min("before")).alias("words"), F.min_by("kept_doc_id", F.struct("start", "end")).alias("kept_doc_id"))
-    return spans.unionByName(whole.drop("group"))
+    ).where("pos <= last")
+    in_order = Window.partitionBy("doc_id", "row_hash").orderBy("pos", "last", "kept_doc_id")
+    reach = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("new", F.coalesce((F.col("pos") > reach + 1).cast("int"), F.lit(0)))
+    found = found.withColumn("span", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = found.groupBy("doc_id", "row_hash", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("past") - F.min("before")).alias("words"), F.min_by("kept_doc_id", F.struct("pos", "last")).alias("kept_doc_id"))
+    return spans.drop("span")
 
 
 def cut_spans(text: str | None, starts, ends) -> str | None:
@@ -233,20 +235,21 @@ def cut_spans(text: str | None, starts, ends) -> str | None:
     return "".join(out)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with later occurrences of repeated passages cut out of the text; no row is dropped.
 
     A document of which nothing is left keeps its row with an empty text. Rows with a null id are
-    matched by null-safe equality; other columns pass through, whatever their names.
+    matched by null-safe equality, null texts stay null, other columns pass through, whatever their
+    names (each row travels as one struct). Repeated rows are cut alike.
     """
 
     def run(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut_spans(t, [x["start"] for x in s], [x["end"] for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    spans = repeated_spans(docs, id_col, text_col)
-    spans = spans.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    spans = durable(spans).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__h"), "__spans")
-    keyed = docs.withColumn("__key", F.xxhash64(text_col))
-    joined = keyed.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
-    cut = F.pandas_udf(run, "string")(F.col(text_col), F.col("__spans"))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    spans = repeated_spans(docs, id_col, text_col, least)
+    spans = durable(spans.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("row_hash")), "left")
+    text = F.col("row")[text_col]
+    cut = F.when(F.col("spans").isNull(), text).otherwise(F.pandas_udf(run, "string")(text, "spans"))
+    return joined.select(*[cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
