@@ -38,7 +38,7 @@ def by_hand(text):
     return [x for x in out if x[2]]
 
 
-def brute(docs, least=linededup.LEAST_WORDS):
+def brute(docs, unit=7, least=20):
     """{(doc, text): [(start, end)]} by definition."""
     rows = {d for d in docs if d[1] is not None}
     every = []
@@ -47,12 +47,9 @@ def brute(docs, least=linededup.LEAST_WORDS):
         n = [len(p[2]) for p in ps]
         found = set()
         for i in range(len(ps)):
-            j = next((j for j in range(i, len(ps)) if sum(n[i : j + 1]) >= least), None)
+            j = next((j for j in range(i, len(ps)) if sum(n[i : j + 1]) >= unit), None)
             if j is not None:
                 found.add((i, j))
-            k = next((k for k in range(i, -1, -1) if sum(n[k : i + 1]) >= least), None)
-            if k is not None:
-                found.add((k, i))
         for i, j in found:
             key = tuple(w for p in ps[i : j + 1] for w in p[2])
             every.append((key, (doc_id is None, doc_id or 0, text, ps[i][0]), (doc_id, text), i, j, ps))
@@ -72,10 +69,12 @@ def brute(docs, least=linededup.LEAST_WORDS):
         ps, spans = by_hand(doc[1]), []
         for k in sorted(some):
             if k - 1 not in some:
-                spans.append([begin.get((doc, k), ps[k][0]), 0])
+                spans.append([begin.get((doc, k), ps[k][0]), 0, 0])
             spans[-1][1] = ps[k][1]
+            spans[-1][2] += len(ps[k][2])
+        spans = [(a, b) for a, b, n in spans if n >= least]
         if spans:
-            out[doc] = [tuple(s) for s in spans]
+            out[doc] = spans
     return out
 
 
@@ -176,7 +175,7 @@ def test_a_short_line_that_many_share_touches_none(spark):
     rows = [(i, sentences(rng, 4) + "\n" + line + "\n" + sentences(rng, 4)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert linededup.repeated_spans(df).count() == 0
-    assert linededup.repeated_spans(df, least=10).count() == 59  # asked for, it goes
+    assert linededup.repeated_spans(df, least=12).count() == 59  # asked for, it goes
 
 
 def test_passages_of_short_pieces_go(spark):
@@ -210,6 +209,6 @@ def test_passages_of_short_pieces_go(spark):
     assert all(not gone[i] for i in range(3, 60, 4))
     for i in (100, 102):
         assert {p for p in range(len(texts[i])) if not texts[i][p].isspace()} <= gone[i]
-    assert gone[101] and min(gone[101]) >= 79  # the first 20 words stay
+    assert gone[101] and min(gone[101]) >= 27  # the first paragraph, 7 words, stays
 
 
