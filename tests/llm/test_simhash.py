@@ -114,3 +114,16 @@ def test_one_of_each_group_without_ids_and_with_shared_ids(spark):
     got = sorted(r.n for r in simhash.one_of_each_group(df).collect())
     assert got == [1, 2, 4, 5, 6, 7, 9]
     assert simhash.one_of_each_group(df.limit(0)).count() == 0
+
+
+def test_one_of_each_group_whatever_the_names(spark):
+    rng = random.Random(9)
+    a, b = (" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(60)) for _ in range(2))
+    rows = [(3, b, 1, 2, 3, 4, 5), (5, b, 1, 2, 3, 4, 5), (5, a, 1, 2, 3, 4, 5), (7, a, 1, 2, 3, 4, 5), (None, a, 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __fp int, __id int, __h int, id int, row int")
+    got = simhash.one_of_each_group(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == sorted([rows[0], rows[2]])
+    large = spark.createDataFrame([(2**53 + 1, a), (None, b), (2**53 + 3, b)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(large).collect()) == [2**53 + 1, 2**53 + 3]
+    assert {r.doc_id for r in simhash.near_duplicates(large).collect()} == {2**53 + 1, None, 2**53 + 3}

@@ -1,18 +1,20 @@
 """Operator 5: SimHash near-duplicates, found by Golay-code fuzzy hashing.
 
-A fingerprint has 64 bits. Two fingerprints that differ in at most four bits agree wholly in one of
-five blocks (13, 13, 13, 13 and 12 bits). The other 51 or 52 bits are cut into two segments of at
-most 23 bits (the few bits beyond 46 are not needed for a key), of which one differs in at most two
-bits. Such a segment is decoded with the perfect binary Golay code (23, 12, 7): its keys are the
-indices of all code words within distance four, which is one or six of them. If two segments differ
-in at most two bits, a vector between them lies within three bits of some code word, and so both lie
-within four bits of it: they share a key. A pair that must be found therefore shares the block's bits
-and a code word's index in at least one of the ten (block, segment) tables; each candidate is then
-verified by counting the differing bits. No pair within four bits is missed.
+A fingerprint has 64 bits, cut into six blocks of 10 or 11. Two fingerprints that differ in at most
+four bits agree wholly in two of the six blocks. The other 42 to 44 bits are cut into two segments of
+21 or 22 bits, of which one differs in at most two bits. Such a segment is decoded with the perfect
+binary Golay code (23, 12, 7): its keys are the indices of all code words within distance four, which
+is one or six of them. If two segments differ in at most two bits, a vector between them lies within
+three bits of some code word, and so both lie within four bits of it: they share a key. A pair that
+must be found therefore shares the bits of two blocks and a code word's index in at least one of the
+thirty (pair of blocks, segment) tables; each candidate is then verified by counting the differing
+bits. No pair within four bits is missed. Keys have 32 to 34 bits, so few fingerprints share one by
+chance up to some billions of them, and the work grows with the rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable
+from .common import connected_components, durable, map_texts
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
-#: First bit and number of bits of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: First bit and number of bits of the six blocks.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 
@@ -85,20 +87,18 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, one row per input row; ``fp`` is the fingerprint as a signed 64-bit integer."""
+def _signed(texts: list) -> np.ndarray:
+    return np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fp)``, one row per input row; ``fp`` is the fingerprint as a signed 64-bit integer."""
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, "doc_id long, fp long")
+    return map_texts(kept, lambda texts: {"fp": _signed(texts)}, "fp long")
 
 
 def golay_keys(prints: DataFrame) -> DataFrame:
-    """``(key, fp)``: the keys of each distinct fingerprint in the ten (block, segment) tables."""
+    """``(key, fp)``: the keys of each distinct fingerprint in the thirty (pair of blocks, segment) tables."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = golay_tables()
@@ -113,16 +113,15 @@ def golay_keys(prints: DataFrame) -> DataFrame:
 
 def _keys_of(signed: np.ndarray, tables) -> Iterator[pd.DataFrame]:
     bits = signed.view(np.uint64)
-    for t, (at, width) in enumerate(BLOCKS):
-        at_, width_ = np.uint64(at), np.uint64(width)
-        block = bits >> at_ & np.uint64((1 << width) - 1)
-        rest = bits & np.uint64((1 << at) - 1) | bits >> (at_ + width_) << at_  # the other bits, closed up
-        for s in range(2):
-            seg = (rest >> np.uint64(23 * s) & np.uint64((1 << 23) - 1)).astype(np.int64)
-            idx = np.sort(segment_keys(seg, tables).astype(np.int64), axis=1)
+    part = [(bits >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in BLOCKS]
+    for t, pair in enumerate(itertools.combinations(range(len(BLOCKS)), 2)):
+        exact = part[pair[0]] << BLOCKS[pair[1]][1] | part[pair[1]]
+        rest = [k for k in range(len(BLOCKS)) if k not in pair]
+        for s, (one, two) in enumerate((rest[:2], rest[2:])):
+            idx = np.sort(segment_keys(part[one] << BLOCKS[two][1] | part[two], tables).astype(np.int64), axis=1)
             new = np.ones(idx.shape, dtype=bool)
             new[:, 1:] = idx[:, 1:] != idx[:, :-1]
-            key = (np.int64(2 * t + s) << 25 | block.astype(np.int64)[:, None] << 12) | idx
+            key = (np.int64(2 * t + s) << 34 | exact[:, None] << 12) | idx
             yield pd.DataFrame({"key": key[new], "fp": np.repeat(signed, 6).reshape(idx.shape)[new]})
 
 
@@ -189,21 +188,15 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Among a group's rows that share the least id, the one with the least text hash stays; rows equal
     in both are one row. A group whose ids are all null keeps one row, by text hash. Groups are told
     apart by their fingerprints, so documents of different groups may share an id, or have none.
+    Null and empty texts are one group; an empty table gives an empty result; columns pass through,
+    whatever their names (each row travels as one struct, and meets the keepers once).
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "fp": fp})
-
     # null and empty texts differ in nothing here
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias("h"), F.col(text_col).alias("text"))
-    rows = durable(kept.mapInPandas(run, "doc_id long, h long, fp long"))
+    name = (F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).cast("long").isNull().alias("nil"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    rows = durable(map_texts(docs.select(*name, F.col(text_col).alias("text")), lambda texts: {"fp": _signed(texts)}, "fp long"))
+    groups = _grouped(rows.select(F.when(~F.col("nil"), F.col("id")).alias("doc_id"), "fp")).select("fp", "comp")
     # a group's keeper is chosen by partial aggregation, so a group of any size is one row per task
-    keepers = rows.join(_grouped(rows.select("doc_id", "fp")).select("fp", "comp"), "fp").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "h")).alias("k"))
+    keepers = rows.join(groups, "fp").groupBy("comp").agg(F.min(F.struct("nil", "id", "h")).alias("k")).select("k.*")
     # equal texts are in one group, so id and text hash name the keeper of one group only
-    keepers = durable(keepers.select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h")))
-    keyed = docs.withColumn("__key", F.col(id_col).cast("long")).withColumn("__fp", text_hash)
-    picked = keyed.join(keepers, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__h")), "left_semi")
-    return picked.dropDuplicates(["__key", "__fp"]).select(*docs.columns)
+    kept = docs.select(*name, F.struct(*docs.columns).alias("row")).join(durable(keepers), ["id", "nil", "h"], "left_semi")
+    return kept.groupBy("id", "nil", "h").agg(F.first("row").alias("row")).select("row.*")
