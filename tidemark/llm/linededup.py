@@ -191,9 +191,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stays. Spans of fewer than ``least`` words stay. Documents rank by id, null last, then by text hash; rows that agree in id and text are one
     document. Null and empty texts, and texts of fewer than ``unit`` words, have no paragraph;
     documents without repeats give no row; an empty table gives an empty result; other columns are
-    ignored. Texts are cut and hashed once: the table of paragraphs is written to the shared folder.
+    ignored. Texts are cut and hashed twice, once for the digests and once for the rows that meet them,
+    which costs less than a table of all paragraphs would take.
     """
-    rows = durable(unit_table(docs, id_col, text_col, unit))
+    rows = unit_table(docs, id_col, text_col, unit)
     rank = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_hash", "start")
     # Partial aggregation folds a hot digest into one row per task before the shuffle.
     place = F.struct(rank.alias("rank"), F.col("end").alias("to"), F.col("last").alias("last"), (F.col("before") + F.col("words")).alias("past"))
