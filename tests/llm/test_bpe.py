@@ -36,9 +36,8 @@ def test_agrees_with_library_exactly(library):
     c = bpe.ChunkCoder(PATH)
     raw = [(t or "").encode() for t in texts]
     for got in (c.encode_batch(raw), c.encode_batch(raw)):
-        assert got == [by_library(library, t) for t in texts]
-    assert all(c.decode(ids) == text for ids, text in got)
-    assert c.reused > c.encoded
+        assert [(ids, c.decode(ids)) for ids in got] == [by_library(library, t) for t in texts]
+    assert c.reused > c.encoded and c.whole == 0
 
 
 def test_small_stores_give_the_same(library, monkeypatch):
@@ -47,17 +46,40 @@ def test_small_stores_give_the_same(library, monkeypatch):
     texts = odd_texts()[-12:]
     c = bpe.ChunkCoder(PATH)
     for t in texts * 2:
-        assert c.encode_batch([t.encode()]) == [by_library(library, t)]
+        assert c.encode_batch([t.encode()]) == [by_library(library, t)[0]]
 
 
-def test_a_wrong_repair_is_widened(library, monkeypatch):
-    c = bpe.ChunkCoder(PATH)
+def test_joins_are_widened_until_they_agree(library, monkeypatch):
     text = odd_texts()[-1].encode()
-    monkeypatch.setattr(c, "_plan", lambda chunks: [x if isinstance(x, tuple) else x + b"zz" for x in bpe.ChunkCoder._plan(chunks)])
-    real = c._learn
-    monkeypatch.setattr(c, "_learn", lambda ws: {w: v for ws_ in [list(ws)] for w, v in real([x.removesuffix(b"zz") for x in ws_]).items() for w in (w, w + b"zz")})
-    got = c.encode_batch([text])
-    assert c.widened == 1 and got == [by_library(library, text.decode())]
+    want = by_library(library, text.decode())[0]
+    for steps, edge in enumerate((None, ("last",), ("last", "all"))):
+        c = bpe.ChunkCoder(PATH)
+        real = c._edge
+        if edge:  # an edge that cannot agree at the narrower windows
+
+            def wrong(chunk, step, side, real=real, edge=edge):
+                words, ids = real(chunk, step, side)
+                return (words, b"\xff\xff\xff\xff" + ids) if step in edge else (words, ids)
+
+            monkeypatch.setattr(c, "_edge", wrong)
+        assert c.encode_batch([text]) == [want]
+        assert (c.widened > 0) == (steps > 0) and c.whole == (steps == 2)
+
+
+def test_passages_in_other_surroundings_reuse_chunks():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    passage = " ".join(word() for _ in range(12_000))
+    c = bpe.ChunkCoder(PATH)
+    c.encode_batch([passage.encode()])
+    before = c.encoded
+    c.encode_batch([(" ".join(word() for _ in range(50)) + passage + "x " + word()).encode()])
+    assert c.encoded - before <= 4 < before
+
+
+def test_tokens_that_hold_white_space_are_refused():
+    with pytest.raises(ValueError):
+        bpe.ChunkCoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_table(spark, sf_dir, library):
@@ -72,7 +94,7 @@ def test_table(spark, sf_dir, library):
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(None, "a b", 1), (1, None, 2), (1, None, 2), (2, "", 3)], "doc_id long, text string, n_tokens int")
+    df = spark.createDataFrame([(None, "a b", 1, 5), (1, None, 2, 5), (1, None, 2, 5), (2, "", 3, 5), (2**53 + 1, "c", 4, 5)], "doc_id long, text string, n_tokens int, ids int")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, bytes(r.ids)) for r in bpe.encode(df, PATH).collect())
-    assert [g[2] for g in got] == [0, 0, 0, 2] and got[0][3] == b""
+    assert [g[1:3] for g in got] == [(1, 0), (1, 0), (2, 0), (2**53 + 1, 1), (0, 2)] and got[0][3] == b""
     assert bpe.encode(df.limit(0), PATH).count() == 0

@@ -2,11 +2,15 @@
 
 A rolling hash over the bytes cuts every text into chunks at places that depend on the content
 alone, so copied passages give the same chunks in every document. A worker encodes each distinct
-chunk once and keeps it in a bounded store (evicting an entry costs time, never a result). A cut may
-fall inside a word; then the chunk's encoding is wrong at that edge. Such joins are repaired: the
-word across the cut is encoded again as a whole, and the repair is accepted only when a window of
-words around the join, encoded as one text, agrees exactly with what was put together. The window
-is widened until they agree; at its widest it is the whole text.
+chunk once and keeps it in a bounded store (evicting an entry costs time, never a result). A chunk's
+encoding is put together from its words', which the library gives and a store keeps, too: white space
+never enters a token, which is checked when the tokenizer is loaded.
+
+A cut may fall inside a word, so a chunk's first and last piece of word are left open. Such joins are
+repaired by encoding a window around the cut as one text: one whole word on each side and the joined
+word between. If the window's outer words agree exactly with the chunks' own encodings, its middle is
+the repair. If not, the window is widened, first to all whole words of both chunks, at last to the
+text. Decoding goes from the ids alone.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 #: A cut follows a byte where the low bits of the rolling hash are all zero: one in 2,048.
 CUT_BITS = 11
 #: Bytes of ids and tokens that a worker keeps for chunks, and for words.
@@ -57,22 +63,34 @@ class _Store:
 
     def __init__(self, bound: int):
         self.bound, self.held = bound // 2, 0
-        self.new: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
+        self.new: dict = {}
+        self.old: dict = {}
 
-    def get(self, key: bytes) -> tuple | None:
+    def get(self, key: bytes):
         value = self.new.get(key)
         if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
+            self.put(key, value, 0)
         return value
 
-    def put(self, key: bytes, value: tuple) -> None:
+    def put(self, key: bytes, value, size: int) -> None:
         self.new[key] = value
-        self.held += 320 + len(key) + len(value[0]) + len(value[1]) + (len(value[2]) if len(value) > 2 else 0)
+        self.held += 250 + len(key) + size
         if self.held > self.bound:
             self.old, self.new, self.held = self.new, {}, 0
 
 
+class Chunk(NamedTuple):
+    """A chunk's encoding but for the pieces of words at its ends."""
+
+    head: bytes  # up to the first white space; empty if the chunk begins with it
+    tail: bytes
+    ids: bytes  # of the whole words between
+    words: bytes  # these words, one space between
+    first: tuple[bytes, bytes]  # the first and the last of them, with their ids
+    last: tuple[bytes, bytes]
+    spaced: bool  # has white space at all
+
+
 class ChunkCoder:
     """Encodes and decodes texts exactly as one tokenizers file does, reusing chunks."""
 
@@ -89,18 +107,24 @@ class ChunkCoder:
         self.names = [names.get(i, b"") for i in range(max(names) + 1)]
         self.ends = np.array([n.endswith(b"</w>") for n in self.names])
         self.words, self.chunks = _Store(WORD_BYTES), _Store(CHUNK_BYTES)
-        self.reused = self.encoded = self.widened = 0
-
-    def encode_whole(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, tokens joined by spaces) of each text, by the library alone."""
-        name = self.names.__getitem__
-        out = []
-        for e in self.tok.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False):
-            ids = e.ids
-            out.append((_packed(ids), b" ".join(map(name, ids))))
-        return out
-
-    def encode_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        self.reused = self.encoded = self.widened = self.whole = 0
+        self._check_white_space()
+
+    def _check_white_space(self) -> None:
+        """White space must part tokens and leave none behind, whatever stands around it."""
+        sides = ["a", "don't", "Z9", "'s", "12", "#!", "é", "e\u0301", "\u0301", "中文", "🙂", "</w>", *(t.content for t in self.tok.get_added_tokens_decoder().values())]
+        one = dict(zip(sides, self.encode_whole([x.encode() for x in sides]), strict=True))
+        for gap in (" ", "\n", "\t \r\x0b\x0c"):
+            pairs = [(x, y) for x in sides for y in sides]
+            found = self.encode_whole([f"{gap}{x}{gap}{y}{gap}".encode() for x, y in pairs])
+            if any(f != one[x] + one[y] for f, (x, y) in zip(found, pairs, strict=True)):
+                raise ValueError("a tokenizer whose tokens hold or cross white space is not supported")
+
+    def encode_whole(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers, by the library alone."""
+        return [_packed(e.ids) for e in self.tok.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)]
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
         """As ``encode_whole``, with plain words going to the library many at a time.
 
         A plain word is made of Latin letters, digits and ASCII marks, so the number of pieces that
@@ -125,15 +149,15 @@ class ChunkCoder:
             if len(ends) != want[-1] or ends[-1] != len(ids):
                 odd += [k for k, _ in plain[i : i + 256]]
                 continue
-            raw, names, a = _packed(ids), [self.names[x] for x in ids], 0
+            raw, a = _packed(ids), 0
             for (k, _), b in zip(plain[i : i + 256], ends[want - 1].tolist(), strict=True):
-                out[k] = raw[4 * a : 4 * b], b" ".join(names[a:b])
+                out[k] = raw[4 * a : 4 * b]
                 a = b
         for k, v in zip(odd, self.encode_whole([words[k] for k in odd]), strict=True):
             out[k] = v
         return out
 
-    def _learn(self, words) -> dict[bytes, tuple[bytes, bytes]]:
+    def _learn(self, words) -> dict[bytes, bytes]:
         """Encodings of distinct words, from the store or the library."""
         have, known, new = {}, self.words, []
         for w in words:
@@ -146,11 +170,11 @@ class ChunkCoder:
             part = new[i : i + 20_000]
             for w, v in zip(part, self.encode_words(part), strict=True):
                 have[w] = v
-                known.put(w, v)
+                known.put(w, v, len(v))
         return have
 
-    def encode_batch(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """As ``encode_whole``, by chunks: the same bytes for every text."""
+    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
+        """As ``encode_whole``, by chunks: the same ids for every text."""
         pieces = [self._split(t) for t in texts]
         local = {c: self.chunks.get(c) for p in pieces for c in p}
         fresh = [c for c, v in local.items() if v is None]
@@ -160,36 +184,37 @@ class ChunkCoder:
         have = self._learn({w for ws in words for w in ws})
         for c, ws in zip(fresh, words, strict=True):
             local[c] = v = self._chunk(c, ws, have)
-            self.chunks.put(c, v)
-        # words across cuts, and the windows that prove each repair
+            self.chunks.put(c, v, 2 * len(c) + len(v.ids))
         plans = [self._plan([local[c] for c in p]) for p in pieces]
-        across = self._learn({w for plan in plans for w in plan if isinstance(w, bytes) and w})
-        out = []
-        windows: list[bytes] = []
-        expect: list[bytes] = []
-        owner: list[int] = []
-        for k, plan in enumerate(plans):
-            parts = [x[2] if isinstance(x, tuple) else across[x] for x in plan if x != b""]
-            parts = [p for p in parts if p[0] or p[1]]
-            out.append((b"".join(p[0] for p in parts), b" ".join(p[1] for p in parts)))
-            for j, x in enumerate(plan):
-                if isinstance(x, bytes) and x and len(plan) > 1:
-                    left = plan[j - 1][1] if j and isinstance(plan[j - 1], tuple) else b""
-                    right = plan[j + 1][0] if j + 1 < len(plan) and isinstance(plan[j + 1], tuple) else b""
-                    windows.append(b" ".join(w for w in (left, x, right) if w))
-                    side = self._learn([w for w in (left, right) if w])
-                    expect.append((side[left][0] if left else b"") + across[x][0] + (side[right][0] if right else b""))
-                    owner.append(k)
-        bad = set()
-        for i in range(0, len(windows), 5000):
-            for e, want, k in zip(self.encode_whole(windows[i : i + 5000]), expect[i : i + 5000], owner[i : i + 5000], strict=True):
-                if e[0] != want:
-                    bad.add(k)
+        # every open word, with its narrowest window: (text, chunk before, chunk after)
+        joins = [(k, j, plan[j - 1] if j else None, x, plan[j + 1] if j + 1 < len(plan) else None) for k, plan in enumerate(plans) for j, x in enumerate(plan) if isinstance(x, bytes)]
+        repairs, bad = {}, set()
+        for step in ("last", "all"):
+            windows = [(self._edge(left, step, -1), x, self._edge(right, step, 0)) for _, _, left, x, right in joins]
+            again = []
+            for i in range(0, len(joins), 5000):
+                part = windows[i : i + 5000]
+                for join, (left, _, right), ids in zip(joins[i : i + 5000], part, self.encode_whole([b" ".join([w for w in (left[0], x, right[0]) if w]) for left, x, right in part]), strict=True):
+                    if ids.startswith(left[1]) and ids.endswith(right[1]) and len(ids) >= len(left[1]) + len(right[1]):
+                        repairs[join[:2]] = ids[len(left[1]) : len(ids) - len(right[1])]
+                    else:
+                        again.append(join)
+            joins = again
+            self.widened += len(joins)
+        bad = {join[0] for join in joins}
+        out = [b"" if k in bad else b"".join([repairs[k, j] if isinstance(x, bytes) else x.ids for j, x in enumerate(plan)]) for k, plan in enumerate(plans)]
         for k in bad:  # the widest window is the text itself
-            self.widened += 1
+            self.whole += 1
             out[k] = self.encode_whole([texts[k]])[0]
         return out
 
+    @staticmethod
+    def _edge(chunk: Chunk | bytes | None, step: str, side: int) -> tuple[bytes, bytes]:
+        """(words, ids) of the whole words next to a join: one, or all of the chunk's; none beside another join."""
+        if not isinstance(chunk, Chunk):
+            return b"", b""
+        return (chunk.words, chunk.ids) if step == "all" else (chunk.last if side else chunk.first)
+
     @staticmethod
     def _split(text: bytes) -> list[bytes]:
         if not text:
@@ -200,31 +225,32 @@ class ChunkCoder:
         ends = ends[(data[ends] & 0xC0) != 0x80].tolist()  # never inside a character
         return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
 
-    def _chunk(self, c: bytes, ws: list[bytes], have) -> tuple:
-        """(open head word or empty, ids and tokens between, open tail word or empty, first and last word between, has white space)."""
+    @staticmethod
+    def _chunk(c: bytes, ws: list[bytes], have) -> Chunk:
+        none = b"", b""
         if not ws:
-            return b"", b"", b"", b"", b"", b"", True
+            return Chunk(b"", b"", b"", b"", none, none, True)
         first, last = not _SPACE[c[0]], not _SPACE[c[-1]]
         if first and last and len(ws) == 1:
-            return c, b"", b"", b"", b"", b"", False
+            return Chunk(c, b"", b"", b"", none, none, False)
         mid = ws[first : len(ws) - last]
-        pairs = [have[w] for w in mid]
-        ids, toks = b"".join([p[0] for p in pairs]), b" ".join([p[1] for p in pairs if p[1] or p[0]])
-        return (ws[0] if first else b""), ids, toks, (ws[-1] if last else b""), (mid[0] if mid else b""), (mid[-1] if mid else b""), True
+        ids = [have[w] for w in mid]
+        ends = ((mid[0], ids[0]), (mid[-1], ids[-1])) if mid else (none, none)
+        return Chunk(ws[0] if first else b"", ws[-1] if last else b"", b"".join(ids), b" ".join(mid), *ends, True)
 
     @staticmethod
-    def _plan(chunks: list[tuple]) -> list:
-        """Alternating words to encode (bytes) and what is known: (first word, last word, (ids, tokens))."""
+    def _plan(chunks: list[Chunk]) -> list:
+        """What a text is put together from: chunks that have whole words, and the open words between."""
         plan: list = []
         open_ = b""
-        for head, ids, toks, tail, first, last, spaced in chunks:
-            if not spaced:
-                open_ += head
+        for c in chunks:
+            if not c.spaced:
+                open_ += c.head
                 continue
-            plan.append(open_ + head)
-            if ids or toks:
-                plan.append((first, last, (ids, toks)))
-            open_ = tail
+            plan.append(open_ + c.head)
+            if c.words:
+                plan.append(c)
+            open_ = c.tail
         plan.append(open_)
         return [x for x in plan if x != b""]
 
@@ -243,45 +269,37 @@ def coder(path: str) -> ChunkCoder:
     return _coders[path]
 
 
+def _coded(texts: list, tokenizer: str, rows: int) -> Iterator[tuple[ChunkCoder, list[bytes]]]:
+    c = coder(tokenizer)
+    for i in range(0, len(texts), rows):
+        yield c, c.encode_batch([t.encode("utf-8", "surrogatepass") if t else b"" for t in texts[i : i + rows]])
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded)``, one row per input row.
 
     ``tokenizer`` is the path of a tokenizers file that every worker can open. ``ids`` are the token
     ids of the whole text as little-endian unsigned 32-bit integers (binary, no special tokens
     added), ``decoded`` is their decoding in UTF-8 (binary). A null text counts as empty: no tokens.
-    Rows may repeat, ids may be null, other columns are ignored, an empty table gives an empty
-    result. No shuffle; memory is bounded by the stores and by ``rows`` texts at a time.
+    Rows may repeat, ids may be null or large, other columns are ignored whatever their names, an
+    empty table gives an empty result. No shuffle; memory is bounded by the stores and by ``rows``
+    texts at a time.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = coder(tokenizer)
-        for b in batches:
-            for i in range(0, len(b), rows):
-                part = b.iloc[i : i + rows]
-                done = c.encode_batch([t.encode("utf-8", "surrogatepass") if t else b"" for t in part["text"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": [len(d[0]) // 4 for d in done], "ids": [d[0] for d in done], "decoded": [d[1] for d in done]})
+    def make(texts: list) -> dict:
+        done = [(ids, c.decode(ids)) for c, some in _coded(texts, tokenizer, rows) for ids in some]
+        return {"n_tokens": [len(i) // 4 for i, _ in done], "ids": [i for i, _ in done], "decoded": [d for _, d in done]}
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return map_texts(kept, make, "n_tokens long, ids binary, decoded binary", rows=rows)
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of ``encode``'s result, hashed where it is made."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = coder(tokenizer)
-        for b in batches:
-            for i in range(0, len(b), rows):
-                part = b.iloc[i : i + rows]
-                done = c.encode_batch([t.encode("utf-8", "surrogatepass") if t else b"" for t in part["text"]])
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].to_numpy(),
-                        "n_tokens": [len(d[0]) // 4 for d in done],
-                        "ids_sha256": [hashlib.sha256(d[0]).hexdigest() for d in done],
-                        "decoded_sha256": [hashlib.sha256(d[1]).hexdigest() for d in done],
-                    }
-                )
+    def make(texts: list) -> dict:
+        done = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()) for c, some in _coded(texts, tokenizer, rows) for ids in some]
+        return dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), map(list, zip(*done, strict=True)), strict=True))
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(kept, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows=rows)
