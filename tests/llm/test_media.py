@@ -77,3 +77,41 @@ def test_all_frames_of_all_spans_are_stored():
         want = [mel[a:b] for a, b in found]
         assert np.array_equal(np.concatenate([mel[:0], *got]), np.concatenate([mel[:0], *want])) and f"active={len(found)};spans={len(valid)};" in feature
         assert all(not x[k:].any() for x, k in zip(tensors, valid))
+
+
+def test_log_mel_agrees_with_a_direct_transform():
+    rng = np.random.default_rng(7)
+    y = rng.standard_normal(900)
+    got = media.log_mel(y)
+    n, rate = media.FRAME, media.RATE * media.UP / media.DOWN
+    count = -(-(len(y) - n) // media.HOP) + 1
+    y = np.concatenate([y, np.zeros((count - 1) * media.HOP + n - len(y))])
+    k, t = np.arange(n // 2 + 1)[:, None], np.arange(n)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * t / (n - 1))
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), media.MELS + 2)]
+    assert got.shape == (count, media.MELS)
+    for f in range(count):
+        x = y[f * media.HOP : f * media.HOP + n] * window
+        power = (x * np.cos(2 * np.pi * k * t / n)).sum(axis=1) ** 2 + (x * np.sin(2 * np.pi * k * t / n)).sum(axis=1) ** 2
+        for m in range(media.MELS):
+            a, b, c = edges[m : m + 3]
+            weight = [max(0.0, min((h - a) / (b - a), (c - h) / (c - b))) for h in np.arange(n // 2 + 1) * rate / n]
+            assert abs(got[f, m] - np.log10(np.dot(weight, power) + 1e-6)) < 1e-4
+
+
+def test_pieces_give_what_the_whole_gives(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n in (64, 640, 20_032, 70_016):
+        x = rng.integers(0, 256, n, dtype=np.uint8)
+        y = media.resample((x.astype(np.float64) - 128) / 128)
+        direct = [sum(media._phases()[m * media.DOWN % media.UP][j] * ((int(x[i]) - 128) / 128) for j in range(media.TAPS) if 0 <= (i := m * media.DOWN // media.UP - media.TAPS // 2 + j) < n) for m in range(40)]
+        assert np.allclose(y[:40], direct[: len(y)])
+        for piece in (5, 20, 5120):
+            monkeypatch.setattr(media, "_PIECE", piece)
+            assert np.allclose(media.mel_frames(x.tobytes()), media.log_mel(y), atol=1e-4)
+
+
+def test_large_ids_stay(spark):
+    rows = [(2**53 + 1, "a"), (None, "b"), (-(2**62) - 1, None)]
+    got = media.audio_features(media.to_audio(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}

@@ -2,9 +2,10 @@
 
 Bytes become the samples of an 8-bit mono WAV file in a binary column. Features are computed from
 the file that is read back: the signal is resampled by a polyphase filter, overlapping frames go
-through a mel filterbank, and a frame energy with hysteresis cuts out active spans. Every span is cut into consecutive windows, each a time span and a tensor of
-fixed shape, so that all its frames are kept; a row's tensors are stored as an Arrow IPC stream whose
-column is of Arrow's fixed-shape tensor type, beside the windows' times.
+through a mel filterbank, and a frame energy with hysteresis cuts out active spans. Every span is cut
+into consecutive windows, each a time span and a tensor of fixed shape, so that all its frames are
+kept; a row's tensors are stored as an Arrow IPC stream whose column is of Arrow's fixed-shape tensor
+type, beside the windows' times. A long signal is resampled and framed in pieces.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 UNIT, RATE, UP, DOWN, TAPS = 64, 16_000, 5, 8, 16
 FRAME, HOP, MELS, SLOTS = 256, 128, 20, 8
 #: A span opens at a frame this many deviations above the mean log energy and closes as far below it.
 OPEN, CLOSE = 0.25, 0.25
-#: Frames that are held at a time; long signals go through in pieces that overlap as frames do.
-_PIECE = 8192
+#: Frames of a piece of a signal, a multiple of UP; bytes of signals whose results are held together.
+_PIECE, _BATCH = 5120, 1 << 20
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -65,16 +67,21 @@ def _phases() -> np.ndarray:
     return np.ascontiguousarray(h.reshape(TAPS, UP).T[:, ::-1])
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """``x`` at UP / DOWN of its rate: output m takes phase (m DOWN) mod UP around input m DOWN / UP."""
-    n = -(-len(x) * UP // DOWN)
-    padded = np.concatenate([np.zeros(TAPS // 2), x, np.zeros(TAPS)])
+def resample(x: np.ndarray, first: int = 0, count: int | None = None) -> np.ndarray:
+    """``x`` at UP / DOWN of its rate: output m takes phase (m DOWN) mod UP around input m DOWN / UP.
+
+    ``first``, a multiple of UP, and ``count`` ask for some of the outputs; only what they need is read.
+    """
+    n = -(-len(x) * UP // DOWN) - first if count is None else count
+    base = first // UP * DOWN - TAPS // 2
+    part = x[max(0, base) : base + -(-n * DOWN // UP) + DOWN + TAPS]
+    padded = np.concatenate([np.zeros(max(0, -base)), part, np.zeros(DOWN + 2 * TAPS)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
     out = np.empty(n)
     for k in range(min(UP, n)):  # outputs k, k + UP, ... share a phase
         at, phase = divmod(k * DOWN, UP)
-        count = len(range(k, n, UP))
-        out[k::UP] = windows[at : at + (count - 1) * DOWN + 1 : DOWN] @ _phases()[phase]
+        some = len(range(k, n, UP))
+        out[k::UP] = windows[at : at + (some - 1) * DOWN + 1 : DOWN] @ _phases()[phase]
     return out
 
 
@@ -92,14 +99,29 @@ def _mel_bank() -> np.ndarray:
 
 def log_mel(y: np.ndarray) -> np.ndarray:
     """Frames x MELS: log10 of mel energies of half-overlapping windowed frames; the end is padded with zeros."""
-    n = max(1, -(-max(0, len(y) - FRAME) // HOP) + 1)
+    n = _frames(len(y))
     y = np.concatenate([y, np.zeros((n - 1) * HOP + FRAME - len(y))])
-    frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
-    window = np.hanning(FRAME)
+    spectrum = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] * np.hanning(FRAME), axis=1)
+    return np.log10((spectrum.real**2 + spectrum.imag**2) @ _mel_bank() + 1e-6).astype(np.float32)
+
+
+def _frames(n: int) -> int:
+    return max(1, -(-max(0, n - FRAME) // HOP) + 1)
+
+
+def mel_frames(samples: bytes) -> np.ndarray:
+    """Frames x MELS of the whole signal of 8-bit samples, in pieces of ``_PIECE`` frames."""
+    x = np.frombuffer(samples, dtype=np.uint8)
+    length = -(-len(x) * UP // DOWN)
+    n = _frames(length)
     out = np.empty((n, MELS), dtype=np.float32)
-    for i in range(0, n, _PIECE):
-        spectrum = np.fft.rfft(frames[i : i + _PIECE] * window, axis=1)
-        out[i : i + _PIECE] = np.log10((spectrum.real**2 + spectrum.imag**2) @ _mel_bank() + 1e-6)
+    for f in range(0, n, _PIECE):
+        last = min(f + _PIECE, n)
+        first, past = f * HOP, min((last - 1) * HOP + FRAME, length)
+        # a piece of the samples holds what its outputs reach, and its own start is a whole number of phases
+        lo = max(0, first // UP * DOWN - DOWN * TAPS) // DOWN * DOWN
+        some = (x[lo : past * DOWN // UP + DOWN * TAPS].astype(np.float64) - 128) / 128
+        out[f:last] = log_mel(resample(some, first - lo // DOWN * UP, past - first))
     return out
 
 
@@ -151,8 +173,7 @@ def from_ipc(stored: bytes) -> pa.Table:
 def features(stored: bytes) -> tuple[bytes, bytes, str]:
     """(samples read back, Arrow stream of tensors and spans, summary)."""
     samples, _ = from_wav(stored)
-    y = resample((np.frombuffer(samples, dtype=np.uint8).astype(np.float64) - 128) / 128)
-    mel = log_mel(y)
+    mel = mel_frames(samples)
     energy = mel.mean(axis=1, dtype=np.float64)
     active = spans(energy)
     found = windows(active)
@@ -164,15 +185,12 @@ def features(stored: bytes) -> tuple[bytes, bytes, str]:
 def to_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, media)``: each whole text's bytes as a WAV file, one row per input row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 500):
-                part = b.iloc[i : i + 500]
-                made = [payload(t) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_bytes": [n for _, n in made], "media": [to_wav(p) for p, _ in made]})
+    def make(texts: list) -> dict:
+        made = [payload(t) for t in texts]
+        return {"n_bytes": [n for _, n in made], "media": [to_wav(p) for p, _ in made]}
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return map_texts(kept, make, "n_bytes long, media binary", characters=_BATCH)
 
 
 def audio_features(audio: DataFrame) -> DataFrame:
@@ -182,25 +200,19 @@ def audio_features(audio: DataFrame) -> DataFrame:
     Arrow IPC stream (``from_ipc``) with one fixed-shape tensor, time span and number of valid frames
     per window of an active span, ``feature`` a summary (``active`` counts the active spans, ``spans``
     the time spans stored). A null or empty text is 64 zero bytes, one silent frame and no span; equal
-    texts give equal values; ids may repeat or be null; other columns are ignored; an empty table
-    gives an empty result. Rows are independent: no shuffle, and a long signal is framed in pieces.
+    texts give equal values; ids may repeat, be null or large; other columns are ignored; an empty
+    table gives an empty result. Rows are independent: no shuffle. What is held is one file with its
+    features, or files of about a megabyte together, whatever the size of Arrow's batches.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done = [features(m) for m in b["media"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"].to_numpy(),
-                    "n_bytes": b["n_bytes"].to_numpy(),
-                    "media_bytes": [len(m) for m in b["media"]],
-                    "media_sha256": [hashlib.sha256(m).hexdigest() for m in b["media"]],
-                    "payload_bytes": [len(s) for s, _, _ in done],
-                    "payload_sha256": [hashlib.sha256(s).hexdigest() for s, _, _ in done],
-                    "tail_crc32": [zlib.crc32(s[-UNIT:]) for s, _, _ in done],
-                    "tensors": [t for _, t, _ in done],
-                    "feature": [f for _, _, f in done],
-                }
-            )
-
-    return audio.mapInPandas(run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, tensors binary, feature string")
+    def make(files: list) -> dict:
+        out: dict[str, list] = {c: [] for c in ("media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "tensors", "feature")}
+        for m in files:
+            samples, tensors, feature = features(m)
+            row = (len(m), hashlib.sha256(m).hexdigest(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), tensors, feature)
+            for c, v in zip(out, row, strict=True):
+                out[c].append(v)
+        return out
+
+    kept = audio.select("doc_id", "n_bytes", "media")
+    return map_texts(kept, make, "media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, tensors binary, feature string", text="media", characters=_BATCH)
