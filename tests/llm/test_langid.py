@@ -53,3 +53,17 @@ def test_sample_is_bounded_and_stable(spark):
     a = langid.learn(df, per_lang=10, at_most=45)
     b = langid.learn(df.repartition(5).orderBy(F.rand(1)), per_lang=10, at_most=45)
     assert abs(a.family_w - b.family_w).max() < 1e-12
+
+
+def test_repeated_ids_and_floor_of_the_score(spark):
+    rows = [(i % 40, lang, text) for i, lang, text in make(400, 4)] + [(None, "en", "the wash")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    a = langid.learn(df, per_lang=10, at_most=30)
+    b = langid.learn(df.repartition(7).orderBy(F.rand(2)), per_lang=10, at_most=30)
+    assert abs(a.family_w - b.family_w).max() < 1e-12
+    one = langid.learn(spark.createDataFrame(make(400, 5), "doc_id long, lang string, text string"))
+    text = make(20, 6)
+    sure = {r.doc_id: r.score for r in langid.identify(spark.createDataFrame([(i, t) for i, _, t in text], "doc_id long, text string"), one).collect()}
+    floor = sorted(sure.values())[10]
+    kept = langid.accepted(spark.createDataFrame([(i, t) for i, _, t in text], "doc_id long, text string"), one, min_score=floor).collect()
+    assert {r.doc_id for r in kept} == {i for i, v in sure.items() if v >= floor}

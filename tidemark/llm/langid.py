@@ -9,7 +9,6 @@ from a bounded sample of labelled rows; prediction runs over every whole text wh
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 #: Hashed dimensions; labelled documents per language and in all that the machines are fitted on.
 DIMS, PER_LANG, AT_MOST = 8192, 400, 4000
 UNDECIDED = "und"
@@ -123,23 +124,30 @@ def _sure(margin: float) -> float:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, at_most: int = AT_MOST) -> Model:
     """Fit a model on a bounded sample: the first ``per_lang`` labelled rows of each language by hash
-    of their id, and ``at_most`` rows in all. Null labels, null texts and texts without letters teach
-    nothing; without labelled rows the model answers ``und`` to everything."""
+    of their id, and ``at_most`` rows in all. Null labels, null ids, null texts and texts without
+    letters teach nothing; without labelled rows the model answers ``und`` to everything. Ids that
+    repeat are sampled together, in an order that does not hang on partitions.
+
+    A language of any size sends few rows to the task that ranks them: its rows are counted first,
+    and only hashes below ``8 per_lang`` in that number take part.
+    """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = known.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # row_number() <= k is pushed below the shuffle: each task sends k rows of a language at most, without texts
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_lang)
-    picked = chosen.orderBy("k", "lang").limit(at_most).select("doc_id").distinct()  # bounded, so it may be broadcast
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            vectors = [features(t).astype(np.float32) for t in b["text"]]
-            at = [np.flatnonzero(v).astype(np.int32) for v in vectors]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "at": [a.tobytes() for a in at], "v": [v[a].tobytes() for v, a in zip(vectors, at, strict=True)]})
-
-    sample = known.join(F.broadcast(picked), "doc_id", "left_semi").limit(at_most).mapInPandas(run, "doc_id long, lang string, at binary, v binary")
-    rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["doc_id"], r["v"]))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    near = known.select("doc_id", "lang", share.alias("h")).join(counts, "lang").where(F.col("h") * F.col("n") < 8 * per_lang)
+    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = near.select("doc_id", "lang", F.row_number().over(by_hash).alias("k")).where(F.col("k") <= per_lang)
+    picked = chosen.orderBy("k", "lang", "doc_id").limit(at_most).select("doc_id").distinct()  # bounded, so it may be broadcast
+
+    def run(texts: list) -> dict:
+        vectors = [features(t).astype(np.float32) for t in texts]
+        at = [np.flatnonzero(v).astype(np.int32) for v in vectors]
+        return {"at": [a.tobytes() for a in at], "v": [v[a].tobytes() for v, a in zip(vectors, at, strict=True)]}
+
+    sample = map_texts(known.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "lang", "text"), run, "at binary, v binary")
+    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "v").limit(at_most).collect()
+    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["v"]))
     x = np.zeros((len(rows), DIMS + 1), dtype=np.float32)
     for k, r in enumerate(rows):
         x[k, np.frombuffer(r["at"], dtype=np.int32)] = np.frombuffer(r["v"], dtype=np.float32)
@@ -154,14 +162,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by languages and dimensions, not by rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for b in batches:
-            found = [m.predict(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "family": pd.Series([f[2] for f in found], dtype=object)})
+    def make(texts: list) -> dict:
+        found = [shared.value.predict(t) for t in texts]
+        return dict(zip(("lang_pred", "score", "family"), map(list, zip(*found, strict=True)), strict=True))
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, "doc_id long, lang_pred string, score double, family string")
+    return map_texts(kept, make, "lang_pred string, score double, family string")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.2) -> DataFrame:
