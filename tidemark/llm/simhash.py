@@ -139,12 +139,14 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     such a member at one end at least, so nothing is lost, and a large group of copies, which is one
     component by then, is never joined with itself.
     """
-    keys = durable(golay_keys(prints))
+    # the keys are made twice, which costs less than to write them; a merge join behaves alike at every size
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = golay_keys(prints.repartition(parts, "fp"))
     buckets = keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other"), F.count("*").alias("n"))
     # a key of two members is verified from the aggregate alone; only fuller keys are joined with their members
     buckets = durable(buckets.where("n > 2 or n = 2 and " + _close("pivot", "other")))
     pairs = buckets.where("n = 2").select(F.col("other").alias("src"), F.col("pivot").alias("dst"))
-    shared = durable(keys.join(buckets.where("n > 2").select("key", "pivot"), "key"))
+    shared = durable(keys.join(buckets.where("n > 2").select("key", "pivot").hint("merge"), "key"))
     stars = shared.where("fp <> pivot and " + _close("fp", "pivot")).select(F.col("fp").alias("src"), F.col("pivot").alias("dst"))
     first = durable(pairs.unionByName(stars).distinct())
     comp = durable(connected_components(first)).withColumnRenamed("node", "fp")
