@@ -3,7 +3,7 @@ import random
 import duckdb
 import numpy as np
 from tidemark.llm import embeddings
-from tidemark.llm.queries import queries
+from tidemark.llm.queries import oracle_sql, queries
 
 
 def brute(rows):
@@ -72,8 +72,15 @@ def test_empty(spark):
     assert run(spark, [(1, None)]) == [(1, 0, 1, True)]
 
 
-def test_whole_small_table(spark):
-    sf = "/root/testdata/sf0.01"
-    rows = duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet'").fetchall()
-    got = sorted(map(tuple, queries()["op9_embedding_dups"](spark, sf).select("vec_id", "n_links", "component_id", "kept").collect()), key=key)
+def test_whole_small_table(spark, tmp_path):
+    rows = duckdb.sql("select vec_id, embedding from '/root/testdata/sf0.01/embeddings.parquet'").fetchall()
+    rng = random.Random(4)
+    n = 1 + max(i for i, _ in rows)
+    for k in range(60):  # near and exact copies of some vectors, in groups
+        rows.append((n + k, [x + rng.gauss(0, 0.02) * (k % 3) * max(map(abs, rows[k % 9][1])) for x in rows[k % 9][1]]))
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, queries()["op9_embedding_dups"](spark, f"file://{tmp_path}").select("vec_id", "n_links", "component_id", "kept").collect()), key=key)
     assert got == sorted(brute(rows), key=key) and any(r[1] for r in got)
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(con.sql(oracle_sql()["op9_embedding_dups"]).fetchall(), key=key) == got

@@ -77,3 +77,16 @@ def test_copies_follow_the_schedule(spark):
     order = [r.doc_id for r in mixing.repeat_in_order(df, **options).collect()]
     assert len(order) == 1200 and abs(sum(d < 1000 for d in order[:600]) - 375) <= 2
     assert all(d != e for d, e in zip(order, order[1:]))
+
+
+def test_sql_agrees_on_the_table(spark):
+    import duckdb
+    from tidemark.llm.queries import oracle_sql, queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    rel = con.sql(oracle_sql()["op4_mixing"])
+    got = queries()["op4_mixing"](spark, sf).select(*rel.columns).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got)) == sorted(map(key, rel.fetchall())) and any("," in (r.positions_ppm or "") for r in got)

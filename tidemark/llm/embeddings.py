@@ -172,3 +172,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = rows.where("usable").join(result, ["k1", "k2"]).select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def sql(threshold: float = THRESHOLD) -> str:
+    """The op9 query over ``embeddings`` in DuckDB: every pair, then reachability along links."""
+    return f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding AS e, coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS good FROM embeddings),
+s AS (SELECT r, len(e) AS n, list_transform(e, lambda x: x::DOUBLE) AS e, list_max(list_transform(e, lambda x: abs(x::DOUBLE))) AS m FROM v WHERE good),
+u AS (SELECT r, n, list_transform(e, lambda x: x / m) AS e FROM s), w AS (SELECT r, n, e, list_dot_product(e, e) AS q FROM u),
+link AS (SELECT a.r AS x, b.r AS y FROM w a JOIN w b ON a.n = b.n AND a.r <> b.r AND list_dot_product(a.e, b.e) >= {threshold}::DOUBLE * sqrt(a.q * b.q)),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+count_ AS (SELECT x, count(*) AS n FROM link GROUP BY 1), least_ AS (SELECT x, min(vec_id) AS c FROM reach JOIN v ON v.r = reach.y GROUP BY 1)
+SELECT v.vec_id::BIGINT AS vec_id, coalesce(n, 0)::BIGINT AS n_links, (CASE WHEN c IS NULL THEN v.vec_id ELSE least(c, coalesce(v.vec_id, c)) END)::BIGINT AS component_id, coalesce(v.vec_id = (CASE WHEN c IS NULL THEN v.vec_id ELSE least(c, v.vec_id) END), false) AS kept
+FROM v LEFT JOIN count_ ON count_.x = v.r LEFT JOIN least_ ON least_.x = v.r
+"""

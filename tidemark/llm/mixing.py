@@ -60,7 +60,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``(doc_id, source, size, source_size, target, start, taken, copies, position, positions)``, one row per input row.
 
     ``size`` counts ``[^\\x20\\x09-\\x0D]+`` in the whole text (null: 0). Within a source documents
-    follow one another in an order by hash of id and text; the mix runs over that sequence until the
+    follow one another in the order of the MD5 of id and text; the mix runs over that sequence until the
     target is reached, again from the front if need be. ``start`` is the document's place in it,
     ``taken`` the words that the mix takes of it (repeats counted; the words of one document per
     source may be taken in part, so that a source's sum is its target to within a word), ``copies``
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
+        F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(text_col), F.lit("")))).alias("h"),
         *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
     if not keep:
@@ -91,14 +91,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goals = durable(goals).withColumnRenamed("source", "s2")
     placed = rows.join(goals, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     # hash order cut into equal ranges: a bucket is a range of the order, so bucket totals add up to places
-    placed = placed.withColumn("bucket", F.least(F.floor((F.shiftrightunsigned("h", 33).cast("double") / float(1 << 31)) * F.col("buckets")), F.col("buckets") - 1))
+    placed = placed.withColumn("bucket", F.least(F.floor(F.conv(F.substr("h", F.lit(1), F.lit(8)), 16, 10).cast("double") / float(1 << 32) * F.col("buckets")), F.col("buckets") - 1))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     ahead = sums.select(
         F.col("source").alias("s2"),
         F.col("bucket").alias("b2"),
         F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
     )
-    inside = Window.partitionBy("source", "bucket").orderBy(F.shiftrightunsigned("h", 33), "h", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = placed.join(ahead, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
     start = F.col("ahead") + F.col("inside")
@@ -142,3 +142,21 @@ def repeat_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = mixed.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     taken = taken.withColumn("at", F.get("positions", F.col("copy") - 1))
     return taken.orderBy(F.col("at").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), "copy").select("kept___row.*")
+
+
+def sql(weights=WEIGHTS, share: float = SHARE, most: float = MOST, schedules=SCHEDULES) -> str:
+    """The op4 query over ``documents`` in DuckDB: targets by trying every number of capped sources, places by one running sum."""
+    w = "CASE " + " ".join(f"WHEN k % {len(weights)} = {i} THEN {x}::DOUBLE" for i, x in enumerate(weights)) + " END"
+    a, b = ("CASE " + " ".join(f"WHEN k % {len(schedules)} = {i} THEN {x[j]}::DOUBLE" for i, x in enumerate(schedules)) + " END" for j in (0, 1))
+    return rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+q AS (SELECT *, {w} AS w, {most}::DOUBLE * source_size AS cap FROM s), total AS (SELECT {share}::DOUBLE * sum(source_size) AS t FROM q),
+level AS (SELECT x.cap / x.w AS edge, sum(CASE WHEN y.cap / y.w < x.cap / x.w THEN y.cap ELSE 0 END) AS full_, sum(CASE WHEN y.cap / y.w < x.cap / x.w THEN 0 ELSE y.w END) AS w FROM q x, q y GROUP BY ALL),
+water AS (SELECT arg_min((t - full_) / w, edge) AS l FROM level, total WHERE (t - full_) / w <= edge),
+g AS (SELECT source, source_size, k, least(cap, coalesce(l * w, cap)) AS target, {a} AS a, {b} AS b FROM q, water),
+p AS (SELECT d.doc_id, d.size, g.*, round(target)::BIGINT AS goal, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+n AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size * size + greatest(0, least(size, goal - goal // source_size * source_size - start)) ELSE 0 END AS taken FROM p),
+z AS (SELECT *, CASE WHEN target > 0 AND start < goal THEN list_transform(range(0, (goal - start - 1) // source_size + 1), lambda i: least(1.0, (a + b) * ((start + i * source_size) / target) / (a + sqrt(greatest(0.0, a * a + (b - a) * (a + b) * ((start + i * source_size) / target)))))) END AS places FROM n)
+SELECT doc_id, size, source_size, round(target, 6) AS target, taken::BIGINT AS taken, CASE WHEN size > 0 THEN floor(taken / size + 0.5) ELSE 0 END::INTEGER AS copies, round(places[1], 9) AS position, array_to_string(list_transform(places, lambda x: round(x * 1000000)::BIGINT), ',') AS positions_ppm FROM z
+"""

@@ -40,7 +40,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import in_training_order, mix
 
     mixed = in_training_order(mix(_table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "positions")
+    places = F.array_join(F.transform("positions", lambda x: F.round(x * 1_000_000).cast("long")), ",")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", F.round("position", 9).alias("position"), places.alias("positions_ppm"))
 
 
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Languages, tokens, fingerprints over XXH64, models, spans, rotations and files are beyond SQL: tested by brute force."""
-    from . import licenses, urlfilter
+    """Languages, tokens, fingerprints over XXH64, models, spans and files are beyond SQL: tested by brute force."""
+    from . import embeddings, licenses, mixing, urlfilter
 
-    return {"op3_url_filters": urlfilter.SQL, "op6_license_scan": licenses.sql()}
+    return {"op3_url_filters": urlfilter.SQL, "op4_mixing": mixing.sql(), "op6_license_scan": licenses.sql(), "op9_embedding_dups": embeddings.sql()}
