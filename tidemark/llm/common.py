@@ -126,12 +126,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .distinct(),
         keep=False,
     )
-    state = None
-    while True:
-        n, code = cur.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.lit(0))).first()
-        if n == 0 or (n, code) == state:
-            break
-        state = (n, code)
+    size = cur.count()
+    while size:
         # Large star: every larger neighbour of a node hangs on the node's least neighbour.
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -147,9 +143,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(low.withColumnRenamed("m", "v"))
             .distinct()
         )
-        new = durable(small, keep=False)
+        new, before = durable(small, keep=False), size
+        size = new.count()
+        done = size == before and new.join(cur, ["u", "v"], "left_anti").isEmpty()  # the same edges: nothing will change
         drop_table(spark, cur._tidemark_path)
         cur = new
+        if done:
+            break
     atexit.register(_forget, spark, cur._tidemark_path)
     leaves = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
