@@ -22,6 +22,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 THRESHOLD = 0.8
 #: Fixed values: (licence, text of a notice or of a licence's main paragraph).
 TEMPLATES = (
@@ -102,6 +104,15 @@ def words_of(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, common beginnings written once, so that few branches are tried at each place."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(h).replace("\\ ", " ") + (tails[0] and re.escape(tails[0]).replace("\\ ", " ") if len(tails) == 1 else f"(?:{_any_of(tails)})") for h, tails in heads.items()]
+    return "|".join(parts)
+
+
 class _Set:
     """Templates prepared for one threshold."""
 
@@ -119,7 +130,9 @@ class _Set:
             for b in _telling(bigrams, threshold):
                 places.setdefault(b, []).append((len(self.rows), at[b]))
         self.places = dict(sorted(places.items()))  # telling bigram: [(place in rows from 1, place in the template)]
-        self.pattern = "(?:^| )(?:" + "|".join(self.places) + ")(?: |$)"
+        # the same pattern for texts as they are but for case, and for normal forms
+        self.raw = f"(?<![\\p{{L}}\\p{{N}}])(?:{_any_of(list(self.places))})(?![\\p{{L}}\\p{{N}}])".replace(" ", _OTHER)
+        self.pattern = f"(?:^| )(?:{_any_of(list(self.places))})(?: |$)"
 
     def listed(self):
         return F.array(*[F.struct(F.lit(i).alias("no"), F.lit(name).alias("license"), F.lit(w).alias("w"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("b")) for i, name, w, b in self.rows])
@@ -144,7 +157,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     norm = lambda x: F.trim(F.regexp_replace(F.lower(x), _OTHER, " "))
     tells = lambda x: F.coalesce(F.regexp_like(x, F.lit(known.pattern)), F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(tells(norm(F.col("text"))))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # what most documents cost: one search; the few that have a telling bigram are written down for both kinds of unit
+    rows = durable(rows.where(F.coalesce(F.regexp_like(F.lower("text"), F.lit(known.raw)), F.lit(False))))
     listed = known.listed()
 
     def unit(parts, name: str):
@@ -155,9 +170,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     # a paragraph keeps its last line break; one mark stands where paragraphs part
     marked = F.regexp_replace(F.concat(F.lit("\n"), F.col("text"), F.lit("\n")), _BLANK, "$0\0")
-    rows = rows.withColumn("lines", F.split("text", "\n")).withColumn("paragraphs", F.split(marked, "\0"))
+    rows = _held(rows, lines=F.split("text", "\n"), paragraphs=F.split(marked, "\0"))
     units = rows.select("doc_id", "lines", "paragraphs", F.explode(F.concat(unit(F.col("lines"), "line"), unit(F.col("paragraphs"), "paragraph"))).alias("u"))
-    units = units.withColumn("pairs", F.array_distinct(_bigrams(F.split("u.s", " ")))).withColumn("n", F.size("pairs"))
+    units = _held(units, words=F.split("u.s", " "))
+    units = _held(units, pairs=F.array_distinct(_bigrams(F.col("words")))).withColumn("n", F.size("pairs"))
     # the size bounds come first: only templates of fitting size are intersected
     fitting = F.filter(listed, lambda t: (F.col("n") >= t["n"] * low - 1e-9) & (F.col("n") <= t["n"] * high + 1e-9))
     units = units.withColumn("t", F.explode(fitting))
@@ -173,15 +189,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     return found.unionByName(_windows(rows.select("doc_id", "text"), known, listed, threshold, low, high))
 
 
+def _held(rows: DataFrame, **columns) -> DataFrame:
+    """``rows`` with more columns, each computed once a row: the optimizer would else put them into every lambda that reads them."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return rows.select("*", one.alias("held")).select(*rows.columns, *[F.col("held")[n].alias(n) for n in columns])
+
+
 def _windows(rows: DataFrame, known: _Set, listed, threshold: float, low: float, high: float) -> DataFrame:
-    segments = F.regexp_extract_all("text", F.lit(_SEGMENT), F.lit(0))
-    rows = rows.withColumn("segments", segments)
-    rows = rows.withColumn("words", F.transform("segments", lambda x: F.lower(F.regexp_replace(x, "^" + _OTHER, ""))))
-    hits = F.filter(F.transform(_bigrams(F.col("words")), lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda h: h["b"].isin(*known.places))
+    rows = _held(rows, segments=F.regexp_extract_all("text", F.lit(_SEGMENT), F.lit(0))).drop("text")
+    rows = _held(rows, words=F.transform("segments", lambda x: F.lower(F.regexp_replace(x, "^" + _OTHER, ""))))
+    rows = _held(rows, hits=F.filter(F.transform(_bigrams(F.col("words")), lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda h: h["b"].isin(*known.places)))
     where = F.create_map(*[x for b, at in known.places.items() for x in (F.lit(b), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o")) for t, o in at]))])
-    rows = rows.withColumn("hits", hits).where(F.size("hits") > 0)
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(where, h["b"]), lambda x: F.struct(x["t"].alias("t"), F.greatest(h["i"] - x["o"], F.lit(0)).alias("at"))))))
-    rows = rows.withColumn("starts", starts).withColumn("known", listed)
+    rows = _held(rows.where(F.size("hits") > 0), starts=starts, known=listed).drop("hits")
 
     def rated(x):
         t = F.element_at("known", x["t"])
@@ -190,7 +210,8 @@ def _windows(rows: DataFrame, known: _Set, listed, threshold: float, low: float,
         dice = F.when(fits, 2.0 * F.size(F.array_intersect(pairs, t["b"])) / (F.size(pairs) + t["n"])).otherwise(0.0)
         return F.struct(x["t"].alias("t"), x["at"].alias("at"), t["w"].alias("w"), dice.alias("dice"))
 
-    rows = rows.withColumn("rated", F.filter(F.transform("starts", rated), lambda x: x["dice"] >= threshold))
+    rows = _held(rows, all=F.transform("starts", rated)).drop("starts", "words")
+    rows = _held(rows, rated=F.filter("all", lambda x: x["dice"] >= threshold)).drop("all")
     better = lambda v, x: (v["t"] == x["t"]) & (F.abs(v["at"] - x["at"]) < x["w"]) & ((v["dice"] > x["dice"]) | ((v["dice"] == x["dice"]) & (v["at"] < x["at"])))
     best = F.filter("rated", lambda x: ~F.exists("rated", lambda v: better(v, x)))
     rows = rows.where(F.size("rated") > 0).select("doc_id", "segments", F.explode(best).alias("x"), "known")
