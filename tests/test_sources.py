@@ -131,3 +131,29 @@ def test_residual_without_events(spark):
     m = spark.createDataFrame([(1, "a", True, 1.0, 0.0, 1.0)], "s int, device_id string, is_reference boolean, alpha double, beta_us double, clock_confidence double")
     o = spark.createDataFrame([], "s int, event_id int, device_id string, t_local_us long")
     assert metrics.reconciliation_residual(o, m, ["s"]).first().sync_resid_us == 0.0
+
+
+def test_samples_from_times(spark):
+    times = spark.createDataFrame([("g", "t", 5 * i, 100 - i) for i in range(70_000)] + [("g", "u", 1, 7)], "device_id string, stream_id string, pos long, t_device_us long")
+    streams = spark.createDataFrame([("g", "t"), ("g", "u"), ("g", "none")], "device_id string, stream_id string")
+    got = readers.samples_from_times(times, streams, "file://x/y").where("seq in (0, 1, 69999)").orderBy("stream_id", "seq").collect()
+    assert [(r.stream_id, r.t_device_us, r.seq, r.payload_ref) for r in got] == [("t", 100, 0, "file://x/y#stream=t&row=0"), ("t", 99, 1, "file://x/y#stream=t&row=1"), ("t", 100 - 69_999, 69_999, "file://x/y#stream=t&row=69999"), ("u", 7, 0, "file://x/y#stream=u&row=0")]
+    for bad in ("x/y", "ftp://x", "file://", "file://x#a"):
+        with pytest.raises(ValueError):
+            readers.samples_from_times(times, streams, bad)
+    with pytest.raises(ValueError, match="not declared"):
+        readers.samples_from_times(times, streams.where("stream_id <> 'u'"), "file://x")
+
+
+def test_observers_summary_and_exports(spark):
+    import tidemark
+    from tidemark.operators import associate, timeline
+
+    seen = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (1, 2, "a")], "s int, event_id int, device_id string")
+    assert sorted(map(tuple, associate.observers(seen, ["s"]).collect())) == [(1, 1, ["a", "b"], True), (1, 2, ["a"], False)]
+    points = spark.createDataFrame([(1, 0, 5), (1, 1, 9)], "s int, grid_idx long, t_us long")
+    got = timeline.summary(points, spark.createDataFrame([(1,), (2,)], "s int"), ["s"])
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 5, 9), (2, 0, 0, 0)]
+    assert all(getattr(tidemark, n) is not None for n in tidemark.__all__)
+    with pytest.raises(AttributeError):
+        tidemark.nothing

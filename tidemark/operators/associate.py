@@ -23,6 +23,12 @@ def match_by_order(detections: DataFrame, keys: list[str], device: str = "device
     return numbered(good, [*keys, device], t, [], width, "event_no").select(*keys, "event_no", device, t)
 
 
+def observers(events: DataFrame, keys: list[str], event: str = "event_id", device: str = "device_id") -> DataFrame:
+    """``keys, event, device_ids, usable``: who saw an event; two devices make it usable for fitting. Devices bound the sets."""
+    per = events.groupBy(*keys, event).agg(F.array_sort(F.collect_set(device)).alias("device_ids"))
+    return per.withColumn("usable", F.size("device_ids") >= 2)
+
+
 def unmatchable(detections: DataFrame, keys: list[str], device: str = "device_id") -> DataFrame:
     """Sessions that ``match_by_order`` refuses: ``keys, devices, least, most`` detections of a device."""
     per = detections.groupBy(*keys, device).agg(F.count("*").alias("n"))

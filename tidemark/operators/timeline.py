@@ -33,6 +33,13 @@ def grid(samples: DataFrame, keys: list[str], rate_hz: float, t: str = "t_ref_us
     return points.select(*keys, "grid_idx", (F.col("__a") + to_long(F.col("grid_idx") * F.lit(step))).alias("t_us"))
 
 
+def summary(points: DataFrame, sessions: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n_grid, t_start_us, t_end_us`` of every session's grid; a session without points has zeros."""
+    per = points.groupBy(*keys).agg(F.count("*").alias("n"), F.min("t_us").alias("a"), F.max("t_us").alias("z"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return sessions.select(*keys).distinct().join(per, keys, "left").select(*keys, zero(F.col("n"), "n_grid"), zero(F.col("a"), "t_start_us"), zero(F.col("z"), "t_end_us"))
+
+
 def neighbours(points: DataFrame, samples: DataFrame, keys: list[str], extra: list[str], t: str = "t_us", s: str = "t_ref_us", bucket_us: int = BUCKET_US) -> DataFrame:
     """``points`` with ``n_upto, prev_t, next_t``: samples at or before each point, the last such, the first after.
 

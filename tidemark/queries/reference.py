@@ -527,3 +527,46 @@ def corrected_coverage(spark, d):
     fixed = transforms.correct_streams(p.select("dev", F.col("t_local_us").alias("t_device_us")), models, ["dev"])
     joined = timeline.asof_join(timeline.grid(fixed, ["dev"], RATE), fixed, ["dev"], TOL)
     return timeline.coverage(joined, ["dev"]).withColumn("coverage", F.round("coverage", 3))
+
+
+@query(f"WITH {_E}, {_OBS} SELECT session_id, event_id, array_to_string(list_sort(list(DISTINCT device_id)), ',') AS device_ids, count(DISTINCT device_id) >= 2 AS usable FROM o GROUP BY 1, 2")
+def event_observers(spark, d):
+    got = associate.observers(observations(spark, d), ["session_id"])
+    return got.select("session_id", "event_id", F.array_join("device_ids", ",").alias("device_ids"), "usable")
+
+
+@query(f"WITH {_E}, {_GRID}, k AS (SELECT DISTINCT dev FROM e UNION ALL SELECT 'none') SELECT k.dev, count(grid_idx) AS n_grid, coalesce(min(t_us), 0) AS t_start_us, coalesce(max(t_us), 0) AS t_end_us FROM k LEFT JOIN pts ON k.dev = pts.dev GROUP BY 1")
+def timeline_summary(spark, d):
+    """Every device's grid as a session, and one session without any point."""
+    points, samples = _streams(spark, d)
+    every = events(spark, d).select("dev").distinct().unionByName(spark.createDataFrame([("none",)], "dev string"))
+    return timeline.summary(points, every, ["dev"])
+
+
+@query(f"WITH {_E}, k AS (SELECT dev AS device_id, CASE WHEN value > 20 THEN 'fast' ELSE 'slow' END AS stream_id, event_id, t AS t_device_us FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY device_id, stream_id ORDER BY event_id) - 1 AS seq FROM k) SELECT device_id, stream_id, t_device_us, seq, 'memory://e#stream=' || stream_id || '&row=' || seq AS payload_ref FROM r")
+def samples_from_times(spark, d):
+    e = events(spark, d)
+    times = e.select(F.col("dev").alias("device_id"), F.when(F.col("value") > 20, "fast").otherwise("slow").alias("stream_id"), F.col("event_id").alias("pos"), F.col("t").alias("t_device_us"))
+    streams = e.select(F.col("dev").alias("device_id")).distinct().withColumn("stream_id", F.explode(F.array(F.lit("fast"), F.lit("slow"), F.lit("none"))))
+    return readers.samples_from_times(times, streams, "memory://e")
+
+
+@query(f"WITH {_E} SELECT event_id, unnest(list_filter([CASE WHEN event_id % 4 = 0 THEN 'observations' END, CASE WHEN event_id % 4 <> 0 AND t - 1000000000 < 0 THEN 't_local_us' END, CASE WHEN value / 100 > 1 THEN 'quality' END], lambda x: x IS NOT NULL)) AS reason FROM e")
+def event_violations(spark, d):
+    """Events some of which nobody saw, at negative times, or of a quality above 1."""
+    e = events(spark, d).selectExpr("event_id", "if(event_id % 4 = 0, map(), map('a', t, 'b', t - 1000000000)) as observations", "value / 100 as quality")
+    return validate.event_violations(e).select("event_id", "reason")
+
+
+@query(f"WITH {_E} SELECT event_id, unnest(list_filter([CASE WHEN event_id % 5 - 1 <= 0 THEN 'alpha' END, CASE WHEN event_id % 7 = 0 THEN 'fit_residual_us' END, CASE WHEN value / 100 > 1 THEN 'clock_confidence' END], lambda x: x IS NOT NULL)) AS reason FROM e")
+def model_violations(spark, d):
+    m = events(spark, d).selectExpr("event_id", "cast(event_id % 5 - 1 as double) as alpha", "if(event_id % 7 = 0, -1.0D, null) as fit_residual_us", "value / 100 as clock_confidence")
+    return validate.model_violations(m).select("event_id", "reason")
+
+
+@query(f"WITH {_E} SELECT event_id, dev || '::s' || event_id % 3 AS stream, round((t - (event_id % 50) * 10.0::DOUBLE) / (1 + (event_id % 40) * 1e-6::DOUBLE), 3) AS t_local FROM e")
+def forward_clock(spark, d):
+    """Device time of a clock with an offset and a skew, and the key of a stream."""
+    alpha, beta = transforms.offset_skew(F.col("event_id") % 50 * 10, F.col("event_id") % 40)
+    e = events(spark, d).withColumn("stream_id", F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")))
+    return e.select("event_id", transforms.stream_key("dev", "stream_id").alias("stream"), F.round(transforms.local_from_ref("t", alpha, beta), 3).alias("t_local"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import Gates
+from ..operators.ordered import ROWS, numbered
 
 BUNDLE_FORMAT, BUNDLE_VERSION = "tidemark-bundle", 1
 
@@ -33,6 +34,28 @@ def timestamps_from_parquet(spark: SparkSession, path: str, device_id: str, stre
     return rows.select("device_id", "stream_id", "t_device_us", "seq", ref.alias("payload_ref"))
 
 
+def samples_from_times(times: DataFrame, streams: DataFrame, base: str, pos: str = "pos") -> DataFrame:
+    """``device_id, stream_id, t_device_us, seq, payload_ref`` of ``times(device_id, stream_id, pos, t_device_us)``.
+
+    ``seq`` numbers a stream's rows from 0 in the order of ``pos``, and the address is ``base`` with
+    the stream and row as its fragment. Only streams declared in ``streams(device_id, stream_id)`` may
+    have times (a stream without times has no samples); ``base`` is an address of a registered scheme
+    without a fragment.
+    """
+    from ..functions.scalars import allowed_schemes
+
+    scheme, parted, place = base.partition("://")
+    if not (parted and place and scheme in allowed_schemes()) or "#" in base:
+        raise ValueError(f"not an address of a registered scheme without a fragment: {base!r}")
+    keys = ["device_id", "stream_id"]
+    odd = times.join(streams, keys, "left_anti").select(*keys).first()
+    if odd:
+        raise ValueError(f"stream {odd['stream_id']!r} of device {odd['device_id']!r} is not declared")
+    rows = numbered(times.select(*keys, pos, F.col("t_device_us").cast("long").alias("t_device_us")), keys, pos, [], ROWS, "seq")
+    ref = F.format_string("%s#stream=%s&row=%d", F.lit(base), F.col("stream_id"), F.col("seq"))
+    return rows.select(*keys, "t_device_us", "seq", ref.alias("payload_ref"))
+
+
 def topology_of(path: str) -> dict[str, str | None]:
     """``topology_ref`` and ``topology_hash`` from a Parquet file's key-value metadata, where they are.
 
