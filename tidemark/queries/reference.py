@@ -564,9 +564,9 @@ def model_violations(spark, d):
     return validate.model_violations(m).select("event_id", "reason")
 
 
-@query(f"WITH {_E} SELECT event_id, dev || '::s' || event_id % 3 AS stream, round((t - (event_id % 50) * 10.0::DOUBLE) / (1 + (event_id % 40) * 1e-6::DOUBLE), 3) AS t_local FROM e")
+@query(f"WITH {_E} SELECT event_id, dev || '::s' || event_id % 3 AS stream, round_even((t - (event_id % 50) * 10.0::DOUBLE) / (1 + (event_id % 40) * 1e-6::DOUBLE), 0)::BIGINT AS t_local FROM e")
 def forward_clock(spark, d):
     """Device time of a clock with an offset and a skew, and the key of a stream."""
     alpha, beta = transforms.offset_skew(F.col("event_id") % 50 * 10, F.col("event_id") % 40)
     e = events(spark, d).withColumn("stream_id", F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")))
-    return e.select("event_id", transforms.stream_key("dev", "stream_id").alias("stream"), F.round(transforms.local_from_ref("t", alpha, beta), 3).alias("t_local"))
+    return e.select("event_id", transforms.stream_key("dev", "stream_id").alias("stream"), transforms.to_long(transforms.local_from_ref("t", alpha, beta)).alias("t_local"))
