@@ -132,10 +132,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     and only hashes below ``8 per_lang`` in that number take part.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = known.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+    # no more than ``at_most`` languages can be in the sample, which bounds what is broadcast
+    counts = known.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(at_most)
     known = known.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    near = known.select("doc_id", "lang", share.alias("h")).join(counts, "lang").where(F.col("h") * F.col("n") < 8 * per_lang)
+    near = known.select("doc_id", "lang", share.alias("h")).join(F.broadcast(counts), "lang").where(F.col("h") * F.col("n") < 8 * per_lang)
     by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = near.select("doc_id", "lang", F.row_number().over(by_hash).alias("k")).where(F.col("k") <= per_lang)
     picked = chosen.orderBy("k", "lang", "doc_id").limit(at_most).select("doc_id").distinct()  # bounded, so it may be broadcast
