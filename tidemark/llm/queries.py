@@ -81,13 +81,19 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_bpe_chunks, op3_url_filters, op4_mixing, op5_simhash_golay, op6_license_scan, op7_lm_scores, op8_line_dedup, op9_embedding_dups, op10_audio_features)
+    every = (op1_language_id, op2_bpe_chunks, op3_url_filters, op4_mixing, op5_simhash_golay, op6_license_scan, op7_lm_scores, op8_line_dedup, op9_embedding_dups, op10_audio_features, op13_filter_audit)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """Languages, tokens, fingerprints over XXH64, models, spans and files are beyond SQL: tested by brute force."""
-    from . import embeddings, licenses, mixing, urlfilter
+    from . import audit, embeddings, licenses, mixing, urlfilter
 
-    return {"op3_url_filters": urlfilter.SQL, "op4_mixing": mixing.sql(), "op6_license_scan": licenses.sql(), "op9_embedding_dups": embeddings.sql()}
+    return {"op3_url_filters": urlfilter.SQL, "op4_mixing": mixing.sql(), "op6_license_scan": licenses.sql(), "op9_embedding_dups": embeddings.sql(), "op13_filter_audit": audit.SQL}
