@@ -81,6 +81,14 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .audit import audit
 
@@ -88,12 +96,12 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_bpe_chunks, op3_url_filters, op4_mixing, op5_simhash_golay, op6_license_scan, op7_lm_scores, op8_line_dedup, op9_embedding_dups, op10_audio_features, op13_filter_audit)
+    every = (op1_language_id, op2_bpe_chunks, op3_url_filters, op4_mixing, op5_simhash_golay, op6_license_scan, op7_lm_scores, op8_line_dedup, op9_embedding_dups, op10_audio_features, op12_hard_negatives, op13_filter_audit)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """Languages, tokens, fingerprints over XXH64, models, spans and files are beyond SQL: tested by brute force."""
-    from . import audit, embeddings, licenses, mixing, urlfilter
+    from . import audit, embeddings, licenses, mixing, negatives, urlfilter
 
-    return {"op3_url_filters": urlfilter.SQL, "op4_mixing": mixing.sql(), "op6_license_scan": licenses.sql(), "op9_embedding_dups": embeddings.sql(), "op13_filter_audit": audit.SQL}
+    return {"op3_url_filters": urlfilter.SQL, "op4_mixing": mixing.sql(), "op6_license_scan": licenses.sql(), "op9_embedding_dups": embeddings.sql(), "op12_hard_negatives": negatives.sql(), "op13_filter_audit": audit.SQL}
