@@ -81,6 +81,14 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_bytes
+
+    found = repeated_bytes(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .negatives import mine
 
@@ -96,7 +104,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_bpe_chunks, op3_url_filters, op4_mixing, op5_simhash_golay, op6_license_scan, op7_lm_scores, op8_line_dedup, op9_embedding_dups, op10_audio_features, op12_hard_negatives, op13_filter_audit)
+    every = (op1_language_id, op2_bpe_chunks, op3_url_filters, op4_mixing, op5_simhash_golay, op6_license_scan, op7_lm_scores, op8_line_dedup, op9_embedding_dups, op10_audio_features, op11_substring_dedup, op12_hard_negatives, op13_filter_audit)
     return {f.__name__: f for f in every}
 
 
