@@ -86,6 +86,44 @@ BROKEN = [
     (("validation_report", "property_checks"), {"x": "maybe"}, "validation_report", "property_checks"),
     (("exports", 0, "frame_count"), -3, "export", "frame_count"),
     (("ground_truth", "clock_models", "b", "beta_us"), KeyError, "session", "clock_models"),
+    # wrong types, which must not become a default
+    (("devices", 1, "descriptor", "clock", "resolution_us"), "abc", "device", "resolution_us"),
+    (("devices", 1, "descriptor", "clock", "resolution_us"), 1.7, "device", "resolution_us"),
+    (("devices", 1, "descriptor", "clock", "resolution_us"), 5.0, "device", "resolution_us"),
+    (("devices", 1, "descriptor", "clock", "resolution_us"), True, "device", "resolution_us"),
+    (("devices", 1, "descriptor", "clock", "resolution_us"), 10**19, "device", "resolution_us"),
+    (("devices", 1, "descriptor", "clock", "resolution_us"), None, "device", "resolution_us"),
+    (("devices", 1, "descriptor", "clock", "timestamp_unit"), None, "device", "timestamp_unit"),
+    (("devices", 1, "descriptor", "clock"), "c", "device", "clock"),
+    (("devices", 1, "descriptor", "streams", 0, "nominal_rate_hz"), "fast", "stream", "nominal_rate_hz"),
+    (("devices", 1, "descriptor", "streams", 0, "nominal_rate_hz"), True, "stream", "nominal_rate_hz"),
+    (("devices", 1, "descriptor", "streams", 0, "payload_shape"), [3, "x"], "stream", "payload_shape"),
+    (("devices", 1, "descriptor", "streams", 0, "payload_shape"), [3, None], "stream", "payload_shape"),
+    (("devices", 1, "descriptor", "streams", 0, "payload_shape"), {"x": 3}, "stream", "payload_shape"),
+    (("devices", 1, "descriptor", "streams", 0, "subframe_capable"), 1, "stream", "subframe_capable"),
+    (("devices", 1, "descriptor", "streams", 0, "quality_floor"), "0.5", "stream", "quality_floor"),
+    (("devices", 1, "descriptor", "is_synthetic"), "true", "device", "is_synthetic"),
+    (("devices", 1, "descriptor", "modality"), 7, "device", "modality"),
+    (("devices", 1, "descriptor", "calibration_refs"), ["c", 2], "device", "calibration_refs"),
+    (("devices", 1, "descriptor"), ["b"], "registration", "descriptor"),
+    (("devices", 1, "stream_refs"), {"s": 5}, "registration", "stream_refs"),
+    (("devices", 1), "b", "session", "devices"),
+    (("metadata", "rejection_tolerance_us"), "x", "session", "rejection_tolerance_us"),
+    (("metadata", "rejection_tolerance_us"), 1.5, "session", "rejection_tolerance_us"),
+    (("metadata", "grid_rate_hz"), "1600", "session", "grid_rate_hz"),
+    (("metadata", "producers"), "p", "session", "producers"),
+    (("metadata", "producers"), None, "session", "producers"),
+    (("metadata", "contract_version"), 1, "session", "contract_version"),
+    (("metadata", "contract_version"), "1" * 40 + ".0.0", "session", "contract_version"),
+    (("calibration_refs", 0, "confidence"), "high", "calibration", "confidence"),
+    (("timeline", "n_grid"), "3", "timeline", "n_grid"),
+    (("timeline", "subframe_buckets", "R"), 4.5, "timeline", "R"),
+    (("sync_report", "coverage"), {"a::s": "1"}, "sync_report", "coverage"),
+    (("sync_report", "per_device", "b", "alpha"), "1", "clock_model", "alpha"),
+    (("sync_report", "per_device", "b", "segments"), [{"t_lo_us": "0"}], "clock_model", "t_lo_us"),
+    (("validation_report", "property_checks"), {"x": True}, "validation_report", "property_checks"),
+    (("exports", 0, "frame_count"), False, "export", "frame_count"),
+    (("ground_truth", "clock_models", "b", "beta_us"), "2", "session", "beta_us"),
 ]
 
 
@@ -105,6 +143,33 @@ def test_rules(spark):
     assert sessions.violations(documents(spark, [{}, {"metadata": None}])).count() > 0
 
 
+def test_types_that_are_taken(spark):
+    """Numbers for doubles, anything for opaque fields, unknown fields, absent and null fields, long version numbers."""
+    taken = [
+        (("metadata", "grid_rate_hz"), 1600),
+        (("metadata", "grid_rate_hz"), 1e300),
+        (("metadata", "grid_rate_hz"), None),
+        (("metadata", "anything"), [{}]),
+        (("metadata", "contract_version"), "1.99999999999.0"),
+        (("metadata", "contract_version"), "1." + "9" * 40 + ".0"),
+        (("devices", 1, "descriptor", "clock", "expected_drift"), {"ppm": [1, "x"]}),
+        (("devices", 1, "descriptor", "clock", "expected_offset_us"), 3),
+        (("devices", 1, "descriptor", "param_tiers"), {"x": 5}),
+        (("devices", 1, "descriptor", "streams", 0, "payload_shape"), []),
+        (("sync_report", "per_device", "b", "segments"), [{"t_lo_us": 0, "t_hi_us": 1.5, "alpha": 1, "beta_us": -2}]),
+    ]
+    assert sessions.violations(documents(spark, [put(FULL, path, value) for path, value in taken])).collect() == []
+
+
+def test_each_fault_is_told_once_with_its_type(spark):
+    rows = documents(spark, [put(FULL, ("devices", 1, "descriptor", "clock", "resolution_us"), "abc"), [1], "x"])
+    assert [[tuple(f) for f in r.type_faults] for r in rows.collect()] == [[("device", "b", "resolution_us", "bigint", "STRING")], [("session", None, "document", "struct", "ARRAY")], [("session", None, "document", "struct", "STRING")]]
+    found = sessions.violations(rows.limit(1)).collect()
+    assert [tuple(r) for r in found] == [("one", "device", "b", "resolution_us")]
+    broken = sessions.from_json(spark.createDataFrame([("{",), (None,)], "value string"))
+    assert [[f.found for f in r.type_faults] for r in broken.collect()] == [["NONE"], ["NONE"]]
+
+
 def test_manifests_come_back(spark, tmp_path):
     plain = f"file://{tmp_path}/in"
     (tmp_path / "in").mkdir()
@@ -132,6 +197,10 @@ def test_descriptors(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps(device("cam")["descriptor"]))
     r = sessions.load_descriptors(spark, f"file://{tmp_path}/d.json").first()
     assert (r.device_id, r.clock.resolution_us, r.contract_version, r.streams[0].subframe_capable) == ("cam", 1, "1.1.0", False)
+    for name, wrong in (("resolution_us", device("cam", clock={"clock_id": "c", "resolution_us": "1"})), ("nominal_rate_hz", device("cam", streams=[stream("cam", nominal_rate_hz="fast")]))):
+        (tmp_path / "w.json").write_text(json.dumps(wrong["descriptor"]))
+        with pytest.raises(ValueError, match=name):
+            sessions.load_descriptors(spark, f"file://{tmp_path}/w.json")
     (tmp_path / "e.json").write_text(json.dumps(device("cam", streams=[])["descriptor"]))
     with pytest.raises(ValueError, match="streams"):
         sessions.load_descriptors(spark, f"file://{tmp_path}/e.json")

@@ -466,19 +466,22 @@ def ingest_session(spark, d):
     return got.samples.join(got.devices.select("session_id", "device_id", "is_reference"), ["session_id", "device_id"]).select("session_id", "device_id", "is_reference", "stream_id", "seq")
 
 
-_BAD = "CASE WHEN c_custkey % 6 = 0 THEN ['modality'] WHEN c_custkey % 6 = 1 THEN ['resolution_us'] WHEN c_custkey % 6 = 2 THEN ['evidence_tiers'] WHEN c_custkey % 6 = 3 THEN ['contract_version', 'topology_ref'] ELSE [] END"
+_BAD = "CASE WHEN c_custkey % 6 = 0 THEN ['modality'] WHEN c_custkey % 6 = 1 THEN ['resolution_us'] WHEN c_custkey % 6 = 2 THEN ['evidence_tiers'] WHEN c_custkey % 6 = 3 THEN ['contract_version', 'topology_ref'] WHEN c_custkey % 30 IN (4, 10, 28) THEN ['resolution_us'] ELSE [] END"
 
 
-@query(f"SELECT c_nationkey::VARCHAR AS session_id, 'device' AS entity, c_custkey::VARCHAR AS entity_id, unnest({_BAD}) AS reason FROM customer UNION ALL SELECT c_nationkey::VARCHAR, 'registration', c_custkey::VARCHAR, 'role' FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_nationkey::VARCHAR, 'session', c_nationkey::VARCHAR, 'reference' FROM customer GROUP BY c_nationkey HAVING count(*) FILTER (c_custkey % 50 = 1) <> 1")
+@query(f"SELECT c_nationkey::VARCHAR AS session_id, 'device' AS entity, c_custkey::VARCHAR AS entity_id, unnest({_BAD}) AS reason FROM customer UNION ALL SELECT c_nationkey::VARCHAR, 'registration', c_custkey::VARCHAR, 'role' FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_nationkey::VARCHAR, 'stream', 's', 'nominal_rate_hz' FROM customer WHERE c_custkey % 6 = 5 GROUP BY 1 UNION ALL SELECT DISTINCT c_nationkey::VARCHAR, 'session', c_nationkey::VARCHAR, 'rejection_tolerance_us' FROM customer WHERE c_nationkey % 4 = 1 UNION ALL SELECT c_nationkey::VARCHAR, 'session', c_nationkey::VARCHAR, 'reference' FROM customer GROUP BY c_nationkey HAVING count(*) FILTER (c_custkey % 50 = 1) <> 1")
 def session_violations(spark, d):
-    """Manifests built from nations and their customers, with rules broken by arithmetic, written as JSON and read back."""
+    """Manifests built from nations and their customers, with rules broken and wrong types put in by arithmetic, written as JSON and read back."""
     c = spark.read.parquet(f"{d}/customer.parquet")
     key, pick = F.col("c_custkey"), lambda k, bad, good: F.when(F.col("c_custkey") % 6 == k, bad).otherwise(good)
     name = key.cast("string").alias("device_id")
-    stream = F.struct(F.lit("s").alias("stream_id"), name, F.lit("k").alias("kind"), F.lit("hold").alias("kernel"), F.lit("p").alias("payload_kind"), F.lit("u").alias("units"))
-    desc = F.struct(name, pick(0, F.lit(""), F.lit("m")).alias("modality"), F.lit("p").alias("producer"), F.lit(True).alias("is_synthetic"), F.struct(F.lit("c").alias("clock_id"), pick(1, F.lit(0), F.lit(1)).alias("resolution_us")).alias("clock"), F.array(pick(2, F.lit("ptp"), F.lit("shared_event"))).alias("evidence_tiers"), F.array(stream).alias("streams"), pick(3, F.lit("2.0.0"), F.lit("1.1.0")).alias("contract_version"), pick(3, F.lit(""), F.lit("v")).alias("topology_ref"))
+    # resolution: text, a fraction, a truth value, or right; rate: text or right; versions with a long number
+    odd = F.parse_json(F.expr("""CASE c_custkey % 30 WHEN 4 THEN '"abc"' WHEN 10 THEN '1.7' WHEN 28 THEN 'true' ELSE if(c_custkey % 6 = 1, '0', '1') END"""))
+    rate = F.parse_json(pick(5, F.lit('"fast"'), F.lit("30")))
+    stream = F.struct(F.lit("s").alias("stream_id"), name, F.lit("k").alias("kind"), F.lit("hold").alias("kernel"), F.lit("p").alias("payload_kind"), F.lit("u").alias("units"), rate.alias("nominal_rate_hz"))
+    desc = F.struct(name, pick(0, F.lit(""), F.lit("m")).alias("modality"), F.lit("p").alias("producer"), F.lit(True).alias("is_synthetic"), F.struct(F.lit("c").alias("clock_id"), odd.alias("resolution_us")).alias("clock"), F.array(pick(2, F.lit("ptp"), F.lit("shared_event"))).alias("evidence_tiers"), F.array(stream).alias("streams"), pick(3, F.lit("2.0.0"), F.lit("1.99999999999.0")).alias("contract_version"), pick(3, F.lit(""), F.lit("v")).alias("topology_ref"))
     role = F.when(key % 10 == 0, "leader").when(key % 50 == 1, "reference").otherwise("follower")
-    meta = F.struct(F.col("c_nationkey").cast("string").alias("session_id"), F.lit("real").alias("origin"), F.array(F.lit("p")).alias("producers"))
+    meta = F.struct(F.col("c_nationkey").cast("string").alias("session_id"), F.lit("real").alias("origin"), F.array(F.lit("p")).alias("producers"), F.parse_json(F.expr("""if(c_nationkey % 4 = 1, '"x"', '1875')""")).alias("rejection_tolerance_us"))
     docs = c.groupBy("c_nationkey").agg(F.collect_list(F.struct(name, role.alias("role"), desc.alias("descriptor"))).alias("devices"))
     return sessions.violations(sessions.from_json(docs.select(F.to_json(F.struct(meta.alias("metadata"), "devices")).alias("value"))))
 

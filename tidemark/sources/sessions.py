@@ -12,9 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from ..functions.scalars import contract_version_supported
 from ..operators.validate import broken, out_of_unit
 from ..plans.engine import rated_devices, select_reference
+from .typed import type_faults
 
 #: Versions that a manifest has if it names none, and the closed vocabularies.
 SCHEMA_VERSION, CONTRACT_VERSION = "0.3.0", "1.1.0"
@@ -37,6 +40,21 @@ _EXPORT = "struct<format:string,uri:string,produced_at:string,frame_count:bigint
 _TRUTH = "struct<clock_models:map<string,struct<alpha:double,beta_us:double>>,note:string>"
 SESSION = f"struct<metadata:{_METADATA},devices:array<{_REGISTRATION}>,calibration_refs:array<{_CALIBRATION}>,timeline:{_TIMELINE},sync_report:{_SYNC},validation_report:{_VALIDATION},exports:array<{_EXPORT}>,ground_truth:{_TRUTH}>"
 
+#: What stands where in a manifest, and what names it; fields that take any value; fields whose default a null does not stand for.
+_ENTITIES = {
+    "devices": ("registration", "device_id"),
+    "devices.descriptor": ("device", "device_id"),
+    "devices.descriptor.streams": ("stream", "stream_id"),
+    "calibration_refs": ("calibration", "calibration_id"),
+    "timeline": ("timeline", "timeline_id"),
+    "sync_report": ("sync_report", "reference_clock_id"),
+    "sync_report.per_device": ("clock_model", "device_id"),
+    "validation_report": ("validation_report", "gate_verdict"),
+    "exports": ("export", "uri"),
+}
+_OPAQUE = {"expected_drift", "param_tiers"}
+_NEVER_NULL = {"timestamp_unit", "resolution_us", "subframe_capable", "reference_candidate", "producers", "schema_version", "contract_version", "reference_clock_policy"}
+
 
 def _or(c, name: str, value) -> Column:
     return F.coalesce(c[name], value if isinstance(value, Column) else F.lit(value))
@@ -52,12 +70,15 @@ def _descriptor(d: Column) -> Column:
 
 
 def from_json(documents: DataFrame, value: str = "value") -> DataFrame:
-    """One row per manifest: the columns of ``SESSION``, defaults filled in, and ``session_id``.
+    """One row per manifest: the columns of ``SESSION``, defaults filled in, ``session_id`` and ``type_faults``.
 
     A document that is no mapping or has no metadata gives a row of nulls, which ``violations`` reports.
+    A value of a type that is not the contract's becomes null or a default, and stands in ``type_faults``,
+    which ``violations`` reports too.
     """
     s = F.from_json(F.col(value), SESSION)
-    rows = documents.select(s.alias("s")).select("s.*")
+    faults = type_faults(F.col(value), StructType.fromDDL(SESSION), "session", F.get_json_object(value, "$.metadata.session_id"), _ENTITIES, _OPAQUE, _NEVER_NULL)
+    rows = documents.select(s.alias("s"), faults.alias("type_faults")).select("s.*", "type_faults")
     meta = F.col("metadata")
     for name, default in (("schema_version", SCHEMA_VERSION), ("contract_version", CONTRACT_VERSION), ("reference_clock_policy", "designated_anchor")):
         meta = meta.withField(name, _or(F.col("metadata"), name, default))
@@ -71,7 +92,7 @@ def from_json(documents: DataFrame, value: str = "value") -> DataFrame:
 
 def to_json(sessions: DataFrame) -> DataFrame:
     """``session_id, value``: manifests as JSON documents; what is null is left out."""
-    names = [c for c in sessions.columns if c != "session_id"]
+    names = [c for c in sessions.columns if c not in ("session_id", "type_faults")]
     return sessions.select("session_id", F.to_json(F.struct(*names)).alias("value"))
 
 
@@ -118,9 +139,13 @@ def checked(sessions: DataFrame) -> DataFrame:
 
 def load_descriptors(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Device descriptors of a file or folder: one row per device, the columns of ``DESCRIPTOR``."""
-    rows = _documents(spark, path).select(_descriptor(F.from_json("value", DESCRIPTOR)).alias("d")).select("d.*")
+    documents = _documents(spark, path)
+    rows = documents.select(_descriptor(F.from_json("value", DESCRIPTOR)).alias("d")).select("d.*")
     if check:
-        wrong = descriptor_violations(rows.select(F.lit(None).cast("string").alias("session_id"), F.struct("*").alias("d"))).limit(5).collect()
+        nobody = F.lit(None).cast("string").alias("session_id")
+        wrong = descriptor_violations(rows.select(nobody, F.struct("*").alias("d")))
+        faults = type_faults(F.col("value"), StructType.fromDDL(DESCRIPTOR), "device", F.get_json_object("value", "$.device_id"), {"streams": _ENTITIES["devices.descriptor.streams"]}, _OPAQUE, _NEVER_NULL)
+        wrong = wrong.unionByName(_wrong_types(documents.select(nobody, faults.alias("type_faults")))).limit(5).collect()
         if wrong:
             raise ValueError("; ".join(f"{r.entity} {r.entity_id}: {r.reason}" for r in wrong))
     return rows
@@ -170,6 +195,11 @@ def _found(rows: DataFrame, entity: str, entity_id, rules: dict) -> DataFrame:
     return broken(rows, rules).select("session_id", F.lit(entity).alias("entity"), F.col(entity_id).cast("string").alias("entity_id"), "reason")
 
 
+def _wrong_types(rows: DataFrame) -> DataFrame:
+    """Type faults as violations: the field is the reason."""
+    return rows.select("session_id", F.explode("type_faults").alias("f")).select("session_id", "f.entity", "f.entity_id", F.col("f.field").alias("reason"))
+
+
 def descriptor_violations(rows: DataFrame) -> DataFrame:
     """``session_id, entity, entity_id, reason`` of ``rows(session_id, d)``: device, clock and stream rules."""
     device = rows.select("session_id", "d.*")
@@ -216,7 +246,7 @@ def descriptor_violations(rows: DataFrame) -> DataFrame:
 
 
 def violations(sessions: DataFrame) -> DataFrame:
-    """``session_id, entity, entity_id, reason``: every rule that a session or a part of it breaks."""
+    """``session_id, entity, entity_id, reason``: every rule that a session or a part of it breaks, once, and every value of a wrong type."""
     regs = registrations(sessions)
     ids = F.transform("devices", lambda r: r["device_id"])
     found = _found(
@@ -326,7 +356,10 @@ def violations(sessions: DataFrame) -> DataFrame:
         )
     )
     rules = {"gate_verdict": _none_of("gate_verdict", VERDICTS), "property_checks": F.coalesce(F.exists(F.map_values("property_checks"), lambda v: v.isNull() | ~v.isin("pass", "fail")), F.lit(False))}
-    return found.unionByName(_found(one("validation_report"), "validation_report", "gate_verdict", rules))
+    found = found.unionByName(_found(one("validation_report"), "validation_report", "gate_verdict", rules))
+    if "type_faults" in sessions.columns:  # sessions that were read from documents
+        found = found.unionByName(_wrong_types(sessions))
+    return found.distinct()
 
 
 @dataclass
