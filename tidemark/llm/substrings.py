@@ -9,12 +9,14 @@ once, go to the anchor's shard, so that all occurrences of any 50-byte string me
 induced sorting gives the suffix array (``suffixes``), permuted common prefixes cut it into classes of
 equal windows, and the least document id of each class goes back to the chunks that asked.
 
-What a chunk sends is bounded by its text, and a passage that every document holds costs one row per
-chunk, not one per document; a shard holds distinct stretches, and one number per row beside them.
+What a chunk sends is bounded by its text, and a passage that every document holds is sent once per
+chunk, not per document; a shard holds distinct stretches, and a few numbers per chunk that holds one.
+Texts that a smaller id has word for word go as a whole and send nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ _KEY = np.uint64((1 << 48) - 1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of several megabytes: ids, where each text ends, and the texts in one compressed piece."""
+    """Rows of several megabytes: ids, where each text ends, its digest, and the texts in one compressed piece."""
     base, no = TaskContext.get().partitionId() << 32, 0
     ids: list[int] = []
     texts: list[bytes] = []
@@ -45,9 +47,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal ids, texts, held, no
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        out = [[base + no], [held], [np.array(ids, np.int64).tobytes()], [ends.tobytes()], [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]]
+        digests = b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts)
+        out = [[base + no], [held], [np.array(ids, np.int64).tobytes()], [ends.tobytes()], [digests], [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]]
         ids, texts, held, no = [], [], 0, no + 1
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["chunk", "size", "ids", "ends", "z"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["chunk", "size", "ids", "ends", "digests", "z"])
 
     for b in batches:
         for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -61,6 +64,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(chunk, at, doc_id, digest)`` of each text of a chunk."""
+    for b in batches:
+        for row in b.to_pylist():
+            ids, d = np.frombuffer(row["ids"], np.int64), row["digests"]
+            digests = [d[i : i + 16] for i in range(0, len(d), 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["chunk"])), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids), pa.array(digests, pa.binary())], ["chunk", "at", "doc_id", "digest"])
+
+
+def _copies(chunks: DataFrame) -> DataFrame:
+    """``(chunk, copies)``: of each chunk, the places of texts that a smaller id has word for word."""
+    texts = chunks.select("chunk", "ids", "digests").mapInArrow(_texts, "chunk long, at int, doc_id long, digest binary")
+    first = texts.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    return texts.join(first, "digest").where("doc_id > least").groupBy("chunk").agg(F.collect_list("at").alias("copies"))
+
+
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, ends, bytes) of a chunk."""
     raw = zstandard.ZstdDecompressor().decompress(row["z"], max_output_size=max(1, row["size"])) if row["size"] else b""
@@ -162,14 +181,17 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
 def _numbered(row: dict, length: int) -> Iterator[tuple]:
     """Slices of a chunk's stretches that may repeat: (bytes, document numbers, first windows, windows, content's number, its anchor, contents so far).
 
-    Contents are numbered by first occurrence, alike in every pass over the chunk.
+    Contents are numbered by first occurrence, alike in every pass over the chunk. Texts that a
+    smaller id has word for word are left out: they go as a whole.
     """
     _, ends, x = _unpacked(row)
     raw = x.tobytes()
     shared = np.sort(np.concatenate([_keys(s) for s in row["shared"]]))
+    first = np.ones(len(ends), dtype=bool)
+    first[row["copies"] or []] = False
     numbers: dict[bytes, int] = {}
     for d, at, n, k in stretches(x, ends, length):
-        good = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, k), len(shared) - 1)] == k)
+        good = np.flatnonzero((shared[np.minimum(np.searchsorted(shared, k), len(shared) - 1)] == k) & first[d])
         d, at, n, k = d[good], at[good], n[good], k[good]
         no = np.fromiter((numbers.setdefault(raw[i:j], len(numbers)) for i, j in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)), np.int64, len(at))
         yield x, d, at, n, no, k, numbers
@@ -192,14 +214,26 @@ def _send_stretches(shards: int, length: int):
                 np.maximum.at(most, no, i)
                 home = np.zeros(len(numbers), dtype=np.int64)
                 home[no] = (k % np.uint64(shards)).astype(np.int64)
-                columns = [pa.array(home), pa.array(np.full(len(numbers), row["chunk"], np.int64)), pa.array(np.arange(len(numbers), dtype=np.int32)), pa.array(list(numbers), pa.binary()), pa.array(least), pa.array(most)]
-                whole = pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "no", "content", "least", "most"])
-                for a in range(0, len(numbers), 20_000):
-                    yield whole.slice(a, 20_000)
+                contents = list(numbers)
+                order = np.argsort(home, kind="stable")
+                found, first = np.unique(home[order], return_index=True)
+                packed = []
+                for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                    own = order[a:z]
+                    texts = [contents[i] for i in own.tolist()]
+                    head = np.concatenate([[len(own)], own, [len(t) for t in texts], least[own], most[own]]).astype(np.int64)
+                    packed.append(zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(texts)))
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), row["chunk"], np.int64)), pa.array(packed, pa.binary())], ["shard", "chunk", "sent"])
 
     return run
 
 
+def first_anchors(contents: list[bytes], length: int = LENGTH) -> np.ndarray:
+    """The anchor that all windows of each stretch share."""
+    size = np.array([len(c) for c in contents], dtype=np.int64)
+    return anchors(np.frombuffer(b"".join(contents), np.uint8), length)[np.cumsum(size) - size]
+
+
 def least_of_windows(contents: list[bytes], least: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(least id of each window's class, where each content's windows begin): suffix array, common prefixes, classes."""
     size = np.array([len(c) for c in contents], dtype=np.int64)
@@ -230,14 +264,36 @@ def least_of_windows(contents: list[bytes], least: np.ndarray, length: int = LEN
 def _answer(length: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one shard: to each chunk, the least id of each window's class, for the stretches in which that makes a difference."""
-        coded = table["content"].combine_chunks().dictionary_encode()
-        contents, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        least = np.full(len(contents), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, table["least"].to_numpy())
-        low, begin = least_of_windows(contents, least, length)
+        chunk, no, low_id, most, which = [], [], [], [], []
+        numbers: dict[bytes, int] = {}
+        for c, z in zip(table["chunk"].to_pylist(), table["sent"].to_pylist(), strict=True):
+            raw = zstandard.ZstdDecompressor().decompress(z)
+            n = int(np.frombuffer(raw[:8], np.int64)[0])
+            head = np.frombuffer(raw[8 : 8 + 32 * n], np.int64).reshape(4, n)
+            edge = (8 + 32 * n + np.append(0, np.cumsum(head[1]))).tolist()
+            chunk.append(np.full(n, c))
+            no.append(head[0])
+            low_id.append(head[2])
+            most.append(head[3])
+            which.append(np.fromiter((numbers.setdefault(raw[i:j], len(numbers)) for i, j in zip(edge, edge[1:])), np.int64, n))
+        chunk, no, low_id, most, which = map(np.concatenate, (chunk, no, low_id, most, which))
+        contents, bottom = list(numbers), np.iinfo(np.int64)
+        del numbers
+        least, top = np.full(len(contents), bottom.max), np.full(len(contents), bottom.min)
+        np.minimum.at(least, which, low_id)
+        np.maximum.at(top, which, most)
+        # an anchor that only copies shared is left with one stretch of one document
+        key = first_anchors(contents, length)
+        _, same, held = np.unique(key, return_inverse=True, return_counts=True)
+        open_ = (held[same] > 1) | (least < top)
+        if not open_.any():
+            return pa.table({"chunk": pa.array([], pa.int64()), "answer": pa.array([], pa.binary())})
+        place = np.cumsum(open_) - 1
+        kept = open_[which]
+        chunk, no, most, which = chunk[kept], no[kept], most[kept], place[which[kept]]
+        low, begin = least_of_windows([c for c, k in zip(contents, open_.tolist(), strict=True) if k], least[open_], length)
         lowest = np.minimum.reduceat(low, begin[:-1])
-        chunk, no = table["chunk"].to_numpy(), table["no"].to_numpy()
-        told = np.flatnonzero(lowest[which] < table["most"].to_numpy())
+        told = np.flatnonzero(lowest[which] < most)
         told = told[np.argsort(chunk[told], kind="stable")]
         found, first = np.unique(chunk[told], return_index=True)
         packed = []
@@ -260,6 +316,11 @@ def _cut(length: int):
             for row in b.to_pylist():
                 ids, ends, x = _unpacked(row)
                 gone = np.zeros(len(x) + 1, dtype=np.int32)
+                starts = ends - np.diff(np.append(0, ends))
+                copies = np.array(row["copies"] or [], dtype=np.int64)
+                copies = copies[ends[copies] - starts[copies] >= length]
+                gone[starts[copies]] += 1
+                np.subtract.at(gone, ends[copies], 1)
                 if row["answers"]:
                     told = [np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.int64) for z in row["answers"]]
                     no = np.concatenate([t[1 : 1 + t[0]] for t in told])
@@ -276,7 +337,6 @@ def _cut(length: int):
                         gone[window] += 1  # a window stands in one stretch
                         gone[window + length] -= 1
                 gone = np.cumsum(gone[:-1]) > 0
-                starts = ends - np.diff(np.append(0, ends))
                 edge = gone.copy()
                 edge[1:] &= ~gone[:-1]
                 edge[starts[starts < len(x)]] |= gone[starts[starts < len(x)]]  # runs end with their document
@@ -309,7 +369,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("length is too short for the anchors")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     nobody = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.col("text").alias("kept"))
-    chunks = durable(rows.where("doc_id is not null").mapInArrow(_chunks, "chunk long, size long, ids binary, ends binary, z binary"))
+    chunks = durable(rows.where("doc_id is not null").mapInArrow(_chunks, "chunk long, size long, ids binary, ends binary, digests binary, z binary"))
     size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     expected = 2 * size // (length - GRAM + 2) + 1
     # buckets and shards in proportion to the texts; buckets grow to 16 million anchors first, so that a chunk's rows stay well filled
@@ -319,8 +379,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = durable(shared)  # of each chunk, some of its own anchors
     taken = shared.agg(F.coalesce(F.sum(F.aggregate("shared", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))), F.lit(0))).first()[0]
     shards = max(1, taken // 6 * (length + RUN // 3) // (2 * SHARD))
-    asking = chunks.join(shared, "chunk")
-    wanted = asking.mapInArrow(_send_stretches(shards, length), "shard long, chunk long, no int, content binary, least long, most long")
+    copies = durable(_copies(chunks))
+    asking = chunks.drop("digests").join(shared, "chunk").join(copies, "chunk", "left")
+    wanted = asking.mapInArrow(_send_stretches(shards, length), "shard long, chunk long, sent binary")
     answers = wanted.groupBy("shard").applyInArrow(_answer(length), "chunk long, answer binary").groupBy("chunk").agg(F.collect_list("answer").alias("answers"))
-    done = chunks.join(shared, "chunk", "left").join(durable(answers), "chunk", "left").mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    done = chunks.drop("digests").join(shared, "chunk", "left").join(copies, "chunk", "left").join(durable(answers), "chunk", "left").mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return done.unionByName(nobody)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Up to this many symbols the scans go bucket by bucket.
+#: Up to this many symbols order is induced.
 SMALL_ALPHABET = 1024
 
 
@@ -34,7 +34,7 @@ def _deal(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return order, sorted_[first], count, np.arange(len(sorted_)) - np.repeat(first, count)
 
 
-def _induce_by_bucket(s: np.ndarray, small: np.ndarray, lms: np.ndarray, alphabet: int) -> np.ndarray:
+def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, alphabet: int) -> np.ndarray:
     """The order that LMS suffixes in the given order induce: all suffixes of a bucket push those in front of them at once."""
     n = len(s)
     ends = np.cumsum(np.bincount(s, minlength=alphabet))
@@ -92,35 +92,26 @@ def _induce_by_bucket(s: np.ndarray, small: np.ndarray, lms: np.ndarray, alphabe
     return out
 
 
-def _induce_by_symbol(s: np.ndarray, small: np.ndarray, lms: np.ndarray, alphabet: int) -> np.ndarray:
-    """The same, one suffix at a time."""
-    n = len(s)
-    ends = np.cumsum(np.bincount(s, minlength=alphabet))
-    front = np.concatenate([[-1], s[:-1], [-1]])  # the symbol before each suffix; -1 in place of those that a scan passes over
-    passed = np.concatenate([[True], small[:-1], [True]])
-    out = [-1] * n
-    tail = ends.tolist()
-    for p, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist(), strict=True):
-        tail[c] -= 1
-        out[tail[c]] = p
-    head = np.append(0, ends[:-1]).tolist()
-    larger = np.where(passed, -1, front).tolist()
-    for p in out:  # grows while it is read; an empty place, -1, reads the last entry
-        c = larger[p]
-        if c >= 0:
-            out[head[c]] = p - 1
-            head[c] += 1
-    tail = ends.tolist()
-    passed[1:-1] = ~small[:-1]
-    smaller = np.where(passed, -1, front).tolist()
-    for i in range(n - 1, -1, -1):
-        p = out[i]
-        c = smaller[p]
-        if c >= 0:
-            tail[c] -= 1
-            out[tail[c]] = p - 1
-    out[0] = n - 1
-    return np.array(out, dtype=np.int32)
+def _by_followers(names: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of a string of names whose last one, 0, stands nowhere else."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    slots, step = np.arange(n), 0
+    rank = np.zeros(n, dtype=np.int64)
+    key = names[order].astype(np.int64)
+    while True:
+        new = np.append(True, key[1:] != key[:-1])
+        start = np.maximum.accumulate(np.where(new, slots, 0))  # a group's rank is its first place
+        rank[order[slots]] = start
+        alone = new & np.append(new[1:], True)
+        slots = slots[~alone]
+        if not len(slots):
+            return order.astype(np.int32)
+        step = 2 * step or 1
+        at = order[slots]
+        key = rank[at] * n + rank[np.minimum(at + step, n - 1)]
+        sorted_ = np.argsort(key, kind="stable")
+        order[slots], key = at[sorted_], key[sorted_]
 
 
 def _names(s: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, int]:
@@ -150,17 +141,18 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
     n = len(s)
     if n == 1:
         return np.zeros(1, dtype=np.int32)
+    if alphabet > SMALL_ALPHABET:
+        return _by_followers(s)
     small, lms = _types(s)
     lms = lms.astype(np.int32)
-    induce = _induce_by_bucket if alphabet <= SMALL_ALPHABET else _induce_by_symbol
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
-    ranked = induce(s, small, lms, alphabet)
+    ranked = _induce(s, small, lms, alphabet)
     ranked = ranked[is_lms[ranked]]
     names, found = _names(s, lms, ranked)
     if found < len(lms):
         ranked = lms[suffix_array(names, found)]
-    return induce(s, small, ranked, alphabet)
+    return _induce(s, small, ranked, alphabet)
 
 
 def permuted_common_prefixes(s: np.ndarray, order: np.ndarray, stop: int) -> np.ndarray:
@@ -178,15 +170,18 @@ def permuted_common_prefixes(s: np.ndarray, order: np.ndarray, stop: int) -> np.
     fresh[1:] |= (s[:-1] != s[prior[1:]]) | (s[:-1] == stop)
     starts = np.flatnonzero(fresh)
     shared = np.zeros(len(starts), dtype=np.int64)
-    open_ = np.flatnonzero(before[starts] >= 0)
-    k = 0
-    while len(open_):
-        i, j = starts[open_] + k, before[starts[open_]] + k
-        inside = (i < n) & (j < n)
-        open_, i, j = open_[inside], i[inside], j[inside]
-        good = (s[i] == s[j]) & (s[i] != stop)
-        open_ = open_[good]
-        shared[open_] += 1
-        k += 1
+    # four symbols at a time while they agree and none ends the match, then one by one
+    four = np.lib.stride_tricks.sliding_window_view(np.concatenate([s, np.full(3, stop)]).astype(np.uint16), 4)
+    ends = (four == stop).any(axis=1)
+    four = np.ascontiguousarray(four).view(np.uint64).ravel()
+    todo = np.flatnonzero(before[starts] >= 0)
+    for width, text in ((4, four), (1, s)):
+        open_ = todo
+        while len(open_):
+            i, j = starts[open_] + shared[open_], before[starts[open_]] + shared[open_]
+            good = (np.maximum(i, j) < n) & (text[np.minimum(i, n - 1)] == text[np.minimum(j, n - 1)])
+            good &= ~ends[np.minimum(i, n - 1)] if width > 1 else s[np.minimum(i, n - 1)] != stop
+            open_ = open_[good]
+            shared[open_] += width
     last = np.cumsum(fresh) - 1
     return np.maximum(shared[last] - (at - starts[last]), 0)
