@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import associate, confidence, corrupt, detect, fit, graph, metrics, timeline, transforms, validate
 from ..plans import engine
-from ..sources import readers, sessions
+from ..sources import device_files, readers, sessions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -491,6 +491,15 @@ def timestamp_source(spark, d):
     return readers.timestamps_from_parquet(spark, f"{d}/orders.parquet", "dev", ["a", "b"], "o_orderkey", "mem")
 
 
+@query("WITH k AS (SELECT epoch_us(ts) - 1704067200000000 AS t, event_type, value, row_number() OVER () - 1 AS seq FROM events) SELECT 'cam' AS device_id, 'b' AS stream_id, t AS t_device_us, seq, 'mem://cam#stream=b&row=' || seq AS payload_ref, event_type, value FROM k WHERE t >= 86400000000 AND t < 864000000000")
+def device_files_source(spark, d):
+    """The events as a device's recording of three streams: one stream's samples in a range of time, with two of the file's columns."""
+    device_files.register(spark)
+    schema = f"{device_files.SCHEMA}, event_type string, value double"
+    rows = spark.read.format("device_files").schema(schema).options(path=f"{d}/events.parquet", device="cam", streams="a,b,c", timeColumn="ts", epochUs=1_704_067_200_000_000, base="mem://cam").load()
+    return rows.where("t_device_us >= 86400000000 and t_device_us < 864000000000 and stream_id = 'b'")
+
+
 @query(f"WITH {_E} SELECT dev, event_id FROM (SELECT *, row_number() OVER (PARTITION BY dev ORDER BY event_id) AS k FROM e) WHERE k <= 100")
 def batch_limit(spark, d):
     return readers.limit_per_stream(events(spark, d), ["dev"], 100, "event_id").select("dev", "event_id")
