@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from tidemark.llm import langid
 from tidemark.llm.queries import queries
@@ -67,3 +68,43 @@ def test_repeated_ids_and_floor_of_the_score(spark):
     floor = sorted(sure.values())[10]
     kept = langid.accepted(spark.createDataFrame([(i, t) for i, _, t in text], "doc_id long, text string"), one, min_score=floor).collect()
     assert {r.doc_id for r in kept} == {i for i, v in sure.items() if v >= floor}
+
+
+def test_rows_without_an_id_take_no_place(spark):
+    def text(lang, k):
+        return ("der hund und die katze im haus nummer " if lang == "de" else "the dog and the cat in the house number ") + chr(97 + k % 26) * (1 + k % 7)
+
+    rows = [(k, text("de", k), "de") for k in range(30)] + [(100 + k, text("en", k), "en") for k in range(30)] + [(None, text("en", k), "en") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert model.langs == langid.learn(docs.where("doc_id is not null")).langs and model.predict("the dog")[0] == "en" and model.predict("der hund")[0] == "de"
+
+
+def test_one_id_and_equal_rows_share_the_sample(spark, monkeypatch):
+    """A language of one id alone, and rows that repeat by the thousand, leave room for the others."""
+    seen = []
+    monkeypatch.setattr(langid, "Model", lambda labels, x: seen.append(sorted(labels)) or labels)
+    rows = [(7, f"ein haus {k}", "de") for k in range(40)] + [(1, "the house", "en")] * 3000 + [(k, f"a house {k}", "en") for k in range(2, 30)] + [(7, "one more house", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    langid.learn(docs, per_lang=50)
+    langid.learn(docs.repartition(2), per_lang=50)
+    assert seen[0] == seen[1] and seen[0].count("de") == 40 and 0 < seen[0].count("en") <= 30
+    langid.learn(docs, per_lang=50, at_most=20)
+    assert len(seen[2]) == 20
+
+
+def test_predictions_of_a_small_fit_by_hand(spark):
+    texts = ["la casa blanca", "el perro negro", "das haus", "der hund", "the house", "a dog runs"]
+    labels = ["es", "es", "de", "de", "en", "en"]
+    x = np.array([langid.features(t) for t in texts])
+    model = langid.Model(labels, x)
+    for t in texts:
+        v = langid.features(t)
+        family = max(range(len(model.families)), key=lambda k: float(model.family_w[k] @ v)) if len(model.families) > 1 else 0
+        langs = model.langs[model.families[family]]
+        votes = dict.fromkeys(langs, 0)
+        if len(langs) > 1:
+            for (i, j), w in zip(*model.pairs[model.families[family]]):
+                votes[langs[i] if float(w @ v) > 0 else langs[j]] += 1
+        assert model.predict(t)[0] == max(votes, key=votes.get) and model.predict(t)[2] == model.families[family]
+    assert [model.predict(t)[0] for t in texts] == labels

@@ -212,3 +212,11 @@ def test_passages_of_short_pieces_go(spark):
     assert gone[101] and min(gone[101]) >= 27  # the first paragraph, 7 words, stays
 
 
+
+
+def test_dotted_names_pass_through(spark):
+    line = "a line that is long enough to count as a passage of many words, more than twenty of them in all, so that it goes"
+    rows = [(1, line + "\nfirst", 1), (2, line + "\nsecond", 2), (None, None, 3)]
+    got = linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, `a.b` int"))
+    assert got.columns == ["doc_id", "text", "a.b"]
+    assert {r["a.b"]: r.text for r in got.collect()} == {1: line + "\nfirst", 2: "second", 3: None}

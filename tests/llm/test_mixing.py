@@ -90,3 +90,9 @@ def test_sql_agrees_on_the_table(spark):
     got = queries()["op4_mixing"](spark, sf).select(*rel.columns).collect()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, got)) == sorted(map(key, rel.fetchall())) and any("," in (r.positions_ppm or "") for r in got)
+
+
+def test_dotted_names_pass_through(spark):
+    rows = [(k, "word " * (k + 1), "s", k) for k in range(20)] + [(None, None, None, 99)]
+    got = mixing.repeat_in_order(spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int"))
+    assert got.columns == ["doc_id", "text", "source", "a.b"] and {r["a.b"] for r in got.collect()} <= {*range(20), 99}

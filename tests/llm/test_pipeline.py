@@ -54,3 +54,19 @@ def test_stages_against_brute_force(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() > 100
+
+
+def test_stages_take_null_ids_repeated_rows_and_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    rows = docs.collect()
+    odd = [(None, rows[0].text, "en", None, 5), (None, None, None, None, None), tuple(rows[1]), tuple(rows[1]), (rows[2].doc_id, rows[3].text, "de", "s", 1), (10**12, "", "en", "s", 0), (10**12 + 1, "ein wort " * 30_000, "de", "s", None)]
+    table = docs.unionByName(spark.createDataFrame(odd, docs.schema).selectExpr(*docs.columns))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, sf_dir)
+        n = out.count()
+        assert 0 < n <= 2 * table.count(), name
+        assert stage(spark, table.limit(0), sf_dir).count() == 0, name
+        if name != "bpe":
+            assert out.columns == docs.columns, name
+    single = [r.text for r in corpus_pipeline.near_duplicates(spark, table, sf_dir).collect()]
+    assert single.count(rows[1].text) <= 1 and sum(not t for t in single) <= 1

@@ -127,3 +127,12 @@ def test_one_of_each_group_whatever_the_names(spark):
     large = spark.createDataFrame([(2**53 + 1, a), (None, b), (2**53 + 3, b)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_each_group(large).collect()) == [2**53 + 1, 2**53 + 3]
     assert {r.doc_id for r in simhash.near_duplicates(large).collect()} == {2**53 + 1, None, 2**53 + 3}
+
+
+def test_dotted_names_and_ties_by_the_whole_row(spark):
+    text = "one two three four five six"
+    rows = [(1, text, k, {"m": k}) for k in (5, 3, 9, 3)] + [(2, "other words stand here instead of these", 1, None)]
+    schema = "doc_id long, text string, `a.b` long, maps map<string,long>"
+    got = [[tuple(r)[:3] for r in simhash.one_of_each_group(spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(3)).collect()] for k in (0, 2, 4)]
+    assert sorted(got[0]) == sorted(got[1]) == sorted(got[2]) and len(got[0]) == 2
+    assert simhash.one_of_each_group(spark.createDataFrame(rows, schema)).columns == ["doc_id", "text", "a.b", "maps"]

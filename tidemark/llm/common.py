@@ -21,6 +21,21 @@ def ascii_lower(c):
     return F.translate(c, _UPPER, _LOWER)
 
 
+def named(c: str):
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame):
+    """Each row of ``docs`` as one struct."""
+    return F.struct(*[named(c).alias(c) for c in docs.columns])
+
+
+def row_hash(docs: DataFrame):
+    """A hash of all columns of a row; maps count as their entries."""
+    return F.xxhash64(*[F.map_entries(named(f.name)) if f.dataType.typeName() == "map" else named(f.name) for f in docs.schema.fields])
+
+
 #: Arrow types of the columns that ``map_texts`` makes.
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "byte": pa.int8()}
 

@@ -11,12 +11,12 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, named
 
 #: Hashed dimensions; labelled documents per language and in all that the machines are fitted on.
 DIMS, PER_LANG, AT_MOST = 8192, 400, 4000
@@ -124,30 +124,31 @@ def _sure(margin: float) -> float:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, at_most: int = AT_MOST) -> Model:
     """Fit a model on a bounded sample: the first ``per_lang`` labelled rows of each language by hash
-    of their id, and ``at_most`` rows in all. Null labels, null ids, null texts and texts without
-    letters teach nothing; without labelled rows the model answers ``und`` to everything. Ids that
-    repeat are sampled together, in an order that does not hang on partitions.
+    of their id and text, and ``at_most`` rows in all. Null labels, null ids, null texts and texts
+    without letters teach nothing and take no place in the sample; without labelled rows the model
+    answers ``und`` to everything. Rows that share an id are sampled one by one, rows equal in id,
+    text and label as one. The sample does not hang on partitions.
 
     A language of any size sends few rows to the task that ranks them: its rows are counted first,
-    and only hashes below ``8 per_lang`` in that number take part.
+    only hashes below ``8 per_lang`` in that number take part, and equal rows are one by then.
     """
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("doc_id is not null and lang is not null")
     # no more than ``at_most`` languages can be in the sample, which bounds what is broadcast
-    counts = known.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(at_most)
-    known = known.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    near = known.select("doc_id", "lang", share.alias("h")).join(F.broadcast(counts), "lang").where(F.col("h") * F.col("n") < 8 * per_lang)
-    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = near.select("doc_id", "lang", F.row_number().over(by_hash).alias("k")).where(F.col("k") <= per_lang)
-    picked = chosen.orderBy("k", "lang", "doc_id").limit(at_most).select("doc_id").distinct()  # bounded, so it may be broadcast
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(at_most)
+    known = known.where(F.col("text").rlike(r"\p{L}")).withColumn("key", F.xxhash64("doc_id", "text"))
+    share = F.pmod("key", F.lit(1 << 40)) / float(1 << 40)
+    near = known.select("doc_id", "lang", "key", share.alias("h")).join(F.broadcast(counts), "lang").where(F.col("h") * F.col("n") < 8 * per_lang)
+    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id", "key")
+    chosen = near.select("lang", "h", "doc_id", "key").distinct().withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_lang)
+    picked = chosen.orderBy("k", "lang", "doc_id").limit(at_most).select("doc_id", "lang", "key")  # bounded, so it may be broadcast
 
     def run(texts: list) -> dict:
         vectors = [features(t).astype(np.float32) for t in texts]
         at = [np.flatnonzero(v).astype(np.int32) for v in vectors]
         return {"at": [a.tobytes() for a in at], "v": [v[a].tobytes() for v, a in zip(vectors, at, strict=True)]}
 
-    sample = map_texts(known.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "lang", "text"), run, "at binary, v binary")
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "v").limit(at_most).collect()
+    sample = map_texts(known.join(F.broadcast(picked), ["doc_id", "lang", "key"], "left_semi").select("doc_id", "lang", "key", "text"), run, "at binary, v binary")
+    rows = sample.groupBy("doc_id", "lang", "key").agg(F.first("at").alias("at"), F.first("v").alias("v")).collect()  # one row for each that was picked
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["v"]))
     x = np.zeros((len(rows), DIMS + 1), dtype=np.float32)
     for k, r in enumerate(rows):
@@ -176,9 +177,9 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: f
     that neither family nor language is better than a guess). Columns pass through, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(text: pd.Series) -> pd.Series:
+    def run(text: pa.Array) -> pa.Array:
         m = shared.value
-        found = (m.predict(t) for t in text)
-        return pd.Series([f[0] != UNDECIDED and f[1] >= min_score for f in found], dtype=bool)
+        found = (m.predict(t.as_py()) for t in text)  # one text at a time, however many a batch holds
+        return pa.array([f[0] != UNDECIDED and f[1] >= min_score for f in found], pa.bool_())
 
-    return docs.where(F.pandas_udf(run, "boolean")(F.col(text_col)))
+    return docs.where(F.arrow_udf(run, "boolean")(named(text_col)))

@@ -22,12 +22,11 @@ import functools
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, named, slices, whole_row
 
 #: Words of a paragraph, and of a span that goes, at the least.
 UNIT_WORDS, LEAST_WORDS = 7, 20
@@ -243,13 +242,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names (each row travels as one struct). Repeated rows are cut alike.
     """
 
-    def run(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else cut_spans(t, [x["start"] for x in s], [x["end"] for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
+    def run(text: pa.Array, spans: pa.Array) -> pa.Array:
+        both = ((t.as_py(), s.as_py()) for t, s in zip(text, spans, strict=True))  # one text at a time, however many a batch holds
+        return pa.array([t if s is None else cut_spans(t, [x["start"] for x in s], [x["end"] for x in s]) for t, s in both], pa.string())
 
     spans = repeated_spans(docs, id_col, text_col, least, unit)
     spans = durable(spans.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
+    rows = docs.select(whole_row(docs).alias("row"), named(id_col).cast("long").alias("id"), F.xxhash64(named(text_col)).alias("h"))
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("row_hash")), "left")
     text = F.col("row")[text_col]
-    cut = F.when(F.col("spans").isNull(), text).otherwise(F.pandas_udf(run, "string")(text, "spans"))
+    cut = F.when(F.col("spans").isNull(), text).otherwise(F.arrow_udf(run, "string")(text, "spans"))
     return joined.select(*[cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

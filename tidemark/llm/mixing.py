@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, whole_row
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Relative weight of a source at the start and at the end of training; linear between. By weight
@@ -137,7 +137,7 @@ def repeat_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Each copy stands at its own pass's position, so the repeats of a row are apart. Rows that the mix
     never reaches go; rows without words have no size to weigh and stay once, at their first position.
     """
-    mixed = mix(docs.withColumn("__row", F.struct(*docs.columns)), id_col, text_col, source_col, keep=["__row"], **options)
+    mixed = mix(docs.withColumn("__row", whole_row(docs)), id_col, text_col, source_col, keep=["__row"], **options)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
     taken = mixed.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     taken = taken.withColumn("at", F.get("positions", F.col("copy") - 1))

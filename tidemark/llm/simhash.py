@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, map_texts
+from .common import connected_components, durable, map_texts, named, row_hash, whole_row
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: First bit and number of bits of the six blocks.
@@ -187,18 +187,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` of which one per near-duplicate group stays: the one with the least id.
 
-    Among a group's rows that share the least id, the one with the least text hash stays; rows equal
-    in both are one row. A group whose ids are all null keeps one row, by text hash. Groups are told
-    apart by their fingerprints, so documents of different groups may share an id, or have none.
-    Null and empty texts are one group; an empty table gives an empty result; columns pass through,
-    whatever their names (each row travels as one struct, and meets the keepers once).
+    Among a group's rows that share the least id, the one with the least text hash stays, and among
+    these the one with the least hash of the whole row; rows equal in all columns are one row. A
+    group whose ids are all null keeps one row, by text hash. Groups are told apart by their
+    fingerprints, so documents of different groups may share an id, or have none. Null and empty
+    texts are one group; an empty table gives an empty result; columns pass through, whatever their
+    names (each row travels as one struct, and meets the keepers once).
     """
     # null and empty texts differ in nothing here
-    name = (F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).cast("long").isNull().alias("nil"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    rows = durable(map_texts(docs.select(*name, F.col(text_col).alias("text")), lambda texts: {"fp": _signed(texts)}, "fp long"))
+    key = (F.coalesce(named(id_col).cast("long"), F.lit(0)).alias("id"), named(id_col).cast("long").isNull().alias("nil"), F.xxhash64(F.coalesce(named(text_col), F.lit(""))).alias("h"), row_hash(docs).alias("rh"))
+    rows = durable(map_texts(docs.select(*key, named(text_col).alias("text")), lambda texts: {"fp": _signed(texts)}, "fp long"))
     groups = _grouped(rows.select(F.when(~F.col("nil"), F.col("id")).alias("doc_id"), "fp")).select("fp", "comp")
     # a group's keeper is chosen by partial aggregation, so a group of any size is one row per task
-    keepers = rows.join(groups, "fp").groupBy("comp").agg(F.min(F.struct("nil", "id", "h")).alias("k")).select("k.*")
-    # equal texts are in one group, so id and text hash name the keeper of one group only
-    kept = docs.select(*name, F.struct(*docs.columns).alias("row")).join(durable(keepers), ["id", "nil", "h"], "left_semi")
-    return kept.groupBy("id", "nil", "h").agg(F.first("row").alias("row")).select("row.*")
+    keepers = rows.join(groups, "fp").groupBy("comp").agg(F.min(F.struct("nil", "id", "h", "rh")).alias("k")).select("k.*")
+    # equal texts are in one group, so id and hashes name the keeper of one group only
+    kept = docs.select(*key, whole_row(docs).alias("row")).join(durable(keepers), ["id", "nil", "h", "rh"], "left_semi")
+    return kept.groupBy("id", "nil", "h", "rh").agg(F.first("row").alias("row")).select("row.*")  # equal rows, one of them

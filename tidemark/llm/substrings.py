@@ -32,7 +32,7 @@ from .suffixes import permuted_common_prefixes, suffix_array
 #: Bytes of a string whose repetition counts, of the strings that anchors are hashed from, and windows of a stretch at most.
 LENGTH, GRAM, RUN = 50, 16, 64
 #: Bytes of a chunk, windows that are looked at together, bytes of a shard's suffix array, and anchors of a bucket at least.
-CHUNK, SLICE, SHARD, BUCKET = 8 << 20, 1 << 19, 3 << 20, 1 << 20
+CHUNK, SLICE, SHARD, BUCKET = 8 << 20, 1 << 16, 3 << 20, 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _KEY = np.uint64((1 << 48) - 1)
 
@@ -109,18 +109,22 @@ def anchors(x: np.ndarray, length: int = LENGTH) -> np.ndarray:
 def stretches(x: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(document number, first window, windows, anchor) of each stretch, slice by slice of the windows of a chunk."""
     for a in range(0, len(x) - length + 1, SLICE):
-        part = x[a : a + SLICE + length - 1]
-        key = anchors(part, length)
-        at = a + np.arange(len(key))
-        doc = np.searchsorted(ends, at, side="right")
-        whole = at + length <= ends[doc]  # a window that leaves its document is none
-        new = whole.copy()
-        new[1:] &= ~whole[:-1] | (key[1:] != key[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        new |= whole & ((np.arange(len(key)) - first) % RUN == 0)
-        begin = np.flatnonzero(new)
-        stop = np.flatnonzero(np.append(new[1:] | ~whole[1:], True) & whole) + 1
-        yield doc[begin], at[begin], stop - begin, key[begin]
+        key = anchors(x[a : a + SLICE + length - 1], length)
+        whole = np.ones(len(key), dtype=bool)
+        near = ends[np.searchsorted(ends, a, side="right") : np.searchsorted(ends, a + len(key) + length)] - a
+        out = (near[:, None] - np.arange(1, length)).ravel()  # a window that leaves its document is none
+        whole[out[(out >= 0) & (out < len(key))]] = False
+        same = key[1:] == key[:-1]
+        first, last = whole.copy(), whole.copy()
+        first[1:] &= ~(whole[:-1] & same)
+        last[:-1] &= ~(whole[1:] & same)
+        begin = np.flatnonzero(first)
+        n = np.flatnonzero(last) + 1 - begin
+        if len(n) and n.max() > RUN:
+            parts = -(-n // RUN)
+            no = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            begin, n = np.repeat(begin, parts) + RUN * no, np.minimum(RUN, np.repeat(n, parts) - RUN * no)
+        yield np.searchsorted(ends, begin + a, side="right"), begin + a, n, key[begin]
 
 
 def _six(keys: np.ndarray) -> bytes:

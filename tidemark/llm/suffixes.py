@@ -162,18 +162,21 @@ def permuted_common_prefixes(s: np.ndarray, order: np.ndarray, stop: int) -> np.
     from there on each next position shares one symbol less.
     """
     n = len(s)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int32)
     before[order[1:]] = order[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     prior = np.maximum(before - 1, 0)
     fresh = (before <= 0) | (at == 0)
     fresh[1:] |= (s[:-1] != s[prior[1:]]) | (s[:-1] == stop)
     starts = np.flatnonzero(fresh)
-    shared = np.zeros(len(starts), dtype=np.int64)
+    shared = np.zeros(len(starts), dtype=np.int32)
     # four symbols at a time while they agree and none ends the match, then one by one
-    four = np.lib.stride_tricks.sliding_window_view(np.concatenate([s, np.full(3, stop)]).astype(np.uint16), 4)
-    ends = (four == stop).any(axis=1)
-    four = np.ascontiguousarray(four).view(np.uint64).ravel()
+    padded = np.concatenate([s, np.full(3, stop)]).astype(np.uint16)
+    four = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 4)).view(np.uint64).ravel()
+    ends = padded == stop
+    ends[:-1] |= ends[1:]
+    ends[:-2] |= ends[2:]
+    ends = ends[:n]
     todo = np.flatnonzero(before[starts] >= 0)
     for width, text in ((4, four), (1, s)):
         open_ = todo
