@@ -33,38 +33,93 @@ def _line(method: str, x: Column, y: Column) -> tuple[Column, Column]:
     return alpha, mean_y - alpha * mean_x
 
 
-def _lines(df: DataFrame, keys: list[str], x: str, y: str, method: str) -> DataFrame:
+def weighted_moments(df: DataFrame, keys: list[str], x: str, y: str, weight: str, width: float = TIME_US) -> DataFrame:
+    """``keys, n, w, mx, my, sxx, syy, sxy``: rows, sum of weights, weighted means and centred sums per group.
+
+    Two levels, both pre-aggregated. Rows are cut into buckets of ``x``, and sums are taken around the
+    bucket's edge, which every row knows, so nothing large is squared; a bucket's centred sums follow
+    from them. Buckets are then merged by the distances of their means from the group's mean. One
+    group may have any number of rows and buckets.
+    """
+    edge = F.floor(F.col(x) / F.lit(width)) * F.lit(width)
+    rows = df.select(*keys, F.col(weight).cast("double").alias("__w"), edge.cast("double").alias("__e"), (F.col(x) - edge).cast("double").alias("__x"), (F.col(y) - edge).cast("double").alias("__y"))
+    w, dx, dy = F.col("__w"), F.col("__x"), F.col("__y")
+    sums = {"n": F.count("*"), "w": F.sum(w), "x": F.sum(w * dx), "y": F.sum(w * dy), "xx": F.sum(w * dx * dx), "yy": F.sum(w * dy * dy), "xy": F.sum(w * dx * dy)}
+    part = rows.groupBy(*keys, "__e").agg(*[c.alias(f"__{n}") for n, c in sums.items()])
+    mean_x, mean_y = F.col("__x") / F.col("__w"), F.col("__y") / F.col("__w")
+    part = part.select(*keys, "__n", "__w", (F.col("__e") + mean_x).alias("__mx"), (F.col("__e") + mean_y).alias("__my"), *[(F.col(f"__{a}{b}") - F.col(f"__{a}") * F.col(f"__{b}") / F.col("__w")).alias(f"__s{a}{b}") for a, b in ("xx", "yy", "xy")])
+    part = checkpointed(part)  # a row per bucket, read for the means and for the sums around them
+    means = part.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__w").alias("w"), (F.sum(F.col("__w") * F.col("__mx")) / F.sum("__w")).alias("mx"), (F.sum(F.col("__w") * F.col("__my")) / F.sum("__w")).alias("my"))
+    apart = {"x": F.col("__mx") - F.col("mx"), "y": F.col("__my") - F.col("my")}
+    merged = [F.sum(F.col(f"__s{a}{b}") + F.col("__w") * apart[a] * apart[b]).alias(f"s{a}{b}") for a, b in ("xx", "yy", "xy")]
+    return part.join(means, keys).groupBy(*keys, "n", "w", "mx", "my").agg(*merged)
+
+
+def _weighted_lines(df: DataFrame, keys: list[str], x: str, y: str, method: str, weight: str) -> DataFrame:
+    m = weighted_moments(df, keys, x, y, weight)
+    n, sxx, syy, sxy = F.col("n"), F.col("sxx"), F.col("syy"), F.col("sxy")
+    if method == "offset":
+        alpha = F.lit(1.0)
+    elif method == "ols":
+        alpha = F.when((n < 2) | (sxx == 0), F.lit(1.0)).otherwise(F.try_divide(sxy, sxx))
+    else:
+        d = syy - sxx
+        alpha = F.when((n < 2) | (sxy == 0), F.lit(1.0)).otherwise(F.try_divide(d + F.sqrt(d * d + 4 * sxy * sxy), 2 * sxy))
+    m = m.withColumn("alpha", alpha)
+    return m.select(*keys, "alpha", (F.col("my") - F.col("alpha") * F.col("mx")).alias("beta_us"), F.col("n").alias("n_events"))
+
+
+def _lines(df: DataFrame, keys: list[str], x: str, y: str, method: str, weight: str | None = None) -> DataFrame:
+    if weight:
+        return _weighted_lines(df, keys, x, y, method, weight)
     alpha, beta = _line(method, F.col(x).cast("double"), F.col(y).cast("double"))
     return df.groupBy(*keys).agg(alpha.alias("alpha"), beta.alias("beta_us"), F.count("*").alias("n_events"))
 
 
-def _residuals(df: DataFrame, lines: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    return df.select(*keys, x, y).join(lines, keys).withColumn("__r", F.col("alpha") * F.col(x) + F.col("beta_us") - F.col(y))
+def _residuals(df: DataFrame, lines: DataFrame, keys: list[str], x: str, y: str, weight: str | None = None) -> DataFrame:
+    return df.select(*keys, x, y, *([weight] if weight else [])).join(lines, keys).withColumn("__r", F.col("alpha") * F.col(x) + F.col("beta_us") - F.col(y))
 
 
-def _rms(res: DataFrame, keys: list[str]) -> DataFrame:
-    return res.groupBy(*keys).agg(F.sqrt(F.avg(F.col("__r") * F.col("__r"))).alias("residual_us"))
+def _rms(res: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    square = F.col("__r") * F.col("__r")
+    mean = F.sum(F.col(weight) * square) / F.sum(weight) if weight else F.avg(square)
+    return res.groupBy(*keys).agg(F.sqrt(mean).alias("residual_us"))
 
 
-def fit(df: DataFrame, keys: list[str], x: str = "t_local_us", y: str = "t_ref_us", method: str = "tls", robust: bool = False) -> DataFrame:
+def _usable(df: DataFrame, x: str, y: str, weight: str | None) -> DataFrame:
+    """Rows that a fit takes; with a weight, no weight is 1, and rows without a positive one take no part."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if weight:
+        w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
+        df = df.withColumn(weight, w).where((w > 0) & (w < float("inf")))
+    return df
+
+
+def fit(df: DataFrame, keys: list[str], x: str = "t_local_us", y: str = "t_ref_us", method: str = "tls", robust: bool = False, weight: str | None = None) -> DataFrame:
     """``keys, alpha, beta_us, residual_us, n_events, confidence``: y = alpha * x + beta per group.
 
     ``method`` is offset, ols or tls. ``robust`` fits again without residuals beyond three RMS (if the
     group has three rows, the RMS is positive, and some but not all rows go); the residual is always
     over all rows. The rows are read twice per fit: for the line's moments and for its residuals. The
     first line and its RMS, one row per group, are written before the second fit reads them.
+
+    ``weight`` names a column of weights, such as the quality of events: means, moments and RMS are
+    weighted, ``n_events`` counts rows. A null weight is 1; rows whose weight is not positive, NaN or
+    infinite take no part. Equal weights give the fit without them.
     """
-    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    lines = _lines(df, keys, x, y, method)
-    out = lines.join(_rms(_residuals(df, lines, keys, x, y), keys), keys)
+    df = _usable(df, x, y, weight)
+    lines = _lines(df, keys, x, y, method, weight)
+    if weight:
+        lines = checkpointed(lines)  # several passes of small tables, read for the residuals and the result
+    out = lines.join(_rms(_residuals(df, lines, keys, x, y, weight), keys, weight), keys)
     if robust:
         out = checkpointed(out)
         good = F.abs("__r") <= OUTLIER * F.col("residual_us")
-        kept = _residuals(df, out.where("n_events >= 3 and residual_us > 0"), keys, x, y).where(good)
-        again = _lines(kept, keys, x, y, method).withColumnsRenamed({"alpha": "a2", "beta_us": "b2", "n_events": "n2"})
+        kept = _residuals(df, out.where("n_events >= 3 and residual_us > 0"), keys, x, y, weight).where(good)
+        again = _lines(kept, keys, x, y, method, weight).withColumnsRenamed({"alpha": "a2", "beta_us": "b2", "n_events": "n2"})
         both = out.join(again, keys, "left").withColumn("__use", F.col("n2").isNotNull() & (F.col("n2") < F.col("n_events")))
         lines = checkpointed(both.select(*keys, F.when(F.col("__use"), F.col("a2")).otherwise(F.col("alpha")).alias("alpha"), F.when(F.col("__use"), F.col("b2")).otherwise(F.col("beta_us")).alias("beta_us"), "n_events"))
-        out = lines.join(_rms(_residuals(df, lines, keys, x, y), keys), keys)
+        out = lines.join(_rms(_residuals(df, lines, keys, x, y, weight), keys, weight), keys)
     return out.withColumn("confidence", clock_confidence("residual_us", "n_events"))
 
 
@@ -118,7 +173,7 @@ def _drawn(k, salt: int) -> Column:
     return h * h % _PRIME
 
 
-def ransac(df: DataFrame, keys: list[str], threshold_us: float = 1000.0, n_iters: int = 200, x: str = "t_local_us", y: str = "t_ref_us", refine: bool = True) -> DataFrame:
+def ransac(df: DataFrame, keys: list[str], threshold_us: float = 1000.0, n_iters: int = 200, x: str = "t_local_us", y: str = "t_ref_us", refine: bool = True, weight: str | None = None) -> DataFrame:
     """``keys, alpha, beta_us, residual_us, n_events, confidence`` of the best consensus set per group.
 
     Two-point models are drawn, ``n_iters`` per group, from the group's ``POOL`` rows that are first by
@@ -127,13 +182,18 @@ def ransac(df: DataFrame, keys: list[str], threshold_us: float = 1000.0, n_iters
     the tasks. The model with most inliers wins (the earlier if they tie); it is refitted by robust
     total least squares on its inliers, with ``refine`` once more on the inliers of that, and the
     residual is over these. Groups of fewer than three rows, or without a consensus of two, are
-    fitted whole, robustly, and count all rows.
+    fitted whole, robustly, and count all rows. ``weight`` is that of ``fit``: it counts in the
+    refits, while drawing and voting take each row of positive weight as one.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    own = [F.col(weight).alias("weight")] if weight else []
+    weight = "weight" if weight else None
+    rows = _usable(df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *own), "x", "y", weight)
+    more = [weight] if weight else []
     mixed = (F.pmod(F.col("x").cast("long"), F.lit(_PRIME)) * 48_271 + F.pmod(F.col("y").cast("long"), F.lit(_PRIME)) * 69_621) % _PRIME
     pool = rows.withColumn("h", mixed * mixed % _PRIME)
-    pool = pool.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "x", "y")) - 1).where(F.col("i") < POOL)
-    pool = checkpointed(pool.select(*keys, "i", "x", "y"))
+    # numbered from 1, so that each task keeps its first rows alone before they are sorted together
+    pool = pool.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "x", "y"))).where(F.col("i") <= POOL)
+    pool = checkpointed(pool.select(*keys, (F.col("i") - 1).alias("i"), "x", "y"))
     draws = pool.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 3").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_iters - 1).cast("long"))))
     draws = draws.withColumn("i", _drawn(F.col("k"), 11) % F.col("n")).withColumn("j", (F.col("i") + 1 + _drawn(F.col("k"), 97) % (F.col("n") - 1)) % F.col("n"))
     one = pool.select(*keys, "i", F.col("x").alias("x1"), F.col("y").alias("y1"))
@@ -144,10 +204,10 @@ def ransac(df: DataFrame, keys: list[str], threshold_us: float = 1000.0, n_iters
     hits = rows.join(models, keys).groupBy(*keys, "k", "__a", "__b").agg(F.count(F.when(near, True)).alias("hits"))
     best = hits.groupBy(*keys).agg(F.max_by(F.struct("__a", "__b", "hits"), F.struct("hits", -F.col("k"))).alias("w")).where("w.hits >= 2")
     best = checkpointed(best.select(*keys, "w.__a", "w.__b"))
-    inliers = rows.join(best, keys).where(near).select(*keys, "x", "y")
+    inliers = rows.join(best, keys).where(near).select(*keys, "x", "y", *more)
     if refine:
-        lines = fit(checkpointed(inliers), keys, "x", "y", "tls", robust=True)
-        inliers = _residuals(rows, lines, keys, "x", "y").where(F.abs("__r") <= threshold_us).select(*keys, "x", "y")
-    good = fit(checkpointed(inliers), keys, "x", "y", "tls", robust=True)
-    whole = fit(rows.join(best.select(*keys), keys, "left_anti"), keys, "x", "y", "tls", robust=True)
+        lines = fit(checkpointed(inliers), keys, "x", "y", "tls", robust=True, weight=weight)
+        inliers = _residuals(rows, lines, keys, "x", "y", weight).where(F.abs("__r") <= threshold_us).select(*keys, "x", "y", *more)
+    good = fit(checkpointed(inliers), keys, "x", "y", "tls", robust=True, weight=weight)
+    whole = fit(rows.join(best.select(*keys), keys, "left_anti"), keys, "x", "y", "tls", robust=True, weight=weight)
     return good.unionByName(whole)

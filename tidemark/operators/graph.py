@@ -10,26 +10,31 @@ from .fit import fit, ransac
 from .transforms import compose, invert
 
 
-def pair_observations(observations: DataFrame, keys: list[str], event: str = "event_id", device: str = "device_id", t: str = "t_local_us") -> DataFrame:
-    """``keys, a, b, t_a, t_b``: device pairs a < b of each event; an event has a device once, so pairs are bounded by devices."""
-    one = observations.select(*keys, event, F.col(device).alias("a"), F.col(t).alias("t_a"))
+def pair_observations(observations: DataFrame, keys: list[str], event: str = "event_id", device: str = "device_id", t: str = "t_local_us", weight: str | None = None) -> DataFrame:
+    """``keys, a, b, t_a, t_b``: device pairs a < b of each event; an event has a device once, so pairs are bounded by devices.
+
+    With ``weight`` (the event's quality), the lesser device's row says what its pairs weigh.
+    """
+    one = observations.select(*keys, event, F.col(device).alias("a"), F.col(t).alias("t_a"), *([F.col(weight).alias("weight")] if weight else []))
     two = observations.select(*keys, event, F.col(device).alias("b"), F.col(t).alias("t_b"))
     return one.join(two, [*keys, event]).where("a < b").drop(event)
 
 
-def build_edges(observations: DataFrame, keys: list[str], min_events: int = 2, method: str = "tls", ransac_threshold_us: float = 1000.0, **names) -> DataFrame:
+def build_edges(observations: DataFrame, keys: list[str], min_events: int = 2, method: str = "tls", ransac_threshold_us: float = 1000.0, weight: str | None = None, **names) -> DataFrame:
     """``keys, a, b, alpha, beta_us, residual_us, n_events, confidence``: t_a = alpha * t_b + beta, where a < b share enough events.
 
-    ``n_events`` counts the pairs, or with RANSAC the inliers.
+    ``n_events`` counts the pairs, or with RANSAC the inliers. ``weight`` names a column of the
+    observations, such as the event's quality, that the fits are weighted by.
     """
     if method not in ("tls", "ransac"):
         raise ValueError(f"unknown method {method!r}")
     group = [*keys, "a", "b"]
-    pairs = checkpointed(pair_observations(observations, keys, **names))  # read by each pass of the fit
+    pairs = checkpointed(pair_observations(observations, keys, weight=weight, **names))  # read by each pass of the fit
+    w = "weight" if weight else None
     if method == "tls":
-        return fit(pairs, group, "t_b", "t_a", "tls", robust=True).where(F.col("n_events") >= min_events)
+        return fit(pairs, group, "t_b", "t_a", "tls", robust=True, weight=w).where(F.col("n_events") >= min_events)
     enough = pairs.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") >= min_events).drop("n")
-    return ransac(pairs.join(enough, group), group, ransac_threshold_us, x="t_b", y="t_a")
+    return ransac(pairs.join(enough, group), group, ransac_threshold_us, x="t_b", y="t_a", weight=w)
 
 
 def reconcile(edges: DataFrame, devices: DataFrame, keys: list[str], max_rounds: int | None = None) -> DataFrame:

@@ -67,18 +67,20 @@ def synchronize(
     confidence_decay_tau_us: float | None = None,
     min_events: int = 2,
     bucket_us: int = timeline.BUCKET_US,
+    weight: str | None = None,
 ) -> Result:
     """All steps over all sessions.
 
     ``devices(session_id, device_id, is_reference)``, ``streams(session_id, device_id, stream_id,
     kernel)``, ``samples(session_id, device_id, stream_id, t_device_us)``, ``observations(session_id,
     event_id, device_id, t_local_us, tier)``, ``truth(session_id, device_id, alpha, beta_us)``,
-    ``expected(session_id, device_id, stream_id, n_expected)``.
+    ``expected(session_id, device_id, stream_id, n_expected)``. ``weight`` names a column of the
+    observations (an event's quality) that fits are weighted by.
     """
     session, device = ["session_id"], ["session_id", "device_id"]
     stream = [*device, "stream_id"]
     known = checkpointed(observations.join(devices.select(*device), device, "left_semi"))
-    edges = graph.build_edges(known, session, min_events, "ransac" if robust else "tls", ransac_threshold_us)
+    edges = graph.build_edges(known, session, min_events, "ransac" if robust else "tls", ransac_threshold_us, weight)
     models = graph.reconcile(edges, devices, session).join(devices.select(*device, "is_reference"), device)
     models = checkpointed(models)
     fixed = checkpointed(correct_streams(samples, models, device))  # read for the span, both kernels and by the caller

@@ -111,6 +111,31 @@ _fit_query("fit_tls", "tls", "t_ref_us", False)
 _fit_query("fit_tls_robust", "tls", "t_bad_us", True)
 
 
+def _weighted_sql(keys: str, x: str, y: str, w: str, src: str) -> str:
+    """CTEs that end in ``weighted(keys, alpha, beta_us, n_events, residual_us)``: a robust weighted total least squares fit, each pass around the mean."""
+    ks = [k.strip() for k in keys.split(",")]
+    on, ka = " AND ".join(f"a.{k} = b.{k}" for k in ks), ", ".join(f"a.{k}" for k in ks)
+    line = lambda i, rows: f"""wm{i} AS (SELECT {keys}, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM {rows} GROUP BY {keys}),
+ws{i} AS (SELECT {ka}, mx, my, count(*) AS n, sum(w * (x - mx) * (x - mx)) AS sxx, sum(w * (y - my) * (y - my)) AS syy, sum(w * (x - mx) * (y - my)) AS sxy FROM {rows} a JOIN wm{i} b ON {on} GROUP BY {ka}, mx, my),
+wa{i} AS (SELECT *, CASE WHEN n < 2 OR sxy = 0 THEN 1.0 ELSE (syy - sxx + sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy)) / nullif(2 * sxy, 0) END AS alpha FROM ws{i}),
+wl{i} AS (SELECT {keys}, n, alpha, my - alpha * mx AS beta_us FROM wa{i})"""
+    rms = "sqrt(sum(w * pow(alpha * x + beta_us - y, 2)) / sum(w))"
+    return f"""wr AS (SELECT {keys}, {x}::DOUBLE AS x, {y}::DOUBLE AS y, coalesce({w}, 1.0)::DOUBLE AS w FROM {src} WHERE coalesce({w}, 1.0) > 0), {line(0, "wr")},
+wq AS (SELECT {ka}, {rms} AS r FROM wr a JOIN wl0 b ON {on} GROUP BY {ka}), wk AS (SELECT a.* FROM wr a JOIN wl0 b ON {on} JOIN wq c ON {on.replace("b.", "c.")} WHERE n >= 3 AND r > 0 AND abs(alpha * x + beta_us - y) <= 3 * r), {line(1, "wk")},
+wz AS (SELECT {ka}, a.n AS n_events, CASE WHEN b.n < a.n THEN b.alpha ELSE a.alpha END AS alpha, CASE WHEN b.n < a.n THEN b.beta_us ELSE a.beta_us END AS beta_us FROM wl0 a LEFT JOIN wl1 b ON {on}),
+weighted AS (SELECT {ka}, alpha, beta_us, n_events, {rms} AS residual_us FROM wr a JOIN wz b ON {on} GROUP BY ALL)"""
+
+
+_WEIGHT = "CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 6 / 5.0 END"
+
+
+@query(f"WITH {_E}, {_P}, pw AS (SELECT *, {_WEIGHT} AS w FROM p), {_weighted_sql('dev', 't_local_us', 't_bad_us', 'w', 'pw')} SELECT dev, round(alpha, 9) AS alpha, round(beta_us)::BIGINT AS beta_us, round(residual_us, 1) AS residual_us, n_events, round({_CONF}, 4) AS confidence FROM weighted")
+def fit_weighted(spark, d):
+    """A sixth of the events weighs nothing, an eleventh has no weight, which is 1."""
+    got = fit.fit(pairs(spark, d).withColumn("w", F.expr(_WEIGHT).cast("double")), ["dev"], y="t_bad_us", robust=True, weight="w")
+    return got.select("dev", F.round("alpha", 9).alias("alpha"), _long("beta_us"), F.round("residual_us", 1).alias("residual_us"), "n_events", F.round("confidence", 4).alias("confidence"))
+
+
 _CUTS = f"{_P}, q AS (SELECT *, row_number() OVER (PARTITION BY dev ORDER BY t_local_us, t_bad_us) - 1 AS i, count(*) OVER (PARTITION BY dev) AS n FROM p), s AS (SELECT *, (SELECT max(s) FROM range(0, 4) r(s) WHERE floor(s * (n / 4.0::DOUBLE)) <= i)::INTEGER AS segment FROM q), {_fit_sql('dev, segment', 't_local_us', 't_bad_us', 'tls', True, 's')}, b AS (SELECT dev, segment, min(t_local_us) AS lo, max(t_local_us) AS hi FROM s GROUP BY 1, 2), w AS (SELECT dev, segment, coalesce((lag(hi) OVER z + lo) / 2.0, -1e18) AS t_lo_us, coalesce((hi + lead(lo) OVER z) / 2.0, 1e18) AS t_hi_us FROM b WINDOW z AS (PARTITION BY dev ORDER BY segment))"
 
 
@@ -258,6 +283,13 @@ def edges_tls(spark, d):
     return _edges(spark, d).select("session_id", "a", "b", F.round("alpha", 10).alias("alpha"), F.round(F.col("beta_us") / 10).cast("long").alias("beta_10us"), "n_events", F.round("confidence", 4).alias("confidence"))
 
 
+@query(f"WITH {_E}, {_OBS}, qw AS (SELECT x.session_id, x.device_id AS a, y.device_id AS b, x.t_local_us AS t_a, y.t_local_us AS t_b, (x.event_id % 4 + 1) / 4.0 AS w FROM o x JOIN o y ON x.session_id = y.session_id AND x.event_id = y.event_id AND x.device_id < y.device_id), {_weighted_sql('session_id, a, b', 't_b', 't_a', 'w', 'qw')} SELECT session_id, a, b, round(alpha, 9) AS alpha, round(beta_us / 10)::BIGINT AS beta_10us, n_events, round(residual_us)::BIGINT AS residual_us FROM weighted WHERE n_events >= 8")
+def edges_weighted(spark, d):
+    rated = observations(spark, d).withColumn("quality", (F.col("event_id") % 4 + 1) / 4)
+    got = graph.build_edges(rated, ["session_id"], min_events=8, weight="quality")
+    return got.select("session_id", "a", "b", F.round("alpha", 9).alias("alpha"), F.round(F.col("beta_us") / 10).cast("long").alias("beta_10us"), "n_events", _long("residual_us"))
+
+
 @query(f"WITH {_E}, {_PAIRS}, {_ransac_sql('session_id, a, b', 't_b', 't_a', 'q', 250.0)} SELECT session_id, a, b, round(alpha, 9) AS alpha, round(beta_us / 10)::BIGINT AS beta_10us, n_events, round(residual_us)::BIGINT AS residual_us FROM robust")
 def edges_ransac(spark, d):
     got = graph.build_edges(observations(spark, d), ["session_id"], 8, "ransac", 250.0)
