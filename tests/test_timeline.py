@@ -93,3 +93,36 @@ def test_confidence(spark):
     own = spark.createDataFrame([("k", 0, 0.5), ("k", 1, 0.25)], "k string, source_index long, confidence double")
     r = confidence.build_confidence(a, models, ["k"], source=own).orderBy("grid_idx").collect()
     assert [x.source for x in r] == [0.5, 0.25, 0.0]
+
+
+@pytest.mark.parametrize("kernel", ["hold", "continuous"])
+@pytest.mark.parametrize("bucket", [50, 10**9])
+def test_rated_samples_by_hand(spark, kernel, bucket):
+    """Samples that are not usable, ties of both kinds, confidences, and a stream of unusable samples alone."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    points = [(k, i, 7 * i - 20) for k in ("a", "b", "c") for i in range(60)]
+    samples = [("a", rng.randrange(350), rng.choice([True, False, None]), rng.choice([None, 0.25, 0.5, 0.75])) for _ in range(50)] + [("b", t, False, 0.5) for t in (5, 80)]
+    samples += [("a", 40, True, 0.25), ("a", 40, False, 0.5), ("a", 40, True, 0.5), ("a", None, True, 0.1)]
+    g = spark.createDataFrame(points, "k string, grid_idx long, t_us long")
+    s = spark.createDataFrame(samples, "k string, t_ref_us long, valid boolean, confidence double").repartition(3)
+    got = timeline.asof_join_rated(g, s, ["k"], 12, kernel, F.col("valid"), "confidence", bucket)
+    want = []
+    for k, i, t in points:
+        whole = sorted((x[1], x[2] is not False, 1.0 if x[3] is None else x[3]) for x in samples if x[0] == k and x[1] is not None)
+        use = [(p, x) for p, x in enumerate(whole) if x[1]]
+        prev = [(j, p, x) for j, (p, x) in enumerate(use) if x[0] <= t][-1:]
+        nxt = [(j, p, x) for j, (p, x) in enumerate(use) if x[0] > t][:1]
+        gaps = [t - prev[0][2][0]] if prev else []
+        if kernel == "continuous":
+            gaps += [nxt[0][2][0] - t] if nxt else []
+        gap = min(gaps, default=None)
+        valid = gap is not None and gap <= 12
+        both = kernel == "continuous" and bool(nxt)
+        weight = (t - prev[0][2][0]) / (nxt[0][2][0] - prev[0][2][0]) if both and prev else 0.0
+        want.append((k, i, t, prev[0][1] if prev else -1, nxt[0][1] if both else -1, weight, valid, max(0.0, 1 - gap / 12) if valid else 0.0, prev[0][0] if prev else -1, prev[0][2][2] if prev else 0.0))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plain = timeline.asof_join(g, s.where("k = 'a'"), ["k"], 12, kernel, bucket)
+    rated = timeline.asof_join_rated(g, s.where("k = 'a'"), ["k"], 12, kernel, bucket_us=bucket)
+    assert sorted(map(tuple, rated.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))

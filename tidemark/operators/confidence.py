@@ -20,7 +20,8 @@ def build_confidence(alignment: DataFrame, models: DataFrame, keys: list[str], e
     ``models(keys, clock_confidence)`` gives the clock's confidence; with ``events`` and a tau other
     than 0 it decays by exp(-distance / tau) from the nearest event. ``source(keys, source_index,
     confidence)`` gives a sample's own confidence, else it is 1; a point without a previous sample
-    has 0 then. ``derived`` is the product, for export.
+    has 0 then; an alignment that brings ``source_confidence`` along needs no such table. ``derived`` is
+    the product, for export.
     """
     out = alignment.join(models.select(*keys, F.coalesce("clock_confidence", F.lit(0.0)).alias("__clock")), keys, "left")
     decay = F.lit(1.0)
@@ -32,6 +33,8 @@ def build_confidence(alignment: DataFrame, models: DataFrame, keys: list[str], e
     if source is not None:
         out = out.join(source.select(*keys, "source_index", F.col("confidence").alias("__own")), [*keys, "source_index"], "left")
         own = F.coalesce("__own", F.lit(0.0))
+    elif "source_confidence" in alignment.columns:
+        own = F.col("source_confidence")
     zero = lambda c: F.when(F.col("valid"), c).otherwise(0.0)
     out = out.withColumn("source", zero(own)).withColumn("clock", zero(F.coalesce("__clock", F.lit(0.0)) * decay)).withColumn("interpolation", zero(F.col("interp_confidence")))
     out = out.withColumn("derived", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("source") * F.col("clock") * F.col("interpolation"))))

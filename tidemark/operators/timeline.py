@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import before, carried, cut, inside
@@ -93,6 +93,71 @@ def asof_join(points: DataFrame, samples: DataFrame, keys: list[str], tolerance_
     )
 
 
+def stream_positions(samples: DataFrame, keys: list[str], usable: Column, t: str = "t_ref_us", ties: tuple[str, ...] = (), bucket_us: int = BUCKET_US) -> DataFrame:
+    """``samples`` with ``usable``, ``position`` and ``usable_position``: places from 0 in the whole stream and among usable samples, in one pass.
+
+    Order is by time, then samples that are not usable first (so that the last of equals is usable if
+    one of them is), then by ``ties``. Samples with a null time have no place and are left out; of a
+    sample that is not usable, ``usable_position`` is null.
+    """
+    rows = cut(samples.where(F.col(t).isNotNull()).withColumn("usable", F.coalesce(usable, F.lit(True))), t, bucket_us)
+    total = lambda c: F.coalesce(F.sum(c).over(before(keys)), F.lit(0))
+    rows = carried(rows, keys, {"__n": F.count("*"), "__u": F.count_if("usable")}, {"__base": total("__n"), "__ubase": total("__u")})
+    w = inside(keys, t, "usable", *ties)
+    place = (F.col("__base") + F.row_number().over(w) - 1).cast("long")
+    among = (F.col("__ubase") + F.count_if("usable").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long")
+    return rows.select(*samples.columns, "usable", place.alias("position"), F.when(F.col("usable"), among).alias("usable_position"))
+
+
+def _beside(points: DataFrame, samples: DataFrame, keys: list[str], bucket_us: int) -> DataFrame:
+    """``points(keys, grid_idx, t_us)`` with ``last`` and ``following``: the structs ``s`` (time first) of the samples beside each, null for none."""
+    marked = points.select(*keys, F.col("t_us").alias("__t"), F.lit(None).cast(samples.schema["s"].dataType).alias("s"), F.col("grid_idx"))
+    every = marked.unionByName(samples.select(*keys, F.col("s")["t"].alias("__t"), "s", F.lit(None).cast("long").alias("grid_idx"))).withColumn("__b", F.floor(F.col("__t") / bucket_us).cast("long"))
+    ends = every.groupBy(*keys, "__b").agg(F.max("s").alias("__hi"), F.min("s").alias("__lo"))
+    back = Window.partitionBy(*keys).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, "__b", F.max("__hi").over(before(keys)).alias("__before"), F.min("__lo").over(back).alias("__after"))
+    up = Window.partitionBy(*keys, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys, "__b").orderBy(F.col("__t").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    seen = every.withColumn("__l", F.max("s").over(up)).withColumn("__f", F.min("s").over(down)).where("grid_idx is not null")
+    return seen.join(carry, [*keys, "__b"]).select(*keys, "grid_idx", F.col("__t").alias("t_us"), F.coalesce("__l", "__before").alias("last"), F.coalesce("__f", "__after").alias("following"))
+
+
+def asof_join_rated(points: DataFrame, samples: DataFrame, keys: list[str], tolerance_us: int, kernel: str = HOLD, usable: Column | None = None, confidence: str | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
+    """``asof_join`` for samples that may be unusable and have a confidence of their own.
+
+    ``usable`` is a condition on a sample (null counts as true; all are usable without it); only
+    usable samples are joined, while ``source_index`` and ``next_index`` still count the whole stream.
+    Two columns are added: ``usable_index``, the source's place among usable samples, and
+    ``source_confidence``, the value of ``confidence`` in the source sample (null is 1, and so is
+    every sample's without it; 0 for a point without a source).
+    """
+    if tolerance_us <= 0:
+        raise ValueError("tolerance_us must be positive")
+    if kernel not in (HOLD, CONTINUOUS):
+        raise ValueError(f"unknown kernel {kernel!r}")
+    own = samples.withColumn("__c", F.coalesce(F.col(confidence), F.lit(1.0)) if confidence else F.lit(1.0))
+    placed = stream_positions(own, keys, F.lit(True) if usable is None else usable, ties=("__c",), bucket_us=bucket_us).where("usable")
+    placed = placed.select(*keys, F.struct(F.col("t_ref_us").cast("long").alias("t"), "position", "usable_position", F.col("__c").alias("c")).alias("s"))
+    near = _beside(points, placed, keys, bucket_us)
+    back, ahead = F.col("t_us") - F.col("last.t"), F.col("following.t") - F.col("t_us")
+    gap = back if kernel == HOLD else F.least(back, ahead)
+    valid = F.coalesce(gap <= tolerance_us, F.lit(False))
+    both = F.lit(kernel == CONTINUOUS) & F.col("following").isNotNull()
+    index = lambda c: F.coalesce(c, F.lit(-1)).cast("long")
+    return near.select(
+        *keys,
+        "grid_idx",
+        "t_us",
+        index(F.col("last.position")).alias("source_index"),
+        F.when(both, index(F.col("following.position"))).otherwise(-1).cast("long").alias("next_index"),
+        F.when(both & F.col("last").isNotNull(), back / (F.col("following.t") - F.col("last.t")).cast("double")).otherwise(0.0).alias("weight"),
+        valid.alias("valid"),
+        F.when(valid, F.greatest(F.lit(0.0), 1 - gap / float(tolerance_us))).otherwise(0.0).alias("interp_confidence"),
+        index(F.col("last.usable_position")).alias("usable_index"),
+        F.coalesce("last.c", F.lit(0.0)).alias("source_confidence"),
+    )
+
+
 def coverage(alignment: DataFrame, keys: list[str]) -> DataFrame:
     """Share of grid points that are valid."""
     return alignment.groupBy(*keys).agg(F.avg(F.col("valid").cast("double")).alias("coverage"))

@@ -68,6 +68,8 @@ def synchronize(
     min_events: int = 2,
     bucket_us: int = timeline.BUCKET_US,
     weight: str | None = None,
+    use_valid: bool = False,
+    sample_confidence: str | None = None,
 ) -> Result:
     """All steps over all sessions.
 
@@ -76,6 +78,10 @@ def synchronize(
     event_id, device_id, t_local_us, tier)``, ``truth(session_id, device_id, alpha, beta_us)``,
     ``expected(session_id, device_id, stream_id, n_expected)``. ``weight`` names a column of the
     observations (an event's quality) that fits are weighted by.
+
+    With ``use_valid``, samples whose column ``valid`` is false are passed over by the as-of join (null
+    counts as valid), while indices still count the whole stream. ``sample_confidence`` names a column
+    of the samples that becomes the points' source confidence, which is 1 without it.
     """
     session, device = ["session_id"], ["session_id", "device_id"]
     stream = [*device, "stream_id"]
@@ -90,7 +96,12 @@ def synchronize(
     for kernel in (timeline.HOLD, timeline.CONTINUOUS):
         own = streams.where(F.col("kernel") == kernel).select(*stream)
         mine = points.where(F.col("kernel") == kernel).select(*stream, "grid_idx", "t_us")
-        parts.append(timeline.asof_join(mine, fixed.join(own, stream, "left_semi"), stream, rejection_tolerance_us, kernel, bucket_us).withColumn("kernel", F.lit(kernel)))
+        theirs = fixed.join(own, stream, "left_semi")
+        if use_valid or sample_confidence:
+            joined = timeline.asof_join_rated(mine, theirs, stream, rejection_tolerance_us, kernel, F.col("valid") if use_valid else None, sample_confidence, bucket_us)
+        else:
+            joined = timeline.asof_join(mine, theirs, stream, rejection_tolerance_us, kernel, bucket_us)
+        parts.append(joined.withColumn("kernel", F.lit(kernel)))
     alignment = checkpointed(parts[0].unionByName(parts[1]))  # coverage, checks and confidence read it
     seen = known.join(models.select(*device, "alpha", "beta_us"), device).select(*device, correct("t_local_us").alias("t_ref_us"))
     seen = seen.join(streams.select(*stream), device)

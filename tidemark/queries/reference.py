@@ -210,6 +210,19 @@ def asof_continuous(spark, d):
     return got.withColumn("weight", F.round("weight", 9)).withColumn("interp_confidence", F.round("interp_confidence", 9))
 
 
+_RATED = "whole AS (SELECT dev, t, event_id % 3 <> 0 AS ok, (event_id % 5 + 1) / 6.0 AS c, row_number() OVER (PARTITION BY dev ORDER BY t, event_id % 3 <> 0, event_id % 5) - 1 AS i FROM e WHERE value > 20), part AS (SELECT *, row_number() OVER (PARTITION BY dev ORDER BY i) - 1 AS j FROM whole WHERE ok), r1 AS (SELECT pts.*, s.i AS pi, s.j AS pj, s.t AS pt, s.c AS pc FROM pts ASOF LEFT JOIN part s ON pts.dev = s.dev AND pts.t_us >= s.t), r2 AS (SELECT r1.*, s.i AS ni, s.t AS nt FROM r1 ASOF LEFT JOIN part s ON r1.dev = s.dev AND r1.t_us < s.t)"
+
+
+@query(f"""WITH {_E}, {_GRID}, {_RATED} SELECT dev, grid_idx, coalesce(pi, -1) AS source_index, coalesce(ni, -1) AS next_index, coalesce(pj, -1) AS usable_index, CASE WHEN pt IS NULL OR nt IS NULL THEN 0 ELSE round((t_us - pt) / (nt - pt)::DOUBLE, 9) END AS weight,
+coalesce(least(t_us - pt, nt - t_us) <= {TOL}, false) AS valid, round(coalesce(pc, 0), 9) AS source_confidence FROM r2""")
+def asof_rated(spark, d):
+    """A third of the samples is not usable; the others have confidences of their own."""
+    pts, smp = _streams(spark, d)
+    e = events(spark, d).where("value > 20").select("dev", F.col("t").alias("t_ref_us"), (F.col("event_id") % 3 != 0).alias("ok"), ((F.col("event_id") % 5 + 1) / 6).alias("c"))
+    got = timeline.asof_join_rated(pts, e, ["dev"], TOL, timeline.CONTINUOUS, F.col("ok"), "c")
+    return got.select("dev", "grid_idx", "source_index", "next_index", "usable_index", F.round("weight", 9).alias("weight"), "valid", F.round("source_confidence", 9).alias("source_confidence"))
+
+
 @query(f"WITH {_E}, {_GRID}, {_HOLD} SELECT dev, round(avg(valid::INTEGER), 9) AS coverage FROM h GROUP BY 1")
 def coverage(spark, d):
     points, samples = _streams(spark, d)
@@ -537,21 +550,26 @@ def batch_limit(spark, d):
     return readers.limit_per_stream(events(spark, d), ["dev"], 100, "event_id").select("dev", "event_id")
 
 
-def _engine(spark, d):
+def _engine(spark, d, rated: bool = False):
     o = observations(spark, d)
-    samples = o.select("session_id", "device_id", F.lit("s").alias("stream_id"), F.col("t_local_us").alias("t_device_us"))
+    own = [(F.col("event_id") % 3 != 0).alias("valid"), ((F.col("event_id") % 5 + 1) / 6).alias("confidence")]
+    samples = o.select("session_id", "device_id", F.lit("s").alias("stream_id"), F.col("t_local_us").alias("t_device_us"), *own)
     streams = observers(spark, d).select("session_id", "device_id", F.lit("s").alias("stream_id"), F.when(F.col("device_id") > "d3", "continuous").otherwise("hold").alias("kernel"))
-    return engine.synchronize(observers(spark, d), streams, samples, o.withColumn("tier", F.lit("shared_event")), 1 / 3600, 7_200_000_000, metrics.Gates(max_dropout=0.6, min_coverage=0.0), min_events=8)
+    return engine.synchronize(observers(spark, d), streams, samples, o.withColumn("tier", F.lit("shared_event")), 1 / 3600, 7_200_000_000, metrics.Gates(max_dropout=0.6, min_coverage=0.0), min_events=8, use_valid=rated, sample_confidence="confidence" if rated else None)
 
 
-@query(f"""WITH RECURSIVE {_E}, {_EDGES}, arcs AS (SELECT session_id, a AS u, b AS v, alpha AS ea, beta_us AS eb, confidence AS k FROM edges UNION ALL SELECT session_id, b, a, 1 / alpha, -beta_us / alpha, confidence FROM edges),
+#: CTEs that end in the engine's models, corrected samples, grid and points.
+_ENGINE = f"""{_E}, {_EDGES}, arcs AS (SELECT session_id, a AS u, b AS v, alpha AS ea, beta_us AS eb, confidence AS k FROM edges UNION ALL SELECT session_id, b, a, 1 / alpha, -beta_us / alpha, confidence FROM edges),
 paths AS (SELECT DISTINCT session_id, 'd1' AS dev, 0.0::DOUBLE AS cost, 1.0::DOUBLE AS conf, ['d1'] AS path, 1.0::DOUBLE AS alpha, 0.0::DOUBLE AS beta_us FROM o
 UNION ALL SELECT p.session_id, v, cost - ln(greatest(k, 1e-9)), conf * k, list_append(path, v), alpha * ea, alpha * eb + beta_us FROM paths p JOIN arcs ON p.session_id = arcs.session_id AND p.dev = arcs.u WHERE NOT list_contains(path, v)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, dev ORDER BY cost, path) AS n FROM paths) WHERE n = 1),
 model AS (SELECT x.session_id, device_id, coalesce(alpha, 1) AS alpha, coalesce(beta_us, 0) AS beta_us, coalesce(conf, 0) AS conf FROM (SELECT session_id, device_id FROM (SELECT DISTINCT user_id AS session_id FROM e), (VALUES ('d1'), ('d2'), ('d3'), ('d4'), ('d5')) v(device_id)) x LEFT JOIN best ON x.session_id = best.session_id AND device_id = dev),
 fixed AS (SELECT session_id, device_id, event_id, round_even(alpha * t_local_us + beta_us, 0)::BIGINT AS t, conf FROM o JOIN model USING (session_id, device_id)),
 grid AS (SELECT session_id, a + unnest(range(0, (z - a) // 3600000000 + 1)) * 3600000000 AS g FROM (SELECT session_id, min(t) AS a, max(t) AS z FROM fixed GROUP BY 1)),
-pts AS (SELECT session_id, device_id, g FROM grid JOIN model USING (session_id)),
+pts AS (SELECT session_id, device_id, g FROM grid JOIN model USING (session_id))"""
+
+
+@query(f"""WITH RECURSIVE {_ENGINE},
 prev AS (SELECT pts.*, f.t AS pt FROM pts ASOF LEFT JOIN fixed f ON pts.session_id = f.session_id AND pts.device_id = f.device_id AND g >= f.t),
 near AS (SELECT prev.*, f.t AS nt FROM prev ASOF LEFT JOIN fixed f ON prev.session_id = f.session_id AND prev.device_id = f.device_id AND g < f.t),
 cover AS (SELECT session_id, min(c) AS coverage_min FROM (SELECT session_id, device_id, avg(coalesce(CASE WHEN device_id > 'd3' THEN least(g - pt, nt - g) ELSE g - pt END <= 7200000000, false)::INTEGER) AS c FROM near GROUP BY 1, 2) GROUP BY 1),
@@ -563,6 +581,41 @@ def synchronize_report(spark, d):
     return _engine(spark, d).report.withColumn("sync_resid_us", F.round("sync_resid_us", 1)).withColumn("coverage_min", F.round("coverage_min", 9))
 
 
+def _confidence_sql(usable: str, own: str) -> str:
+    """The engine's confidences per device, for samples that are usable where ``usable``, with source confidence ``own``."""
+    return f"""WITH RECURSIVE {_ENGINE},
+smp AS (SELECT session_id, device_id, t, {usable} AS ok, {own} AS c FROM fixed), part AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, device_id ORDER BY t, ok, c) - 1 AS i FROM smp) WHERE ok),
+prev AS (SELECT pts.*, f.t AS pt, f.i AS pi, f.c AS pc FROM pts ASOF LEFT JOIN part f ON pts.session_id = f.session_id AND pts.device_id = f.device_id AND g >= f.t),
+near AS (SELECT prev.*, f.t AS nt FROM prev ASOF LEFT JOIN part f ON prev.session_id = f.session_id AND prev.device_id = f.device_id AND g < f.t),
+gap AS (SELECT *, CASE WHEN device_id > 'd3' THEN least(g - pt, nt - g) ELSE g - pt END AS gap FROM near),
+rated AS (SELECT gap.session_id, gap.device_id, pi, coalesce(pc, 0) AS source, conf, coalesce(gap <= 7200000000, false) AS valid, greatest(0, 1 - gap / 7200000000.0) AS inter FROM gap JOIN model USING (session_id, device_id))
+SELECT session_id, device_id, count(*) FILTER (valid) AS n_valid, coalesce(sum(pi), 0)::BIGINT AS places, round(coalesce(sum(source) FILTER (valid), 0), 5) AS source, round(coalesce(avg(conf) FILTER (valid), 0), 4) AS clock, round(coalesce(sum(inter) FILTER (valid), 0), 3) AS interpolation, round(coalesce(avg(least(1, source * conf * inter)) FILTER (valid), 0), 4) AS derived FROM rated GROUP BY 1, 2"""
+
+
+def _confidence_sums(got):
+    mean = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("valid"), F.col(c))), F.lit(0.0)), 4).alias(c)
+    place = F.when(F.col("source_index") >= 0, F.col("source_index"))
+    return got.confidence.groupBy("session_id", "device_id").agg(F.count_if("valid").alias("n_valid"), F.coalesce(F.sum(place), F.lit(0)).alias("places"), F.round(F.sum("source"), 5).alias("source"), mean("clock"), F.round(F.sum("interpolation"), 3).alias("interpolation"), mean("derived"))
+
+
+@query(_confidence_sql("true", "CASE WHEN t IS NULL THEN 0.0 ELSE 1.0 END").replace("coalesce(pc, 0) AS source", "1.0 AS source"))
+def engine_confidence(spark, d):
+    """Confidences of the engine over all sessions, every sample valid."""
+    return _confidence_sums(_engine(spark, d))
+
+
+@query(_confidence_sql("event_id % 3 <> 0", "(event_id % 5 + 1) / 6.0"))
+def engine_confidence_rated(spark, d):
+    """The same where a third of the samples is not valid and the others have confidences of their own."""
+    return _confidence_sums(_engine(spark, d, rated=True))
+
+
+@query(f"WITH RECURSIVE {_ENGINE} SELECT session_id, device_id, round(alpha, 9) AS alpha, round(beta_us / 10)::BIGINT AS beta_10us, round(conf, 3) AS clock_confidence FROM model")
+def engine_clock_models(spark, d):
+    """The engine's models of every device of every session."""
+    return _engine(spark, d).clock_models.select("session_id", "device_id", F.round("alpha", 9).alias("alpha"), F.round(F.col("beta_us") / 10).cast("long").alias("beta_10us"), F.round("clock_confidence", 3).alias("clock_confidence"))
+
+
 @query(f"WITH {_E}, {_P}, {_fit_sql('dev', 't_local_us', 't_ref_us', 'tls', False)}, c AS (SELECT dev, round_even(alpha * t_local_us + beta_us, 0)::BIGINT AS t FROM p JOIN fitted USING (dev)), span AS (SELECT dev, min(t) AS a, max(t) AS b FROM c GROUP BY 1), g AS (SELECT dev, a + unnest(range(0, (b - a) // 60000000 + 1)) * 60000000 AS t_us FROM span), h AS (SELECT g.dev, coalesce(t_us - c.t <= {TOL}, false) AS valid FROM g ASOF LEFT JOIN c ON g.dev = c.dev AND g.t_us >= c.t) SELECT dev, round(avg(valid::INTEGER), 3) AS coverage FROM h GROUP BY 1")
 def corrected_coverage(spark, d):
     """The flagship: fit each device's clock, correct its stream, build the grid, join as of, and measure coverage."""
