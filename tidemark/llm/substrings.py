@@ -286,16 +286,18 @@ def _answer(length: int):
         least, top = np.full(len(contents), bottom.max), np.full(len(contents), bottom.min)
         np.minimum.at(least, which, low_id)
         np.maximum.at(top, which, most)
-        # an anchor that only copies shared is left with one stretch of one document
-        key = first_anchors(contents, length)
-        _, same, held = np.unique(key, return_inverse=True, return_counts=True)
-        open_ = (held[same] > 1) | (least < top)
-        if not open_.any():
+        # stretches that differ under one anchor are sorted; one that stands alone under its anchor equals itself only, and matters if two ids hold it
+        _, same, held = np.unique(first_anchors(contents, length), return_inverse=True, return_counts=True)
+        sorted_, alone = np.flatnonzero(held[same] > 1), np.flatnonzero((held[same] == 1) & (least < top))
+        place = np.full(len(contents), -1)
+        place[sorted_], place[alone] = np.arange(len(sorted_)), len(sorted_) + np.arange(len(alone))
+        kept = place[which] >= 0
+        if not kept.any():
             return pa.table({"chunk": pa.array([], pa.int64()), "answer": pa.array([], pa.binary())})
-        place = np.cumsum(open_) - 1
-        kept = open_[which]
         chunk, no, most, which = chunk[kept], no[kept], most[kept], place[which[kept]]
-        low, begin = least_of_windows([c for c, k in zip(contents, open_.tolist(), strict=True) if k], least[open_], length)
+        low, begin = least_of_windows([contents[i] for i in sorted_.tolist()], least[sorted_], length) if len(sorted_) else (np.empty(0, np.int64), np.zeros(1, np.int64))
+        windows = np.fromiter((len(contents[i]) - length + 1 for i in alone.tolist()), np.int64, len(alone))
+        low, begin = np.concatenate([low, np.repeat(least[alone], windows)]), np.concatenate([begin, begin[-1] + np.cumsum(windows)])
         lowest = np.minimum.reduceat(low, begin[:-1])
         told = np.flatnonzero(lowest[which] < most)
         told = told[np.argsort(chunk[told], kind="stable")]
