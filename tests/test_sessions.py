@@ -204,8 +204,7 @@ def test_descriptors(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps(device("cam", streams=[])["descriptor"]))
     with pytest.raises(ValueError, match="streams"):
         sessions.load_descriptors(spark, f"file://{tmp_path}/e.json")
-    pytest.importorskip("yaml")
-    import yaml
+    yaml = pytest.importorskip("yaml")
 
     (tmp_path / "f.yaml").write_text(yaml.safe_dump(device("cam")["descriptor"]))
     assert sessions.load_descriptors(spark, f"file://{tmp_path}/f.yaml").first().device_id == "cam"
@@ -231,3 +230,11 @@ def test_ingest(spark):
     nested = sessions.to_batches(samples, 2)
     assert nested.count() == 12 and sorted(map(tuple, sessions.to_rows(nested).select(*samples.columns).collect())) == sorted(map(tuple, samples.collect()))
     assert samples.where(F.col("seq") < 0).count() == 0 and sessions.to_batches(samples.limit(0)).count() == 0
+
+
+def test_sessions_as_yaml(spark):
+    """The same manifests, with the contract's order of fields."""
+    yaml = pytest.importorskip("yaml")
+    rows = documents(spark, [FULL, put(session(), ("metadata", "session_id"), "zwei ä")])
+    for (name, text), (_, plain) in zip(sorted(sessions.to_yaml(rows).collect()), sorted(sessions.to_json(rows).collect())):
+        assert yaml.safe_load(text) == json.loads(plain) and list(yaml.safe_load(text))[:2] == ["metadata", "devices"] and name in text

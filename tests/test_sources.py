@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars
 from tidemark.operators import metrics, validate
 from tidemark.plans import engine, lifecycle
-from tidemark.sources import readers
+from tidemark.sources import readers, sessions
 from tidemark.streaming import online
 
 
@@ -157,3 +157,47 @@ def test_observers_summary_and_exports(spark):
     assert all(getattr(tidemark, n) is not None for n in tidemark.__all__)
     with pytest.raises(AttributeError):
         tidemark.nothing
+
+
+def test_a_save_that_breaks_leaves_the_last_version(spark, tmp_path):
+    """Versions are whole or not there; a table may be made from the version before; sessions stay with the result."""
+    path = f"file://{tmp_path}/b"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x long, y string")
+    docs = spark.createDataFrame([(json.dumps({"metadata": {"session_id": "one", "origin": "real", "producers": ["p"]}, "devices": []}),)], "value string")
+    kept = sessions.from_json(docs)
+    with pytest.raises(ValueError, match="no bundle"):
+        readers.load_bundle(spark, path)
+    assert readers.save_bundle({"t": df}, path, {"n": 1}, kept) == 1
+    torn = df.withColumn("z", F.when(F.col("x") == 2, F.raise_error(F.lit("torn"))).otherwise(F.lit(0)))
+    with pytest.raises(Exception, match="torn"):
+        readers.save_bundle({"s": df, "t": torn}, path, {"n": 2})
+    tables, info = readers.load_bundle(spark, path)
+    assert info == {"n": 1} and set(tables) == {"t"} and tables["t"].count() == 2
+    assert [tuple(r) for r in sessions.to_json(readers.load_bundle_sessions(spark, path)).collect()] == [tuple(r) for r in sessions.to_json(kept).collect()]
+    assert readers.save_bundle({"t": tables["t"].unionByName(df)}, path, {"n": 3}) == 2  # made from the version before
+    assert readers.load_bundle(spark, path)[0]["t"].count() == 4 and readers.load_bundle_sessions(spark, path) is None
+    assert readers.load_bundle(spark, path, 1)[0]["t"].count() == 2
+    # a manifest whose writing broke off is no version
+    (tmp_path / "b" / "_commits" / "00000009").mkdir()
+    (tmp_path / "b" / "_commits" / "00000009" / "part-0").write_text("{")
+    assert readers.load_bundle(spark, path)[1] == {"n": 3}
+    readers.drop_versions(spark, path)
+    assert readers.load_bundle(spark, path)[0]["t"].count() == 4 and len([f for f in (tmp_path / "b").iterdir() if f.name.startswith("v")]) == 1
+    with pytest.raises(ValueError, match="version 1"):
+        readers.load_bundle(spark, path, 1)
+
+
+def test_public_names():
+    import tidemark
+    from tidemark import functions, operators, plans, sources, streaming
+
+    for package in (tidemark, functions, operators, plans, sources, streaming):
+        assert package.__all__ and all(getattr(package, n) is not None for n in package.__all__)
+        with pytest.raises(AttributeError):
+            package.nothing_of_the_kind
+
+
+def test_one_check_of_a_batch(spark):
+    rows = [("s", "d", "x", 0, 0, 5, "file://a", None, 0.5), ("s", "d", "x", 1, 1, 5, "file://a", None, None), ("s", "d", "x", 2, 2, 4, None, None, 2.0), ("s", "d", None, 3, 3, -1, "file://a", b"x".hex(), None), ("s", "e", "x", 4, None, 9, "file://a", None, None), ("s", "e", "x", 5, None, 9, "file://a", None, None)]
+    batch = spark.createDataFrame(rows, "session_id string, device_id string, stream_id string, pos long, seq long, t_device_us long, payload_ref string, payload_inline string, confidence double")
+    assert sorted((r.pos, r.reason) for r in sessions.batch_violations(batch).collect()) == [(2, "confidence"), (2, "order"), (2, "payload"), (3, "payload"), (3, "stream"), (3, "t_device_us"), (5, "order")]

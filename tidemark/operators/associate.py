@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,23 +74,43 @@ def _fields(df: DataFrame, names: list[str]) -> str:
 
 
 def _clusters(keys: list[str], tolerance_us: float, min_observers: int):
-    """The scan over sorted islands: members of each closed cluster, with the cluster's first time; the first row leads."""
+    """The scan over sorted islands: members of each closed cluster, with the cluster's first time; the first row leads.
+
+    Most islands are one cluster: every device once, and each member well within the tolerance of the
+    mean before it. Those are told apart and written by whole arrays. The others, and the first and
+    last island of a batch, which may go on in its neighbours, are scanned row by row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*keys, "device_id", "t_local_us", "__at", "__lead"]
-        open_, members, total, n, at, schema = None, {}, 0.0, 0, 0.0, None
+        open_, members, total, n, at, types = None, {}, 0.0, 0, 0.0, None
 
         def close(out: list) -> None:
             if open_ is not None and len(members) >= min_observers:
                 out += [(*open_[:-1], d, t, at, k == 0) for k, (d, (_, t)) in enumerate(members.items())]
 
         def batch(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), types, strict=True)], names)
 
         for b in batches:
-            schema = [*(b.schema.field(k) for k in (*keys, "device_id", "t_local_us")), pa.field("__at", pa.float64()), pa.field("__lead", pa.bool_())]
+            types = [*(b.schema.field(k).type for k in (*keys, "device_id", "t_local_us")), pa.float64(), pa.bool_()]
+            if not b.num_rows:
+                continue
+            start, size, plain = _islands(b, keys, tolerance_us)
+            first = [b.column(c)[0].as_py() for c in (*keys, "__island")]
+            plain[-1] = False
+            if first == open_:
+                plain[0] = False
+            whole = np.repeat(plain & (size >= min_observers), size)
+            if whole.any():
+                ct, rows = b.column("ct").to_numpy(zero_copy_only=False), pa.array(np.flatnonzero(whole))
+                lead = np.zeros(b.num_rows, dtype=bool)
+                lead[start] = True
+                found = [b.column(c).take(rows) for c in (*keys, "device_id", "t_local_us")]
+                yield pa.RecordBatch.from_arrays([*found, pa.array(np.repeat(ct[start], size)[whole]), pa.array(lead[whole])], names)
+            rest = pa.array(np.flatnonzero(np.repeat(~plain, size)))
             out: list = []
-            for *head, ct, d, t in zip(*(b.column(c).to_pylist() for c in (*keys, "__island", "ct", "device_id", "t_local_us")), strict=True):
+            for *head, ct, d, t in zip(*(b.column(c).take(rest).to_pylist() for c in (*keys, "__island", "ct", "device_id", "t_local_us")), strict=True):
                 centre = total / n if n else 0.0
                 if head != open_ or abs(ct - centre) > tolerance_us:
                     close(out)
@@ -108,3 +129,28 @@ def _clusters(keys: list[str], tolerance_us: float, min_observers: int):
             yield batch(out)
 
     return run
+
+
+def _islands(b: pa.RecordBatch, keys: list[str], tolerance_us: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row, rows, whether it is one cluster for certain) of each island of a sorted batch."""
+    new = np.zeros(b.num_rows, dtype=bool)
+    new[0] = True
+    for c in (*keys, "__island"):
+        codes = b.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, b.num_rows))
+    island = np.cumsum(new) - 1
+    place = np.arange(b.num_rows) - start[island]
+    ct = b.column("ct").to_numpy(zero_copy_only=False)
+    off = ct - ct[start][island]
+    before_ = np.cumsum(off) - off
+    mean = (before_ - before_[start][island]) / np.maximum(place, 1)
+    # some room, since this sum is not rounded as the scan's is
+    far = (place > 0) & ~(np.abs(off - mean) <= tolerance_us * (1 - 1e-9) - 1e-3)
+    device = b.column("device_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.lexsort((device, island))
+    again = np.zeros(b.num_rows, dtype=bool)
+    again[1:] = (device[order][1:] == device[order][:-1]) & (island[order][1:] == island[order][:-1])
+    bad = np.bincount(island, weights=far, minlength=len(start)) + np.bincount(island[order], weights=again, minlength=len(start))
+    return start, size, bad == 0

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into the session's ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir`` if need be.
 
-    Where none is set, local mode (tests) takes a temporary folder; on a cluster that is an error,
+    Where that is unset, local mode (tests) takes a temporary folder; on a cluster that is an error,
     since no local folder is shared there.
     """
-    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
@@ -21,4 +20,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             path = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the folder that driver and executors share.
+
+    Spark deletes a checkpoint's files once nothing refers to it if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, which belongs into the cluster's settings.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()

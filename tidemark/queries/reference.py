@@ -7,14 +7,16 @@ microseconds from 2024-01-01. Noise and faults are integer arithmetic on the eve
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import associate, confidence, corrupt, detect, fit, graph, metrics, timeline, transforms, validate
+from ..operators import associate, confidence, corrupt, detect, fit, graph, machines, metrics, profile, timeline, transforms, validate
+from ..operators.durable import shared_folder
 from ..plans import engine
-from ..sources import device_files, readers, sessions
+from ..sources import device_files, export, readers, sessions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -380,10 +382,18 @@ def gate(spark, d):
     return rows.select("user_id", metrics.gate("r", "c", "dropout", metrics.Gates(max_dropout=0.1)).alias("gate_verdict"))
 
 
-@query(f"WITH {_E}, {_GRID} SELECT DISTINCT dev, 'pass' AS grid_monotonic, 'pass' AS bounded_step, 'pass' AS no_fabricated_gaps FROM pts")
+_FAULTY = "pf AS (SELECT dev, grid_idx, CASE WHEN dev = 'error' AND grid_idx = 10 THEN t_us - 60000000 ELSE t_us END AS t_us FROM pts WHERE NOT (dev = 'purchase' AND grid_idx IN (20, 21)))"
+
+
+@query(f"WITH {_E}, {_GRID}, {_HOLD}, {_FAULTY}, d AS (SELECT dev, t_us - lag(t_us) OVER (PARTITION BY dev ORDER BY grid_idx) AS d FROM pf), st AS (SELECT dev, min(d) > 0 AS a, min(d) >= 1 AND max(d) <= 2 * min(d) AS b FROM d GROUP BY 1), gp AS (SELECT dev, bool_and(valid OR dev <> 'signup' AND c = 0) AS c FROM h GROUP BY 1) SELECT dev, CASE WHEN a THEN 'pass' ELSE 'fail' END AS grid_monotonic, CASE WHEN b THEN 'pass' ELSE 'fail' END AS bounded_step, CASE WHEN c THEN 'pass' ELSE 'fail' END AS no_fabricated_gaps FROM st JOIN gp USING (dev)")
 def property_checks(spark, d):
+    """A grid with a repeated point, one with points left out, and an alignment that is sure of gaps, beside sound ones."""
     points, samples = _streams(spark, d)
-    return metrics.property_checks(points, timeline.asof_join(points, samples, ["dev"], TOL), ["dev"])
+    aligned = timeline.asof_join(points, samples, ["dev"], TOL)
+    sure = F.when((F.col("dev") == "signup") & ~F.col("valid"), 0.1).otherwise(F.col("interp_confidence"))
+    again = F.when((F.col("dev") == "error") & (F.col("grid_idx") == 10), F.col("t_us") - 60_000_000).otherwise(F.col("t_us"))
+    faulty = points.where("not (dev = 'purchase' and grid_idx in (20, 21))").withColumn("t_us", again)
+    return metrics.property_checks(faulty, aligned.withColumn("interp_confidence", sure), ["dev"])
 
 
 @query(f"WITH {_E} SELECT user_id, t // 86400000000 AS day, CASE WHEN count(DISTINCT dev) = 1 THEN min(dev) ELSE 'mixed' END AS sync_method FROM e GROUP BY 1, 2")
@@ -555,7 +565,9 @@ def _engine(spark, d, rated: bool = False):
     own = [(F.col("event_id") % 3 != 0).alias("valid"), ((F.col("event_id") % 5 + 1) / 6).alias("confidence")]
     samples = o.select("session_id", "device_id", F.lit("s").alias("stream_id"), F.col("t_local_us").alias("t_device_us"), *own)
     streams = observers(spark, d).select("session_id", "device_id", F.lit("s").alias("stream_id"), F.when(F.col("device_id") > "d3", "continuous").otherwise("hold").alias("kernel"))
-    return engine.synchronize(observers(spark, d), streams, samples, o.withColumn("tier", F.lit("shared_event")), 1 / 3600, 7_200_000_000, metrics.Gates(max_dropout=0.6, min_coverage=0.0), min_events=8, use_valid=rated, sample_confidence="confidence" if rated else None)
+    tier = F.expr("if(session_id % 3 = 0 or session_id % 3 = 1 and event_id % 5 = 0, 'wall_clock', 'shared_event')")
+    expected = samples.groupBy("session_id", "device_id", "stream_id").agg((F.count("*") + F.col("session_id") % 4).alias("n_expected"))
+    return engine.synchronize(observers(spark, d), streams, samples, o.withColumn("tier", tier), 1 / 3600, 7_200_000_000, metrics.Gates(max_dropout=0.3, min_coverage=0.05), expected=expected, min_events=8, use_valid=rated, sample_confidence="confidence" if rated else None)
 
 
 #: CTEs that end in the engine's models, corrected samples, grid and points.
@@ -574,11 +586,13 @@ prev AS (SELECT pts.*, f.t AS pt FROM pts ASOF LEFT JOIN fixed f ON pts.session_
 near AS (SELECT prev.*, f.t AS nt FROM prev ASOF LEFT JOIN fixed f ON prev.session_id = f.session_id AND prev.device_id = f.device_id AND g < f.t),
 cover AS (SELECT session_id, min(c) AS coverage_min FROM (SELECT session_id, device_id, avg(coalesce(CASE WHEN device_id > 'd3' THEN least(g - pt, nt - g) ELSE g - pt END <= 7200000000, false)::INTEGER) AS c FROM near GROUP BY 1, 2) GROUP BY 1),
 spread AS (SELECT session_id, max(t) - min(t) AS s FROM fixed WHERE device_id = 'd1' OR conf > 0 GROUP BY session_id, event_id HAVING count(*) >= 2),
-resid AS (SELECT m.session_id, coalesce(r, 0) AS r FROM (SELECT DISTINCT session_id FROM model) m LEFT JOIN (SELECT session_id, sqrt(avg(s::DOUBLE * s)) AS r FROM spread GROUP BY 1) USING (session_id))
-SELECT session_id, round(r, 1) AS sync_resid_us, round(coalesce(coverage_min, 1), 9) AS coverage_min, 0.0::DOUBLE AS dropout_max, 'shared_event' AS sync_method, CASE WHEN r >= 5000 THEN 'blocked' WHEN r < 500 THEN 'certified' WHEN r < 2000 THEN 'release' ELSE 'needs_review' END AS gate_verdict, 'pass' AS grid_monotonic, 'pass' AS bounded_step, 'pass' AS no_fabricated_gaps FROM resid LEFT JOIN cover USING (session_id)""")
+resid AS (SELECT m.session_id, coalesce(r, 0) AS r FROM (SELECT DISTINCT session_id FROM model) m LEFT JOIN (SELECT session_id, sqrt(avg(s::DOUBLE * s)) AS r FROM spread GROUP BY 1) USING (session_id)),
+lost AS (SELECT session_id, max(1 - n / (n + session_id % 4)::DOUBLE) AS dropout_max FROM (SELECT session_id, device_id, count(*) AS n FROM o GROUP BY 1, 2) GROUP BY 1),
+tiers AS (SELECT session_id, CASE WHEN count(DISTINCT tier) = 1 THEN min(tier) ELSE 'mixed' END AS sync_method FROM (SELECT session_id, CASE WHEN session_id % 3 = 0 OR session_id % 3 = 1 AND event_id % 5 = 0 THEN 'wall_clock' ELSE 'shared_event' END AS tier FROM o) GROUP BY 1)
+SELECT session_id, round(r, 1) AS sync_resid_us, round(coalesce(coverage_min, 1), 9) AS coverage_min, round(coalesce(dropout_max, 0), 9) AS dropout_max, coalesce(sync_method, 'none') AS sync_method, CASE WHEN r >= 5000 THEN 'blocked' WHEN r < 500 AND dropout_max <= 0.3 AND coverage_min >= 0.05 THEN 'certified' WHEN r < 2000 AND dropout_max <= 0.3 AND coverage_min >= 0.05 THEN 'release' ELSE 'needs_review' END AS gate_verdict, 'pass' AS grid_monotonic, 'pass' AS bounded_step, 'pass' AS no_fabricated_gaps FROM resid LEFT JOIN cover USING (session_id) LEFT JOIN lost USING (session_id) LEFT JOIN tiers USING (session_id)""")
 def synchronize_report(spark, d):
     """The whole query over all sessions."""
-    return _engine(spark, d).report.withColumn("sync_resid_us", F.round("sync_resid_us", 1)).withColumn("coverage_min", F.round("coverage_min", 9))
+    return _engine(spark, d).report.withColumn("sync_resid_us", F.round("sync_resid_us", 1)).withColumn("coverage_min", F.round("coverage_min", 9)).withColumn("dropout_max", F.round("dropout_max", 9))
 
 
 def _confidence_sql(usable: str, own: str) -> str:
@@ -616,14 +630,14 @@ def engine_clock_models(spark, d):
     return _engine(spark, d).clock_models.select("session_id", "device_id", F.round("alpha", 9).alias("alpha"), F.round(F.col("beta_us") / 10).cast("long").alias("beta_10us"), F.round("clock_confidence", 3).alias("clock_confidence"))
 
 
-@query(f"WITH {_E}, {_P}, {_fit_sql('dev', 't_local_us', 't_ref_us', 'tls', False)}, c AS (SELECT dev, round_even(alpha * t_local_us + beta_us, 0)::BIGINT AS t FROM p JOIN fitted USING (dev)), span AS (SELECT dev, min(t) AS a, max(t) AS b FROM c GROUP BY 1), g AS (SELECT dev, a + unnest(range(0, (b - a) // 60000000 + 1)) * 60000000 AS t_us FROM span), h AS (SELECT g.dev, coalesce(t_us - c.t <= {TOL}, false) AS valid FROM g ASOF LEFT JOIN c ON g.dev = c.dev AND g.t_us >= c.t) SELECT dev, round(avg(valid::INTEGER), 3) AS coverage FROM h GROUP BY 1")
+@query(f"WITH {_E}, {_P}, {_fit_sql('dev', 't_local_us', 't_ref_us', 'tls', False)}, c AS (SELECT dev, round_even(alpha * t_local_us + beta_us, 0)::BIGINT AS t FROM p JOIN fitted USING (dev)), span AS (SELECT dev, min(t) AS a, max(t) AS b FROM c GROUP BY 1), g AS (SELECT dev, a + unnest(range(0, (b - a) // 60000000 + 1)) * 60000000 AS t_us FROM span), h AS (SELECT g.dev, coalesce(t_us - c.t <= {TOL}, false) AS valid FROM g ASOF LEFT JOIN c ON g.dev = c.dev AND g.t_us >= c.t) SELECT dev, round(avg(valid::INTEGER), 9) AS coverage FROM h GROUP BY 1")
 def corrected_coverage(spark, d):
     """The flagship: fit each device's clock, correct its stream, build the grid, join as of, and measure coverage."""
     p = pairs(spark, d)
     models = fit.fit(p, ["dev"], method="tls")
     fixed = transforms.correct_streams(p.select("dev", F.col("t_local_us").alias("t_device_us")), models, ["dev"])
     joined = timeline.asof_join(timeline.grid(fixed, ["dev"], RATE), fixed, ["dev"], TOL)
-    return timeline.coverage(joined, ["dev"]).withColumn("coverage", F.round("coverage", 3))
+    return timeline.coverage(joined, ["dev"]).withColumn("coverage", F.round("coverage", 9))
 
 
 @query(f"WITH {_E}, {_OBS} SELECT session_id, event_id, array_to_string(list_sort(list(DISTINCT device_id)), ',') AS device_ids, count(DISTINCT device_id) >= 2 AS usable FROM o GROUP BY 1, 2")
@@ -667,3 +681,27 @@ def forward_clock(spark, d):
     alpha, beta = transforms.offset_skew(F.col("event_id") % 50 * 10, F.col("event_id") % 40)
     e = events(spark, d).withColumn("stream_id", F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")))
     return e.select("event_id", transforms.stream_key("dev", "stream_id").alias("stream"), transforms.to_long(transforms.local_from_ref("t", alpha, beta)).alias("t_local"))
+
+
+@query(f"WITH {_E}, k AS (SELECT user_id, dev, t - lag(t) OVER (PARTITION BY user_id, dev ORDER BY t) AS gap FROM e) SELECT dev, count(*) AS samples, count(gap) AS gaps, min(gap) AS gap_min, max(gap) AS gap_max, round(avg(gap), 3) AS gap_mean, round(stddev_pop(gap) / 1000)::BIGINT AS jitter_ms, quantile_disc(gap, 0.5) AS gap_p50, quantile_disc(gap, 0.9) AS gap_p90, quantile_disc(gap, 0.99) AS gap_p99 FROM k GROUP BY 1")
+def gap_profile(spark, d):
+    """A sketch per user and device, merged per device; large enough to be exact on the test tables."""
+    fine = profile.gap_profile(events(spark, d), ["user_id", "dev"], "t", k=65_535)
+    got = profile.summary(profile.roll_up(fine, ["dev"]))
+    return got.withColumn("gap_mean", F.round("gap_mean", 3)).withColumn("jitter_ms", F.round(F.col("jitter") / 1000).cast("long")).drop("jitter")
+
+
+@query(f"WITH {_E}, m AS (SELECT dev, event_id, t, value, CASE WHEN value > 60 THEN 1 WHEN value < 20 THEN 0 END AS mark FROM e), s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY dev ORDER BY event_id), 0) AS on_ FROM m), r AS (SELECT *, sum(1 - on_) OVER (PARTITION BY dev ORDER BY event_id) AS run FROM s) SELECT dev, min(event_id) AS began, arg_min(t, (-value, event_id)) AS t_local_us FROM r WHERE on_ = 1 GROUP BY dev, run")
+def custom_detector(spark, d):
+    """A detector with hysteresis, as a state machine in Python, over buckets of 300 positions."""
+    signals = events(spark, d).select("dev", F.col("t").alias("t_us"), F.col("value").alias("signal"), F.col("event_id").alias("pos"))
+    return machines.find_events(signals, ["dev"], machines.Hysteresis(20.0, 60.0), width=300)
+
+
+@query(f"WITH {_E}, {_GRID}, {_HOLD} SELECT dev AS session_id, 'parquet' AS format, count(*) AS frame_count, count(*) FILTER (valid) AS sample_count FROM h GROUP BY 1")
+def timeline_export(spark, d):
+    """The records of an export of every device's timeline into the shared folder."""
+    points, samples = _streams(spark, d)
+    aligned = timeline.asof_join(points, samples, ["dev"], TOL).select(F.col("dev").alias("session_id"), F.lit("s").alias("stream_id"), "grid_idx", "t_us", "source_index", "valid")
+    record = export.export_timeline(aligned, f"{shared_folder(spark)}/timeline-{uuid.uuid4().hex}", ["stream_id"])
+    return record.select("session_id", "format", "frame_count", "sample_count")

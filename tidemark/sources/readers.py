@@ -7,6 +7,7 @@ needs ``pyyaml`` and says so if it is missing; JSON is always there.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.metrics import Gates
 from ..operators.ordered import ROWS, numbered
 
-BUNDLE_FORMAT, BUNDLE_VERSION = "tidemark-bundle", 1
+BUNDLE_FORMAT, BUNDLE_VERSION = "tidemark-bundle", 2
 
 
 def timestamps_from_parquet(spark: SparkSession, path: str, device_id: str, streams: list[str], ts_column: str = "t_master_us", base: str | None = None) -> DataFrame:
@@ -145,21 +146,80 @@ class ReferenceConfig:
         return cls(**data, gates=gates)
 
 
-def save_bundle(tables: dict[str, DataFrame], path: str, info: dict | None = None) -> None:
-    """One Parquet table per name under ``path``, and a manifest row as JSON."""
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    manifest = {"format": BUNDLE_FORMAT, "format_version": BUNDLE_VERSION, "tables": sorted(tables), "info": info or {}}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a bundle, in order: those whose manifest was written to its end."""
+    p, fs = _fs(spark, f"{path}/_commits")
+    if not fs.exists(p):
+        return []
+    found = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().isdigit()]
+    return sorted(int(f.getName()) for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
 
+def save_bundle(tables: dict[str, DataFrame], path: str, info: dict | None = None, sessions: DataFrame | None = None) -> int:
+    """One Parquet table per name under ``path``, the sessions' manifests, and a manifest of all that; the version's number.
 
-def load_bundle(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
-    """(tables, info) of ``save_bundle``; another format or version is refused."""
-    manifest = json.loads(spark.read.text(f"{path}/_manifest").first()["value"])
+    Every save is a version of its own, in new folders, and its manifest is written last: what breaks
+    off before leaves no version behind, and earlier ones stay whole (tables may be made from what
+    they hold). ``sessions`` are rows as ``load_sessions`` gives them; they are kept as documents, so
+    what they hold comes back whatever the columns' types become. Saves of one path must not overlap.
+    """
+    from .sessions import to_json
+
+    spark = next(iter(tables.values())).sparkSession
+    version = max(_commits(spark, path), default=0) + 1
+    folder = f"v{version}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{folder}/{name}")
+    if sessions is not None:
+        to_json(sessions).select("value").write.text(f"{path}/{folder}/_sessions")
+    manifest = {"format": BUNDLE_FORMAT, "format_version": BUNDLE_VERSION, "folder": folder, "tables": sorted(tables), "sessions": sessions is not None, "info": info or {}}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_commits/{version:08d}")
+    return version
+
+
+def _manifest(spark: SparkSession, path: str, version: int | None) -> dict:
+    known = _commits(spark, path)
+    if not known or version is not None and version not in known:
+        raise ValueError(f"no bundle{'' if version is None else f' of version {version}'}: {path}")
+    manifest = json.loads(spark.read.text(f"{path}/_commits/{version or known[-1]:08d}").first()["value"])
     if (manifest.get("format"), manifest.get("format_version")) != (BUNDLE_FORMAT, BUNDLE_VERSION):
-        raise ValueError(f"not a bundle of version {BUNDLE_VERSION}: {path}")
-    return {n: spark.read.parquet(f"{path}/{n}") for n in manifest["tables"]}, manifest["info"]
+        raise ValueError(f"not a bundle of format {BUNDLE_VERSION}: {path}")
+    return manifest
+
+
+def load_bundle(spark: SparkSession, path: str, version: int | None = None) -> tuple[dict[str, DataFrame], dict]:
+    """(tables, info) of the last complete version that ``save_bundle`` wrote, or of the one asked for; another format is refused."""
+    manifest = _manifest(spark, path, version)
+    return {n: spark.read.parquet(f"{path}/{manifest['folder']}/{n}") for n in manifest["tables"]}, manifest["info"]
+
+
+def load_bundle_sessions(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The sessions that a bundle keeps, as ``load_sessions`` gives them; none if it was saved without."""
+    from .sessions import from_json
+
+    manifest = _manifest(spark, path, version)
+    return from_json(spark.read.text(f"{path}/{manifest['folder']}/_sessions")) if manifest["sessions"] else None
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Delete all but the last ``keep`` complete versions of a bundle, and what broken saves left."""
+    if keep < 1:
+        raise ValueError("one version must stay")
+    known = _commits(spark, path)
+    kept = {_manifest(spark, path, v)["folder"] for v in known[-keep:]}
+    for v in known[:-keep]:
+        p, fs = _fs(spark, f"{path}/_commits/{v:08d}")
+        fs.delete(p, True)
+    p, fs = _fs(spark, path)
+    for f in fs.listStatus(p):
+        name = f.getPath().getName()
+        if name.startswith("v") and name not in kept:
+            fs.delete(f.getPath(), True)
 
 
 def config_dict(config: ReferenceConfig) -> dict:

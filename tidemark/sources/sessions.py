@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import contract_version_supported
-from ..operators.validate import broken, out_of_unit
+from ..operators.ordered import ROWS
+from ..operators.validate import broken, monotonic_violations, out_of_unit, sample_violations
 from ..plans.engine import rated_devices, select_reference
 from .typed import type_faults
 
@@ -96,6 +97,22 @@ def to_json(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_id", F.to_json(F.struct(*names)).alias("value"))
 
 
+def to_yaml(sessions: DataFrame) -> DataFrame:
+    """``session_id, value``: manifests as YAML documents, made where the rows are; the order of fields is the contract's. Needs ``pyyaml``."""
+
+    def convert(batches):
+        import json
+
+        import yaml
+
+        for b in batches:
+            b["value"] = [yaml.safe_dump(json.loads(v), sort_keys=False, allow_unicode=True) for v in b["value"]]
+            yield b
+
+    rows = to_json(sessions)
+    return rows.mapInPandas(convert, rows.schema)
+
+
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     """``value``: the documents of a file or folder as JSON; YAML is turned into JSON where it is read."""
     rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
@@ -413,6 +430,20 @@ def ingest(devices: DataFrame, streams: DataFrame, samples: DataFrame, reference
     return Ingested(named, streams, declared, truth)
 
 
+def batch_violations(samples: DataFrame, width: float = ROWS) -> DataFrame:
+    """The rows of batches that break a rule, with a ``reason``, in one check of the whole batch.
+
+    ``samples(session_id, device_id, stream_id, seq, t_device_us, payload_ref, payload_inline,
+    confidence, ...)`` in the order of ``pos``: each sample's own rules, a stream's order (``order``),
+    and samples that name no stream (``stream``).
+    """
+    keys = ["session_id", "device_id", "stream_id"]
+    named = samples.where(F.col("device_id").isNotNull() & F.col("stream_id").isNotNull())
+    nameless = samples.where(F.col("device_id").isNull() | F.col("stream_id").isNull()).withColumn("reason", F.lit("stream"))
+    late = monotonic_violations(named, keys, "pos", width=width).withColumn("reason", F.lit("order"))
+    return sample_violations(samples).unionByName(late).unionByName(nameless)
+
+
 def to_rows(batches: DataFrame) -> DataFrame:
     """``session_id, device_id, stream_id, seq, t_device_us, ...`` from one row per stream that nests its samples as arrays of structs."""
     return batches.select("session_id", "device_id", "stream_id", F.explode("samples").alias("s")).select("session_id", "device_id", "stream_id", "s.*")
