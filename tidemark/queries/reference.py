@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -705,3 +705,107 @@ def timeline_export(spark, d):
     aligned = timeline.asof_join(points, samples, ["dev"], TOL).select(F.col("dev").alias("session_id"), F.lit("s").alias("stream_id"), "grid_idx", "t_us", "source_index", "valid")
     record = export.export_timeline(aligned, f"{shared_folder(spark)}/timeline-{uuid.uuid4().hex}", ["stream_id"])
     return record.select("session_id", "format", "frame_count", "sample_count")
+
+
+def _scratch(spark, kind: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def _manifests(spark, d):
+    """Nations as sessions, their customers as devices of two streams: sound manifests as JSON, with reports, timeline and truth."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_nationkey", "c_custkey", F.min("c_custkey").over(Window.partitionBy("c_nationkey")).alias("first"))
+    name = F.col("c_custkey").cast("string").alias("device_id")
+    one = lambda n: F.struct(F.lit(n).alias("stream_id"), name, F.lit("k").alias("kind"), F.when(F.col("c_custkey") % 2 == 0, "hold").otherwise("continuous").alias("kernel"), F.lit("p").alias("payload_kind"), F.lit("u").alias("units"), (F.col("c_custkey") % 50 + 1.5).alias("nominal_rate_hz"))
+    clock = F.struct(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("clock_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 9 + 1).alias("resolution_us"))
+    desc = F.struct(name, F.lit("m").alias("modality"), F.lit("p").alias("producer"), F.lit(True).alias("is_synthetic"), clock.alias("clock"), F.array(F.lit("shared_event")).alias("evidence_tiers"), F.array(one("s"), one("t")).alias("streams"), F.when(F.col("c_custkey") % 4 == 0, True).alias("reference_candidate"))
+    role = F.when(F.col("c_custkey") == F.col("first"), "reference").otherwise("follower").alias("role")
+    docs = c.groupBy("c_nationkey").agg(F.collect_list(F.struct(name, role, desc.alias("descriptor"))).alias("devices"), F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), F.struct((1 + F.col("c_custkey") * 1e-6).alias("alpha"), (F.col("c_custkey") * 2.5).alias("beta_us"))))).alias("models"))
+    meta = F.struct(F.col("c_nationkey").cast("string").alias("session_id"), F.lit("synthetic").alias("origin"), F.array(F.lit("p")).alias("producers"))
+    n = F.col("c_nationkey")
+    bad = lambda k, wrong, right: F.when(n % 7 == k, wrong).otherwise(right)
+    line = F.struct(F.lit("t").alias("timeline_id"), F.lit("r").alias("reference_clock_id"), bad(0, F.lit(0.0), F.lit(30.0)).alias("grid_rate_hz"), F.lit(9).alias("t_start_us"), bad(1, F.lit(3), F.lit(12)).alias("t_end_us"), F.struct(F.lit("s").alias("anchor_stream"), F.lit("repeat").alias("rule"), bad(2, F.lit(0), F.lit(4)).alias("R")).alias("subframe_buckets"))
+    report = F.struct(bad(3, F.lit("q"), F.lit("r")).alias("reference_clock_id"), F.lit("designated").alias("reference_selection"), bad(4, F.lit(-1.0), F.lit(2.0)).alias("sync_resid_us"), F.create_map(F.lit("a::s"), bad(5, F.lit(1.5), F.lit(0.5))).alias("coverage"))
+    checks = F.struct(F.lit("release").alias("gate_verdict"), F.create_map(F.lit("x"), bad(6, F.lit("maybe"), F.lit("pass"))).alias("property_checks"))
+    truth = F.struct(F.col("models").alias("clock_models"))
+    plain = docs.select(F.to_json(F.struct(meta.alias("metadata"), "devices", truth.alias("ground_truth"))).alias("value"))
+    full = docs.select(F.to_json(F.struct(meta.alias("metadata"), "devices", line.alias("timeline"), report.alias("sync_report"), checks.alias("validation_report"))).alias("value"))
+    return plain, full
+
+
+_NATIONS = "c AS (SELECT c_nationkey::VARCHAR AS session_id, c_custkey, c_custkey::VARCHAR AS device_id, c_custkey = min(c_custkey) OVER (PARTITION BY c_nationkey) AS first FROM customer)"
+
+
+@query(f"WITH {_NATIONS} SELECT session_id, device_id, first AS is_reference, c_custkey % 4 = 0 AS reference_candidate, c_custkey % 50 + 1.5::DOUBLE AS max_rate_hz FROM c")
+def session_manifests(spark, d):
+    """Manifests saved, loaded again by their text, checked, and their devices read."""
+    path = _scratch(spark, "sessions")
+    sessions.save_sessions(sessions.from_json(_manifests(spark, d)[0]), path)
+    got = sessions.checked(sessions.from_json(spark.read.text(path)))
+    return sessions.devices_of(got).select("session_id", "device_id", "is_reference", "reference_candidate", "max_rate_hz")
+
+
+@query(f"WITH {_NATIONS} SELECT session_id, device_id, stream_id, CASE WHEN c_custkey % 2 = 0 THEN 'hold' ELSE 'continuous' END AS kernel, false AS subframe_capable FROM c, (VALUES ('s'), ('t')) v(stream_id)")
+def session_streams(spark, d):
+    return sessions.streams_of(sessions.from_json(_manifests(spark, d)[0])).select("session_id", "device_id", "stream_id", "kernel", "subframe_capable")
+
+
+@query(f"WITH {_NATIONS} SELECT c.session_id, device_id, round(1 + c_custkey * 1e-6, 9) AS alpha, c_custkey * 2.5::DOUBLE AS beta_us, ref FROM c JOIN (SELECT session_id, device_id AS ref FROM c WHERE first) r ON c.session_id = r.session_id")
+def session_truth(spark, d):
+    """The truth that sessions carry, and each session's reference."""
+    got = sessions.from_json(_manifests(spark, d)[0])
+    return sessions.ground_truth(got).join(sessions.reference_device(got).withColumnRenamed("device_id", "ref"), "session_id").select("session_id", "device_id", F.round("alpha", 9).alias("alpha"), "beta_us", "ref")
+
+
+@query("SELECT DISTINCT c_nationkey::VARCHAR AS session_id, ['timeline', 'timeline', 'timeline', 'session', 'sync_report', 'sync_report', 'validation_report'][c_nationkey % 7 + 1] AS entity, ['t', 't', 't', c_nationkey::VARCHAR, 'r', 'r', 'release'][c_nationkey % 7 + 1] AS entity_id, ['grid_rate_hz', 't_end_us', 'R', 'reference clocks', 'sync_resid_us', 'coverage', 'property_checks'][c_nationkey % 7 + 1] AS reason FROM customer")
+def report_violations(spark, d):
+    """Timelines, reports and verdicts, one rule broken in each session."""
+    return sessions.violations(sessions.from_json(_manifests(spark, d)[1]))
+
+
+@query(f"WITH {_NATIONS} SELECT device_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 9 + 1 ELSE 1 END::BIGINT AS resolution_us, 'microseconds' AS timestamp_unit, '1.1.0' AS contract_version, c_custkey % 4 = 0 AS reference_candidate, 2 AS streams FROM c")
+def device_descriptors(spark, d):
+    """Descriptors written one a file, and loaded with their defaults."""
+    path = _scratch(spark, "descriptors")
+    docs = sessions.registrations(sessions.from_json(_manifests(spark, d)[0])).select(F.to_json("descriptor").alias("value"), F.col("device_id").alias("name"))
+    docs.write.partitionBy("name").option("maxRecordsPerFile", 1).text(path)
+    got = sessions.load_descriptors(spark, f"{path}/name=*/*.txt")
+    return got.select("device_id", "clock.resolution_us", "clock.timestamp_unit", "contract_version", "reference_candidate", F.size("streams").alias("streams"))
+
+
+@query(f"WITH {_E}, {_GRID}, {_HOLD} SELECT dev, grid_idx, source_index, valid, 2 AS version, '7' AS note FROM h")
+def bundle_roundtrip(spark, d):
+    """A result saved twice, the second made from the first, and loaded with what it says of itself."""
+    points, samples = _streams(spark, d)
+    aligned = timeline.asof_join(points, samples, ["dev"], TOL)
+    path = _scratch(spark, "bundle")
+    readers.save_bundle({"alignment": aligned}, path, {"note": "6"}, sessions.from_json(_manifests(spark, d)[0]))
+    version = readers.save_bundle(readers.load_bundle(spark, path)[0], path, {"note": "7"})
+    tables, info = readers.load_bundle(spark, path)
+    return tables["alignment"].select("dev", "grid_idx", "source_index", "valid", F.lit(version).alias("version"), F.lit(info["note"]).alias("note"))
+
+
+_BATCH = "b AS (SELECT user_id AS session_id, CASE WHEN event_id % 41 <> 0 THEN dev END AS device_id, 's' AS stream_id, event_id AS pos, event_id AS seq, CASE WHEN event_id % 50 = 0 THEN -1 ELSE t // 86400000000 END AS t_device_us, CASE WHEN event_id % 7 <> 0 THEN 'file://x' END AS payload_ref, CASE WHEN event_id % 11 = 0 THEN 'x' END AS payload_inline, (event_id % 13) / 10.0::DOUBLE AS confidence FROM e)"
+
+
+@query(f"WITH {_E}, {_BATCH}, k AS (SELECT *, lag(t_device_us) OVER w AS p, lag(seq) OVER w AS q FROM b WHERE device_id IS NOT NULL WINDOW w AS (PARTITION BY session_id, device_id, stream_id ORDER BY pos)) SELECT pos, 'stream' AS reason FROM b WHERE device_id IS NULL UNION ALL SELECT pos, 'order' FROM k WHERE t_device_us < p OR t_device_us = p AND NOT seq > q UNION ALL SELECT pos, unnest(list_filter([CASE WHEN (payload_ref IS NULL) = (payload_inline IS NULL) THEN 'payload' END, CASE WHEN t_device_us < 0 THEN 't_device_us' END, CASE WHEN confidence > 1 THEN 'confidence' END], lambda x: x IS NOT NULL)) FROM b")
+def batch_violations(spark, d):
+    """All rules of a batch in one check."""
+    k = F.col("event_id")
+    rows = events(spark, d).select(F.col("user_id").alias("session_id"), F.when(k % 41 != 0, F.col("dev")).alias("device_id"), F.lit("s").alias("stream_id"), k.alias("pos"), k.alias("seq"), F.when(k % 50 == 0, -1).otherwise(F.expr("t div 86400000000")).alias("t_device_us"), F.when(k % 7 != 0, "file://x").alias("payload_ref"), F.when(k % 11 == 0, "x").alias("payload_inline"), (k % 13 / 10).alias("confidence"))
+    return sessions.batch_violations(rows).select("pos", "reason")
+
+
+@query(f"WITH {_E} SELECT user_id AS session_id, dev AS device_id, 's' AS stream_id, event_id AS seq, t AS t_device_us, value FROM e")
+def batch_conversions(spark, d):
+    """Samples nested by stream and slot, and spread out again."""
+    rows = events(spark, d).select(F.col("user_id").alias("session_id"), F.col("dev").alias("device_id"), F.lit("s").alias("stream_id"), F.col("event_id").alias("seq"), F.col("t").alias("t_device_us"), "value")
+    return sessions.to_rows(sessions.to_batches(rows, 500))
+
+
+@query(f"WITH {_E}, {_GRID} SELECT dev, grid_idx, t_us, -1::BIGINT AS source_index, -1::BIGINT AS next_index, 0.0::DOUBLE AS weight, false AS valid, 0.0::DOUBLE AS interp_confidence FROM pts WHERE dev = 'click' UNION ALL SELECT pts.dev, grid_idx, t_us, -1, coalesce(i, -1), 0.0, coalesce(t - t_us <= {TOL}, false), CASE WHEN t - t_us <= {TOL} THEN round(1 - (t - t_us) / {TOL}.0, 9) ELSE 0 END FROM pts LEFT JOIN (SELECT dev, t, i FROM s WHERE i = 0) f USING (dev) WHERE dev <> 'click' AND (t IS NULL OR t_us < t)")
+def asof_edges(spark, d):
+    """Points of a stream without samples, and those before a stream's first sample."""
+    points, samples = _streams(spark, d)
+    got = timeline.asof_join(points, samples.where("dev <> 'click'"), ["dev"], TOL, timeline.CONTINUOUS).where("source_index = -1")
+    return got.withColumn("interp_confidence", F.round("interp_confidence", 9))
