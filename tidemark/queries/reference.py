@@ -703,7 +703,7 @@ def timeline_export(spark, d):
     """The records of an export of every device's timeline into the shared folder."""
     points, samples = _streams(spark, d)
     aligned = timeline.asof_join(points, samples, ["dev"], TOL).select(F.col("dev").alias("session_id"), F.lit("s").alias("stream_id"), "grid_idx", "t_us", "source_index", "valid")
-    record = export.export_timeline(aligned, f"{shared_folder(spark)}/timeline-{uuid.uuid4().hex}", ["stream_id"])
+    record = export.export_timeline(aligned, f"{shared_folder(spark)}/timeline-{uuid.uuid4().hex}", ["stream_id"], hours=240)
     return record.select("session_id", "format", "frame_count", "sample_count")
 
 

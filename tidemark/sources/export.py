@@ -9,18 +9,18 @@ HOUR_US, SHARD_ROWS = 3_600_000_000, 1_000_000
 FORMAT = "parquet"
 
 
-def export_timeline(aligned: DataFrame, path: str, stream: list[str] = ("device_id", "stream_id"), shard_rows: int = SHARD_ROWS, shards: int | None = None, consumer_hint: str | None = None) -> DataFrame:
+def export_timeline(aligned: DataFrame, path: str, stream: list[str] = ("device_id", "stream_id"), shard_rows: int = SHARD_ROWS, shards: int | None = None, consumer_hint: str | None = None, hours: int = 1) -> DataFrame:
     """Write ``aligned(session_id, stream, grid_idx, t_us, ...)``; ``session_id, format, uri, produced_at, frame_count, sample_count, consumer_hint``.
 
-    Folders are ``session=.../hour=...`` (hours from the session's zero), files hold at most
-    ``shard_rows`` rows, and rows stand in order of time and stream within a folder's files, whose
+    Folders are ``session=.../hour=...`` (hours from the session's zero, ``hours`` of them each), files
+    hold at most ``shard_rows`` rows, and rows stand in order of time and stream within a folder's files, whose
     names follow that order. Rows are dealt out by ranges of that order, so a session of any size is
     shared out. The rows are counted by the job that writes them, and what is read back must be as
     many. ``frame_count`` is the number of a session's grid points, ``sample_count`` that of its valid
     rows. An export must not exist yet; an empty timeline leaves an empty record.
     """
     order = ["session", "hour", "t_us", *stream]
-    rows = aligned.withColumn("session", F.col("session_id").cast("string")).withColumn("hour", F.floor(F.col("t_us") / HOUR_US).cast("long"))
+    rows = aligned.withColumn("session", F.col("session_id").cast("string")).withColumn("hour", (F.floor(F.col("t_us") / (hours * HOUR_US)) * hours).cast("long"))
     seen = Observation("export")
     dealt = rows.repartitionByRange(*([shards] if shards else []), *order).sortWithinPartitions(*order)
     # counted behind the exchange, since dealing out by ranges reads a sample of what is before it

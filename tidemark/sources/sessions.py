@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import contract_version_supported
+from ..operators.durable import checkpointed
 from ..operators.ordered import ROWS
 from ..operators.validate import broken, monotonic_violations, out_of_unit, sample_violations
 from ..plans.engine import rated_devices, select_reference
@@ -264,6 +265,7 @@ def descriptor_violations(rows: DataFrame) -> DataFrame:
 
 def violations(sessions: DataFrame) -> DataFrame:
     """``session_id, entity, entity_id, reason``: every rule that a session or a part of it breaks, once, and every value of a wrong type."""
+    sessions = checkpointed(sessions)  # parsed once, and read by each kind of entity
     regs = registrations(sessions)
     ids = F.transform("devices", lambda r: r["device_id"])
     found = _found(
