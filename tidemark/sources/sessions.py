@@ -79,7 +79,7 @@ def from_json(documents: DataFrame, value: str = "value") -> DataFrame:
     which ``violations`` reports too.
     """
     s = F.from_json(F.col(value), SESSION)
-    faults = type_faults(F.col(value), StructType.fromDDL(SESSION), "session", F.get_json_object(value, "$.metadata.session_id"), _ENTITIES, _OPAQUE, _NEVER_NULL)
+    faults = type_faults(f"`{value}`", StructType.fromDDL(SESSION), "session", f"get_json_object(`{value}`, '$.metadata.session_id')", _ENTITIES, _OPAQUE, _NEVER_NULL)
     rows = documents.select(s.alias("s"), faults.alias("type_faults")).select("s.*", "type_faults")
     meta = F.col("metadata")
     for name, default in (("schema_version", SCHEMA_VERSION), ("contract_version", CONTRACT_VERSION), ("reference_clock_policy", "designated_anchor")):
@@ -162,7 +162,7 @@ def load_descriptors(spark: SparkSession, path: str, check: bool = True) -> Data
     if check:
         nobody = F.lit(None).cast("string").alias("session_id")
         wrong = descriptor_violations(rows.select(nobody, F.struct("*").alias("d")))
-        faults = type_faults(F.col("value"), StructType.fromDDL(DESCRIPTOR), "device", F.get_json_object("value", "$.device_id"), {"streams": _ENTITIES["devices.descriptor.streams"]}, _OPAQUE, _NEVER_NULL)
+        faults = type_faults("value", StructType.fromDDL(DESCRIPTOR), "device", "get_json_object(value, '$.device_id')", {"streams": _ENTITIES["devices.descriptor.streams"]}, _OPAQUE, _NEVER_NULL)
         wrong = wrong.unionByName(_wrong_types(documents.select(nobody, faults.alias("type_faults")))).limit(5).collect()
         if wrong:
             raise ValueError("; ".join(f"{r.entity} {r.entity_id}: {r.reason}" for r in wrong))

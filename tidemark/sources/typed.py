@@ -13,45 +13,41 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 FAULTS = "array<struct<entity:string,entity_id:string,field:string,expected:string,found:string>>"
 #: What a value's own type may be, by the type that the schema wants.
-_TAKES = {"string": "STRING$", "boolean": "BOOLEAN$", "bigint": "BIGINT$", "int": "BIGINT$", "double": r"(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*)$"}
+_TAKES = {"string": "STRING$", "boolean": "BOOLEAN$", "bigint": "BIGINT$", "int": "BIGINT$", "double": "(BIGINT$|DOUBLE$|FLOAT$|DECIMAL)"}
 _NONE = f"cast(array() as {FAULTS})"
 
 
-def type_faults(document: Column, schema: StructType, entity: str, entity_id: Column, entities: dict[str, tuple[str, str]], opaque: set[str] = frozenset(), never_null: set[str] = frozenset()) -> Column:
+def type_faults(document: str, schema: StructType, entity: str, entity_id: str, entities: dict[str, tuple[str, str]], opaque: set[str] = frozenset(), never_null: set[str] = frozenset()) -> Column:
     """``ARRAY<STRUCT<entity, entity_id, field, expected, found>>``: the values of a JSON document that are not of the schema's types.
 
-    ``entities`` names what stands at a path (``devices.descriptor`` and so on; list items and map
-    values have their container's path) and the field that identifies it; a fault belongs to the
-    innermost one, and ``field`` is the last name on its path. Whole numbers are ``BIGINT`` only if
-    written as such (not 5.0, "5" or true); a number of any kind is a ``double``. Fields that are
-    absent are no faults, nor are nulls but in lists and maps and for the names in ``never_null``.
-    Names in ``opaque`` take anything; fields that the schema doesn't name are passed over. A document
-    that is null, no JSON, or no mapping is one fault, of the field ``document``.
+    ``document`` and ``entity_id`` are SQL expressions. ``entities`` names what stands at a path
+    (``devices.descriptor`` and so on; list items and map values have their container's path) and the
+    field that identifies it; a fault belongs to the innermost one, and ``field`` is the last name on
+    its path. Whole numbers are ``BIGINT`` only if written as such (not 5.0, "5" or true); a number of
+    any kind is a ``double``. Fields that are absent are no faults, nor are nulls but in lists and maps
+    and for the names in ``never_null``. Names in ``opaque`` take anything; fields that the schema
+    doesn't name are passed over. A document that is null, no JSON, or no mapping is one fault, of the
+    field ``document``.
     """
-    return _walk(F.try_parse_json(document), "$", schema, "document", True, "", F.lit(entity), entity_id, entities, opaque, never_null)
-
-
-def _walk(v: Column, at: str, kind: DataType, field: str, needed: bool, path: str, entity: Column, ident: Column, entities, opaque, never_null) -> Column:
-    here = v if at == "$" else F.try_variant_get(v, at, "variant")
-    found = F.schema_of_variant(here)
-    fault = lambda: F.array(F.struct(entity.alias("entity"), ident.alias("entity_id"), F.lit(field).alias("field"), F.lit(kind.simpleString() if kind.simpleString() in _TAKES else kind.typeName()).alias("expected"), F.coalesce(F.substring_index(found, "<", 1), F.lit("NONE")).alias("found"))).cast(FAULTS)
-    inner = lambda v, at, kind, field, needed, path, entity, ident: _walk(v, at, kind, field, needed, path, entity, ident, entities, opaque, never_null)
-    absent = found.isNull() if needed and field != "document" else found.isNull() | (found == "VOID")
-    if isinstance(kind, StructType):
-        outer = (entity, ident)
-        if path in entities:
-            entity, ident = F.lit(entities[path][0]), F.coalesce(F.try_variant_get(v, f"{at}.{entities[path][1]}", "string"), F.lit(None).cast("string"))
-        parts = [inner(v, f"{at}.{f.name}", f.dataType, f.name, f.name in never_null, f"{path}.{f.name}".lstrip("."), entity, ident) for f in kind.fields if f.name not in opaque]
-        good, below = found.startswith("OBJECT"), F.concat(*parts)
-        entity, ident = outer
-    elif isinstance(kind, ArrayType):
-        items = F.try_variant_get(v, at, "array<variant>")
-        good, below = found.startswith("ARRAY"), F.flatten(F.transform(items, lambda x: inner(x, "$", kind.elementType, field, True, path, entity, ident)))
-    elif isinstance(kind, MapType):
-        items = F.map_values(F.try_variant_get(v, at, "map<string,variant>"))
-        good, below = found.startswith("OBJECT"), F.flatten(F.transform(items, lambda x: inner(x, "$", kind.valueType, field, True, path, entity, ident)))
-    else:
-        good, below = found.rlike("^" + _TAKES[kind.simpleString()]), F.expr(_NONE)
-    if field == "document":
-        return F.when(good, below).otherwise(fault())
-    return F.when(good, below).when(absent, F.expr(_NONE)).otherwise(fault())
+
+    def walk(v: str, at: str, kind: DataType, field: str, needed: bool, path: str, owner: str, ident: str, depth: int = 0) -> str:
+        here = v if at == "$" else f"try_variant_get({v}, '{at}', 'variant')"
+        found, item = f"schema_of_variant({here})", f"x{depth}"
+        wanted = kind.simpleString() if kind.simpleString() in _TAKES else kind.typeName()
+        fault = f"cast(array(named_struct('entity', '{owner}', 'entity_id', {ident}, 'field', '{field}', 'expected', '{wanted}', 'found', coalesce(substring_index({found}, '<', 1), 'NONE'))) as {FAULTS})"
+        if isinstance(kind, StructType):
+            if path in entities:
+                owner, ident = entities[path][0], f"try_variant_get({v}, '{at}.{entities[path][1]}', 'string')"
+            parts = [walk(v, f"{at}.{f.name}", f.dataType, f.name, f.name in never_null, f"{path}.{f.name}".lstrip("."), owner, ident, depth) for f in kind.fields if f.name not in opaque]
+            good, below = f"startswith({found}, 'OBJECT')", f"concat({', '.join(parts)})"
+        elif isinstance(kind, ArrayType | MapType):
+            inside = kind.elementType if isinstance(kind, ArrayType) else kind.valueType
+            items = f"try_variant_get({v}, '{at}', 'array<variant>')" if isinstance(kind, ArrayType) else f"map_values(try_variant_get({v}, '{at}', 'map<string,variant>'))"
+            good = f"startswith({found}, '{'ARRAY' if isinstance(kind, ArrayType) else 'OBJECT'}')"
+            below = f"flatten(transform({items}, {item} -> {walk(item, '$', inside, field, True, path, owner, ident, depth + 1)}))"
+        else:
+            good, below = f"{found} rlike '^{_TAKES[kind.simpleString()]}'", _NONE
+        absent = "false" if field == "document" else f"{found} is null" if needed else f"{found} is null or {found} = 'VOID'"
+        return f"CASE WHEN {good} THEN {below} WHEN {absent} THEN {_NONE} ELSE {fault} END"
+
+    return F.expr(walk(f"try_parse_json({document})", "$", schema, "document", True, "", entity, entity_id))
