@@ -43,6 +43,27 @@ def test_small_sketches_keep_their_error(spark):
         assert abs(sum(x <= v for x in g) / len(g) - q) <= 2 * profile.rank_error(200)
 
 
+def test_gap_quantiles_agree_with_sql_beyond_a_sketch(spark, tmp_path):
+    import duckdb
+    from tidemark.queries import reference
+
+    t = "timestampadd(MICROSECOND, id * 1000000 + id * id * 7919 % 999983, timestamp_ntz'2024-01-01 00:00:00')"
+    spark.range(150_000).selectExpr("id as event_id", "id % 2 as user_id", "'view' as event_type", "1.0D as value", f"{t} as ts").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = reference.QUERIES["gap_profile"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = db.execute(f"select {', '.join(got.columns)} from ({reference.SQL['gap_profile']})").fetchall()
+    assert [tuple(r) for r in got.collect()] == want
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(3)
+    values = {"a": [rng.randrange(10 ** rng.randrange(1, 14)) for _ in range(900)], "b": [0], "c": [7] * 50 + [10**12], "d": [1, 2]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("a", None), ("e", None)], "k string, gap long").repartition(6)
+    got = {r.k: tuple(r)[1:] for r in profile.exact_quantiles(df, ["k"]).collect()}
+    assert got == {k: tuple(sorted(vs)[max(0, -(-q * len(vs) // 100) - 1)] for q in (50, 90, 99)) for k, vs in values.items()}
+
+
 def events_by_hand(machine, rows):
     """Events of one signal: (where it began, time of its first largest value)."""
     out, state, run = [], 0, None

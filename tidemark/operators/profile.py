@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import TIME_US, previous
+from .durable import checkpointed
+from .ordered import TIME_US, before, inside, previous
 
 #: Size of a sketch: about 800 values, for a rank error of a third of a percent.
 K = 800
@@ -16,6 +19,12 @@ def rank_error(k: int = K) -> float:
     return 2.296 / k**0.9723
 
 
+def gaps(samples: DataFrame, keys: list[str], t: str = "t_device_us", width: float = TIME_US) -> DataFrame:
+    """``keys, gap``: the time from a sample to the next one of its stream; a row per sample, null for the first."""
+    rows = previous(samples.where(F.col(t).isNotNull()).select(*keys, F.col(t).cast("long").alias("t")), keys, "t", {"__p": "t"}, width)
+    return rows.select(*keys, (F.col("t") - F.col("__p")).alias("gap"))
+
+
 def gap_profile(samples: DataFrame, keys: list[str], t: str = "t_device_us", k: int = K, width: float = TIME_US) -> DataFrame:
     """``keys, samples, gaps, gap_min, gap_max, gap_sum, gap_squares, sketch``: one row per stream.
 
@@ -25,8 +34,7 @@ def gap_profile(samples: DataFrame, keys: list[str], t: str = "t_device_us", k:
     null sketch. Nothing depends on how rows are dealt out as long as a sketch holds all gaps (up to
     ``k`` of them); beyond that quantiles vary within ``rank_error(k)``.
     """
-    rows = previous(samples.where(F.col(t).isNotNull()).select(*keys, F.col(t).cast("long").alias("t")), keys, "t", {"__p": "t"}, width)
-    gap = F.col("t") - F.col("__p")
+    rows, gap = gaps(samples, keys, t, width), F.col("gap")
     sums = [F.count("*").alias("samples"), F.count(gap).alias("gaps"), F.min(gap).alias("gap_min"), F.max(gap).alias("gap_max"), F.sum(gap).alias("gap_sum"), F.sum(gap.cast("double") * gap).alias("gap_squares")]
     return rows.groupBy(*keys).agg(*sums, F.when(F.count(gap) > 0, F.kll_sketch_agg_bigint(gap, k)).alias("sketch"))
 
@@ -38,6 +46,25 @@ def roll_up(profile: DataFrame, keys: list[str]) -> DataFrame:
     return profile.groupBy(*keys).agg(*total, *ends, F.when(F.sum("gaps") > 0, F.kll_merge_agg_bigint("sketch")).alias("sketch"))
 
 
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str = "gap", ranks: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """``keys, gap_p50`` and so on: the least value whose share of values at or below it reaches the rank, whatever their number.
+
+    ``value`` is a whole number of at least 0; nulls take no part, and a group without values has no
+    row. Values are counted in cells of at most a thousandth of their size; only the cells that hold
+    a place asked for are then sorted. The rows are read twice.
+    """
+    bits = f"length(bin(`{value}`))"
+    cell = F.expr(f"{bits} * 4096L + shiftright(`{value}`, greatest({bits} - 11, 0))")
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias(value)).withColumn("__b", cell)
+    counts = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before(keys)), F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
+    place = lambda r: F.greatest(F.lit(1), F.ceil(F.col("__all") * F.lit(Decimal(str(r)))).cast("long")) - F.col("__base")
+    asked = [F.when(place(r).between(1, F.col("__n")), place(r)).alias(f"__k{i}") for i, r in enumerate(ranks)]
+    asked = checkpointed(counts.select(*keys, "__b", *asked).where(F.coalesce(*[f"__k{i}" for i in range(len(ranks))]).isNotNull()))
+    placed = rows.join(asked, [*keys, "__b"]).withColumn("__i", F.row_number().over(inside(keys, value)))
+    return placed.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == F.col(f"__k{i}"), F.col(value))).alias(f"gap_p{r * 100:g}") for i, r in enumerate(ranks)])
+
+
 def summary(profile: DataFrame, ranks: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """The profile with ``gap_mean``, ``jitter`` (standard deviation of the gaps) and ``gap_p50`` and so on, without sums and sketch.
 
