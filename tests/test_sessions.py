@@ -193,6 +193,18 @@ def test_manifests_come_back(spark, tmp_path):
         sessions.save_sessions(bad, f"file://{tmp_path}/none")
 
 
+def test_descriptors_by_lines(spark, tmp_path):
+    """Many devices in one file, read once: the files may be gone by the time that the rows are."""
+    many = [json.dumps(device(f"d{i}")["descriptor"]) for i in range(300)]
+    (tmp_path / "many.txt").write_text("\n".join(many) + "\n")
+    got = sessions.load_descriptors(spark, f"file://{tmp_path}/many.txt", lines=True)
+    (tmp_path / "many.txt").unlink()
+    assert sorted(r.device_id for r in got.collect()) == sorted(f"d{i}" for i in range(300))
+    (tmp_path / "wrong.txt").write_text("\n".join([*many, json.dumps(device("cam", streams=[])["descriptor"])]))
+    with pytest.raises(ValueError, match="streams"):
+        sessions.load_descriptors(spark, f"file://{tmp_path}/wrong.txt", lines=True)
+
+
 def test_descriptors(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps(device("cam")["descriptor"]))
     r = sessions.load_descriptors(spark, f"file://{tmp_path}/d.json").first()

@@ -155,9 +155,15 @@ def checked(sessions: DataFrame) -> DataFrame:
     return sessions
 
 
-def load_descriptors(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """Device descriptors of a file or folder: one row per device, the columns of ``DESCRIPTOR``."""
-    documents = _documents(spark, path)
+def load_descriptors(spark: SparkSession, path: str, check: bool = True, lines: bool = False) -> DataFrame:
+    """Device descriptors of a file or folder: one row per device, the columns of ``DESCRIPTOR``.
+
+    A file is one document, or with ``lines`` holds a JSON document a line: a fleet of many devices then
+    needs few files. With ``check`` the files are read once, whatever is checked.
+    """
+    documents = spark.read.text(path).where("trim(value) <> ''") if lines else _documents(spark, path)
+    if check:
+        documents = checkpointed(documents)
     rows = documents.select(_descriptor(F.from_json("value", DESCRIPTOR)).alias("d")).select("d.*")
     if check:
         nobody = F.lit(None).cast("string").alias("session_id")
