@@ -92,3 +92,19 @@ def test_the_pool_of_models_is_cut_before_it_is_sorted(spark):
     finally:
         fit.checkpointed = real
     assert "WindowGroupLimit" in plans[0]
+
+
+def test_what_ransac_writes_has_no_row_per_model(spark):
+    """Small tables as they look to Spark are broadcast, so their rows must not be some hundred times those of the input."""
+    df = spark.createDataFrame([(g, 10**6 * k, 10**6 * k + 7 * g + k % 3) for g in range(20) for k in range(6)], "g long, x long, y long")
+    sizes = []
+    real = {n: getattr(fit, n) for n in ("checkpointed", "stored") if hasattr(fit, n)}
+    try:
+        for n, write in real.items():
+            setattr(fit, n, lambda d, write=write: sizes.append((out := write(d)).count()) or out)
+        got = fit.ransac(df, ["g"], 100.0, x="x", y="y").collect()
+    finally:
+        for n, write in real.items():
+            setattr(fit, n, write)
+    assert max(sizes) <= 120 and len(got) == 20
+    assert all(r.n_events == 6 and abs(r.alpha - 1) < 1e-5 and abs(r.beta_us - 7 * r.g - 1) < 2 for r in got)

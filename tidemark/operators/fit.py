@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
+from .durable import checkpointed, stored
 from .ordered import TIME_US, numbered
 from .transforms import clock_confidence, to_reference
 
@@ -177,9 +177,8 @@ def ransac(df: DataFrame, keys: list[str], threshold_us: float = 1000.0, n_iters
     """``keys, alpha, beta_us, residual_us, n_events, confidence`` of the best consensus set per group.
 
     Two-point models are drawn, ``n_iters`` per group, from the group's ``POOL`` rows that are first by
-    a hash of their values, so no group is sorted whole and a rerun agrees; each model is scored
-    against all of the group's rows, which is a bounded number of models, and hits are added up within
-    the tasks. The model with most inliers wins (the earlier if they tie); it is refitted by robust
+    a hash of their values, so no group is sorted whole and a rerun agrees; a group's models are one
+    row, and each is scored against all of the group's rows, hits being added up within the tasks. The model with most inliers wins (the earlier if they tie); it is refitted by robust
     total least squares on its inliers, with ``refine`` once more on the inliers of that, and the
     residual is over these. Groups of fewer than three rows, or without a consensus of two, are
     fitted whole, robustly, and count all rows. ``weight`` is that of ``fit``: it counts in the
@@ -193,17 +192,19 @@ def ransac(df: DataFrame, keys: list[str], threshold_us: float = 1000.0, n_iters
     pool = rows.withColumn("h", mixed * mixed % _PRIME)
     # numbered from 1, so that each task keeps its first rows alone before they are sorted together
     pool = pool.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "x", "y"))).where(F.col("i") <= POOL)
-    pool = checkpointed(pool.select(*keys, (F.col("i") - 1).alias("i"), "x", "y"))
-    draws = pool.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 3").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_iters - 1).cast("long"))))
-    draws = draws.withColumn("i", _drawn(F.col("k"), 11) % F.col("n")).withColumn("j", (F.col("i") + 1 + _drawn(F.col("k"), 97) % (F.col("n") - 1)) % F.col("n"))
-    one = pool.select(*keys, "i", F.col("x").alias("x1"), F.col("y").alias("y1"))
-    two = pool.select(*keys, F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    models = draws.join(one, [*keys, "i"]).join(two, [*keys, "j"]).where("x1 <> x2").withColumn("__a", (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
-    models = checkpointed(models.select(*keys, "k", "__a", (F.col("y1") - F.col("__a") * F.col("x1")).alias("__b")))
+    pool = checkpointed(pool.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p")))
+    n, p = F.size("p").cast("long"), F.col("p")
+    first = lambda k: _drawn(k, 11) % n
+    drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n_iters - 1).cast("long")), lambda k: F.struct(F.get(p, first(k).cast("int")).alias("p"), F.get(p, ((first(k) + 1 + _drawn(k, 97) % (n - 1)) % n).cast("int")).alias("q")))
+    slope = F.transform("d", lambda d: F.when(d["p"]["x"] != d["q"]["x"], (d["q"]["y"] - d["p"]["y"]) / (d["q"]["x"] - d["p"]["x"])))
+    models = pool.where(F.size("p") >= 3).select(*keys, drawn.alias("d")).withColumn("as", slope)
+    # one row per group: models as rows, some hundred per group, look small to Spark, which would broadcast them
+    models = stored(models.select(*keys, "as", F.transform("d", lambda d, k: d["p"]["y"] - F.get("as", k) * d["p"]["x"]).alias("bs")))
     near = F.abs(F.col("__a") * F.col("x") + F.col("__b") - F.col("y")) <= threshold_us
-    hits = rows.join(models, keys).groupBy(*keys, "k", "__a", "__b").agg(F.count(F.when(near, True)).alias("hits"))
-    best = hits.groupBy(*keys).agg(F.max_by(F.struct("__a", "__b", "hits"), F.struct("hits", -F.col("k"))).alias("w")).where("w.hits >= 2")
-    best = checkpointed(best.select(*keys, "w.__a", "w.__b"))
+    votes = rows.join(models, keys).select(*keys, "x", "y", "bs", F.posexplode("as").alias("k", "__a")).withColumn("__b", F.get("bs", F.col("k")))
+    hits = votes.where("__a is not null").groupBy(*keys, "k").agg(F.count(F.when(near, True)).alias("hits"))
+    best = hits.groupBy(*keys).agg(F.max_by(F.struct("k", "hits"), F.struct("hits", -F.col("k"))).alias("w")).where("w.hits >= 2")
+    best = checkpointed(best.join(models, keys).select(*keys, F.get("as", F.col("w.k")).alias("__a"), F.get("bs", F.col("w.k")).alias("__b")))
     inliers = rows.join(best, keys).where(near).select(*keys, "x", "y", *more)
     if refine:
         lines = fit(checkpointed(inliers), keys, "x", "y", "tls", robust=True, weight=weight)
