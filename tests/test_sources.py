@@ -101,6 +101,25 @@ def test_engine_recovers_injected_clocks(spark):
     assert r.confidence.where("device_id = 'rogue' and clock > 0").count() == 0
 
 
+def test_engine_writes_no_row_for_a_point(spark):
+    """Points may be many thousand times the samples, so none of the tables that are written holds them."""
+    seen = [(d, k, d, 500_000_000 * k, "shared_event") for d in ("a", "b") for k in range(4)]
+    obs = spark.createDataFrame([(1, k, d, t, tier) for d, k, _, t, tier in seen], "session_id int, event_id int, device_id string, t_local_us long, tier string")
+    devices = spark.createDataFrame([(1, "a", True), (1, "b", False)], "session_id int, device_id string, is_reference boolean")
+    streams = spark.createDataFrame([(1, "a", "x", "hold"), (1, "b", "x", "continuous")], "session_id int, device_id string, stream_id string, kernel string")
+    samples = obs.select("session_id", "device_id", F.lit("x").alias("stream_id"), F.col("t_local_us").alias("t_device_us"))
+    sizes = []
+    real = {n: getattr(engine, n) for n in ("checkpointed", "stored") if hasattr(engine, n)}
+    try:
+        for n, write in real.items():
+            setattr(engine, n, lambda d, write=write: sizes.append((out := write(d)).count()) or out)
+        r = engine.synchronize(devices, streams, samples, obs, 1.0, 2_000_000)
+    finally:
+        for n, write in real.items():
+            setattr(engine, n, write)
+    assert max(sizes) <= 10 and r.confidence.count() == 3002
+
+
 def test_lifecycle_and_devices(spark):
     m = lifecycle.SessionManager("s1")
     with pytest.raises(lifecycle.TransitionError):

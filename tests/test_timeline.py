@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tidemark.operators import confidence, timeline
 
 
@@ -126,3 +127,21 @@ def test_rated_samples_by_hand(spark, kernel, bucket):
     plain = timeline.asof_join(g, s.where("k = 'a'"), ["k"], 12, kernel, bucket)
     rated = timeline.asof_join_rated(g, s.where("k = 'a'"), ["k"], 12, kernel, bucket_us=bucket)
     assert sorted(map(tuple, rated.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_points_of_stretches_are_those_of_the_asof_joins(spark):
+    """Ties, streams without samples, samples that are not usable, rates whose points share microseconds or fall on halves."""
+    rng = random.Random(8)
+    rows = [(g, d, t, rng.random() < 0.7, rng.choice([None, 0.25, 0.5])) for g in (1, 2) for d in "ab" for t in sorted(rng.choices(range(50, 400), k=60))] + [(1, "a", None, True, 1.0), (2, "b", 430, False, 1.0)]
+    samples = spark.createDataFrame(rows, "g int, d string, t_ref_us long, ok boolean, c double")
+    streams = spark.createDataFrame([(g, d, k) for g in (1, 2) for d, k in (("a", "hold"), ("b", "continuous"), ("none", "continuous"))], "g int, d string, kernel string")
+    for rate, usable, own in ((400_000.0, F.col("ok"), "c"), (1_700_000.0, F.col("ok"), "c"), (57_143.0, None, None)):
+        rows = timeline.stretches(samples, streams, ["g"], ["g", "d"], rate, usable, own, bucket_us=90)
+        got = timeline.aligned(rows, ["g", "d"], 9, rate, own is not None).collect()
+        points = streams.join(timeline.grid(samples, ["g"], rate), "g")
+        want = []
+        for kernel in ("hold", "continuous"):
+            mine, theirs = points.where(F.col("kernel") == kernel).select("g", "d", "grid_idx", "t_us"), samples.join(streams.where(F.col("kernel") == kernel), ["g", "d"], "left_semi")
+            join = timeline.asof_join_rated(mine, theirs, ["g", "d"], 9, kernel, usable, own, 90) if own else timeline.asof_join(mine, theirs, ["g", "d"], 9, kernel, 90)
+            want += [(*r, kernel) for r in join.collect()]
+        assert len(got) > 60 and sorted(map(tuple, got)) == sorted(want)

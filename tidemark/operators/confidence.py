@@ -14,16 +14,21 @@ def nearest_event_us(points: DataFrame, events: DataFrame, keys: list[str], extr
     return near.select(*keys, "t_us", *extra, F.least(F.col("t_us") - F.col("prev_t"), F.col("next_t") - F.col("t_us")).alias("distance_us"))
 
 
-def build_confidence(alignment: DataFrame, models: DataFrame, keys: list[str], events: DataFrame | None = None, decay_tau_us: float | None = None, source: DataFrame | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
+def build_confidence(alignment: DataFrame, models: DataFrame | None, keys: list[str], events: DataFrame | None = None, decay_tau_us: float | None = None, source: DataFrame | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
     """``alignment`` with ``source, clock, interpolation, derived``; all 0 where it is not valid.
 
-    ``models(keys, clock_confidence)`` gives the clock's confidence; with ``events`` and a tau other
+    ``models(keys, clock_confidence)`` gives the clock's confidence, or with None the alignment's own
+    column of that name, which then goes; with ``events`` and a tau other
     than 0 it decays by exp(-distance / tau) from the nearest event. ``source(keys, source_index,
     confidence)`` gives a sample's own confidence, else it is 1; a point without a previous sample
     has 0 then; an alignment that brings ``source_confidence`` along needs no such table. ``derived`` is
     the product, for export.
     """
-    out = alignment.join(models.select(*keys, F.coalesce("clock_confidence", F.lit(0.0)).alias("__clock")), keys, "left")
+    if models is None:
+        out = alignment.withColumnRenamed("clock_confidence", "__clock")
+        alignment = alignment.drop("clock_confidence")
+    else:
+        out = alignment.join(models.select(*keys, F.coalesce("clock_confidence", F.lit(0.0)).alias("__clock")), keys, "left")
     decay = F.lit(1.0)
     if events is not None and decay_tau_us:
         names = [c for c in out.columns if c not in (*keys, "t_us")]

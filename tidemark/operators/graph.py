@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
+from .durable import checkpointed, stored
 from .fit import fit, ransac
 from .transforms import compose, invert
 
@@ -29,7 +29,7 @@ def build_edges(observations: DataFrame, keys: list[str], min_events: int = 2, m
     if method not in ("tls", "ransac"):
         raise ValueError(f"unknown method {method!r}")
     group = [*keys, "a", "b"]
-    pairs = checkpointed(pair_observations(observations, keys, weight=weight, **names))  # read by each pass of the fit
+    pairs = stored(pair_observations(observations, keys, weight=weight, **names))  # read by each pass of the fit
     w = "weight" if weight else None
     if method == "tls":
         return fit(pairs, group, "t_b", "t_a", "tls", robust=True, weight=w).where(F.col("n_events") >= min_events)

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import before, carried, cut, inside
+from .ordered import before, carried, cut, inside, previous
 from .transforms import to_long
 
 #: Width of a bucket: one hour.
@@ -24,13 +24,26 @@ def grid(samples: DataFrame, keys: list[str], rate_hz: float, t: str = "t_ref_us
     """``keys, grid_idx, t_us``: points every 1e6 / rate from the first to the last sample of all streams of a session."""
     if rate_hz <= 0:
         raise ValueError("rate_hz must be positive")
-    step = 1e6 / rate_hz
+    points = _numbers(_spans(samples, keys, rate_hz, t).withColumn("__lo", F.lit(0).cast("long")).withColumnRenamed("__n", "__hi"))
+    return points.select(*keys, "grid_idx", _point(F.col("grid_idx"), rate_hz).alias("t_us"))
+
+
+def _spans(samples: DataFrame, keys: list[str], rate_hz: float, t: str) -> DataFrame:
+    """``keys, __a, __n``: time of the first point of each grid, and its number of points."""
     span = samples.groupBy(*keys).agg(F.min(t).alias("__a"), F.max(t).alias("__b")).where("__a is not null")
-    n = F.floor((F.col("__b") - F.col("__a")) / step).cast("long") + 1
-    # two levels of sequences, so that no row holds a whole grid
-    blocks = span.withColumn("__n", n).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(__n - 1) div 4096"))))
-    points = blocks.withColumn("grid_idx", F.explode(F.sequence(F.col("__k") * 4096, F.least(F.col("__k") * 4096 + 4095, F.col("__n") - 1))))
-    return points.select(*keys, "grid_idx", (F.col("__a") + to_long(F.col("grid_idx") * F.lit(step))).alias("t_us"))
+    return span.select(*keys, "__a", (F.floor((F.col("__b") - F.col("__a")) / (1e6 / rate_hz)).cast("long") + 1).alias("__n"))
+
+
+def _point(k: Column, rate_hz: float) -> Column:
+    """Time of point ``k``."""
+    return F.col("__a") + to_long(k * F.lit(1e6 / rate_hz))
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``grid_idx`` from ``__lo`` to before ``__hi``, in two levels of sequences, so that no row holds a whole grid."""
+    blocks = rows.where("__lo < __hi").withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(__hi - __lo - 1) div 4096"))))
+    first = F.col("__lo") + F.col("__k") * 4096
+    return blocks.withColumn("grid_idx", F.explode(F.sequence(first, F.least(first + 4095, F.col("__hi") - 1)))).drop("__k")
 
 
 def summary(points: DataFrame, sessions: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,6 +171,65 @@ def asof_join_rated(points: DataFrame, samples: DataFrame, keys: list[str], tole
     )
 
 
+def stretches(samples: DataFrame, streams: DataFrame, session: list[str], keys: list[str], rate_hz: float, usable: Column | None = None, confidence: str | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
+    """Each sample of ``streams(keys, ...)`` with the one before it and the numbers of the grid points between them, for ``aligned``.
+
+    The grid is that of all ``samples(keys, t_ref_us)`` of a ``session``. What is sorted and dealt out
+    are samples, and one row more per stream for the points behind its last sample, however many points
+    there are. Other columns of ``streams`` pass through; ``usable`` and ``confidence`` are those of ``asof_join_rated``.
+    """
+    if rate_hz <= 0:
+        raise ValueError("rate_hz must be positive")
+    own = samples.withColumn("__c", F.coalesce(F.col(confidence), F.lit(1.0)) if confidence else F.lit(1.0))
+    placed = stream_positions(own, keys, F.lit(True) if usable is None else usable, ties=("__c",), bucket_us=bucket_us).where("usable")
+    placed = placed.select(*keys, F.col("t_ref_us").cast("long").alias("__t"), "position", "usable_position", F.col("__c").alias("c"))
+    end = F.lit(1 << 62).cast("long")
+    ends = streams.select(*keys, end.alias("__t"), end.alias("position"), end.alias("usable_position"), F.lit(0.0).alias("c"))
+    rows = previous(placed.unionByName(ends), keys, "__t", {"__pt": "__t", "__pi": "position", "__pu": "usable_position", "__pc": "c"}, bucket_us, ["position"])
+    rows = rows.join(streams.join(_spans(samples, session, rate_hz, "t_ref_us"), session), keys)
+    final = F.col("__t") == end
+
+    def first(t: Column) -> Column:
+        """The first point at or after a time: by division, and by the points beside it for what rounding leaves open."""
+        k = F.ceil((t - F.col("__a") - 0.5) / (1e6 / rate_hz)).cast("long")
+        return F.greatest(F.lit(0).cast("long"), k - 1 + sum(F.when(_point(k + i, rate_hz) < t, 1).otherwise(0) for i in (-1, 0, 1)))
+
+    lo = F.when(F.col("__pt").isNull(), F.lit(0).cast("long")).otherwise(first(F.col("__pt")))
+    hi = F.when(final, F.col("__n")).otherwise(F.least("__n", first(F.col("__t"))))
+    extra = [c for c in streams.columns if c not in keys]
+    following = [F.when(~final, F.col(c)).alias(n) for c, n in (("__t", "__ft"), ("position", "__fi"))]
+    return rows.select(*keys, *extra, "__a", lo.alias("__lo"), hi.alias("__hi"), "__pt", "__pi", "__pu", "__pc", *following).where("__lo < __hi")
+
+
+def aligned(rows: DataFrame, keys: list[str], tolerance_us: int, rate_hz: float, rated: bool = False) -> DataFrame:
+    """``asof_join`` (or ``asof_join_rated``) of the points of ``stretches``, by their column ``kernel``; the streams' other columns pass through.
+
+    Points are made where their samples lie: no row of a point is exchanged, sorted or written.
+    """
+    if tolerance_us <= 0:
+        raise ValueError("tolerance_us must be positive")
+    known = ["__a", "__lo", "__hi", "__pt", "__pi", "__pu", "__pc", "__ft", "__fi"]
+    extra = [c for c in rows.columns if c not in (*keys, *known)]
+    near = _numbers(rows).withColumn("t_us", _point(F.col("grid_idx"), rate_hz))
+    back, ahead, both = F.col("t_us") - F.col("__pt"), F.col("__ft") - F.col("t_us"), F.col("kernel") == CONTINUOUS
+    gap = F.when(both, F.least(back, ahead)).otherwise(back)
+    near = near.withColumn("valid", F.coalesce(gap <= tolerance_us, F.lit(False)))
+    index = lambda c: F.coalesce(c, F.lit(-1)).cast("long")
+    more = [index(F.col("__pu")).alias("usable_index"), F.coalesce("__pc", F.lit(0.0)).alias("source_confidence")] if rated else []
+    return near.select(
+        *keys,
+        "grid_idx",
+        "t_us",
+        index(F.col("__pi")).alias("source_index"),
+        F.when(both, index(F.col("__fi"))).otherwise(-1).cast("long").alias("next_index"),
+        F.when(both & F.col("__pt").isNotNull() & F.col("__ft").isNotNull(), back / (F.col("__ft") - F.col("__pt")).cast("double")).otherwise(0.0).alias("weight"),
+        "valid",
+        F.when(F.col("valid"), F.greatest(F.lit(0.0), 1 - gap / float(tolerance_us))).otherwise(0.0).alias("interp_confidence"),
+        *more,
+        *extra,
+    )
+
+
 def coverage(alignment: DataFrame, keys: list[str]) -> DataFrame:
     """Share of grid points that are valid."""
     return alignment.groupBy(*keys).agg(F.avg(F.col("valid").cast("double")).alias("coverage"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import confidence as conf
 from ..operators import graph, metrics, timeline
-from ..operators.durable import checkpointed
+from ..operators.durable import checkpointed, stored
 from ..operators.transforms import correct, correct_streams
 
 #: Rank of evidence tiers, best first.
@@ -85,27 +85,21 @@ def synchronize(
     """
     session, device = ["session_id"], ["session_id", "device_id"]
     stream = [*device, "stream_id"]
-    known = checkpointed(observations.join(devices.select(*device), device, "left_semi"))
+    known = stored(observations.join(devices.select(*device), device, "left_semi"))
     edges = graph.build_edges(known, session, min_events, "ransac" if robust else "tls", ransac_threshold_us, weight)
     models = graph.reconcile(edges, devices, session).join(devices.select(*device, "is_reference"), device)
     models = checkpointed(models)
-    fixed = checkpointed(correct_streams(samples, models, device))  # read for the span, both kernels and by the caller
+    fixed = stored(correct_streams(samples, models, device))  # read for the span, the stretches and by the caller
     grid = timeline.grid(fixed, session, grid_rate_hz)
-    points = streams.join(grid, session)
-    parts = []
-    for kernel in (timeline.HOLD, timeline.CONTINUOUS):
-        own = streams.where(F.col("kernel") == kernel).select(*stream)
-        mine = points.where(F.col("kernel") == kernel).select(*stream, "grid_idx", "t_us")
-        theirs = fixed.join(own, stream, "left_semi")
-        if use_valid or sample_confidence:
-            joined = timeline.asof_join_rated(mine, theirs, stream, rejection_tolerance_us, kernel, F.col("valid") if use_valid else None, sample_confidence, bucket_us)
-        else:
-            joined = timeline.asof_join(mine, theirs, stream, rejection_tolerance_us, kernel, bucket_us)
-        parts.append(joined.withColumn("kernel", F.lit(kernel)))
-    alignment = checkpointed(parts[0].unionByName(parts[1]))  # coverage, checks and confidence read it
+    rated_points = use_valid or sample_confidence is not None
+    own = streams.select(*stream, "kernel").where(F.col("kernel").isin(timeline.HOLD, timeline.CONTINUOUS)).join(models.select(*device, "clock_confidence"), device, "left")
+    # points are many more than samples, and each reader makes them anew from these
+    rows = stored(timeline.stretches(fixed, own, session, stream, grid_rate_hz, F.col("valid") if use_valid else None, sample_confidence, bucket_us))
+    points = timeline.aligned(rows, stream, rejection_tolerance_us, grid_rate_hz, rated_points)
+    alignment = points.drop("clock_confidence")
     seen = known.join(models.select(*device, "alpha", "beta_us"), device).select(*device, correct("t_local_us").alias("t_ref_us"))
     seen = seen.join(streams.select(*stream), device)
-    rated = conf.build_confidence(alignment, streams.select(*stream).join(models.select(*device, "clock_confidence"), device), stream, seen if confidence_decay_tau_us else None, confidence_decay_tau_us, bucket_us=bucket_us)
+    rated = conf.build_confidence(points, None, stream, seen if confidence_decay_tau_us else None, confidence_decay_tau_us, bucket_us=bucket_us)
     covered = timeline.coverage(alignment, stream)
     lost = metrics.dropout(expected, samples, stream) if expected is not None else None
     residual = metrics.reconciliation_residual(known, models, session)
