@@ -98,3 +98,15 @@ def test_edges(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, bytes(r.ids)) for r in bpe.encode(df, PATH).collect())
     assert [g[1:3] for g in got] == [(1, 0), (1, 0), (2, 0), (2**53 + 1, 1), (0, 2)] and got[0][3] == b""
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_a_worker_keeps_no_store_when_its_task_ends():
+    """Workers are used again by other stages, whose memory the stores would take."""
+    import public_tokenizers
+
+    c = bpe.coder(public_tokenizers.path("word_bpe_49k.json"))
+    before = c.encode_batch([b"some words, and some more"])
+    assert c.words.new and c.chunks.new
+    bpe._forget()
+    assert not (c.words.new or c.words.old or c.chunks.new or c.chunks.old)
+    assert c.encode_batch([b"some words, and some more"]) == before

@@ -263,12 +263,18 @@ _coders: dict[str, ChunkCoder] = {}
 
 
 def coder(path: str) -> ChunkCoder:
-    """One coder per worker process, so that its stores serve all tasks that it runs."""
+    """One coder per worker process; its stores serve one task at a time."""
     if path not in _coders:
         _coders[path] = ChunkCoder(path)
     return _coders[path]
 
 
+def _forget() -> None:
+    """Empty the stores: a worker that waits, or runs other operators' tasks, holds no memory for them."""
+    for c in _coders.values():
+        c.words, c.chunks = _Store(WORD_BYTES), _Store(CHUNK_BYTES)
+
+
 def _coded(texts: list, tokenizer: str, rows: int) -> Iterator[tuple[ChunkCoder, list[bytes]]]:
     c = coder(tokenizer)
     for i in range(0, len(texts), rows):
@@ -291,7 +297,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         return {"n_tokens": [len(i) // 4 for i, _ in done], "ids": [i for i, _ in done], "decoded": [d for _, d in done]}
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_texts(kept, make, "n_tokens long, ids binary, decoded binary", rows=rows)
+    return map_texts(kept, make, "n_tokens long, ids binary, decoded binary", rows=rows, end=_forget)
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
@@ -302,4 +308,4 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         return dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), map(list, zip(*done, strict=True)), strict=True))
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_texts(kept, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows=rows)
+    return map_texts(kept, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows=rows, end=_forget)

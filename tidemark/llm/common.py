@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,23 +43,27 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string
 
 def slices(texts: list, characters: int, rows: int = 4000) -> Iterator[slice]:
     """Slices of whole texts of about so many characters, and so many rows at most; one text at least."""
+    return _cut([len(t) if t else 0 for t in texts], characters, rows)
+
+
+def _cut(lengths: list[int], characters: int, rows: int) -> Iterator[slice]:
     a = held = 0
-    for k, t in enumerate(texts):
-        n = len(t) + 1 if t else 1
+    for k, n in enumerate(lengths):
+        n += 1
         if k > a and (held + n > characters or k - a >= rows):
             yield slice(a, k)
             a, held = k, 0
         held += n
-    if a < len(texts):
-        yield slice(a, len(texts))
+    if a < len(lengths):
+        yield slice(a, len(lengths))
 
 
-def map_texts(df: DataFrame, make: Callable[[list], dict], new: str, text: str = "text", characters: int = 1 << 20, rows: int = 4000) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[list], dict], new: str, text: str = "text", characters: int = 1 << 20, rows: int = 4000, end: Callable[[], None] | None = None) -> DataFrame:
     """The columns of ``df`` but the text (or bytes) ``text``, and the columns ``new`` that ``make(texts)`` gives.
 
-    ``make`` gets whole texts, about ``characters`` of them in all, so what is held does not depend on
-    the size of Arrow's batches. The other columns pass through as Arrow arrays: large and null ids
-    keep their values.
+    ``make`` gets whole texts, about ``characters`` bytes of them in all, so what Python holds does not depend on
+    the size of Arrow's batches; ``end`` is called when a task has read its last. The other columns
+    pass through as Arrow arrays: large and null ids keep their values.
     """
     passed = [f for f in df.schema.fields if f.name != text]
     made = [tuple(x.split()) for x in new.split(", ")]
@@ -67,11 +72,14 @@ def map_texts(df: DataFrame, make: Callable[[list], dict], new: str, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(text).to_pylist()
-            for at in slices(texts, characters, rows):
-                found = make(texts[at])
+            whole = b.column(text)
+            # bytes of each, so that no more of a batch than one slice becomes Python's strings
+            for at in _cut(pc.fill_null(pc.binary_length(whole), 0).to_pylist(), characters, rows):
+                found = make(whole.slice(at.start, at.stop - at.start).to_pylist())
                 kept = [b.column(f.name).slice(at.start, at.stop - at.start) for f in passed]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(found[n], t) for (n, _), t in zip(made, types, strict=True))], names)
+        if end:
+            end()
 
     return df.mapInArrow(run, schema)
 
