@@ -250,3 +250,17 @@ def test_sessions_as_yaml(spark):
     rows = documents(spark, [FULL, put(session(), ("metadata", "session_id"), "zwei ä")])
     for (name, text), (_, plain) in zip(sorted(sessions.to_yaml(rows).collect()), sorted(sessions.to_json(rows).collect())):
         assert yaml.safe_load(text) == json.loads(plain) and list(yaml.safe_load(text))[:2] == ["metadata", "devices"] and name in text
+
+
+def test_a_check_parses_once(spark):
+    """What was checked is what is read and saved: documents are not made or parsed again for it."""
+    made, text = spark.sparkContext.accumulator(0), json.dumps(session())
+
+    def make(i):
+        made.add(1)
+        return text.replace('"one"', f'"{i}"')
+
+    make = F.udf(make, "string")
+
+    got = sessions.checked(sessions.from_json(spark.range(3).select(make("id").alias("value"))))
+    assert sessions.devices_of(got).count() == 6 and sessions.to_json(got).count() == 3 and made.value == 3

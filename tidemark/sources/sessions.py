@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import contract_version_supported
-from ..operators.durable import checkpointed
+from ..operators.durable import checkpointed, stored
 from ..operators.ordered import ROWS
 from ..operators.validate import broken, monotonic_violations, out_of_unit, sample_violations
 from ..plans.engine import rated_devices, select_reference
@@ -148,8 +148,9 @@ def save_sessions(sessions: DataFrame, path: str, check: bool = True) -> None:
 
 
 def checked(sessions: DataFrame) -> DataFrame:
-    """The sessions, if none breaks a rule."""
-    wrong = violations(sessions).limit(5).collect()
+    """The sessions, if none breaks a rule, as they were parsed for the check: what reads them reads the columns it needs."""
+    sessions = stored(sessions)
+    wrong = _violations(sessions).limit(5).collect()
     if wrong:
         raise ValueError("; ".join(f"{r.session_id} {r.entity} {r.entity_id}: {r.reason}" for r in wrong))
     return sessions
@@ -271,7 +272,10 @@ def descriptor_violations(rows: DataFrame) -> DataFrame:
 
 def violations(sessions: DataFrame) -> DataFrame:
     """``session_id, entity, entity_id, reason``: every rule that a session or a part of it breaks, once, and every value of a wrong type."""
-    sessions = checkpointed(sessions)  # parsed once, and read by each kind of entity
+    return _violations(stored(sessions))  # parsed once, and read by each kind of entity
+
+
+def _violations(sessions: DataFrame) -> DataFrame:
     regs = registrations(sessions)
     ids = F.transform("devices", lambda r: r["device_id"])
     found = _found(

@@ -1,7 +1,9 @@
 """Strict types of JSON documents: each value held against a schema before it is cast to it.
 
 A document is parsed as VARIANT, which keeps every value's own type, and walked along the schema by
-column expressions. ``from_json`` and the like make null of a value of the wrong type, so that a
+column expressions. Each item of a list or map is taken apart once, into a struct whose fields are its
+values; the types of lists and structs are looked up only where they are no such thing, since that
+reads all they hold. ``from_json`` and the like make null of a value of the wrong type, so that a
 default fills it and nothing shows; here it is a fault, whatever becomes of it later.
 """
 
@@ -13,7 +15,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 FAULTS = "array<struct<entity:string,entity_id:string,field:string,expected:string,found:string>>"
 #: What a value's own type may be, by the type that the schema wants.
-_TAKES = {"string": "STRING$", "boolean": "BOOLEAN$", "bigint": "BIGINT$", "int": "BIGINT$", "double": "(BIGINT$|DOUBLE$|FLOAT$|DECIMAL)"}
+_TAKES = {"string": "= 'STRING'", "boolean": "= 'BOOLEAN'", "bigint": "= 'BIGINT'", "int": "= 'BIGINT'", "double": "rlike '^(BIGINT$|DOUBLE$|FLOAT$|DECIMAL)'"}
 _NONE = f"cast(array() as {FAULTS})"
 
 
@@ -30,24 +32,36 @@ def type_faults(document: str, schema: StructType, entity: str, entity_id: str,
     field ``document``.
     """
 
-    def walk(v: str, at: str, kind: DataType, field: str, needed: bool, path: str, owner: str, ident: str, depth: int = 0) -> str:
-        here = v if at == "$" else f"try_variant_get({v}, '{at}', 'variant')"
-        found, item = f"schema_of_variant({here})", f"x{depth}"
+    def shape(kind: DataType) -> str:
+        """The type that a value is taken apart to: structs by field, lists and maps by item, values with a type of their own."""
+        if isinstance(kind, StructType):
+            return f"struct<{', '.join(f'{f.name}: {shape(f.dataType)}' for f in kind.fields if f.name not in opaque)}>"
+        return "array<variant>" if isinstance(kind, ArrayType) else "map<string, variant>" if isinstance(kind, MapType) else "variant"
+
+    def apart(items: str, kind: DataType, item: str) -> str:
+        """Each of ``items`` beside what it is taken apart to, once, however many fields are looked at."""
+        return f"transform({items}, {item} -> named_struct('v', {item}, 's', try_variant_get({item}, '$', '{shape(kind)}')))"
+
+    def walk(v: str, at: str, s: str, kind: DataType, field: str, needed: bool, path: str, owner: str, ident: str, depth: int = 0) -> str:
+        item, container = f"x{depth}", isinstance(kind, StructType | ArrayType | MapType)
+        found = f"schema_of_variant(try_variant_get({v}, '{at}', 'variant'))" if container else f"schema_of_variant({s})"
         wanted = kind.simpleString() if kind.simpleString() in _TAKES else kind.typeName()
         fault = f"cast(array(named_struct('entity', '{owner}', 'entity_id', {ident}, 'field', '{field}', 'expected', '{wanted}', 'found', coalesce(substring_index({found}, '<', 1), 'NONE'))) as {FAULTS})"
+        good = f"{s} is not null" if container else f"{found} {_TAKES[kind.simpleString()]}"
         if isinstance(kind, StructType):
             if path in entities:
                 owner, ident = entities[path][0], f"try_variant_get({v}, '{at}.{entities[path][1]}', 'string')"
-            parts = [walk(v, f"{at}.{f.name}", f.dataType, f.name, f.name in never_null, f"{path}.{f.name}".lstrip("."), owner, ident, depth) for f in kind.fields if f.name not in opaque]
-            good, below = f"startswith({found}, 'OBJECT')", f"concat({', '.join(parts)})"
-        elif isinstance(kind, ArrayType | MapType):
+            parts = [walk(v, f"{at}.{f.name}", f"{s}.{f.name}", f.dataType, f.name, f.name in never_null, f"{path}.{f.name}".lstrip("."), owner, ident, depth) for f in kind.fields if f.name not in opaque]
+            below = f"concat({', '.join(parts)})"
+        elif container:
             inside = kind.elementType if isinstance(kind, ArrayType) else kind.valueType
-            items = f"try_variant_get({v}, '{at}', 'array<variant>')" if isinstance(kind, ArrayType) else f"map_values(try_variant_get({v}, '{at}', 'map<string,variant>'))"
-            good = f"startswith({found}, '{'ARRAY' if isinstance(kind, ArrayType) else 'OBJECT'}')"
-            below = f"flatten(transform({items}, {item} -> {walk(item, '$', inside, field, True, path, owner, ident, depth + 1)}))"
+            items = s if isinstance(kind, ArrayType) else f"map_values({s})"
+            below = f"flatten(transform({apart(items, inside, item)}, {item} -> {walk(f'{item}.v', '$', f'{item}.s', inside, field, True, path, owner, ident, depth + 1)}))"
         else:
-            good, below = f"{found} rlike '^{_TAKES[kind.simpleString()]}'", _NONE
-        absent = "false" if field == "document" else f"{found} is null" if needed else f"{found} is null or {found} = 'VOID'"
+            below = _NONE
+        nothing = f"{found if container else s} is null"
+        absent = "false" if field == "document" else nothing if needed else f"{nothing} or {found} = 'VOID'"
         return f"CASE WHEN {good} THEN {below} WHEN {absent} THEN {_NONE} ELSE {fault} END"
 
-    return F.expr(walk(f"try_parse_json({document})", "$", schema, "document", True, "", entity, entity_id))
+    root = apart(f"array(try_parse_json({document}))", schema, "d")
+    return F.expr(f"flatten(transform({root}, d -> {walk('d.v', '$', 'd.s', schema, 'document', True, '', entity, entity_id)}))")
