@@ -52,6 +52,36 @@ def test_piecewise(spark):
     assert fit.fit_piecewise(points(spark, [(0, 0), (1, 1), (2, 2)]), ["g"], 5).count() == 1
 
 
+def test_piecewise_runs_by_brute_force(spark):
+    """Runs that begin inside a bucket, at its edge and among rows that are the same, against a sort; groups of no and of few rows to cut."""
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(-40, 40) * (5 if g == "a" else 1), rng.randrange(3)) for g, n in (("a", 401), ("b", 90), ("c", 7), ("d", 1)) for _ in range(n)] + [("e", 5, 5)] * 30 + [("f", i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, t_local_us long, t_ref_us long").repartition(3)
+    got = {(r.g, r.segment): (r.t_lo_us, r.t_hi_us, r.n_events) for r in fit.fit_piecewise(df, ["g"], 4, width=10).collect()}
+    want = {}
+    for g in "abcdef":
+        xs = sorted((x, y) for h, x, y in rows if h == g)
+        k = max(1, min(4, len(xs) // 2))
+        cuts = [math.floor(i * (len(xs) / k)) for i in range(k)] + [len(xs)]
+        runs = [xs[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i, run in enumerate(runs):
+            want[g, i] = ((runs[i - 1][-1][0] + run[0][0]) / 2 if i else -1e18, (run[-1][0] + runs[i + 1][0][0]) / 2 if i + 1 < k else 1e18, len(run))
+    assert got == want
+
+
+def test_rows_of_few_groups_are_not_sorted(spark):
+    """Few lines are broadcast to the rows, also where the rows' groups leave most partitions of an exchange empty."""
+    df = points(spark, [(i * 1000, i * 1000 + i % 7) for i in range(200)])
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        for got in (fit.fit(df, ["g"], robust=True), fit.rate_piecewise(df, fit.fit_piecewise(df, ["g"], 4), ["g"])):
+            got.collect()
+            assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_transforms(spark):
     df = spark.createDataFrame([(500,), (2000,), (5000,)], "t long").withColumn("alpha", F.lit(1.0)).withColumn("beta_us", F.lit(0.0))
     seg = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("t_lo_us", "t_hi_us", "alpha", "beta_us"), x)]) for x in ((-1e18, 1000.0, 1.0, 0.0), (1000.0, 3000.0, 2.0, 100.0))])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import checkpointed, stored
-from .ordered import TIME_US, numbered
+from .ordered import TIME_US, before, cut, inside
 from .transforms import clock_confidence, to_reference
 
 #: Residuals beyond this many RMS are left out of the second fit.
@@ -100,44 +100,54 @@ def fit(df: DataFrame, keys: list[str], x: str = "t_local_us", y: str = "t_ref_u
 
     ``method`` is offset, ols or tls. ``robust`` fits again without residuals beyond three RMS (if the
     group has three rows, the RMS is positive, and some but not all rows go); the residual is always
-    over all rows. The rows are read twice per fit: for the line's moments and for its residuals. The
-    first line and its RMS, one row per group, are written before the second fit reads them.
+    over all rows. The rows are read twice per fit: for the line's moments and for its residuals. Lines
+    and their RMS, one row per group, are written before rows are held against them.
 
     ``weight`` names a column of weights, such as the quality of events: means, moments and RMS are
     weighted, ``n_events`` counts rows. A null weight is 1; rows whose weight is not positive, NaN or
     infinite take no part. Equal weights give the fit without them.
     """
     df = _usable(df, x, y, weight)
-    lines = _lines(df, keys, x, y, method, weight)
-    if weight:
-        lines = checkpointed(lines)  # several passes of small tables, read for the residuals and the result
+    lines = _fitted(df, keys, x, y, method, robust, weight)
     out = lines.join(_rms(_residuals(df, lines, keys, x, y, weight), keys, weight), keys)
-    if robust:
-        out = checkpointed(out)
-        good = F.abs("__r") <= OUTLIER * F.col("residual_us")
-        kept = _residuals(df, out.where("n_events >= 3 and residual_us > 0"), keys, x, y, weight).where(good)
-        again = _lines(kept, keys, x, y, method, weight).withColumnsRenamed({"alpha": "a2", "beta_us": "b2", "n_events": "n2"})
-        both = out.join(again, keys, "left").withColumn("__use", F.col("n2").isNotNull() & (F.col("n2") < F.col("n_events")))
-        lines = checkpointed(both.select(*keys, F.when(F.col("__use"), F.col("a2")).otherwise(F.col("alpha")).alias("alpha"), F.when(F.col("__use"), F.col("b2")).otherwise(F.col("beta_us")).alias("beta_us"), "n_events"))
-        out = lines.join(_rms(_residuals(df, lines, keys, x, y, weight), keys, weight), keys)
     return out.withColumn("confidence", clock_confidence("residual_us", "n_events"))
 
 
+def _fitted(df: DataFrame, keys: list[str], x: str, y: str, method: str, robust: bool, weight: str | None = None) -> DataFrame:
+    """``keys, alpha, beta_us, n_events``, stored: rows that are held against their group's line need not be sorted by group while groups are few."""
+    lines = stored(_lines(df, keys, x, y, method, weight))
+    if not robust:
+        return lines
+    out = stored(lines.join(_rms(_residuals(df, lines, keys, x, y, weight), keys, weight), keys))
+    good = F.abs("__r") <= OUTLIER * F.col("residual_us")
+    kept = _residuals(df, out.where("n_events >= 3 and residual_us > 0"), keys, x, y, weight).where(good)
+    again = _lines(kept, keys, x, y, method, weight).withColumnsRenamed({"alpha": "a2", "beta_us": "b2", "n_events": "n2"})
+    both = out.join(again, keys, "left").withColumn("__use", F.col("n2").isNotNull() & (F.col("n2") < F.col("n_events")))
+    return stored(both.select(*keys, F.when(F.col("__use"), F.col("a2")).otherwise(F.col("alpha")).alias("alpha"), F.when(F.col("__use"), F.col("b2")).otherwise(F.col("beta_us")).alias("beta_us"), "n_events"))
+
+
 def fit_piecewise(df: DataFrame, keys: list[str], n_segments: int, x: str = "t_local_us", y: str = "t_ref_us", width: float = TIME_US) -> DataFrame:
     """``keys, segment, t_lo_us, t_hi_us, alpha, beta_us, n_events``: one row per segment.
 
     Rows sorted by x are cut into k = max(1, min(n_segments, n div 2)) runs at ``floor(i (n / k))``;
     each is fitted by robust total least squares. Borders are half-way between neighbours, the
-    outermost at -1e18 and 1e18. Ranks come from buckets of ``width``, so no task sorts a whole group.
+    outermost at -1e18 and 1e18. Rows are counted in buckets of ``width``; only the buckets that a run
+    begins inside of are sorted, and the rest goes to its run as it is read.
     """
-    rows = numbered(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y), keys, x, [y], width, "__i")
-    sizes = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"))
-    k = F.greatest(F.lit(1), F.least(F.lit(n_segments), F.expr("__n div 2")))
-    starts = F.transform(F.sequence(F.lit(1), F.lit(max(1, n_segments))), lambda s: F.when(s < k, F.floor(s * (F.col("__n") / k))))
-    sizes = sizes.withColumn("__starts", F.filter(starts, lambda s: s.isNotNull()))
-    rows = rows.join(sizes, keys).withColumn("segment", F.size(F.filter("__starts", lambda s: s <= F.col("__i"))))
-    rows = checkpointed(rows.select(*keys, "segment", x, y))
-    lines = fit(rows, [*keys, "segment"], x, y, "tls", robust=True).select(*keys, "segment", "alpha", "beta_us", "n_events")
+    rows = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y), x, width)
+    per = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    per = per.withColumn("__base", F.coalesce(F.sum("__n").over(before(keys)), F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
+    k = F.greatest(F.lit(1), F.least(F.lit(n_segments), F.expr("__all div 2")))
+    starts = F.transform(F.sequence(F.lit(1), F.lit(max(1, n_segments))), lambda s: F.when(s < k, F.floor(s * (F.col("__all") / k)) - F.col("__base")))
+    here = F.transform(F.filter(starts, lambda s: (s >= 0) & (s < F.col("__n"))), lambda s: F.struct(F.col("__b").alias("b"), s.alias("at")))
+    starts = stored(per.groupBy(*keys).agg(F.flatten(F.collect_list(here)).alias("__starts")))  # a row per group
+    placed = rows.join(starts, keys)
+    within = F.exists("__starts", lambda s: (s["b"] == F.col("__b")) & (s["at"] > 0))
+    segment = lambda i: F.size(F.filter("__starts", lambda s: (s["b"] < F.col("__b")) | ((s["b"] == F.col("__b")) & (s["at"] <= i))))
+    whole = placed.where(~within).select(*keys, segment(F.lit(0)).alias("segment"), x, y)
+    split = placed.where(within).withColumn("__i", F.row_number().over(inside(keys, x, y)) - 1).select(*keys, segment(F.col("__i")).alias("segment"), x, y)
+    rows = checkpointed(whole.unionByName(split))
+    lines = _fitted(rows, [*keys, "segment"], x, y, "tls", True)
     ends = rows.groupBy(*keys, "segment").agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     by = Window.partitionBy(*keys).orderBy("segment")  # n_segments rows
     lo = F.coalesce((F.lag("__hi").over(by) + F.col("__lo")) / 2.0, F.lit(-1e18))
@@ -152,7 +162,7 @@ def rate_piecewise(df: DataFrame, segments: DataFrame, keys: list[str], x: str =
     ``alpha`` and ``beta_us`` are the first segment's; the residual is the RMS of the rounded time that
     the segments map x to, less y.
     """
-    models = as_models(segments, keys)
+    models = stored(as_models(segments, keys))
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(models, keys)
     off = (to_reference(F.col(x).cast("long")) - F.col(y)).cast("double")
     per = rows.groupBy(*keys).agg(F.sqrt(F.avg(off * off)).alias("residual_us"), F.count("*").alias("n_events"))
