@@ -58,6 +58,14 @@ def test_equal_weights_are_none(spark, method):
         assert abs(r.alpha - ransac[r.g].alpha) < 1e-12 and r.n_events == ransac[r.g].n_events
 
 
+def test_a_pair_at_the_edge_of_three_rms(spark):
+    """Its residual is 0.0002 microseconds under three RMS, the times are some 10^12: large terms must not decide."""
+    seen = [(107313723068, 107312355401, 0.5), (157690655734, 157688683555, 0.5), (406089586501, 406084633582, 0.5), (1025780916176, 1025768527073, 0.5), (1291741357124, 1291725776549, 0.75)]
+    seen += [(1538021812753, 1538003276854, 1.0), (1699777899661, 1699757422714, 0.5), (1890071477455, 1890048717016, 0.5), (2115362004144, 2115336539660, 0.5), (2129510099372, 2129484465713, 0.5)]
+    r = fit.fit(spark.createDataFrame([("g", *s) for s in seen], "g string, x long, y long, w double"), ["g"], "x", "y", "tls", True, "w").first()
+    assert abs(r.residual_us - 157.657448) < 1e-4 and abs(r.beta_us + 79853.60741514) < 1e-6
+
+
 def test_odd_weights(spark):
     """Null is 1; nothing, less, NaN and infinity take no part; a group of one row and one without rows."""
     good = [("a", 10 * k, 20 * k + 5, w) for k, w in enumerate([None, 1.0, 2.0, None, 0.5])]

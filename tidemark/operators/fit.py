@@ -19,22 +19,43 @@ OUTLIER = 3.0
 POOL, _PRIME = 400, 2_147_483_647
 
 
-def _line(method: str, x: Column, y: Column) -> tuple[Column, Column]:
-    """(alpha, beta) as aggregate expressions."""
-    mean_x, mean_y, n = F.avg(x), F.avg(y), F.count(x)
+def _apart(x: Column, y: Column) -> Column:
+    """y - x. Clocks run nearly alike, so this is small where x and y are large, and for whole numbers it is exact."""
+    return F.coalesce(F.try_subtract(y, x).cast("double"), y.cast("double") - x.cast("double"))
+
+
+def _mean(w: Column, z: Column) -> Column:
+    """Weighted mean as an aggregate; equal values give theirs."""
+    return F.when(F.min(z) == F.max(z), F.min(z)).otherwise(F.sum(w * z) / F.sum(w))
+
+
+def _slope(method: str, n: Column, sxx: Column, sxy: Column, sxz: Column, szz: Column) -> Column:
+    """alpha - 1 from centred sums, z being y - x; alpha itself keeps four digits less of it where clocks run nearly alike."""
     if method == "offset":
-        return F.lit(1.0), F.avg(y - x)
-    sxx, syy, sxy = F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
+        return F.lit(0.0)
     if method == "ols":
-        alpha = F.when((n < 2) | (sxx == 0), F.lit(1.0)).otherwise(F.try_divide(sxy, sxx))
-    else:
-        d = syy - sxx
-        alpha = F.when((n < 2) | (sxy == 0), F.lit(1.0)).otherwise(F.try_divide(d + F.sqrt(d * d + 4 * sxy * sxy), 2 * sxy))
-    return alpha, mean_y - alpha * mean_x
+        return F.when((n < 2) | (sxx == 0), F.lit(0.0)).otherwise(F.try_divide(sxz, sxx))
+    q = F.try_divide(2 * sxz + szz, 2 * sxy)  # syy - sxx over twice sxy
+    root = F.sqrt(q * q + 1)
+    return F.when((n < 2) | (sxy == 0), F.lit(0.0)).when(sxy > 0, q + q * F.try_divide(q, root + 1)).otherwise(q - root - 1)
+
+
+def _line(method: str, x: Column, y: Column) -> tuple[Column, Column]:
+    """(alpha - 1, beta) as aggregate expressions."""
+    z, x, y = _apart(x, y), x.cast("double"), y.cast("double")
+    over = _slope(method, F.count(x), F.regr_sxx(y, x), F.regr_sxy(y, x), F.regr_sxy(z, x), F.regr_syy(z, x))
+    return over, F.avg(z) - over * F.avg(x)
 
 
 def weighted_moments(df: DataFrame, keys: list[str], x: str, y: str, weight: str, width: float = TIME_US) -> DataFrame:
-    """``keys, n, w, mx, my, sxx, syy, sxy``: rows, sum of weights, weighted means and centred sums per group.
+    """``keys, n, w, mx, my, sxx, syy, sxy``: rows, sum of weights, weighted means and centred sums per group."""
+    m = _moments(df, keys, x, y, weight, width)
+    sxx, szz, sxz = F.col("sxx"), F.col("szz"), F.col("sxz")
+    return m.select(*keys, "n", "w", "mx", (F.col("mx") + F.col("mz")).alias("my"), "sxx", (sxx + 2 * sxz + szz).alias("syy"), (sxx + sxz).alias("sxy"))
+
+
+def _moments(df: DataFrame, keys: list[str], x: str, y: str, weight: str, width: float = TIME_US) -> DataFrame:
+    """``keys, n, w, mx, mz, sxx, szz, sxz``, z being y - x.
 
     Two levels, both pre-aggregated. Rows are cut into buckets of ``x``, and sums are taken around the
     bucket's edge, which every row knows, so nothing large is squared; a bucket's centred sums follow
@@ -42,42 +63,36 @@ def weighted_moments(df: DataFrame, keys: list[str], x: str, y: str, weight: str
     group may have any number of rows and buckets.
     """
     edge = F.floor(F.col(x) / F.lit(width)) * F.lit(width)
-    rows = df.select(*keys, F.col(weight).cast("double").alias("__w"), edge.cast("double").alias("__e"), (F.col(x) - edge).cast("double").alias("__x"), (F.col(y) - edge).cast("double").alias("__y"))
-    w, dx, dy = F.col("__w"), F.col("__x"), F.col("__y")
-    sums = {"n": F.count("*"), "w": F.sum(w), "x": F.sum(w * dx), "y": F.sum(w * dy), "xx": F.sum(w * dx * dx), "yy": F.sum(w * dy * dy), "xy": F.sum(w * dx * dy)}
+    rows = df.select(*keys, F.col(weight).cast("double").alias("__w"), edge.cast("double").alias("__e"), (F.col(x) - edge).cast("double").alias("__x"), _apart(F.col(x), F.col(y)).alias("__z"))
+    w, dx, z = F.col("__w"), F.col("__x"), F.col("__z")
+    sums = {"n": F.count("*"), "w": F.sum(w), "x": F.sum(w * dx), "z": F.sum(w * z), "mz": _mean(w, z), "xx": F.sum(w * dx * dx), "zz": F.sum(w * z * z), "xz": F.sum(w * dx * z)}
     part = rows.groupBy(*keys, "__e").agg(*[c.alias(f"__{n}") for n, c in sums.items()])
-    mean_x, mean_y = F.col("__x") / F.col("__w"), F.col("__y") / F.col("__w")
-    part = part.select(*keys, "__n", "__w", (F.col("__e") + mean_x).alias("__mx"), (F.col("__e") + mean_y).alias("__my"), *[(F.col(f"__{a}{b}") - F.col(f"__{a}") * F.col(f"__{b}") / F.col("__w")).alias(f"__s{a}{b}") for a, b in ("xx", "yy", "xy")])
+    part = part.select(*keys, "__n", "__w", (F.col("__e") + F.col("__x") / F.col("__w")).alias("__mx"), "__mz", *[(F.col(f"__{a}{b}") - F.col(f"__{a}") * F.col(f"__{b}") / F.col("__w")).alias(f"__s{a}{b}") for a, b in ("xx", "zz", "xz")])
     part = checkpointed(part)  # a row per bucket, read for the means and for the sums around them
-    means = part.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__w").alias("w"), (F.sum(F.col("__w") * F.col("__mx")) / F.sum("__w")).alias("mx"), (F.sum(F.col("__w") * F.col("__my")) / F.sum("__w")).alias("my"))
-    apart = {"x": F.col("__mx") - F.col("mx"), "y": F.col("__my") - F.col("my")}
-    merged = [F.sum(F.col(f"__s{a}{b}") + F.col("__w") * apart[a] * apart[b]).alias(f"s{a}{b}") for a, b in ("xx", "yy", "xy")]
-    return part.join(means, keys).groupBy(*keys, "n", "w", "mx", "my").agg(*merged)
+    means = part.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__w").alias("w"), (F.sum(F.col("__w") * F.col("__mx")) / F.sum("__w")).alias("mx"), _mean(F.col("__w"), F.col("__mz")).alias("mz"))
+    apart = {"x": F.col("__mx") - F.col("mx"), "z": F.col("__mz") - F.col("mz")}
+    merged = [F.sum(F.col(f"__s{a}{b}") + F.col("__w") * apart[a] * apart[b]).alias(f"s{a}{b}") for a, b in ("xx", "zz", "xz")]
+    return part.join(means, keys).groupBy(*keys, "n", "w", "mx", "mz").agg(*merged)
 
 
 def _weighted_lines(df: DataFrame, keys: list[str], x: str, y: str, method: str, weight: str) -> DataFrame:
-    m = weighted_moments(df, keys, x, y, weight)
-    n, sxx, syy, sxy = F.col("n"), F.col("sxx"), F.col("syy"), F.col("sxy")
-    if method == "offset":
-        alpha = F.lit(1.0)
-    elif method == "ols":
-        alpha = F.when((n < 2) | (sxx == 0), F.lit(1.0)).otherwise(F.try_divide(sxy, sxx))
-    else:
-        d = syy - sxx
-        alpha = F.when((n < 2) | (sxy == 0), F.lit(1.0)).otherwise(F.try_divide(d + F.sqrt(d * d + 4 * sxy * sxy), 2 * sxy))
-    m = m.withColumn("alpha", alpha)
-    return m.select(*keys, "alpha", (F.col("my") - F.col("alpha") * F.col("mx")).alias("beta_us"), F.col("n").alias("n_events"))
+    m = _moments(df, keys, x, y, weight)
+    over = _slope(method, F.col("n"), F.col("sxx"), F.col("sxx") + F.col("sxz"), F.col("sxz"), F.col("szz"))
+    return m.withColumn("__over", over).select(*keys, "__over", (F.col("mz") - F.col("__over") * F.col("mx")).alias("beta_us"), F.col("n").alias("n_events"))
 
 
 def _lines(df: DataFrame, keys: list[str], x: str, y: str, method: str, weight: str | None = None) -> DataFrame:
+    """``keys, __over, beta_us, n_events``; ``__over`` is alpha - 1."""
     if weight:
         return _weighted_lines(df, keys, x, y, method, weight)
-    alpha, beta = _line(method, F.col(x).cast("double"), F.col(y).cast("double"))
-    return df.groupBy(*keys).agg(alpha.alias("alpha"), beta.alias("beta_us"), F.count("*").alias("n_events"))
+    over, beta = _line(method, F.col(x), F.col(y))
+    return df.groupBy(*keys).agg(over.alias("__over"), beta.alias("beta_us"), F.count("*").alias("n_events"))
 
 
 def _residuals(df: DataFrame, lines: DataFrame, keys: list[str], x: str, y: str, weight: str | None = None) -> DataFrame:
-    return df.select(*keys, x, y, *([weight] if weight else [])).join(lines, keys).withColumn("__r", F.col("alpha") * F.col(x) + F.col("beta_us") - F.col(y))
+    """Rows with ``__r``, alpha * x + beta - y without its large terms."""
+    off = F.col("__over") * F.col(x) + F.col("beta_us") - _apart(F.col(x), F.col(y))
+    return df.select(*keys, x, y, *([weight] if weight else [])).join(lines, keys).withColumn("__r", off)
 
 
 def _rms(res: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
@@ -110,20 +125,21 @@ def fit(df: DataFrame, keys: list[str], x: str = "t_local_us", y: str = "t_ref_u
     df = _usable(df, x, y, weight)
     lines = _fitted(df, keys, x, y, method, robust, weight)
     out = lines.join(_rms(_residuals(df, lines, keys, x, y, weight), keys, weight), keys)
+    out = out.select(*keys, (1 + F.col("__over")).alias("alpha"), "beta_us", "residual_us", "n_events")
     return out.withColumn("confidence", clock_confidence("residual_us", "n_events"))
 
 
 def _fitted(df: DataFrame, keys: list[str], x: str, y: str, method: str, robust: bool, weight: str | None = None) -> DataFrame:
-    """``keys, alpha, beta_us, n_events``, stored: rows that are held against their group's line need not be sorted by group while groups are few."""
+    """``keys, __over, beta_us, n_events``, stored, ``__over`` being alpha - 1: rows that are held against their group's line need not be sorted by group while groups are few."""
     lines = stored(_lines(df, keys, x, y, method, weight))
     if not robust:
         return lines
     out = stored(lines.join(_rms(_residuals(df, lines, keys, x, y, weight), keys, weight), keys))
     good = F.abs("__r") <= OUTLIER * F.col("residual_us")
     kept = _residuals(df, out.where("n_events >= 3 and residual_us > 0"), keys, x, y, weight).where(good)
-    again = _lines(kept, keys, x, y, method, weight).withColumnsRenamed({"alpha": "a2", "beta_us": "b2", "n_events": "n2"})
+    again = _lines(kept, keys, x, y, method, weight).withColumnsRenamed({"__over": "a2", "beta_us": "b2", "n_events": "n2"})
     both = out.join(again, keys, "left").withColumn("__use", F.col("n2").isNotNull() & (F.col("n2") < F.col("n_events")))
-    return stored(both.select(*keys, F.when(F.col("__use"), F.col("a2")).otherwise(F.col("alpha")).alias("alpha"), F.when(F.col("__use"), F.col("b2")).otherwise(F.col("beta_us")).alias("beta_us"), "n_events"))
+    return stored(both.select(*keys, F.when(F.col("__use"), F.col("a2")).otherwise(F.col("__over")).alias("__over"), F.when(F.col("__use"), F.col("b2")).otherwise(F.col("beta_us")).alias("beta_us"), "n_events"))
 
 
 def fit_piecewise(df: DataFrame, keys: list[str], n_segments: int, x: str = "t_local_us", y: str = "t_ref_us", width: float = TIME_US) -> DataFrame:
@@ -147,7 +163,7 @@ def fit_piecewise(df: DataFrame, keys: list[str], n_segments: int, x: str = "t_l
     whole = placed.where(~within).select(*keys, segment(F.lit(0)).alias("segment"), x, y)
     split = placed.where(within).withColumn("__i", F.row_number().over(inside(keys, x, y)) - 1).select(*keys, segment(F.col("__i")).alias("segment"), x, y)
     rows = checkpointed(whole.unionByName(split))
-    lines = _fitted(rows, [*keys, "segment"], x, y, "tls", True)
+    lines = _fitted(rows, [*keys, "segment"], x, y, "tls", True).withColumn("alpha", 1 + F.col("__over"))
     ends = rows.groupBy(*keys, "segment").agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     by = Window.partitionBy(*keys).orderBy("segment")  # n_segments rows
     lo = F.coalesce((F.lag("__hi").over(by) + F.col("__lo")) / 2.0, F.lit(-1e18))
@@ -217,7 +233,7 @@ def ransac(df: DataFrame, keys: list[str], threshold_us: float = 1000.0, n_iters
     best = checkpointed(best.join(models, keys).select(*keys, F.get("as", F.col("w.k")).alias("__a"), F.get("bs", F.col("w.k")).alias("__b")))
     inliers = rows.join(best, keys).where(near).select(*keys, "x", "y", *more)
     if refine:
-        lines = fit(checkpointed(inliers), keys, "x", "y", "tls", robust=True, weight=weight)
+        lines = _fitted(checkpointed(inliers), keys, "x", "y", "tls", True, weight)
         inliers = _residuals(rows, lines, keys, "x", "y", weight).where(F.abs("__r") <= threshold_us).select(*keys, "x", "y", *more)
     good = fit(checkpointed(inliers), keys, "x", "y", "tls", robust=True, weight=weight)
     whole = fit(rows.join(best.select(*keys), keys, "left_anti"), keys, "x", "y", "tls", robust=True, weight=weight)

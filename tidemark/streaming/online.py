@@ -11,8 +11,8 @@ from ..operators.transforms import clock_confidence
 
 def online_fit(pairs: DataFrame, keys: list[str], time: str, window: str = "10 minutes", late: str = "1 minute", x: str = "t_local_us", y: str = "t_ref_us") -> DataFrame:
     """Total least squares per key and window of ``time``: only the moments are kept in state."""
-    alpha, beta = _line("tls", F.col(x).cast("double"), F.col(y).cast("double"))
-    out = pairs.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(alpha.alias("alpha"), beta.alias("beta_us"), F.count("*").alias("n_events"))
+    over, beta = _line("tls", F.col(x), F.col(y))
+    out = pairs.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg((1 + over).alias("alpha"), beta.alias("beta_us"), F.count("*").alias("n_events"))
     return out.select(F.col("window.start").alias("window_start"), *keys, "alpha", "beta_us", "n_events", clock_confidence(F.lit(0.0), "n_events").alias("confidence_at_most"))
 
 
