@@ -67,6 +67,20 @@ def test_crowded_cells_are_split(spark, monkeypatch):
     assert run(spark, rows) == sorted(brute(rows), key=key)
 
 
+def test_vectors_are_sent_once_per_part(spark, monkeypatch):
+    """Not once per cell, neighbour and split, whose number grows with the vectors."""
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(embeddings, "SIDE_ROWS", 20)
+    sent = []
+    for name in ("applyInArrow", "applyInPandas"):
+        real = getattr(GroupedData, name)
+        monkeypatch.setattr(GroupedData, name, lambda self, *a, real=real: sent.append(self._df.count()) or real(self, *a))
+    rows = cloud(600, 16, 5)
+    assert run(spark, rows) == sorted(brute(rows), key=key)
+    assert 0 < sum(sent) <= 6 * 600
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1, True)]

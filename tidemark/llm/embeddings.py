@@ -7,6 +7,10 @@ it in proportion to its axes. Each block is range-joined under that budget: vect
 the block's first axes, one budget's radius wide, so partners lie in the same or a neighbouring cell.
 The union of what the blocks find is verified with the original components in double precision.
 Nothing within the threshold is missed.
+
+Vectors are dealt into parts, and every two parts meet in one unit of work, in which all blocks are
+joined; so a vector is sent once per part, not once per block, cell and neighbour. Parts are few while
+they fit a task's memory (``PARTS``, ``MOST_ROWS``): up to 786,432 vectors what is sent is six times them.
 """
 
 from __future__ import annotations
@@ -14,18 +18,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, durable
 
 THRESHOLD = 0.9
-#: Blocks of the rotated axes, axes per block that make a cell, and rows of one side of one task's work.
-BLOCKS, CELL_AXES, SIDE_ROWS = 4, 2, 6000
-#: Half of a cell's neighbours, itself first: each pair of cells meets once.
-NEIGHBOURS = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
-_TILE = 2048
+#: Blocks of the rotated axes, and axes per block that make a cell.
+BLOCKS, CELL_AXES = 4, 2
+#: Rows of a part at least, parts up to which that holds, and rows of a part at most.
+SIDE_ROWS, PARTS, MOST_ROWS = 2000, 6, 1 << 17
+_TILE = 384  # so that a tile's distances stay in a core's cache
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -48,43 +52,83 @@ def _budget(a: int, b: int, dims: int, threshold: float) -> float:
     return (2 - 2 * threshold) * (b - a) / dims
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, cut: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _rotated(x: np.ndarray) -> np.ndarray:
+    """Unit vectors on the rotated axes, some thousand rows at a time."""
+    q = rotation(x.shape[1])
+    out = np.empty(x.shape, dtype=np.float32)
+    for k in range(0, len(x), 8192):
+        out[k : k + 8192] = unit(x[k : k + 8192].astype(np.float64)) @ q
+    return out
+
+
+class Cells:
+    """Rows of one block of the rotated axes, in the order of their cells."""
+
+    def __init__(self, r: np.ndarray, side: float):
+        cell = np.floor(r[:, :CELL_AXES] / np.float32(side)).astype(np.int64)
+        first, second = cell[:, 0], cell[:, 1] if cell.shape[1] > 1 else np.zeros(len(cell), np.int64)
+        self.order = np.lexsort((second, first))
+        self.rows = r[self.order]
+        self.square = (self.rows * self.rows).sum(axis=1)
+        self.key = self.name(first, second)[self.order]
+        self.begin = np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1]))
+        self.end = np.append(self.begin[1:], len(self.key))
+        self.names = list(zip(first[self.order[self.begin]].tolist(), second[self.order[self.begin]].tolist(), strict=True))
+
+    @staticmethod
+    def name(first, second):
+        return (first << 32) + second
+
+    def span(self, first: int, low: int, high: int) -> tuple[int, int]:
+        """Where the cells from (first, low) to (first, high) begin and end."""
+        return int(np.searchsorted(self.key, self.name(first, low))), int(np.searchsorted(self.key, self.name(first, high), side="right"))
+
+
+def _tiles(x: Cells, y: Cells) -> Iterator[tuple[int, int, int, int]]:
+    """Rows of x and rows of y that may be partners: those of each cell, and those of its neighbours; of one set with itself, half of them."""
+    for (c1, c2), begin, end in zip(x.names, x.begin.tolist(), x.end.tolist(), strict=True):
+        spans = [(begin, y.span(c1, c2 + 1, c2 + 1)[1]), y.span(c1 + 1, c2 - 1, c2 + 1)] if x is y else [y.span(c1 + d, c2 - 1, c2 + 1) for d in (-1, 0, 1)]
+        for low, high in spans:
+            for i in range(begin, end, _TILE):
+                for j in range(low, high, _TILE):
+                    yield i, min(i + _TILE, end), j, min(j + _TILE, high)
+
+
+def _pairs(x: Cells, y: Cells, cut: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices of rows whose squared distance is at most ``cut``, a little more included: float32 tiles."""
-    x, y = x.astype(np.float32), y.astype(np.float32)
-    xs, ys = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    for i in range(0, len(x), _TILE):
-        for j in range(0, len(y), _TILE):
-            d = x[i : i + _TILE] @ y[j : j + _TILE].T
-            d *= -2
-            d += xs[i : i + _TILE, None]
-            d += ys[None, j : j + _TILE]
-            a, b = np.nonzero(d <= np.float32(cut + 1e-5))
-            if len(a):
-                yield a + i, b + j
+    one = lambda c: np.ones((len(c.rows), 1), np.float32)
+    left = np.hstack([-2 * x.rows, x.square[:, None], one(x)])
+    right = np.ascontiguousarray(np.hstack([y.rows, one(y), y.square[:, None]]).T)
+    for i, i_end, j, j_end in _tiles(x, y):
+        near = np.flatnonzero(left[i:i_end] @ right[:, j:j_end] <= np.float32(cut + 1e-5))
+        if len(near):
+            a, b = near // (j_end - j) + i, near % (j_end - j) + j
+            if x is y:
+                a, b = a[a < b], b[a < b]
+            yield x.order[a], y.order[b]
 
 
 def verify(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, block: int, threshold: float) -> np.ndarray:
     """Of candidate pairs: those of cosine >= threshold that ``block`` is the first to find."""
     good = (x * y).sum(axis=1) >= threshold * np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     dims = x.shape[1]
+    d = rx.astype(np.float64) - ry
     for k, (a, b) in enumerate(bounds(dims)[: block + 1]):
-        d = rx[:, a:b] - ry[:, a:b]
-        inside = (d * d).sum(axis=1) <= _budget(a, b, dims, threshold) + 1e-9
+        inside = (d[:, a:b] ** 2).sum(axis=1) <= _budget(a, b, dims, threshold) + 2e-6  # axes are rounded to float32
         good &= inside if k == block else ~inside
     return good
 
 
-def _join(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _join(table: pa.Table, threshold: float) -> pa.Table:
     """Links within one unit of work: per vector their number, weighted by copies, and a tie to its group."""
-    block, dims = int(pdf["block"].iloc[0]), int(pdf["dims"].iloc[0])
-    a, b = bounds(dims)[block]
-    home = pdf["home"].to_numpy(bool)
-    x = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float64).reshape(-1, dims)
-    r = unit(x) @ rotation(dims)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    cls, copies = pdf["cls"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
-    same = pdf["same"].to_numpy(bool)
-    left, right = np.flatnonzero(home), np.flatnonzero(~home)
+    table = table.combine_chunks()
+    dims, i, j = (table[c][0].as_py() for c in ("dims", "i", "j"))
+    cls, copies, part = (table[c].to_numpy() for c in ("cls", "copies", "part"))
+    x = np.concatenate([c.flatten().to_numpy() for c in table["embedding"].chunks]).reshape(-1, dims)
+    del table
+    most = np.abs(x).max(axis=1, keepdims=True).astype(np.float64)  # so that no square overflows or vanishes
+    r = _rotated(x)
+    of = [np.flatnonzero(part == k) for k in sorted({i, j})]
     links = np.zeros(len(cls), dtype=np.int64)
     root = np.arange(len(cls))
 
@@ -93,16 +137,16 @@ def _join(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             k = root[k]
         return k
 
-    if len(left) and len(right):
-        for i, j in _pairs(r[left, a:b], r[right, a:b], _budget(a, b, dims, threshold)):
-            i, j = left[i], right[j]
-            keep = ~same[j] | (cls[i] < cls[j])  # within one cell, each pair once
-            i, j = i[keep], j[keep]
+    for block, (a, b) in enumerate(bounds(dims)):
+        side = np.sqrt(_budget(a, b, dims, threshold)) * (1 + 1e-5) + 1e-6
+        cells = [Cells(r[o, a:b], side) for o in of]
+        for p_, q_ in _pairs(cells[0], cells[-1], _budget(a, b, dims, threshold)):
+            p_, q_ = of[0][p_], of[-1][q_]
             k, step = 0, 4096
-            while k < len(i):  # steps double, so that most pairs of a dense group find their group tied already
-                p, q = i[k : k + step], j[k : k + step]
-                k, step = k + step, min(2 * step, 1 << 18)
-                good = verify(x[p], x[q], r[p], r[q], block, threshold)
+            while k < len(p_):  # steps double, so that most pairs of a dense group find their group tied already
+                p, q = p_[k : k + step], q_[k : k + step]
+                k, step = k + step, min(2 * step, 1 << 16)
+                good = verify(x[p] / most[p], x[q] / most[q], r[p], r[q], block, threshold)
                 p, q = p[good], q[good]
                 np.add.at(links, p, copies[q])
                 np.add.at(links, q, copies[p])
@@ -114,8 +158,8 @@ def _join(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
                     if a_ != b_:
                         root[max(a_, b_)] = min(a_, b_)
     touched = np.flatnonzero(links)
-    out = pd.DataFrame({"cls": cls[touched], "links": links[touched], "root": cls[[find(k) for k in touched.tolist()]] if len(touched) else []})
-    return out.astype({"cls": "int64", "links": "int64", "root": "int64"})
+    ties = np.array([find(k) for k in touched.tolist()], dtype=np.int64)
+    return pa.table({"cls": cls[touched], "links": links[touched], "root": cls[ties]}, schema=pa.schema([(c, pa.int64()) for c in ("cls", "links", "root")]))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -127,46 +171,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     different lengths do not link. Equal vectors are one node with a number of copies, so copies cost
     no pairs; a dense group's links are counted where they are found and tied to one member, never
     sent as pairs. Repeated ids count as rows of their own; rows with a null id link and count, but
-    get ``kept`` false; other columns are ignored; an empty table gives an empty result. Crowded cells
-    are split on both sides.
+    get ``kept`` false; other columns are ignored; an empty table gives an empty result. A task holds
+    two parts of the vectors, of ``MOST_ROWS`` at most.
     """
     c = F.col("embedding")
+    kind = vectors.select(vec_col).schema[0].dataType.elementType.simpleString()
+    kind = "float" if kind == "float" else "double"  # floats stay as they are, which is half the bytes
     usable = (F.size(c) > 0) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(c, lambda v: v != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
-    rows = durable(rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), F.reverse("embedding"))))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("embedding"))
+    double = c.cast("array<double>")
+    rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("k1", F.xxhash64(double)).withColumn("k2", F.xxhash64(F.lit(1), F.reverse(double)))
     classes = rows.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    classes = durable(classes.select(F.monotonically_increasing_id().alias("cls"), "*"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for dims, part in b.groupby(b["embedding"].map(len)):
-                x = np.array(part["embedding"].tolist(), dtype=np.float64)
-                r = unit(x) @ rotation(dims)
-                raw = [v.tobytes() for v in x]
-                for k, (lo, hi) in enumerate(bounds(dims)):
-                    side = np.sqrt(_budget(lo, hi, dims, threshold)) * (1 + 1e-6) + 1e-9
-                    cell = np.floor(r[:, lo : lo + CELL_AXES] / side).astype(np.int32)
-                    yield pd.DataFrame({"dims": dims, "block": k, "c1": cell[:, 0], "c2": cell[:, 1] if cell.shape[1] > 1 and hi - lo > 1 else 0, "cls": part["cls"].to_numpy(), "copies": part["copies"].to_numpy(), "vec": raw})
-
-    placed = durable(classes.select("cls", "copies", "embedding").mapInPandas(place, "dims int, block int, c1 int, c2 int, cls long, copies long, vec binary"))
-    # a cell of many rows is split: s parts of its home rows, each meeting the t parts of its visitors
-    crowd = placed.groupBy("dims", "block", "c1", "c2").agg(F.count("*").alias("n"))
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NEIGHBOURS])
-    visits = crowd.withColumn("o", F.explode(offsets)).select("dims", "block", (F.col("c1") + F.col("o.a")).alias("c1"), (F.col("c2") + F.col("o.b")).alias("c2"), "n")
-    visits = visits.groupBy("dims", "block", "c1", "c2").agg(F.sum("n").alias("visitors"))
-    parts = crowd.join(visits, ["dims", "block", "c1", "c2"]).select("dims", "block", "c1", "c2", F.ceil(F.col("n") / SIDE_ROWS).cast("int").alias("s"), F.ceil(F.col("visitors") / SIDE_ROWS).cast("int").alias("t"))
-    parts = durable(parts)
-    cell = ["dims", "block", "c1", "c2"]
-    home = placed.join(parts, cell).withColumn("s_no", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int")).withColumn("t_no", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    came = placed.withColumn("o", F.explode(offsets)).withColumn("c1", F.col("c1") + F.col("o.a")).withColumn("c2", F.col("c2") + F.col("o.b")).withColumn("same", (F.col("o.a") == 0) & (F.col("o.b") == 0)).drop("o")
-    came = came.join(parts, cell).withColumn("t_no", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("t")).cast("int")).withColumn("s_no", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    names = [*cell, "s_no", "t_no", "cls", "copies", "vec"]
-    work = home.select(*names, F.lit(True).alias("home"), F.lit(False).alias("same")).unionByName(came.select(*names, F.lit(False).alias("home"), "same"))
-    found = work.groupBy(*cell, "s_no", "t_no").applyInPandas(lambda pdf: _join(pdf, threshold), "cls long, links long, root long")
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("cls"), F.size("embedding").alias("dims"), "*"))
+    rows = durable(rows.drop("embedding"))
+    most = classes.groupBy("dims").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    parts = max(1, -(-most // MOST_ROWS), min(PARTS, -(-most // SIDE_ROWS)))
+    part, other = F.pmod(F.xxhash64("cls"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    work = classes.select("dims", "cls", "copies", "embedding", part.alias("part"), other.alias("other"))
+    work = work.select("dims", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "copies", "embedding")
+    found = work.groupBy("dims", "i", "j").applyInArrow(lambda table: _join(table, threshold), "cls long, links long, root long")
     found = durable(found)
     comp = durable(connected_components(found.select(F.col("cls").alias("src"), F.col("root").alias("dst")))).withColumnRenamed("node", "cls")
     counted = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    named = classes.join(counted, "cls", "left").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = classes.drop("embedding").join(counted, "cls", "left").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     result = named.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
