@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tidemark.llm import lm
 from tidemark.llm.queries import queries
@@ -130,6 +131,27 @@ def test_filter_reads_counts_back():
         assert (other == 0).mean() > 0.9
 
 
+def test_rows_of_megabytes_lie_in_small_row_groups(spark, monkeypatch):
+    """Parquet looks at a row group's size after a hundred rows by default, which would be hundreds of megabytes in writers and readers."""
+    rng = np.random.default_rng(2)
+    written = []
+    real = lm.durable
+    monkeypatch.setattr(lm, "durable", lambda df, **kw: written.append((out := real(df, **kw), kw)) or out)
+    docs = [(i, bytes(rng.integers(97, 123, 3_000_000, dtype=np.uint8)).decode()) for i in range(12)]  # a word each; a text fills a chunk
+    assert lm.score(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), broadcast_bytes=-1).count() == 12
+    chunks = [d for d, _ in written if "z" in d.columns]
+    assert len(chunks) == 1 and len(written) == 2
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("//", "/")) for d in chunks for f in d.inputFiles()]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 12 and max(g.num_rows for g in groups) < 12 and all(g.total_byte_size < 16 << 20 for g in groups)
+
+
+def test_tokens_by_pieces():
+    texts = ["Ab " * 90_000, None, "", "x" * 300_000, "a b", b"A b"]
+    one, other = lm.Tokens(texts), lm.Tokens.by_pieces(texts)
+    assert (one.hash == other.hash).all() and (one.count == other.count).all() and (one.at == other.at).all()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(df).count() == 0

@@ -108,16 +108,16 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def durable(df: DataFrame, keep: bool = True) -> DataFrame:
+def durable(df: DataFrame, keep: bool = True, options: dict | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     Cuts the lineage: what reads the result never recomputes ``df``, and an executor that is lost
-    takes none of it along. ``keep=False`` leaves deletion to the caller (path in ``_tidemark_path``);
+    takes none of it along. ``options`` are the writer's. ``keep=False`` leaves deletion to the caller (path in ``_tidemark_path``);
     otherwise the table goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     if keep:

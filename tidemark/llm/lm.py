@@ -23,10 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, slices
+from .common import _cut, durable, map_texts, slices
 
 #: Largest filter and word table that are broadcast, and how much of them one broadcast holds.
 BROADCAST_BYTES, PART_BYTES = 192 << 20, 8 << 20
@@ -36,6 +38,8 @@ BUCKET_BYTES, ENTRY_BITS, PRIOR = 2 << 20, 7.0, 100.0
 STEP, HELD, PIECE = 1.3, 4_000_000, 1 << 18
 #: Tokens of a chunk of documents whose keys are sent to the buckets.
 CHUNK_TOKENS = 1_000_000
+#: Of tables whose rows are megabytes: bytes of a row group, and rows after which a writer looks at its size.
+SMALL_GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 U = np.uint64
 _GOLD = U(0x9E3779B97F4A7C15)
 #: Hashes of the end of a text, and of what stands before its first word.
@@ -94,7 +98,7 @@ class Tokens:
     """The tokens of some texts as 64-bit hashes: polynomials over the bytes of lower-cased words, then the end."""
 
     def __init__(self, texts):
-        raw = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+        raw = [(t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")).lower() if t else b"" for t in texts]
         data = np.frombuffer(b" ".join([b"", *raw, b""]), dtype=np.uint8)
         space = _SPACE[data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # starts and ends of words, in turn
@@ -119,6 +123,14 @@ class Tokens:
     def pairs(self) -> np.ndarray:
         return pair_key(self.left(), self.hash)
 
+    @classmethod
+    def by_pieces(cls, texts: list) -> Tokens:
+        """The same tokens, made of some texts at a time: what is held besides them does not grow with the texts."""
+        t, parts = object.__new__(cls), [cls(texts[at]) for at in slices(texts, PIECE)]
+        t.hash, t.count = np.concatenate([p.hash for p in parts]), np.concatenate([p.count for p in parts])
+        t.at = np.cumsum(t.count) - t.count
+        return t
+
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
@@ -212,7 +224,7 @@ def build_model(docs: DataFrame) -> DataFrame:
         row |= {"filter": [fill(key, level).astype("<u8").tobytes()], "words": [words.astype("<u8").tobytes()], "counts": [n.astype("<i8").tobytes()]}
         return pd.DataFrame(row | {"total": [int(n.sum())], "distinct": [len(n)]})
 
-    return durable(count_ngrams(docs, buckets).groupBy("bucket").applyInPandas(build, "bucket long, buckets long, filter binary, words binary, counts binary, total long, distinct long"))
+    return durable(count_ngrams(docs, buckets).groupBy("bucket").applyInPandas(build, "bucket long, buckets long, filter binary, words binary, counts binary, total long, distinct long"), options=SMALL_GROUPS)
 
 
 class Part:
@@ -364,9 +376,10 @@ def _score_by_broadcast(rows: DataFrame, model: DataFrame, scorer: Scorer, size:
 def _score_by_bucket(rows: DataFrame, model: DataFrame, scorer: Scorer) -> DataFrame:
     """The documents' keys go to the buckets, and levels come back.
 
-    Documents are taken in chunks of about ``CHUNK_TOKENS``. A chunk asks for each of its keys once,
-    packed by bucket, so a frequent key costs a bucket one entry per chunk; no text is shuffled, only
-    the hashes of a chunk's tokens.
+    Documents are taken in chunks of about ``CHUNK_TOKENS``, whose texts are stored compressed. A chunk asks
+    for each of its keys once, packed by bucket, so a frequent key costs a bucket one entry per chunk, and
+    a bucket looks all its keys up at once. A chunk is a few megabytes in one row; row groups stay small, so
+    that writers and readers hold some chunks, not the hundred rows that Parquet waits for by default.
     """
     buckets = model.agg(F.max("buckets")).first()[0]
 
@@ -375,57 +388,64 @@ def _score_by_bucket(rows: DataFrame, model: DataFrame, scorer: Scorer) -> DataF
 
         n = TaskContext.get().partitionId() << 32
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for at in slices(texts, 6 * CHUNK_TOKENS, len(texts)):
-                t = Tokens(texts[at])
-                word, which = np.unique(t.hash, return_inverse=True)
-                ids = b.column("doc_id").slice(at.start, at.stop - at.start)
+            whole = b.column("text")
+            size = pc.fill_null(pc.binary_length(whole), 0).to_numpy(zero_copy_only=False).astype("<i8")
+            for at in _cut(size.tolist(), 6 * CHUNK_TOKENS, len(size)):
+                some = lambda c, at=at: b.column(c).slice(at.start, at.stop - at.start)  # noqa: B023, E731
                 row = {
                     "chunk": n,
-                    "doc_id": ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
-                    "no_id": ids.is_null().to_numpy(zero_copy_only=False).tobytes(),
-                    "held_out": b.column("held_out").slice(at.start, at.stop - at.start).to_numpy(zero_copy_only=False).tobytes(),
-                    "count": t.count.astype("<i8").tobytes(),
-                    "word": word.astype("<u8").tobytes(),
-                    "which": which.astype("<u4").tobytes(),
+                    "doc_id": some("doc_id").fill_null(0).to_numpy().astype("<i8").tobytes(),
+                    "no_id": some("doc_id").is_null().to_numpy(zero_copy_only=False).tobytes(),
+                    "held_out": some("held_out").to_numpy(zero_copy_only=False).tobytes(),
+                    "size": size[at].tobytes(),
+                    "z": zstandard.ZstdCompressor(level=3).compress(b"".join(t.as_buffer() or b"" for t in some("text").cast(pa.binary()))),
                 }
                 yield pa.RecordBatch.from_pylist([row])
                 n += 1
 
-    chunks = durable(rows.mapInArrow(cut, "chunk long, doc_id binary, no_id binary, held_out binary, count binary, word binary, which binary"))
+    chunks = durable(rows.mapInArrow(cut, "chunk long, doc_id binary, no_id binary, held_out binary, size binary, z binary"), options=SMALL_GROUPS)
 
-    def tokens(r) -> tuple[Tokens, np.ndarray, np.ndarray]:
-        t = object.__new__(Tokens)
-        word, which = np.frombuffer(r["word"], dtype="<u8"), np.frombuffer(r["which"], dtype="<u4").astype(np.int64)
-        t.hash, t.count = word[which], np.frombuffer(r["count"], dtype="<i8")
-        t.at = np.cumsum(t.count) - t.count
-        return t, word, which
+    def tokens(size: bytes, z: bytes) -> Tokens:
+        ends = np.cumsum(np.frombuffer(size, dtype="<i8")).tolist()
+        raw = zstandard.ZstdDecompressor().decompress(z, max_output_size=max(1, ends[-1]))
+        return Tokens.by_pieces([raw[a:z] for a, z in zip([0, *ends], ends)])
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_dict("records"):
-                t, word, _ = tokens(r)
-                for kind, key in ((1, word), (2, np.unique(t.pairs()))):
-                    cuts = [0, *(np.flatnonzero(np.diff(bucket_of(key, buckets))) + 1).tolist(), len(key)]
-                    of = [(a, z) for a, z in zip(cuts, cuts[1:], strict=False) if z > a]
-                    yield pd.DataFrame({"bucket": bucket_of(key[[a for a, _ in of]], buckets), "chunk": r["chunk"], "kind": np.int8(kind), "keys": [key[a:z].tobytes() for a, z in of]})
-
-    asked = chunks.select("chunk", "word", "which", "count").mapInPandas(ask, "bucket long, chunk long, kind byte, keys binary")
-
-    def answer(asks: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        one = Part(part.to_dict("records")) if len(part) else None
-        keys = [np.frombuffer(k, dtype="<u8") for k in asks["keys"]]
-        level = [one.level(k) if one else np.zeros(len(k), dtype=np.uint8) for k in keys]
-        exact = [(one.exact(k) if one else np.zeros(len(k), dtype=np.int64)).astype("<i8") if kind == 1 else None for k, kind in zip(keys, asks["kind"], strict=True)]
-        return pd.DataFrame({"bucket": asks["bucket"], "chunk": asks["chunk"], "kind": asks["kind"], "level": [x.tobytes() for x in level], "exact": [None if x is None else x.tobytes() for x in exact]})
+            for chunk, size, z in zip(*b.columns, strict=True):
+                t = tokens(size.as_py(), z.as_py())
+                for kind, key in ((1, np.unique(t.hash)), (2, np.unique(t.pairs()))):
+                    home = bucket_of(key, buckets)
+                    first = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+                    edge = pa.array(np.append(first, len(key)) * 8, pa.int32())
+                    keys = pa.Array.from_buffers(pa.binary(), len(first), [None, edge.buffers()[1], pa.py_buffer(key.astype("<u8"))])
+                    yield pa.RecordBatch.from_arrays([pa.array(home[first]), pa.array(np.full(len(first), chunk.as_py())), pa.array(np.full(len(first), kind, np.int8)), keys], ["bucket", "chunk", "kind", "keys"])
+
+    asked = chunks.select("chunk", "size", "z").mapInArrow(ask, "bucket long, chunk long, kind byte, keys binary")
+
+    def answer(asks: pa.Table, part: pa.Table) -> pa.Table:
+        """All keys of a bucket are looked up together; exact counts are told of words only."""
+        if not len(asks):
+            return pa.Table.from_pylist([], schema=told)
+        raw = asks["keys"].to_pylist()
+        key, ends = np.frombuffer(b"".join(raw), dtype="<u8"), np.cumsum([len(k) // 8 for k in raw]).tolist()
+        one = Part(part.to_pylist()) if len(part) else None
+        word = np.repeat(asks["kind"].to_numpy() == 1, np.diff([0, *ends]))
+        level, exact = np.zeros(len(key), dtype=np.uint8), np.zeros(len(key), dtype="<i8")
+        if one:
+            level[:], exact[word] = one.level(key), one.exact(key[word])
+        spans = list(zip([0, *ends], ends, asks["kind"].to_pylist()))
+        return pa.table([asks["bucket"], asks["chunk"], asks["kind"], pa.array([level[a:z].tobytes() for a, z, _ in spans]), pa.array([exact[a:z].tobytes() if kind == 1 else None for a, z, kind in spans], pa.binary())], schema=told)
 
     names = "bucket long, chunk long, kind byte, level binary, exact binary"
-    answers = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(answer, names)
+    told = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int8()), ("level", pa.binary()), ("exact", pa.binary())])
+    answers = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer, names)
 
     def finish(some: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in some.to_dict("records"):
-            t, _, which = tokens(r)
+            t = tokens(r["size"], r["z"])
+            _, which = np.unique(t.hash, return_inverse=True)
             mine = found.sort_values("bucket")
             words, pairs = mine[mine["kind"] == 1], mine[mine["kind"] == 2]
             exact = np.frombuffer(b"".join(words["exact"]), dtype="<i8")
